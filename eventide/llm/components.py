@@ -1,0 +1,47 @@
+"""Connected components of an edge table, by large-star and small-star rounds.
+
+Both kinds of round need only the least neighbour of each node, which is a partial
+aggregation, and a join back to the edges that AQE may split at a hot node; no
+neighbour list is ever gathered.  Each round is written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop_stored, stored
+
+
+def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(node, root): every node of ``edges`` with the least node it is connected to.
+
+    Self-loops are ignored.  Raises if it has not settled after ``max_rounds``.
+    """
+    pairs = edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).where("hi > lo").distinct()
+    now = stored(pairs, "edges")
+    seen = _state(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("root"))
+        large = both.join(least, "hi").where("lo > hi and root < lo").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+        large = large.distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("root"))
+        small = large.join(low, "hi").where("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+        after = stored(small.unionByName(low.select("hi", F.col("root").alias("lo"))).where("hi > lo").distinct(), "edges")
+        state = _state(after)
+        drop_stored(now)
+        now = after
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and an order-free hash of the edges, to tell when nothing changes."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    return tuple(row)
