@@ -90,7 +90,7 @@ def variant_keys(fps: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within ``left``, or between ``left`` and ``right``."""
-    nodes = left if right is None else np.concatenate([left, right])
+    nodes = (left if right is None else np.concatenate([left, right])).view(np.uint64)  # bitwise_count takes the magnitude of signed numbers
     n, m = len(nodes), len(left)
     open_, links = np.ones(n, bool), []
     for start in range(n):
@@ -105,7 +105,8 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
             open_[near] = False
             links += [(at, int(x)) for x in near]
             frontier += near.tolist()
-    return [(int(nodes[a]), int(nodes[b])) for a, b in links]
+    signed = nodes.view(np.int64)
+    return [(int(signed[a]), int(signed[b])) for a, b in links]
 
 
 def verified_links(fps: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
