@@ -38,21 +38,23 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     be alone, unless ``digests`` asks for it on all rows.
     """
     norm = normalised(text_col)
+    # the prefix hash takes in the length, so that one column names a group and a join by length may be split
+    prefix = F.xxhash64(F.length(norm), F.substring(norm, 1, prefix_chars)).alias("_prefix")
     full = F.sha2(norm.cast("binary"), 256)
     sized = docs.select(F.length(norm).alias("_len"))
     lengths = shared_keys(sized, "_len")
-    prefixed = docs.select(F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("_prefix"))
-    open_groups = shared_keys(prefixed.join(lengths, "_len", "left_semi"), "_len", "_prefix")
+    prefixed = docs.select(F.length(norm).alias("_len"), prefix)
+    open_groups = shared_keys(prefixed.join(lengths, "_len", "left_semi"), "_prefix")
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("_prefix"), *([full.alias("_sha")] if digests else []), *([] if digests else [norm.alias("_norm")]))
-    survivors = rows.join(open_groups, ["_len", "_prefix"], "left_semi")
+    rows = docs.select(F.col(id_col).alias("_id"), prefix, *([full.alias("_sha")] if digests else []), *([] if digests else [norm.alias("_norm")]))
+    survivors = rows.join(open_groups, "_prefix", "left_semi")
     if not digests:
         survivors = survivors.withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256)).drop("_norm")
     groups = survivors.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     if digests:
         joined = rows.join(groups, "_sha", "left")
     else:
-        alone = rows.drop("_norm").join(open_groups, ["_len", "_prefix"], "left_anti").withColumn("_sha", F.lit(None).cast("string"))
+        alone = rows.drop("_norm").join(open_groups, "_prefix", "left_anti").withColumn("_sha", F.lit(None).cast("string"))
         joined = survivors.join(groups, "_sha", "left").unionByName(alone.withColumns({"_keep": F.lit(None).cast(docs.schema[id_col].dataType), "_size": F.lit(None).cast("long")}))
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256"))
