@@ -57,7 +57,7 @@ class Model:
         return float(over[0]), float(over.sum())
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float = 0.02, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a cumulative-link model, by accelerated gradient steps on the likelihood.
 
     Thresholds are t_0 and the logarithms of the gaps to the next ones, so they stay ordered.
