@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, exact_dedup, packing, quality_rff, simhash, toxicity
+from . import bottom_k, exact_dedup, packing, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archived_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_zip": op2_warc_zip,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op7_quality": op7_quality,
@@ -50,6 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_zip": """
+        with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
+        f as (select *, min(page_id) over (partition by html) as first_id from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
+        from f""",
     "op10_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
