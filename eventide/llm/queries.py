@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, exact_dedup, packing, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, exact_dedup, license_scan, packing, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("notices", F.to_json("notices"))
+
+
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archived_pages(table(spark, sf_dir, "pages")).drop("url")
 
@@ -45,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_warc_zip": op2_warc_zip,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
