@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, exact_dedup, license_scan, packing, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, deleted_interpolation, exact_dedup, license_scan, packing, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rff.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_zip": op2_warc_zip,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_quality": op7_quality,
     "op8_bottom_k": op8_bottom_k,
     "op9_simhash": op9_simhash,
