@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, text_or_empty
 
-K, WIDTH = 128, 5
+K, WIDTH = 256, 5
 #: Bytes as signed numbers, so that half the hashes are negative: the range is 2**64.
 LEAST, RANGE = -(2.0**63), 2.0**64
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, deleted_interpolation, exact_dedup, license_scan, packing, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, deleted_interpolation, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archived_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_warc_zip": op2_warc_zip,
+    "op3_piece_sampling": op3_piece_sampling,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_deleted_interpolation": op6_deleted_interpolation,
