@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Words whose ids a worker keeps at most in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 class WordIds:
@@ -48,18 +48,31 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, data: bytes) -> bytes:
-        words = data.split()
+        words = data.lower().split()  # the tokenizer lower-cases too
         absent = [w for w in set(words) if w not in self.young]
-        if len(self.young) + len(absent) > CACHE_WORDS:
+        if len(self.young) + 2 * len(absent) > CACHE_WORDS:
             self.old, self.young = self.young, {}
             absent = list(set(words))
         if absent:
-            self.young |= {w: self.old[w] for w in absent if w in self.old}
-            new = [w for w in absent if w not in self.old]
-            found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in new], add_special_tokens=False)
-            self.young |= {w: np.asarray(x.ids, "<u4").tobytes() for w, x in zip(new, found, strict=True)}
+            self.learn(absent)
         return b"".join(map(self.young.__getitem__, words))
 
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words to the young generation.
+
+        A letter and a stop or comma after it are apart for the tokenizer, so a word that
+        ends in one is its stem's ids and the mark's.
+        """
+        old, young = self.old, self.young
+        stems = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha() and w not in old}
+        new = {w for w in {*words, *stems.values(), *(w[-1:] for w in stems)} if w not in young and w not in stems}
+        young |= {w: old[w] for w in new if w in old}
+        missing = [w for w in new if w not in young]
+        if missing:
+            found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in missing], add_special_tokens=False)
+            young |= {w: np.asarray(x.ids, "<u4").tobytes() for w, x in zip(missing, found, strict=True)}
+        young |= {w: young[stem] + young[w[-1:]] for w, stem in stems.items()}
+
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens): the pieces of all documents."""
