@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import object_queries, signal_queries
+from . import object_queries, review_queries, signal_queries
 
-MODULES = [signal_queries, object_queries]
+MODULES = [signal_queries, object_queries, review_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
