@@ -152,27 +152,25 @@ def file_system(uri: str):  # noqa: ANN201
 # --- Spark jobs ---------------------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", revisit_bytes: int = 100) -> DataFrame:
-    """Adds payload, digest and refers_to (the id to revisit, or null).
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 100) -> DataFrame:
+    """(id, url, payload, digest, refers_to): refers_to is the id to revisit, or null.
 
     The first id of each repeated payload is an aggregation over digests; only digests with
     several rows are joined back.
     """
-    payload = text_or_empty(payload_col).cast("binary")
-    rows = pages.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256))
-    narrow = pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("digest"), F.length(payload).alias("_n")).where(F.col("_n") >= revisit_bytes)
-    firsts = narrow.groupBy("digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("digest", "_first")
-    joined = rows.join(firsts, "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_first")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    firsts = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "first_id")
+    refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    return rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes records (of ``with_revisits``) as packages into ``folder``: one or more a task.
 
     Returns (package, records, bytes), read from a manifest that is written with them.
     """
-    spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    spark = records.sparkSession
+    rows = records.select(F.col("id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -317,7 +315,7 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     folder = folder or work_path(pages.sparkSession, "warc")
     kind = pages.schema[id_col].dataType.simpleString()
-    packages = write_packages(with_revisits(pages, id_col, payload_col), folder, id_col, url_col)
+    packages = write_packages(with_revisits(pages, id_col, url_col, payload_col), folder)
     read = read_records(package_index(packages.repartition("package"), folder), folder)
     facts = read.select(F.expr(f"cast(nullif(record_id, '') as {kind})").alias(id_col), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url", F.col("digest").alias("named"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     facts = stored(facts, "warc-records")
