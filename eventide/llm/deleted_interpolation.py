@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored, text_or_empty
 
-BLOCK_BYTES, RANGE_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 FIT, MIX, HELD = 0, 1, 2
 #: Steps of the natural logarithm in the histograms that the weights are learned from.
 STEP = 1 / 64

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,12 @@ class WordIds:
         young |= {w: young[stem] + young[w[-1:]] for w, stem in stems.items()}
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's word table, kept from task to task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens): the pieces of all documents."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -83,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             row, start, size, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
