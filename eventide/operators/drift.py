@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 SEVERITY = {"unusable": 0, "camera_moved": 1, "scene_changed": 2, "no_baseline": 3, "stable": 4}
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded half up on the double itself, so that any engine gives the same bits for a tie."""
+    scale = F.lit(10.0**digits)
+    return F.floor(x * scale + F.lit(0.5)) / scale
+
+
 def folded(profile: DataFrame, session: DataFrame) -> DataFrame:
     """(camera, region, mu, sigma, samples): a profile with a session's regions pooled in.
 
@@ -23,7 +29,7 @@ def folded(profile: DataFrame, session: DataFrame) -> DataFrame:
     mu = (F.col("m0") * F.col("n0") + F.col("m1") * F.col("n1")) / n
     var = (F.col("n0") * (F.pow("s0", F.lit(2)) + F.pow(F.col("m0") - mu, F.lit(2))) + F.col("n1") * (F.pow("s1", F.lit(2)) + F.pow(F.col("m1") - mu, F.lit(2)))) / n
     one = lambda both, a, b: F.when(F.col("n0").isNull(), F.col(b)).when(F.col("n1").isNull(), F.col(a)).otherwise(both)
-    return j.select("camera", "region", F.round(one(mu, "m0", "m1"), 6).alias("mu"), F.round(one(F.sqrt(F.greatest(F.lit(1e-6), var)), "s0", "s1"), 6).alias("sigma"), one(n, "n0", "n1").cast("bigint").alias("samples"))
+    return j.select("camera", "region", half_up(one(mu, "m0", "m1"), 6).alias("mu"), half_up(one(F.sqrt(F.greatest(F.lit(1e-6), var)), "s0", "s1"), 6).alias("sigma"), one(n, "n0", "n1").cast("bigint").alias("samples"))
 
 
 def shifts(profile: DataFrame, session: DataFrame) -> DataFrame:

@@ -72,8 +72,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fold_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drift.folded(baselines(spark, sf_dir, 1), baselines(spark, sf_dir, 2))
-    return out.withColumns({c: F.round(c, 5) for c in ("mu", "sigma")})
+    return drift.folded(baselines(spark, sf_dir, 1), baselines(spark, sf_dir, 2))
 
 
 def q_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +232,7 @@ ORACLE_SQL = {
         select clip, tp, fp, unadjudicated, fn, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from pr""",
     "q_fold_session": _BASE + """, j as (select coalesce(p.camera, s.camera) as camera, coalesce(p.region, s.region) as region, p.mu as m0, p.sigma as s0, p.samples as n0, s.mu as m1, s.sigma as s1, s.samples as n1 from p full join s on p.camera = s.camera and p.region = s.region),
         m as (select *, (m0 * n0 + m1 * n1) / (n0 + n1) as mm from j)
-        select camera, region, round(round(case when n0 is null then m1 when n1 is null then m0 else mm end, 6), 5) as mu, round(round(case when n0 is null then s1 when n1 is null then s0 else sqrt(greatest(1e-6, (n0 * (s0 * s0 + (m0 - mm) * (m0 - mm)) + n1 * (s1 * s1 + (m1 - mm) * (m1 - mm))) / (n0 + n1))) end, 6), 5) as sigma, (coalesce(n0, 0) + coalesce(n1, 0))::bigint as samples from m""",
+        select camera, region, floor((case when n0 is null then m1 when n1 is null then m0 else mm end) * 1e6 + 0.5) / 1e6 as mu, floor((case when n0 is null then s1 when n1 is null then s0 else sqrt(greatest(1e-6, (n0 * (s0 * s0 + (m0 - mm) * (m0 - mm)) + n1 * (s1 * s1 + (m1 - mm) * (m1 - mm))) / (n0 + n1))) end) * 1e6 + 0.5) / 1e6 as sigma, (coalesce(n0, 0) + coalesce(n1, 0))::bigint as samples from m""",
     "q_drift": _BASE + " select camera, verdict, regions_shifted, regions_compared, peak_shift from report",
     "q_fleet_rank": _BASE + " select camera, verdict, row_number() over (order by severity, peak_shift desc, camera) as place from report",
     "q_centre_rollup": _BASE + " select camera % 9 as site, count(*) as cameras, arg_min(verdict, severity) as worst, count(*) filter (verdict not in ('stable', 'no_baseline')) as problems, max(peak_shift) as peak_shift from report group by 1",
