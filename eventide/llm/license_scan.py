@@ -6,18 +6,27 @@ ascends in both (a longest increasing subsequence) is kept; the gaps between kep
 are aligned in the same way, and in a gap without anchors equal words at its ends are
 matched.  Coverage is the share of the template's words that are matched.
 
+A stretch that is covered must also carry the template's ``IDENTITY``, the words that tell
+its license from others: each phrase's words are matched and nothing foreign stands between
+them, so another license or version in the same sentence is not taken for this one.  Version
+numbers are read alike with and without "v" and ".0" at their ends.
+
 Only stretches of ``SPREAD`` times the template's length are aligned, so words scattered
 over a long text do not add up to a notice.  A stretch is aligned wherever its words could reach
 ``threshold``: an upper bound from word counts, so no notice is lost.  Each text is read
 whole, in one pass; memory is bounded by the text.
 
 Defined cases: a null or empty text has no notice; a notice that repeats, or several
-notices, are all reported, each template once with its best stretch (the first of equals);
+notices, are all reported: of each template the best stretch (the first of equals), then the
+best that shares no word with it, and so on; a template that is ``WITHIN`` others is left
+out where one of these is found; a sentence that names only a family, as "the BSD License",
+is no notice;
 rows that repeat an id are scanned each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -29,28 +38,76 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 THRESHOLD, SPREAD = 0.8, 1.5
+VERSION = re.compile(rb"v?(\d{1,3}(?:\.\d{1,3})*?)(?:\.0)*")
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: Notices as their publishers word them.
+#: Parts of notices as their publishers word them.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_X11_END = "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."
+_GPL_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+
+#: Whole notices by name; what comes after the license's identifier tells its wordings apart.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-family": _BSD,
+    "BSD-2-Clause": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD} {_BSD_THIRD} {_BSD_END}",
     "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT-permission": _MIT,
+    "MIT-text": f"{_MIT} {_MIT_END}",
+    "X11": f"{_MIT} {_MIT_END} {_X11_END}",
+}
+
+#: The words that tell a license from others, by template.  Words with "?" may be missing; they are
+#: the template's own, or extra ones that are not foreign here.
+IDENTITY: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("the? apache license version? 2",),
+    "Apache-2.0-header": ("the? apache license version? 2",),
+    "BSD-2-Clause": ("with? the? distribution this software is provided",),
+    "BSD-3-Clause": ("with? the? distribution 3? c? iii? neither the name", "endorse or? promote products", "written? permission this software is provided"),
+    "MIT": ("the? mit license",),
+    "MIT-permission": ("subject to the following conditions", "shall be included in all copies"),
+    "MIT-text": ("subject to the following conditions", "portions? of? the? software the software is provided"),
+    "X11": ("subject to the following conditions", "portions? of? the? software the software is provided", "except as contained in this notice"),
 }
 
+#: Templates that are part of others, whose notices are reported instead.
+WITHIN = {"BSD-family": ("BSD-2-Clause", "BSD-3-Clause"), "MIT-permission": ("MIT-text", "X11"), "MIT-text": ("X11",)}
+
+for _short, _long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    # the plain names are as in earlier results: BY-NC is the short wording, the others the long one
+    _plain, _other = ("", "-full") if _short == "BY-NC" else ("-short", "")
+    TEMPLATES[f"CC-{_short}-4.0{_plain}"] = f"Licensed under CC {_short} 4.0."
+    TEMPLATES[f"CC-{_short}-4.0{_other}"] = f"This work is licensed under a Creative Commons {_long} 4.0 International License."
+    IDENTITY[f"CC-{_short}-4.0{_plain}"] = (f"cc {_short} 4",)
+    IDENTITY[f"CC-{_short}-4.0{_other}"] = (f"creative? commons? {_long} 4",)
+
+for _id, _kind, _version in [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]:
+    _name = f"GNU {_kind}General Public License"
+    _header = _GPL_HEADER.replace("GNU General Public License", _name).replace("version 3", f"version {_version}")
+    TEMPLATES[_id] = f"This work is licensed under the {_name}, version {_version}."
+    TEMPLATES[f"{_id}-header"] = _header
+    TEMPLATES[f"{_id}-only-header"] = _header.replace(f"as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version", f"version {_version} as published by the Free Software Foundation")
+    IDENTITY[_id] = (f"the? {_name} {_id.split('-')[0]}? version? {_version}",)
+    IDENTITY[f"{_id}-header"] = (f"the? {_name}", f"version {_version}")
+    IDENTITY[f"{_id}-only-header"] = (f"the? {_name} {_id.split('-')[0]}? version? {_version}",)
+
 
 def words(data: bytes) -> list[bytes]:
     """Lower-cased words without punctuation at their ends; marks that stand alone are left out."""
     return [w for w in (x.strip(STRIP) for x in data.lower().split()) if w]
 
 
+def alike(word: bytes) -> bytes:
+    """The word, or a version number without "v" and ".0"."""
+    return m[1] if (m := VERSION.fullmatch(word)) else word
+
+
 def increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence."""
     tails: list[int] = []
@@ -99,18 +156,39 @@ def _once(seq: list, lo: int, hi: int) -> dict:
 
 
 class Template:
-    def __init__(self, name: str, text: str):
-        self.name, self.words = name, words(text.encode())
+    def __init__(self, name: str, text: str, identity: tuple[str, ...] = ()):
+        self.name, self.words = name, [alike(w) for w in words(text.encode())]
         self.counts = Counter(self.words)
         self.reach = max(len(self.words) + 2, int(SPREAD * len(self.words)))
+        self.phrases = [self._phrase(p) for p in identity]
+
+    def _phrase(self, phrase: str) -> tuple[int, int, set[int], set[bytes]]:
+        """The phrase's first place and the one after its last, the places that must be matched, and the extra words."""
+        parts = [(alike(w.removesuffix("?").lower().encode()), w.endswith("?")) for w in phrase.split()]
+        own = [(w, free) for w, free in parts if not free or w in self.counts]
+        for at in range(len(self.words) - len(own) + 1):
+            if self.words[at : at + len(own)] == [w for w, _ in own]:
+                return at, at + len(own), {at + i for i, (_, free) in enumerate(own) if not free}, {w for w, free in parts if free and w not in self.counts}
+        raise ValueError(f"{self.name}: no {phrase!r} in the template")
+
+    def named(self, text: list[bytes], matches: list[tuple[int, int]]) -> bool:
+        """Whether the words that identify the license are matched with nothing foreign between them."""
+        for start, end, needed, extra in self.phrases:
+            inside = {j: i for i, j in matches if start <= j < end}
+            if not needed <= inside.keys():
+                return False
+            hit = set(inside.values())
+            if any(i not in hit and text[i] not in extra for i in range(min(hit), max(hit))):
+                return False
+        return True
 
-    def best(self, text: list[bytes], at: dict[bytes, list[int]], threshold: float) -> tuple[float, int, int] | None:
-        """(coverage, first word, word after the last) of the best stretch, if any reaches the threshold."""
+    def found(self, text: list[bytes], at: dict[bytes, list[int]], threshold: float) -> list[tuple[float, int, int]]:
+        """(coverage, first word, word after the last) of disjoint stretches that reach the threshold, best first."""
         need = threshold * len(self.words)
         if sum(min(n, len(at.get(w, ()))) for w, n in self.counts.items()) < need:
-            return None
+            return []
         places = sorted((i, w) for w in self.counts for i in at.get(w, ()))
-        best, have, total, lo, tried = None, Counter(), 0, 0, -1
+        hits, have, total, lo = set(), Counter(), 0, 0
         for hi, (i, w) in enumerate(places):
             have[w] += 1
             total += have[w] <= self.counts[w]
@@ -121,35 +199,45 @@ class Template:
                 lo += 1
             # only a stretch that cannot grow at its end is aligned: the next word falls out of reach or drops one
             follows = places[hi + 1][0] if hi + 1 < len(places) else None
-            if total >= need and (follows is None or follows > places[lo][0] + self.reach - 1) and (lo, hi) != tried:
-                tried = (lo, hi)
-                start, end = places[lo][0], i + 1
-                matches = patience(text[start:end], self.words)
+            if total >= need and (follows is None or follows > places[lo][0] + self.reach - 1):
+                start = places[lo][0]
+                stretch = text[start : i + 1]
+                matches = patience(stretch, self.words)
                 coverage = len(matches) / len(self.words)
-                if coverage >= threshold and (best is None or coverage > best[0]):
-                    best = (coverage, start + matches[0][0], start + matches[-1][0] + 1)
-        return best
+                if coverage >= threshold and self.named(stretch, matches):
+                    hits.add((-coverage, start + matches[0][0], start + matches[-1][0] + 1))
+        starts: list[int] = []
+        ends: list[int] = []
+        kept = []
+        for less, start, end in sorted(hits):
+            k = bisect_left(starts, start)
+            if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
+                starts.insert(k, start)
+                ends.insert(k, end)
+                kept.append((-less, start, end))
+        return kept
 
 
 def scan(data: bytes, templates: list[Template], vocabulary: set[bytes], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
-    """(name, coverage, first word, word after the last) of each template found, best first."""
-    text = words(data)
+    """(name, coverage, first word, word after the last) of each notice found, best first."""
+    text = [alike(w) for w in words(data)]
     at: dict[bytes, list[int]] = {}
     for i, w in enumerate(text):
         if w in vocabulary:
             at.setdefault(w, []).append(i)
-    found = [(t.name, *hit) for t in templates if (hit := t.best(text, at, threshold))]
-    return sorted(found, key=lambda x: (-x[1], x[0]))
+    found = [(t.name, *hit) for t in templates for hit in t.found(text, at, threshold)]
+    wider = {n: [(a, b) for m, _, a, b in found if m in outer] for n, outer in WITHIN.items()}
+    return sorted((x for x in found if not any(a < x[3] and x[2] < b for a, b in wider.get(x[0], ()))), key=lambda x: (-x[1], x[0], x[2]))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, n_words, license, coverage, first_word, end_word, notices): one row per document.
 
     ``license`` is the template with the best coverage, null if none reaches the
-    threshold; ``notices`` holds all that do, best first.
+    threshold; ``notices`` holds all that do, best first.  Templates of the caller's have no identity to carry.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known = [Template(k, v) for k, v in (templates or TEMPLATES).items()]
+    known = [Template(k, v) for k, v in templates.items()] if templates else [Template(k, v, IDENTITY.get(k, ())) for k, v in TEMPLATES.items()]
     vocabulary = {w for t in known for w in t.counts}
     notice = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 

@@ -49,6 +49,45 @@ def test_licenses(spark, odd, none):
     assert license_scan.license_scan(odd).count() == odd.count() and license_scan.license_scan(none).count() == 0
 
 
+def test_look_alike_licenses():
+    known = [license_scan.Template(k, v, license_scan.IDENTITY.get(k, ())) for k, v in license_scan.TEMPLATES.items()]
+    vocabulary = {w for t in known for w in t.counts}
+    names = lambda text: [x[0] for x in license_scan.scan(text.encode(), known, vocabulary)]
+    for name, text in license_scan.TEMPLATES.items():
+        assert license_scan.scan(text.encode(), known, vocabulary)[0][:2] == (name, 1.0) or name == "Apache-2.0-header", name
+        assert name in names(f"the software {text} the license version"), name
+    bsd, third, end, mit, mit_end = license_scan._BSD, license_scan._BSD_THIRD, license_scan._BSD_END, license_scan._MIT, license_scan._MIT_END
+    want = {
+        "Released under the BSD License.": [],
+        "Released under the Modified MIT License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under the Apache License 2.0.": ["Apache-2.0"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0-short"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-short"],
+        "Licensed under CC BY NC 4.0.": [],
+        "Licensed under CC BY-NC 3.0.": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0-full"],
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License (GPL), version 3.0.": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License v3.": ["AGPL-3.0"],
+        "Released under the MIT License. Released under the MIT License.": ["MIT", "MIT"],
+        bsd: ["BSD-family"],
+        f"{bsd} {end}": ["BSD-2-Clause"],
+        f"{bsd} * {third} {end}": ["BSD-3-Clause"],
+        f"{bsd} 3. {third} {end}": ["BSD-3-Clause"],
+        f"{bsd} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement. 4. {third} {end}": ["BSD-family"],
+        mit: ["MIT-permission"],
+        f"{mit} {mit_end}": ["MIT-text"],
+        f"{mit} The Software shall be used for Good, not Evil. {mit_end}": ["MIT-permission"],
+        f"{mit} {mit_end} {license_scan._X11_END}": ["X11"],
+        f"{mit} {mit_end} and {mit} {mit_end}": ["MIT-text", "MIT-text"],
+    }
+    assert {t: names(t) for t in want} == want
+
+
 def all_segmentations(text, pieces):
     """{ids: probability} by listing every path."""
     mark = piece_sampling.MARK
