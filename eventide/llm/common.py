@@ -41,6 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(_row, _all): each row of ``docs`` as a struct with a number of its own, written once so that it stays.
+
+    Ids may be null or repeat, so what is decided for a row is joined back by this number.
+    """
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), whole(docs).alias("_all")), name)
+
+
+def whole(docs: DataFrame) -> Column:
+    """The row as a struct."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def first_of(id_col: Column, row: Column) -> Column:
+    """Aggregate: the row number of the smallest id, nulls last; of equal ids the smallest number."""
+    return F.min(F.struct(id_col.isNull().alias("none"), id_col.alias("id"), row.alias("row")))["row"]
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Deletes what ``stored`` wrote for tables that nothing reads any more."""
     for table in tables:

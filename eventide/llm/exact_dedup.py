@@ -7,9 +7,10 @@ with a third of all rows is summed before it is shuffled, and the final join bac
 carries no text and may be split by AQE where a group is hot.
 
 Defined cases: null text counts as empty, and all empty texts form one group.
-Rows that repeat an id are all kept if that id is the keeper's.  A null id counts
-as larger than any other; a group of null ids only has a null ``keep_id`` and keeps
-all its rows.  An empty table gives an empty result.  Columns other than the two
+In ``duplicate_groups`` rows that repeat an id are all marked kept if that id is the
+keeper's; a null id counts as larger than any other, and a group of null ids only has a
+null ``keep_id`` and keeps all its rows.  ``without_duplicates`` leaves one row of each
+group, whatever its ids are.  An empty table gives an empty result.  Columns other than the two
 named are not read; result columns replace none of the caller's.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty
+from .common import SPACES, text_or_empty, whole
 
 
 def normalised(text: str | Column) -> Column:
@@ -61,11 +62,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which each distinct text keeps one id.
+    """The rows of ``docs``, all columns, of which each distinct text keeps one row.
 
-    Only the ids that go are joined back, so a broadcast or a shuffle by a unique key
-    meets the texts, never a shuffle by their groups.
+    It is a row of the smallest id, nulls last.  One aggregation, partial before its shuffle, carries the
+    rows, so a group sends one row from each task and nothing is joined back.
     """
-    groups = duplicate_groups(docs, id_col, text_col, digests=True)
-    gone = groups.where(~F.col("kept")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    rows = docs.select(F.sha2(normalised(text_col).cast("binary"), 256).alias("_sha"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("_order"), whole(docs).alias("_all"))
+    return rows.groupBy("_sha").agg(F.min_by("_all", "_order").alias("_all")).select("_all.*")

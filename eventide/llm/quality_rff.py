@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored, text_or_empty
+from .common import drop_stored, fold, stored, text_or_empty, whole
 
 STATISTICS = ("log_bytes", "letters", "capitals", "digits", "stops", "symbols", "bars", "bangs", "spaces", "lines", "word_length", "short_words", "distinct_words", "repeated_lines", "symbol_words", "capital_words", "commonest_word")
 BINS, FAN_IN = 4096, 8
+THRESHOLD = 0.7
 
 
 def _class_table() -> np.ndarray:
@@ -173,17 +174,26 @@ def scored(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     return stats.select(F.col(id_col).alias("id"), "stats").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
+def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id_col, y) of the labels that are not held out."""
+    known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & (fold(F.col(id_col), 4) != 2))
+    return known.groupBy(id_col).agg(F.max("y").alias("y"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted): learned from the labels of rows that are not held out."""
     stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
     part = fold(F.col(id_col), 4)
-    marked = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & (part != 2)).groupBy(id_col).agg(F.max("y").alias("y"))
-    model = fit(stats.join(marked, id_col), part == 3)
+    model = fit(stats.join(label_rows(labels, id_col, label_col), id_col), part == 3)
     out = scored(stats, model, id_col)
     return out.select(id_col, (part == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted good."""
-    gone = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, that are predicted good, each by its own text."""
+    stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
+    model = fit(stats.join(label_rows(labels, id_col), id_col), fold(F.col(id_col), 4) == 3)
+    drop_stored(stats)
+    # rows pass whole through the scoring, so that no join by id is needed
+    rows = docs.select(whole(docs).alias("_all"), F.col(text_col).alias("_text"))
+    return scored(document_statistics(rows, "_all", "_text"), model, "_all").where(F.col("score") >= THRESHOLD).select("_all.*")

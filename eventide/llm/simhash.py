@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import first_of, numbered, stored, text_or_empty
 from .components import components
 
 #: Members of an index key that one tile compares; a tile never holds more than twice as many.
@@ -183,7 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, with one id of each component: the smallest."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, with one row of each component: that of the smallest id, nulls last."""
+    rows = numbered(docs, "simhash-rows")
+    found = near_duplicates(rows.select("_row", F.col("_all")[text_col].alias("_text")), "_row", "_text", radius)
+    ids = rows.select("_row", F.col("_all")[id_col].alias("_id"))
+    kept = found.join(ids, "_row").groupBy("component_id").agg(first_of(F.col("_id"), F.col("_row")).alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select("_all.*")

@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, whole
 
 SAMPLE, FEATURES, CACHE_WORDS = 30_000, 20_000, 300_000
 STEMS = (4, 5, 6)
+THRESHOLD = 0.5
 STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 
 
@@ -169,13 +170,15 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return raw.mapInArrow(run, f"id {kind}, p_toxic double, severity double").withColumnRenamed("id", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, p_toxic, severity, toxic): learned from a bounded sample of the labels."""
     model = fit(training_sample(docs, labels, id_col, text_col, label_col))
     return scored(docs, model, id_col, text_col).withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    gone = toxicity(docs, labels, id_col, text_col).where("toxic = 1").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, that are not predicted toxic, each by its own text."""
+    model = fit(training_sample(docs, labels, id_col, text_col, "toxic"))
+    # rows pass whole through the scoring, so that no join by id is needed
+    rows = docs.select(whole(docs).alias("_all"), F.col(text_col).alias("_text"))
+    return scored(rows, model, "_all", "_text").where(F.col("p_toxic") < THRESHOLD).select("_all.*")

@@ -1,9 +1,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventide.llm import queries
+from eventide.llm import exact_dedup, quality_rff, queries, simhash, toxicity
+from eventide.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,5 +24,35 @@ def test_stages(spark):
     assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), SF).count() == 0
 
 
+def test_rows_are_judged_one_by_one(spark):
+    good = [f"Some plain sentences about topic {i} and {i * 7}, which a reader may follow with ease." for i in range(60)]
+    bad = [f"vile scum {i} filth idiot {i * 3}" for i in range(60)]
+    texts = [*good, *bad]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    # null ids, an id that repeats with another text, and copies with the keeper's id
+    rows += [(None, bad[0] + " again"), (None, good[0] + " again"), (0, bad[1] + " more"), (1, good[1]), (None, good[2]), (None, "null twin"), (None, "null twin")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 60), int(i >= 60)) for i in range(120)], "doc_id long, quality int, toxic int")
+    key = lambda r: (str(r["doc_id"]), r["text"])
+    tox = toxicity.fit(toxicity.training_sample(docs, labels, "doc_id", "text", "toxic"))
+    over = {r["text"]: r["p_toxic"] for r in toxicity.scored(docs, tox, "text").collect()}
+    assert sorted(map(key, toxicity.accepted(docs, labels).collect())) == sorted((str(i), t) for i, t in rows if over[t] < 0.5)
+    assert over[bad[0] + " again"] >= 0.5 > over[good[0]]
+    scores = {t: s for t, s in quality_by_text(docs, labels)}
+    assert sorted(map(key, quality_rff.accepted(docs, labels).collect())) == sorted((str(i), t) for i, t in rows if scores[t] >= 0.7)
+    for dedup in (exact_dedup.without_duplicates, simhash.representatives):
+        kept = [key(r) for r in dedup(docs).collect()]
+        assert len({t for _, t in kept}) == len(kept) and sum(t == "null twin" for _, t in kept) == 1, dedup
+    kept = sorted(key(r) for r in exact_dedup.without_duplicates(docs).collect())
+    assert kept == sorted((str(min((i for i, u in rows if u == t and i is not None), default=None)), t) for t in {t for _, t in rows})
+
+
+def quality_by_text(docs, labels):
+    stats = quality_rff.document_statistics(docs, "doc_id", "text")
+    part = fold(F.col("doc_id"), 4)
+    model = quality_rff.fit(stats.join(quality_rff.label_rows(labels), "doc_id"), part == 3)
+    return [(r["text"], float(model.score(quality_rff.statistics(r["text"].encode())[None])[0])) for r in docs.collect()]
+
+
 def test_every_operator_has_a_query():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
