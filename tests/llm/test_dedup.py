@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventide.llm import exact_dedup, simhash
+from eventide.llm import exact_dedup, near_dedup, simhash
 
 
 def norm(t):
@@ -116,3 +116,45 @@ def test_large_group_of_near_copies(spark):
     kept = simhash.representatives(df).count()
     fps = [slow_simhash(r["text"]) for r in df.collect()]
     assert kept == len(set(clusters(fps).values()))
+
+
+def slow_similarity(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_with_edited_words(spark):
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 1, 2, 4, 5, 9, 20):
+            words = list(base)
+            for at in rng.sample(range(300), edits):
+                words[at] = f"new{g}x{edits}x{at}"
+            texts.append(" ".join(words))
+    # more copies than one bucket pairs off, null ids and an id that repeats with another text
+    base = [f"v{i}" for i in range(200)]
+    texts += [" ".join([*base[:i], f"edit{i}", *base[i + 1 :]]) for i in range(0, 200, 4)]
+    ids = [None if i % 9 == 0 else 7 if i % 11 == 0 else i for i in range(len(texts))]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if slow_similarity(texts[i], texts[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.representatives(df).collect()]
+    group = {t: r for t, r in zip(texts, root, strict=True)}
+    assert sorted(group[t] for _, t in got) == sorted(set(root))
+    for i, t in got:
+        members = [x for x, r in zip(ids, root, strict=True) if r == group[t] and x is not None]
+        assert i == min(members, default=None)
+
+
+def test_near_defined_cases(odd, none):
+    kept = near_dedup.representatives(odd)
+    assert kept.columns == odd.columns and near_dedup.representatives(none).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [0, 3, 4, 7, 8, 9, 10, 11, 12]))
