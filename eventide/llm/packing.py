@@ -4,15 +4,16 @@ A document becomes token ids and a closing id.  Ids are cut into pieces of at mo
 ``length``, which are dealt to random groups; each group is packed on its own by first-fit
 decreasing, with a tournament tree over the free room of its bins to find the
 first bin that fits in logarithmic time.  Only piece lengths and checksums are
-shuffled, never ids.  The number of groups follows the number of documents, so a group
-stays near ``group_docs`` documents at any size.
+shuffled, never ids.  The pieces are written once, and the number of groups follows
+their number, so a group stays near ``group_pieces`` pieces at any size and with texts of any length.
 
 A remainder of more than half a sequence is cut at that half: no other item is then larger than
 half a bin, and first-fit decreasing leaves almost no room unused.
 
-Defined cases: a null or empty text is the closing id alone; repeated rows are packed
-like any others; an empty table gives an empty result; columns other than the two
-named are not read.
+Defined cases: a null or empty text is the closing id alone; a null id is carried like any other;
+repeated rows are packed like any others, and dealt apart by the task that read them and their place among
+its equal rows, so a row that repeats a million times fills no single group; an empty table gives an
+empty result; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -22,22 +23,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 #: Words whose ids a worker keeps at most in each of two generations.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 class WordIds:
     """Token ids of words without white space, as little-endian 32-bit numbers.
 
     The tokenizer splits at white space before anything else, so a text's ids are its
-    words' ids in a row.  When the young generation is full it becomes the old one, and
+    words' ids in a row.  Its added tokens are matched on the raw text: a text that has one when
+    lower-cased goes to the tokenizer whole.  When the young generation is full it becomes the old one, and
     words that are met again move back.
     """
 
@@ -45,11 +46,15 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.markers = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, data: bytes) -> bytes:
-        words = data.lower().split()  # the tokenizer lower-cases too
+        lower = data.lower()  # the tokenizer lower-cases too
+        if any(m in lower for m in self.markers):
+            return self.ids([data])[0]
+        words = lower.split()
         absent = [w for w in set(words) if w not in self.young]
         if len(self.young) + 2 * len(absent) > CACHE_WORDS:
             self.old, self.young = self.young, {}
@@ -58,6 +63,10 @@ class WordIds:
             self.learn(absent)
         return b"".join(map(self.young.__getitem__, words))
 
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
+        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+
     def learn(self, words: list[bytes]) -> None:
         """Adds words to the young generation.
 
@@ -70,8 +79,7 @@ class WordIds:
         young |= {w: old[w] for w in new if w in old}
         missing = [w for w in new if w not in young]
         if missing:
-            found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in missing], add_special_tokens=False)
-            young |= {w: np.asarray(x.ids, "<u4").tobytes() for w, x in zip(missing, found, strict=True)}
+            young |= zip(missing, self.ids(missing), strict=True)
         young |= {w: young[stem] + young[w[-1:]] for w, stem in stems.items()}
 
 
@@ -82,31 +90,40 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, start, length, ids_crc32, doc_tokens): the pieces of all documents."""
+    """(id_col, start, length, ids_crc32, doc_tokens, copy): the pieces of all documents.
+
+    ``copy`` names the task that read the row and tells apart its rows with the same id and text.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     closing = np.asarray([closing_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = word_ids(tokenizer)
+        words, task = word_ids(tokenizer), TaskContext.get().partitionId() << 32
+        met: dict[int, int] = {}
         for batch in batches:
-            row, start, size, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
+            row, start, size, crc, total, copy = [], [], [], [], [], []
+            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids = words.encode(text.as_buffer().to_pybytes()) + closing
                 n = len(ids) // 4
+                same = hash((key, zlib.crc32(ids)))
+                met[same] = seen = met.get(same, -1) + 1
                 for at, to in cuts(n, length):
                     row.append(i)
                     start.append(at)
                     size.append(to - at)
                     crc.append(zlib.crc32(ids[4 * at : 4 * to]))
                     total.append(n)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                    copy.append(task + seen)
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, copy))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
     raw = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return raw.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
+    return raw.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, copy long").withColumnRenamed("id", id_col)
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -143,19 +160,19 @@ def first_fit_decreasing(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 2048, seed: int = 5) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 4096, seed: int = 5) -> DataFrame:
     """The pieces of all documents with their sequence and their offset in it."""
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer, length, closing_id, id_col, text_col)
-    # a document's pieces, and rows that repeat an id, are dealt apart
-    group = F.pmod(F.xxhash64(F.lit(seed), id_col, "start", "ids_crc32"), F.lit(groups)).alias("group")
-    dealt = cut.select(F.col(id_col).alias("id"), "start", "length", "ids_crc32", "doc_tokens", group)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "start", "ids_crc32", "doc_tokens"], kind="stable")
-        bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), length)
-        return frame.assign(sequence_id=frame["group"].to_numpy() * (1 << 40) + bins, offset=offsets).drop(columns="group")
-
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.groupBy("group").applyInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = stored(pieces(docs, tokenizer, length, closing_id, id_col, text_col).withColumnRenamed(id_col, "id"), "packing-pieces")
+    groups = max(1, -(-cut.count() // group_pieces))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32", "copy"), F.lit(groups)))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("id", "start", "ids_crc32", "copy")])
+        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), length)
+        sequences = (group["group"][0].as_py() << 40) + bins
+        columns = [*(group[c] for c in ("id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())]
+        return pa.table(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    packed = dealt.groupBy("group").applyInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

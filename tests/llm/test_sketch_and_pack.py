@@ -67,7 +67,7 @@ def whole_ids(text):
 
 def test_words_give_the_texts_ids():
     table = packing.WordIds(BPE)
-    for t in ["", "Hello, World. don't STOP", "a.b, c.. d,. É. naïve", "<|startoftext|>x <|endoftext|>", "x\x1cy\x85z 3.14, 5%.", "It's. we'll,"]:
+    for t in ["", "Hello, World. don't STOP", "a.b, c.. d,. É. naïve", "<|startoftext|>x <|endoftext|>", "x\x1cy\x85z 3.14, 5%.", "It's. we'll,", "<|ENDOFTEXT|>", "hi <|StartOfText|> x", "A<|endoftext|>B <|EndOfText|>."]:
         assert np.frombuffer(table.encode(t.encode()), "<u4").tolist() == whole_ids(t)[:-1]
     packing.CACHE_WORDS, kept = 4, packing.CACHE_WORDS
     try:
@@ -103,3 +103,13 @@ def test_pack(odd, none):
         for s, n, c in p[["start", "length", "ids_crc32"]].itertuples(index=False):
             assert zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == c
     assert packing.pack(none, BPE).count() == 0
+
+
+def test_pack_keeps_large_and_null_ids_and_deals_copies_apart(spark):
+    rows = [((1 << 60) + 1, "one two"), ((1 << 60) + 3, "one two"), (None, "one two"), (None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    same = spark.createDataFrame([(7, "again and again")] * 600, "doc_id long, text string")
+    got = packing.pack(same, BPE, group_pieces=50).toPandas()
+    sizes = got.groupby(got["sequence_id"] // (1 << 40)).size()
+    assert len(got) == 600 and len(sizes) > 8 and sizes.max() < 120
