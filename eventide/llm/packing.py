@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 #: Words whose ids a worker keeps at most in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordIds:
@@ -121,6 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, closing_id: int
                     copy.append(task + seen)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, copy))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
+        words.old = {}  # the worker may go on to other work
 
     raw = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("data"))
     return raw.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, copy long").withColumnRenamed("id", id_col)

@@ -2,8 +2,8 @@
 
 A document is described by ``STATISTICS``, standardised over the training rows.  Random
 Fourier features approximate a Gaussian kernel over them; a ridge regression on these
-features is fitted from normal equations that each partition sums and that a second
-stage of at most ``FAN_IN`` tasks sums again, so the driver sees a few small matrices.
+features is fitted from normal equations that each partition sums.  The sums are added up in
+a tree, ``FAN_IN`` of them in a group, so no task and not the driver holds more than a few small matrices.
 Isotonic regression on training rows that the ridge has not seen turns its output into
 the probability of label 1.  It is fitted on counts in ``BINS`` bins of the score, whose
 number does not grow with the data.
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import drop_stored, fold, stored, text_or_empty, whole
 
 STATISTICS = ("log_bytes", "letters", "capitals", "digits", "stops", "symbols", "bars", "bangs", "spaces", "lines", "word_length", "short_words", "distinct_words", "repeated_lines", "symbol_words", "capital_words", "commonest_word")
-BINS, FAN_IN = 4096, 8
+BINS, FAN_IN, LEVELS = 4096, 32, 3
 THRESHOLD = 0.7
 
 
@@ -125,42 +124,59 @@ def fit(labelled: DataFrame, calibration: Column, features: int = 192, ridge: fl
     model.scale = np.maximum([row[f"s{i}"] for i in range(d)], 1e-3)
     size = 1 + d + features
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
-        for frame in frames:
-            x = model.features(np.stack(frame["stats"])) if len(frame) else np.zeros((0, size))
-            total += x.T @ np.column_stack([x, frame["y"].to_numpy()])
-        yield pd.DataFrame({"part": [total.tobytes()]})
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum((np.frombuffer(x) for frame in frames for x in frame["part"]), np.zeros(size * (size + 1)))
-        yield pd.DataFrame({"part": [total.tobytes()]})
+        total = np.zeros((size, size + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = model.features(matrix(batch.column(0)))
+                total += x.T @ np.column_stack([x, batch.column(1).to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()])], names=["at", "part"])
 
-    parts = train.select("stats", "y").mapInPandas(partial, "part binary").repartition(FAN_IN).mapInPandas(summed, "part binary").collect()
-    total = sum(np.frombuffer(p["part"]) for p in parts).reshape(size, size + 1)
+    total = sum((np.frombuffer(r["part"]) for r in tree_sums(train.select("stats", "y").mapInArrow(partial, "at long, part binary")).collect()), np.zeros(size * (size + 1))).reshape(size, size + 1)
     penalty = np.full(size, ridge)
     penalty[0] = 1e-9
     model.weights = np.linalg.solve(total[:, :size] + np.diag(penalty), total[:, size])
 
-    def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                at = np.floor((model.raw(np.stack(frame["stats"])) + 0.5) / 2 * (BINS - 1)).astype(np.int64)
-                yield pd.DataFrame({"bin": at, "y": frame["y"].to_numpy()})
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = np.floor((model.raw(matrix(batch.column(0))) + 0.5) / 2 * (BINS - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "y"])
 
-    bins = labelled.where(calibration).select("stats", "y").mapInPandas(binned, "bin long, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).toPandas().sort_values("bin")
-    if bins.empty:
+    found = labelled.where(calibration).select("stats", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
+    if not found:
         model.cuts, model.levels = np.zeros(1), np.full(1, row["y"])
     else:
-        model.cuts = (bins["bin"].to_numpy() + 0.5) / (BINS - 1) * 2 - 0.5
+        bins, n, y = (np.array(c, float) for c in zip(*sorted((r["bin"], r["n"], r["y"]) for r in found), strict=True))
+        model.cuts = (bins + 0.5) / (BINS - 1) * 2 - 0.5
         # half a row of each label, so that no score is certain
-        prior = bins["y"].sum() / bins["n"].sum()
-        fitted = isotonic(bins["n"].to_numpy(float), (bins["y"] / bins["n"]).to_numpy())
-        block = pd.Series(bins["n"].to_numpy(float)).groupby(fitted).transform("sum").to_numpy()
+        prior = y.sum() / n.sum()
+        fitted = isotonic(n, y / n)
+        _, at = np.unique(fitted, return_inverse=True)
+        block = np.bincount(at, n)[at]
         model.levels = np.maximum.accumulate((fitted * block + prior) / (block + 1))
     return model
 
 
+def matrix(stats: pa.Array) -> np.ndarray:
+    """An array of lists of equal length as a matrix."""
+    return stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), -1)
+
+
+def tree_sums(parts: DataFrame) -> DataFrame:
+    """Sums of ``part`` (doubles as bytes) over groups of ``FAN_IN`` neighbours in ``at``, ``LEVELS`` times over."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in group["part"])
+        return pa.table({"at": pa.array([group["at"][0].as_py() // FAN_IN], pa.int64()), "part": pa.array([total.tobytes()])})
+
+    for _ in range(LEVELS):
+        parts = parts.groupBy(F.floor(F.col("at") / FAN_IN)).applyInArrow(add, "at long, part binary")
+    return parts
+
+
 def scored(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id_col, score) for rows of (id_col, stats)."""
     kind = stats.schema[id_col].dataType.simpleString()
@@ -168,8 +184,7 @@ def scored(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))))], names=["id", "score"])
 
     return stats.select(F.col(id_col).alias("id"), "stats").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, whole
 
-SAMPLE, FEATURES, CACHE_WORDS = 30_000, 20_000, 300_000
+SAMPLE, FEATURES, CACHE_WORDS = 30_000, 20_000, 150_000
 STEMS = (4, 5, 6)
 THRESHOLD = 0.5
 STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
