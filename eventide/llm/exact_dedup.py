@@ -3,8 +3,8 @@
 Rows are told apart by the length of the white-space-normalised text, then by a
 hash of its first characters, and only groups that are still shared are hashed in
 full.  Each level is a partial aggregation over narrow rows, so a group of copies
-with a third of all rows is summed before it is shuffled, and the final join back
-carries no text and may be split by AQE where a group is hot.
+with a third of all rows is summed before it is shuffled.  What the levels find is joined
+back by broadcast where it is small, and else by salted keys, so no group lands in one task.
 
 Defined cases: null text counts as empty, and all empty texts form one group.
 In ``duplicate_groups`` rows that repeat an id are all marked kept if that id is the
@@ -19,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty, whole
+from .common import SPACES, stored, text_or_empty, whole
+
+#: Keys that are broadcast at most (about 100 bytes each), and the tasks that a key's rows are dealt to beyond.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def normalised(text: str | Column) -> Column:
@@ -27,45 +30,70 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACES, " ")
 
 
+def prefix_hash(norm: Column, chars: int) -> Column:
+    """A hash of the length and the first characters, so that one column names a group of both levels."""
+    return F.xxhash64(F.length(norm), F.substring(norm, 1, chars)).alias("_prefix")
+
+
 def shared_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """The key values that more than one row has."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
+def levels(facts: DataFrame) -> DataFrame:
+    """(_prefix): the prefix hashes that rows of ``facts`` (_len, _prefix) share, among those whose length is shared."""
+    lengths = shared_keys(facts, "_len")
+    return shared_keys(facts.join(lengths, "_len", "left_semi"), "_prefix")
+
+
+def joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` joined with ``keys``, a stored table with one row for each ``on``.
+
+    Up to ``BROADCAST_ROWS`` keys are broadcast; more are joined by a shuffle in which every key
+    stands ``SALTS`` times, so a hot key's rows are dealt to as many tasks.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False) -> DataFrame:
     """One row per document: ``id_col``, keep_id, group_size, kept and text_sha256.
 
-    ``text_sha256`` is null for documents that an earlier level has already shown to
-    be alone, unless ``digests`` asks for it on all rows.
+    ``text_sha256`` is null for documents that an earlier level has already shown to be alone, unless ``digests``
+    asks for it on all rows; it is then made in the pass that makes the other facts, as no pass can be saved.
     """
     norm = normalised(text_col)
-    # the prefix hash takes in the length, so that one column names a group and a join by length may be split
-    prefix = F.xxhash64(F.length(norm), F.substring(norm, 1, prefix_chars)).alias("_prefix")
-    full = F.sha2(norm.cast("binary"), 256)
-    sized = docs.select(F.length(norm).alias("_len"))
-    lengths = shared_keys(sized, "_len")
-    prefixed = docs.select(F.length(norm).alias("_len"), prefix)
-    open_groups = shared_keys(prefixed.join(lengths, "_len", "left_semi"), "_prefix")
-
-    rows = docs.select(F.col(id_col).alias("_id"), prefix, *([full.alias("_sha")] if digests else []), *([] if digests else [norm.alias("_norm")]))
-    survivors = rows.join(open_groups, "_prefix", "left_semi")
-    if not digests:
-        survivors = survivors.withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256)).drop("_norm")
-    groups = survivors.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    facts = docs.select(F.col(id_col).alias("_id"), F.length(norm).alias("_len"), prefix_hash(norm, prefix_chars), *([F.sha2(norm.cast("binary"), 256).alias("_sha")] if digests else []))
     if digests:
-        joined = rows.join(groups, "_sha", "left")
+        facts = stored(facts, "dedup-facts")
+        shared = stored(levels(facts), "dedup-prefixes")
+        # a group of copies is one row of these counts, summed before it is shuffled
+        counts = facts.groupBy("_prefix", "_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+        groups = stored(counts.join(shared, "_prefix", "left_semi").select("_sha", "_keep", "_size"), "dedup-groups")
+        found = joined(facts, groups, "_sha", "left")
     else:
-        alone = rows.drop("_norm").join(open_groups, "_prefix", "left_anti").withColumn("_sha", F.lit(None).cast("string"))
-        joined = survivors.join(groups, "_sha", "left").unionByName(alone.withColumns({"_keep": F.lit(None).cast(docs.schema[id_col].dataType), "_size": F.lit(None).cast("long")}))
+        open_groups = stored(levels(facts), "dedup-prefixes").withColumn("_open", F.lit(True))
+        marked = joined(docs.select(F.col(id_col).alias("_id"), prefix_hash(norm, prefix_chars), norm.alias("_norm")), open_groups, "_prefix", "left")
+        # only rows of groups that are still open are hashed in full
+        hashed = stored(marked.select("_id", F.when(F.col("_open"), F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha")), "dedup-facts")
+        groups = stored(hashed.where("_sha is not null").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1"), "dedup-groups")
+        found = joined(hashed, groups, "_sha", "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return joined.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which each distinct text keeps one row.
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each distinct text keeps one row: one of the smallest id, nulls last.
 
-    It is a row of the smallest id, nulls last.  One aggregation, partial before its shuffle, carries the
-    rows, so a group sends one row from each task and nothing is joined back.
+    Rows that no other row resembles by length and prefix pass by without a full hash; the others are hashed and
+    go through one aggregation, partial before its shuffle, so a group sends one row from each task.
     """
-    rows = docs.select(F.sha2(normalised(text_col).cast("binary"), 256).alias("_sha"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("_order"), whole(docs).alias("_all"))
-    return rows.groupBy("_sha").agg(F.min_by("_all", "_order").alias("_all")).select("_all.*")
+    norm = normalised(text_col)
+    open_groups = stored(levels(docs.select(F.length(norm).alias("_len"), prefix_hash(norm, prefix_chars))), "dedup-prefixes").withColumn("_open", F.lit(True))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("_order")
+    rows = joined(docs.select(prefix_hash(norm, prefix_chars), order, norm.alias("_norm"), whole(docs).alias("_all")), open_groups, "_prefix", "left")
+    seen = stored(rows.select(F.when(F.col("_open"), F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"), "_order", "_all"), "dedup-rows")
+    firsts = seen.where("_sha is not null").groupBy("_sha").agg(F.min_by("_all", "_order").alias("_all"))
+    return seen.where("_sha is null").select("_all.*").unionByName(firsts.select("_all.*"))
