@@ -94,15 +94,35 @@ def region_id(x: Column, y: Column, frame_w: int, frame_h: int, cols: int = 4, r
     return F.format_string("r%dc%d", at(y, rows, frame_h), at(x, cols, frame_w))
 
 
-def head_yaw(nose: Column, left_ear: Column, right_ear: Column) -> Column:
-    """(dl - dr) / (dl + dr) of the horizontal distances from the nose to both ears."""
-    dl, dr = F.abs(nose - left_ear), F.abs(nose - right_ear)
-    return F.when(dl + dr > 0, (dl - dr) / (dl + dr))
+def head_yaw(nose: Column, left_shoulder: Column, right_shoulder: Column) -> Column:
+    """(dl - dr) / (dl + dr) of the horizontal distances from the nose to both shoulders; null if it is over both."""
+    dl, dr = F.abs(nose - left_shoulder), F.abs(nose - right_shoulder)
+    return F.when(dl + dr >= 1e-6, (dl - dr) / (dl + dr))
 
 
-def wrist_lift(shoulder_y: Column, shoulder_width: Column, left_wrist_y: Column, right_wrist_y: Column) -> Column:
-    """How far the higher observed wrist is over the shoulders, in shoulder widths; null under one pixel."""
-    return F.when(shoulder_width >= 1, (shoulder_y - F.least(left_wrist_y, right_wrist_y)) / shoulder_width)
+def wrist_lift(shoulder_y: Column, shoulder_width: Column, left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
+    """(lift, conf): how far the higher seen wrist is over the shoulders in their widths, and how surely it was seen.
+
+    Wrists are (y, confidence) with a null y if not seen; the left one of equals; null under one pixel of width.
+    """
+    lift = lambda y: F.when(shoulder_width >= 1, (shoulder_y - y) / shoulder_width)
+    sides = [F.when(lift(y).isNotNull(), F.struct(lift(y).alias("lift"), F.lit(-i).alias("side"), c.alias("conf"))) for i, (y, c) in enumerate((left, right))]
+    return F.array_max(F.array_compact(F.array(*sides)))
+
+
+def torso_length(shoulder_y: Column, left_hip_y: Column, right_hip_y: Column) -> Column:
+    """From the shoulder line to the mean of the hips that are seen."""
+    hips = F.array_compact(F.array(left_hip_y, right_hip_y))
+    mean = F.aggregate(hips, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(hips), F.lit(0))
+    return F.abs(mean - shoulder_y)
+
+
+def weighted_centre(boxes: str = "boxes") -> tuple[Column, Column]:
+    """The centre of an array of boxes, each weighted by its area; null if all are empty."""
+    total = lambda value: F.aggregate(boxes, F.lit(0.0), lambda s, b: s + value(b))
+    size = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    whole = F.nullif(total(size), F.lit(0.0))
+    return total(lambda b: (b["x1"] + b["x2"]) / 2.0 * size(b)) / whole, total(lambda b: (b["y1"] + b["y2"]) / 2.0 * size(b)) / whole
 
 
 def confident(value: Column, confidence: Column, least: float = 0.5) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import fixed, to_fixed
+
 #: The weight of each signal in each ranking profile.
 PROFILES = {
     "phone_activity": {"object_score": 0.6, "motion_score": 0.2, "camera_quality": 0.2},
@@ -61,9 +63,10 @@ def grounding(has_box: Column, has_roi: Column, stills: Column, claim: Column) -
 
 
 def z_text(z: Column) -> Column:
-    return F.when(z == 0, "normal").when(F.abs(z) >= 10, "not meaningful").otherwise(F.format_string("%.1f sigma", z))
+    return F.when(z == 0, "normal").when(F.abs(z) >= 10, "not meaningful").otherwise(F.concat(fixed(to_fixed(z, 1), 1), F.lit(" sigma")))
 
 
+#: Limits of caption verdicts and of the observability scales are the defaults of the next two.
 def caption_verdict(top_label: Column, top_score: Column, margin: Column, innocent: list[str], least: float = 0.45, gap: float = 0.15) -> Column:
     """unjudgeable, contradicted or supported, from the best caption."""
     harmless = F.lit(False)
@@ -83,6 +86,11 @@ def camera_motion(global_flow: Column, local_max: Column, has_rois: Column) -> C
     return F.when(global_flow < 0.5, False).when(has_rois, (local_max > 0) & (global_flow >= 0.8 * local_max)).otherwise(global_flow >= 1.0)
 
 
+def prohibited_label(cls: Column) -> Column:
+    """What a reviewer reads for a detected class; other classes as they are."""
+    return F.when(cls == "cell phone", "mobile phone").when(cls == "book", "paper/chit").otherwise(cls)
+
+
 def finding_key(job: Column, track: Column, kind: Column, frame: Column) -> Column:
     return F.concat(job, F.lit("::"), F.concat_ws("|", F.coalesce(track.cast("string"), F.lit("none")), kind, frame.cast("string")))
 
@@ -102,7 +110,30 @@ def title(text: Column) -> Column:
 
 def clock(seconds: Column) -> Column:
     """m:ss.s"""
-    return F.format_string("%d:%04.1f", F.floor(seconds / 60).cast("int"), seconds - F.floor(seconds / 60) * 60)
+    rest = fixed(to_fixed(seconds - F.floor(seconds / 60) * 60, 1), 1)
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(rest, 4, "0"))
+
+
+def short_clock(seconds: Column) -> Column:
+    """m:ss"""
+    return F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), F.floor(seconds % 60).cast("int"))
+
+
+def relative_path(path: Column, marker: str) -> Column:
+    """The path, with forward slashes, from the first ``marker`` on; paths without it as they are."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    at = F.instr(plain, marker)
+    return F.when(at > 0, F.substring(plain, at, F.length(plain))).otherwise(plain)
+
+
+def lcg(seed: Column) -> Column:
+    """The next state of a linear congruential generator with 31 bits, for reproducible fixtures."""
+    return (seed * F.lit(1103515245).cast("bigint") + 12345).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def one_of(value: Column, allowed: list[str] | dict[str, object]) -> Column:
+    """Whether a name is one of those known, null being none."""
+    return F.coalesce(value.isin(*allowed), F.lit(False))
 
 
 def html_escaped(text: Column) -> Column:

@@ -1,42 +1,60 @@
-"""Rule detectors: each takes tables and returns findings."""
+"""Rule detectors over tracks and objects; those over poses are in ``poses``, and ``findings`` gives all one schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from math import hypot
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, width
+from .streams import folded
 from .tracks import latest_boxes
 from .windows import islands, latest, ordered
 
+EDGES = ["x1", "y1", "x2", "y2"]
+BOX_ORDER = ["t", "frame_idx", "box_id", *EDGES]
+
 
 def stationary(tracks: DataFrame, least_seconds: float, reach: float = 0.75) -> DataFrame:
     """Loitering: stretches in which a track stays near an anchor for ``least_seconds``.
 
-    A box further than ``reach`` of the anchor's size becomes the anchor; so does the box that
-    completes a stretch.  The order of boxes decides, so each track is folded over its sorted boxes in the JVM.
+    (video_id, track_id, start, end, frame_idx, box, duration, confidence): the box is the one that completes the
+    stretch, the confidence the track's mean.  A box further than ``reach`` of the anchor's size becomes the anchor;
+    so does the one that completes a stretch.
     """
-    item = F.struct("t", "frame_idx", "box_id", "x1", "y1", "x2", "y2")
-    rows = tracks.groupBy("video_id", "track_id").agg(F.array_sort(F.collect_list(item)).alias("boxes")).where(F.size("boxes") >= 2)
-    kind = dict(rows.dtypes)["boxes"][len("array<") : -1]
-    found = "array<struct<start:double,end:double,frame_idx:bigint>>"
-    zero = F.struct(F.get("boxes", F.lit(0)).cast(kind).alias("anchor"), F.array().cast(found).alias("found"))
 
-    def step(acc: Column, cur: Column) -> Column:
-        a = acc["anchor"]
-        mid = lambda p, q: F.floor((p + q) / 2)
-        dx, dy = mid(cur["x1"], cur["x2"]) - mid(a["x1"], a["x2"]), mid(cur["y1"], cur["y2"]) - mid(a["y1"], a["y2"])
-        drift = F.sqrt((dx * dx + dy * dy).cast("double")) / F.greatest(a["x2"] - a["x1"] + 1, a["y2"] - a["y1"] + 1)
-        moved, long = drift > reach, cur["t"] - a["t"] >= least_seconds
-        hit = F.struct(a["t"].alias("start"), cur["t"].alias("end"), cur["frame_idx"].cast("bigint").alias("frame_idx"))
-        return F.struct(F.when(moved | long, cur).otherwise(a).alias("anchor"), F.when(~moved & long, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
+    def fold() -> Callable[[dict], list[tuple]]:
+        anchor: dict | None = None
+
+        def step(cur: dict) -> list[tuple]:
+            nonlocal anchor
+            if anchor is None:
+                anchor = cur
+                return []
+            a = anchor
+            dx, dy = ((cur[p] + cur[q]) // 2 - (a[p] + a[q]) // 2 for p, q in (("x1", "x2"), ("y1", "y2")))
+            still = cur["t"] - a["t"]
+            if hypot(dx, dy) / max(a["x2"] - a["x1"] + 1, a["y2"] - a["y1"] + 1) > reach:
+                anchor = cur
+            elif still >= least_seconds:
+                anchor = cur
+                return [(a["t"], cur["t"], cur["frame_idx"], *(cur[e] for e in EDGES), float(still))]
+            return []
 
-    folded = rows.select("video_id", "track_id", F.aggregate(F.slice("boxes", 2, 1 << 30), zero, step)["found"].alias("found"))
-    return folded.select("video_id", "track_id", F.inline("found"))
+        return step
+
+    keys = ["video_id", "track_id"]
+    found = folded(tracks.select(*keys, *BOX_ORDER), keys, BOX_ORDER, fold, "start double, end double, frame_idx bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, duration double")
+    return found.join(tracks.groupBy(*keys).agg(F.round(F.avg("conf"), 8).alias("confidence")), keys)
 
 
 def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, gap: float = 6, frames: int = 3, time: str = "day") -> DataFrame:
-    """Crowd disturbance: one finding per video that spans all long enough runs of times with several movers."""
+    """Crowd disturbance: one finding per video that spans all long enough runs of times with several movers.
+
+    ``peak_at`` is the first time with the most movers.
+    """
     w = latest_boxes(tracks)
     b = box()
     cx, cy = (b.x1 + b.x2) / 2.0, (b.y1 + b.y2) / 2.0
@@ -45,46 +63,23 @@ def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, g
     busy = movers.groupBy("video_id", time).agg(F.count_distinct("track_id").alias("movers")).where(F.col("movers") >= persons)
     order = ordered(["video_id"], time)
     before = F.lag(time).over(order)
-    runs = busy.withColumn("run", islands(before.isNull() | (F.col(time) - before > gap), order)).groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("start"), F.max(time).alias("end"), F.max("movers").alias("peak")).where(F.col("n") >= frames)
-    out = runs.groupBy("video_id").agg(F.count(F.lit(1)).alias("runs"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("peak").alias("peak"))
+    top = F.struct(F.col("movers").alias("movers"), (-F.col(time)).alias("early"))
+    runs = busy.withColumn("run", islands(before.isNull() | (F.col(time) - before > gap), order)).groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("start"), F.max(time).alias("end"), F.max(top).alias("top")).where(F.col("n") >= frames)
+    out = runs.groupBy("video_id").agg(F.count(F.lit(1)).alias("runs"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("top").alias("top"))
+    out = out.select("video_id", "runs", "start", "end", F.col("top.movers").alias("peak"), (-F.col("top.early")).alias("peak_at"))
     return out.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("peak") / (persons + 2)), 4))
 
 
 def exchanges(objects: DataFrame, hands: DataFrame, keys: list[str], reach: float = 0.9) -> DataFrame:
     """Objects that two or more tracks have a hand near, in the first such frame of each class.
 
-    ``hands`` has (keys, track_id, hx, hy, shoulder); ``objects`` has (keys, frame_idx, cls, ox, oy).
-    """
-    near = objects.join(hands, [*keys, "frame_idx"]).where(F.hypot(F.col("hx") - F.col("ox"), F.col("hy") - F.col("oy")) / F.col("shoulder") < reach)
-    shared = near.groupBy(*keys, "frame_idx", "cls", "object_id").agg(F.count_distinct("track_id").alias("people"), F.min("track_id").alias("track_id")).where("people >= 2")
-    return latest(shared, [*keys, "cls"], "frame_idx", "object_id")
-
-
-def sustained(frames: DataFrame, flag: Column, value: Column, keys: list[str], least: int) -> DataFrame:
-    """Runs of at least ``least`` frames in a row that the flag marks; a null flag ends a run.
-
-    Each run has its bounds and its peak with the first frame of it.
+    ``hands`` has (keys, frame_idx, track_id, hx, hy, shoulder); ``objects`` has (keys, frame_idx, t, cls, conf, object_id,
+    box).  The result has the object's columns, ``people``, and the first two tracks as ``track_id`` and ``other_id``.
     """
-    w = ordered(keys, "t", "frame_idx")
-    f = frames.withColumns({"flag": F.coalesce(flag, F.lit(False)), "value": value})
-    f = f.withColumn("run", F.row_number().over(w) - F.row_number().over(ordered([*keys, "flag"], "t", "frame_idx"))).where("flag")
-    runs = f.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("frames"), F.min("t").alias("start"), F.max("t").alias("end"), F.max("value").alias("peak"), F.max_by("frame_idx", F.struct("value", -F.col("frame_idx"))).alias("peak_frame"))
-    return runs.where(F.col("frames") >= least).drop("run")
-
-
-def head_turns(poses: DataFrame, keys: list[str], deviation: float = 0.35, absolute: float = 0.80, least: int = 5, samples: int = 4) -> DataFrame:
-    """Head turns against a subject's own median yaw, which needs ``samples`` poses."""
-    base = poses.groupBy(*keys).agg(F.percentile("yaw", 0.5).alias("base"), F.count("yaw").alias("seen")).where(F.col("seen") >= samples)
-    p = poses.join(base, keys)
-    off = F.abs(F.col("yaw") - F.col("base"))
-    runs = sustained(p, (off > deviation) | (F.abs(F.col("yaw")) > absolute), off, [*keys, "base"], least)
-    return runs.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("peak") / 1.2), 4))
-
-
-def hand_raises(poses: DataFrame, keys: list[str], lift: float = 0.15, least: int = 3) -> DataFrame:
-    """The first run of raised hands of each subject."""
-    return latest(sustained(poses, F.col("lift") > lift, F.col("lift"), keys, least), keys, "start")
-
-
-#: Detectors by the name of the finding they make.
-DETECTORS = {"loitering": stationary, "crowd_disturbance": crowd_runs, "object_exchange": exchanges, "head_turn": head_turns, "hand_gesture": hand_raises}
+    about = ["frame_idx", "cls", "object_id", "t", "conf", *EDGES]
+    b = box()
+    cx, cy = (b.x1 + b.x2) / 2.0, (b.y1 + b.y2) / 2.0
+    near = objects.join(hands, [*keys, "frame_idx"]).where(F.hypot(F.col("hx") - cx, F.col("hy") - cy) / F.col("shoulder") < reach)
+    first = F.min("track_id")
+    shared = near.groupBy(*keys, *about).agg(F.count_distinct("track_id").alias("people"), first.alias("track_id"), F.array_sort(F.collect_set("track_id")).alias("_all")).where("people >= 2")
+    return latest(shared.withColumn("other_id", F.get("_all", F.lit(1))).drop("_all"), [*keys, "cls"], "frame_idx", "object_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered_globally
+
 
 #: How much each verdict undermines evidence, worst first.
 SEVERITY = {"unusable": 0, "camera_moved": 1, "scene_changed": 2, "no_baseline": 3, "stable": 4}
@@ -32,6 +34,15 @@ def folded(profile: DataFrame, session: DataFrame) -> DataFrame:
     return j.select("camera", "region", half_up(one(mu, "m0", "m1"), 6).alias("mu"), half_up(one(F.sqrt(F.greatest(F.lit(1e-6), var)), "s0", "s1"), 6).alias("sigma"), one(n, "n0", "n1").cast("bigint").alias("samples"))
 
 
+def fold_guarded(profile: DataFrame, session: DataFrame, reports: DataFrame) -> DataFrame:
+    """``folded``, but for cameras that moved or cannot be judged: their profile stays as it is.
+
+    Folding those in would make the deviation that was just reported the new normal.
+    """
+    allowed = reports.where(~F.col("verdict").isin("camera_moved", "unusable")).select("camera")
+    return folded(profile, session.join(allowed, "camera", "left_semi"))
+
+
 def shifts(profile: DataFrame, session: DataFrame) -> DataFrame:
     """(camera, region, shift): how many stored sigmas a region's mean moved."""
     p = profile.select("camera", "region", F.col("mu").alias("was"), "sigma")
@@ -59,18 +70,22 @@ def worst_regions(profile: DataFrame, session: DataFrame, k: int = 3) -> DataFra
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("camera").orderBy(F.desc("shift"), "region"))).where(F.col("rank") <= k).select("camera", "rank", "region", "shift")
 
 
+def summary(profile: DataFrame, session: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(camera, compared, shifted, share, peak, worst): how many regions moved, by how much, and the three that moved most."""
+    s = shifts(profile, session)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("shift")).alias("less"), F.col("region").alias("region"))))
+    moved = F.count_if(F.col("shift") > tolerance)
+    worst = F.array_join(F.transform(F.slice(order, 1, 3), lambda x: x["region"]), ",")  # a camera has a dozen regions
+    return s.groupBy("camera").agg(F.count(F.lit(1)).alias("compared"), moved.alias("shifted"), (moved / F.count(F.lit(1))).alias("share"), F.max("shift").alias("peak"), worst.alias("worst"))
+
+
 def severity(verdict: str = "verdict") -> Column:
     return F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col(verdict)]
 
 
 def fleet_order(reports: DataFrame) -> DataFrame:
     """Reports with the place of each in the queue: worst verdict first, then largest shift."""
-    keys = reports.withColumn("severity", severity())
-    # within a verdict, so the queue is not one partition; the verdicts' sizes give where each begins
-    within = F.row_number().over(Window.partitionBy("severity").orderBy(F.desc("peak_shift"), "camera"))
-    sizes = keys.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.severity") < F.col("a.severity"), "left").groupBy(F.col("a.severity").alias("severity")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # five verdicts at most
-    return keys.withColumn("within", within).join(F.broadcast(before), "severity").withColumn("place", F.col("before") + F.col("within")).drop("within", "before")
+    return numbered_globally(reports.withColumn("severity", severity()), "place", F.col("severity"), F.desc("peak_shift"), F.col("camera"))
 
 
 def rollup(reports: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ neighbour list is ever gathered.  Each round is written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
@@ -49,27 +49,42 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def evidence_edges(events: DataFrame, sightings: DataFrame, seconds: float = 300.0, least_iou: float = 0.3) -> DataFrame:
-    """(video_id, a, b, reason): pairs of a video's events that show the same subject, or the same place soon after.
+    """(video_id, a, b, reason): links between a video's events that show the same subject, or the same place soon after.
 
-    Pairs by subject meet on (video, track), pairs by place on (video, time bucket), so neither
-    is a nested loop over all events.
+    Every event of a subject is linked to the subject's least event, which gives the same groups and reasons as all
+    pairs would, in as many links as sightings.  Pairs by place meet on (video, time bucket); those that share a
+    subject are no links by place.
     """
-    left = sightings.select("video_id", "track_id", F.col("event_id").alias("a"))
-    right = sightings.select("video_id", "track_id", F.col("event_id").alias("b"))
-    by_track = left.join(right, ["video_id", "track_id"]).where("a < b").select("video_id", "a", "b", F.lit("same_subject").alias("reason"))
-
-    one = events.select("video_id", F.col("event_id").alias("a"), F.col("start").alias("s1"), *[F.col(e).alias(f"a_{e}") for e in ("x1", "y1", "x2", "y2")])
-    two = events.select("video_id", F.col("event_id").alias("b"), F.col("start").alias("s2"), *[F.col(e).alias(f"b_{e}") for e in ("x1", "y1", "x2", "y2")])
-    one = one.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("s1") / seconds) + i for i in (-1, 0, 1)])))
-    two = two.withColumn("bucket", F.floor(F.col("s2") / seconds))
-    near = one.join(two, ["video_id", "bucket"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("s1") - F.col("s2")) < seconds) & (iou(box("a_"), box("b_")) > least_iou))
-    by_place = near.select("video_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("same_place").alias("reason"))
+    seen = sightings.select("video_id", "track_id", "event_id").distinct()
+    least = seen.groupBy("video_id", "track_id").agg(F.min("event_id").alias("a"))
+    by_track = seen.withColumnRenamed("event_id", "b").join(least, ["video_id", "track_id"]).where("a < b").select("video_id", "a", "b", F.lit("same_subject").alias("reason"))
+
+    # an event's subjects are few, so they go along as an array
+    subjects = seen.groupBy("event_id").agg(F.collect_set("track_id").alias("tracks"))
+    known = events.join(subjects, "event_id", "left").withColumn("tracks", F.coalesce("tracks", F.array().cast(subjects.schema["tracks"].dataType)))
+    side = lambda k, s: known.select("video_id", F.col("event_id").alias(k), F.col("start").alias(s), F.col("tracks").alias(f"{k}_tracks"), *[F.col(e).alias(f"{k}_{e}") for e in ("x1", "y1", "x2", "y2")])
+    one = side("a", "s1").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("s1") / seconds) + i for i in (-1, 0, 1)])))
+    two = side("b", "s2").withColumn("bucket", F.floor(F.col("s2") / seconds))
+    near = one.join(two, ["video_id", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s1") - F.col("s2")) < seconds) & (iou(box("a_"), box("b_")) > least_iou) & ~F.arrays_overlap("a_tracks", "b_tracks"))
+    by_place = near.select("video_id", "a", "b", F.lit("same_place").alias("reason"))
     return by_track.unionByName(by_place).distinct()
 
 
-def evidence_groups(edges: DataFrame, events: DataFrame) -> DataFrame:
-    """(video_id, root, events, span, reasons): groups of two or more linked events."""
-    roots = components(edges.select("a", "b"))
-    members = events.join(roots, events["event_id"] == roots["node"]).groupBy("video_id", "root").agg(F.count(F.lit(1)).alias("events"), F.round(F.max("start") - F.min("start"), 2).alias("span"))
+def shared_subjects(members: DataFrame, sightings: DataFrame) -> DataFrame:
+    """(root, track_id, events): subjects that more than one event of a group shows; ``members`` has (event_id, root)."""
+    seen = sightings.select("event_id", "track_id").distinct().join(members.select("event_id", "root"), "event_id")
+    return seen.groupBy("root", "track_id").agg(F.count(F.lit(1)).alias("events")).where("events > 1")
+
+
+def evidence_groups(edges: DataFrame, events: DataFrame, sightings: DataFrame) -> DataFrame:
+    """(video_id, root, events, span, reasons, shared, place): groups of two or more linked events.
+
+    ``shared`` counts the subjects of more than one event; ``place`` is the group's in its video, largest first.
+    """
+    roots = stored(components(edges.select("a", "b")), "evidence-roots")
+    members = events.join(roots, events["event_id"] == roots["node"])
+    groups = members.groupBy("video_id", "root").agg(F.count(F.lit(1)).alias("events"), F.round(F.max("start") - F.min("start"), 2).alias("span"))
     why = edges.join(roots, edges["a"] == roots["node"]).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-    return members.join(why, "root")
+    shared = shared_subjects(members, sightings).groupBy("root").agg(F.count(F.lit(1)).alias("shared"))
+    out = groups.join(why, "root").join(shared, "root", "left").fillna({"shared": 0})
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("events"), "root")))

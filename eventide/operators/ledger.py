@@ -1,18 +1,23 @@
 """Hash-linked logs: building, verification, Merkle roots and proofs.
 
 Many logs are handled at once, each known by ``job_id``.  Verification is parallel, as every
-link names the hash that is stored before it; only building a chain follows its order.
+link names the hash that is stored before it; building a chain follows its order, one log after the other in a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import length_prefixed
+from .streams import folded
 
 GENESIS = "0" * 64
 
@@ -21,38 +26,36 @@ def entry_hash(seq: Column, prev: Column, statement: Column) -> Column:
     return F.sha2(length_prefixed(seq, prev, statement), 256)
 
 
-def chained(statements: DataFrame) -> DataFrame:
-    """(job_id, seq, statement_hash, prev_hash, entry_hash): statements linked in order of ``seq``.
+def linked(statements: DataFrame, start: Callable[[dict], tuple[int, str]], number: Callable[[int, dict], int]) -> DataFrame:
+    """Statements linked in order of ``seq``: a log streams by, and only its head is held."""
 
-    A link needs the one before it, so each log is folded over its sorted statements in the JVM.
-    """
-    rows = statements.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "statement_hash"))).alias("items"))
-    kind = "array<struct<seq:int,statement_hash:string,prev_hash:string,entry_hash:string>>"
+    def fold() -> Callable[[dict], list[tuple]]:
+        head: tuple[int, str] | None = None
+
+        def step(row: dict) -> list[tuple]:
+            nonlocal head
+            last, prev = head or start(row)
+            seq = number(last, row)
+            parts = (str(seq), prev, row["statement_hash"])
+            entry = hashlib.sha256("|".join(f"{len(p)}:{p}" for p in parts if p is not None).encode()).hexdigest()
+            head = seq, entry
+            return [(seq, row["statement_hash"], prev, entry)]
 
-    def step(acc: Column, cur: Column) -> Column:
-        prev = acc["head"]
-        link = entry_hash(cur["seq"], prev, cur["statement_hash"])
-        one = F.struct(cur["seq"].cast("int").alias("seq"), cur["statement_hash"].alias("statement_hash"), prev.alias("prev_hash"), link.alias("entry_hash"))
-        return F.struct(link.alias("head"), F.concat(acc["links"], F.array(one)).alias("links"))
+        return step
 
-    zero = F.struct(F.lit(GENESIS).alias("head"), F.array().cast(kind).alias("links"))
-    return rows.select("job_id", F.inline(F.aggregate("items", zero, step)["links"]))
+    return folded(statements, ["job_id"], ["seq", "statement_hash"], fold, "seq int, statement_hash string, prev_hash string, entry_hash string")
+
+
+def chained(statements: DataFrame) -> DataFrame:
+    """(job_id, seq, statement_hash, prev_hash, entry_hash): statements linked in order of ``seq``."""
+    return linked(statements.select("job_id", "seq", "statement_hash"), lambda row: (0, GENESIS), lambda last, row: row["seq"])
 
 
 def appended(log: DataFrame, statements: DataFrame) -> DataFrame:
     """New links for statements after the head of each log; an unknown log begins with the genesis hash."""
     head = log.groupBy("job_id").agg(F.max("seq").alias("last"), F.max_by("entry_hash", "seq").alias("head"))
-    rows = statements.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "statement_hash"))).alias("items")).join(head, "job_id", "left")
-    kind = "array<struct<seq:int,statement_hash:string,prev_hash:string,entry_hash:string>>"
-    zero = F.struct(F.coalesce("last", F.lit(0)).alias("seq"), F.coalesce("head", F.lit(GENESIS)).alias("head"), F.array().cast(kind).alias("links"))
-
-    def step(acc: Column, cur: Column) -> Column:
-        seq = (acc["seq"] + 1).cast("int")
-        link = entry_hash(seq, acc["head"], cur["statement_hash"])
-        one = F.struct(seq.alias("seq"), cur["statement_hash"].alias("statement_hash"), acc["head"].alias("prev_hash"), link.alias("entry_hash"))
-        return F.struct(seq.alias("seq"), link.alias("head"), F.concat(acc["links"], F.array(one)).alias("links"))
-
-    return rows.select("job_id", F.inline(F.aggregate("items", zero, step)["links"]))
+    rows = statements.select("job_id", "seq", "statement_hash").join(head, "job_id", "left")
+    return linked(rows, lambda row: (row["last"] or 0, row["head"] or GENESIS), lambda last, row: last + 1)
 
 
 def problems(log: DataFrame, statements: DataFrame | None = None) -> DataFrame:
@@ -128,40 +131,72 @@ def proofs_hold(leaves: DataFrame, proofs: DataFrame, roots: DataFrame, order: s
     return first.join(steps, ["job_id", "i"], "left").join(roots, "job_id").select("job_id", "i", (fold == F.col("root")).alias("ok"))
 
 
-def canonical(value: object) -> str:
-    """JSON with sorted keys and no white space; numbers that have no exact form are refused."""
-    _refuse(value)
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+#: The largest integer that doubles tell from its neighbours.
+MOST_INTEGER = 2**53 - 1
+#: The short escapes of JSON text.
+ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
-def _refuse(value: object) -> None:
+def canonical(value: object) -> str:
+    """JSON as a browser writes it, without white space and with keys in order of their UTF-16 units.
+
+    Numbers are doubles: whole ones have no point, -0 is 0, exponents begin at 1e21 and below 1e-6.
+    Raises ValueError for what has no exact form: integers past 2**53 - 1, NaN, infinities, other types.
+    """
+    if value is None or isinstance(value, bool):
+        return json.dumps(value)
+    if isinstance(value, str):
+        return _text(value)
+    if isinstance(value, int | float):
+        return _number(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, dict):
-        for k, v in value.items():
-            if not isinstance(k, str):
-                raise ValueError("keys must be text")
-            _refuse(v)
-    elif isinstance(value, list):
-        for v in value:
-            _refuse(v)
-    elif isinstance(value, bool) or value is None or isinstance(value, str):
-        return
-    elif isinstance(value, int):
-        if abs(value) > 2**53 - 1:
+        if not all(isinstance(k, str) for k in value):
+            raise ValueError("keys must be text")
+        order = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{_text(k)}:{canonical(value[k])}" for k in order) + "}"
+    raise ValueError(f"{type(value).__name__} has no canonical form")
+
+
+def _text(text: str) -> str:
+    plain = (ESCAPES.get(c) or (f"\\u{ord(c):04x}" if c < " " or "\ud800" <= c <= "\udfff" else c) for c in text)
+    return '"' + "".join(plain) + '"'
+
+
+def _number(value: float) -> str:
+    try:
+        x = float(value)
+    except OverflowError:
+        raise ValueError("number is not finite") from None
+    if not math.isfinite(x):
+        raise ValueError("number is not finite")
+    if x.is_integer():
+        if abs(x) > MOST_INTEGER:
             raise ValueError("integer out of the safe range")
-    elif isinstance(value, float):
-        if value != value or value in (float("inf"), float("-inf")):
-            raise ValueError("number is not finite")
-    else:
-        raise ValueError(f"{type(value).__name__} has no canonical form")
+        return str(int(x))
+    # repr has the shortest digits that give the double back; only its notation differs
+    _, digits, exponent = Decimal(repr(x)).as_tuple()
+    sign, figures = "-" if x < 0 else "", "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent  # the place of the decimal point, from the first digit
+    if point > 0:
+        return f"{sign}{figures[:point]}.{figures[point:]}"
+    if point > -6:
+        return f"{sign}0.{'0' * -point}{figures}"
+    rest = f".{figures[1:]}" if len(figures) > 1 else ""
+    return f"{sign}{figures[0]}{rest}e{point - 1}"
 
 
 def canonical_json(col: Column) -> Column:
-    """The canonical form of JSON text; null for text that has none."""
+    """The canonical form of JSON text; null for text that is no JSON or has none."""
+
+    def refused(name: str) -> None:
+        raise ValueError(name)
+
     def one(text: str | None) -> str | None:
         try:
-            value = json.loads(text)
-            return canonical(int(value) if isinstance(value, float) and value.is_integer() else value)
-        except (TypeError, ValueError):
+            return canonical(json.loads(text, parse_constant=refused)).encode().decode()
+        except (TypeError, ValueError, RecursionError):
             return None
 
     @F.pandas_udf("string")
@@ -169,3 +204,93 @@ def canonical_json(col: Column) -> Column:
         return texts.map(one)
 
     return run(col)
+
+
+#: The fields of a statement, as its hash covers them.
+STATEMENT = {"kind": "kind", "subject": "subject", "jobId": "job_id", "actorId": "actor_id", "timestamp": "timestamp", "payloadHash": "payload_hash"}
+
+
+def statement_hash(payload: str = "payload") -> Column:
+    """SHA-256 of a statement's canonical form; ``payload`` is JSON text, and null if it has no canonical form."""
+    fields = F.to_json(F.struct(*[F.col(c).alias(k) for k, c in STATEMENT.items()]), {"ignoreNullFields": "false"})
+    whole = F.concat(F.regexp_replace(fields, "\\}$", ""), F.lit(',"payload":'), F.col(payload), F.lit("}"))
+    return F.sha2(canonical_json(whole), 256)
+
+
+def batches(log: DataFrame) -> DataFrame:
+    """(job_id, root, from_seq, to_seq, entries): the Merkle batch of each log."""
+    span = log.groupBy("job_id").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count(F.lit(1)).alias("entries"))
+    return merkle_roots(log).join(span, "job_id")
+
+
+def split_chains(main: DataFrame, local: DataFrame, found: DataFrame) -> DataFrame:
+    """(job_id, orphaned, split, ok): a log is split if entries were left in a local file beside the main one.
+
+    ``ok`` needs a log without ``problems`` (``found``) and without a split.
+    """
+    known = main.select("job_id", "entry_hash").distinct()
+    left = local.groupBy("job_id").agg(F.count(F.lit(1)).alias("orphaned"))
+    bad = found.select("job_id").distinct().withColumn("bad", F.lit(True))
+    jobs = known.select("job_id").unionByName(local.select("job_id")).distinct()
+    j = jobs.join(left, "job_id", "left").join(bad, "job_id", "left").fillna({"orphaned": 0})
+    return j.select("job_id", "orphaned", (F.col("orphaned") > 0).alias("split"), (F.col("bad").isNull() & (F.col("orphaned") == 0)).alias("ok"))
+
+
+def orphaned(main: DataFrame, local: DataFrame) -> DataFrame:
+    """Local entries that the main log does not hold."""
+    return local.join(main.select("job_id", "entry_hash"), ["job_id", "entry_hash"], "left_anti")
+
+
+def unanchored(log: DataFrame) -> DataFrame:
+    """Entries that no batch has taken in yet."""
+    return log.where(F.col("anchor_root").isNull())
+
+
+def violations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(job_id, seq, problem): entries that were ``deleted`` or ``altered`` between two states of append-only logs."""
+    kept = after.select("job_id", "seq", F.col("entry_hash").alias("now"))
+    j = before.select("job_id", "seq", "entry_hash").join(kept, ["job_id", "seq"], "left")
+    problem = F.when(F.col("now").isNull(), "deleted").when(F.col("now") != F.col("entry_hash"), "altered")
+    return j.select("job_id", "seq", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def artifact_hashes(log: DataFrame, kind: str = "artifact_derived") -> DataFrame:
+    """(job_id, subject, payload_hash): of each artifact's entries the last counts."""
+    return log.where(F.col("kind") == kind).groupBy("job_id", "subject").agg(F.max_by("payload_hash", "seq").alias("payload_hash"))
+
+
+#: The kinds of entries that a log takes, and the shape of a digest.
+KINDS = ("video_uploaded", "artifact_derived", "verdict_recorded", "anchor_published", "report_generated")
+DIGEST = "^[0-9a-f]{64}$"
+
+
+def constraint_violations(log: DataFrame) -> DataFrame:
+    """Entries with a problem for each rule that they break: kind, payload_hash, seq or subject."""
+    checks = {"kind": ~F.col("kind").isin(*KINDS), "payload_hash": ~F.col("payload_hash").rlike(DIGEST), "seq": F.col("seq") < 1, "subject": F.coalesce("subject", F.lit("")) == ""}
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()]))
+    return log.select("*", F.explode(found).alias("problem"))
+
+
+#: What each message makes of a job's state; other messages are refused.
+TRANSITIONS = {(None, "queue"): "queued", ("queued", "start"): "processing", ("queued", "cancel"): "cancelled", ("processing", "finish"): "done", ("processing", "fail"): "error", ("done", "queue"): "queued", ("error", "queue"): "queued", ("cancelled", "queue"): "queued"}
+
+
+def job_states(messages: DataFrame) -> DataFrame:
+    """(job_id, state, accepted, refused) after all messages (job_id, ts, n, message) in order of time and number."""
+
+    def fold() -> Callable[[dict], list[tuple]]:
+        state: str | None = None
+
+        def step(row: dict) -> list[tuple]:
+            nonlocal state
+            after = TRANSITIONS.get((state, row["message"]))
+            state = after or state
+            return [(row["n"], state, after is not None)]
+
+        return step
+
+    kind = messages.schema["n"].dataType.simpleString()
+    steps = folded(messages.select("job_id", "ts", "n", "message"), ["job_id"], ["ts", "n"], fold, f"n {kind}, state string, taken boolean")
+    order = F.struct("ts", "n")
+    last = steps.join(messages.select("job_id", "n", "ts"), ["job_id", "n"])
+    return last.groupBy("job_id").agg(F.coalesce(F.max_by("state", order), F.lit("")).alias("state"), F.count_if("taken").alias("accepted"), F.count_if(~F.col("taken")).alias("refused"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.scalars import PROFILES, caption_verdict, clamp01, softmax
 
@@ -40,19 +41,29 @@ def found(findings: DataFrame, columns: list[str], text: str, **facets: str) ->
     return findings.where(hit)
 
 
+#: Captions that go to every row; a longer list is refused.
+MOST_CAPTIONS = 1000
+
+
 def zero_shot(images: DataFrame, captions: DataFrame, scale: float = 10.0, innocent: list[str] | None = None) -> DataFrame:
     """(image_id, top_label, top_score, margin, verdict): cosine with each caption, softmax, best two.
 
-    ``captions`` (label, vector) is a short list and is broadcast.
+    ``captions`` (label, vector) has ``MOST_CAPTIONS`` rows at most; they are read by the driver and become
+    a literal of the plan, so each image is judged in its own row and nothing is shuffled.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cos = F.coalesce(F.try_divide(dot(F.col("vector"), F.col("caption")), F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("caption"), F.col("caption")))), F.lit(0.0))
-    bag = captions.agg(F.array_sort(F.collect_list(F.struct("label", F.col("vector").alias("caption")))).alias("bag"))
-    rows = images.crossJoin(F.broadcast(bag)).select("image_id", "vector", F.inline("bag")).select("image_id", "label", (cos * scale).alias("score"))
-    per = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "score"))).alias("c"))
-    p = softmax(F.col("c.score"))
-    both = F.reverse(F.array_sort(F.zip_with(p, F.col("c"), lambda s, c: F.struct(s.alias("p"), c["label"].alias("label")))))
-    out = per.select("image_id", both.alias("b")).select("image_id", F.col("b")[0]["label"].alias("top_label"), F.col("b")[0]["p"].alias("top_score"), (F.col("b")[0]["p"] - F.coalesce(F.get("b", F.lit(1))["p"], F.lit(0.0))).alias("margin"))
+    few = captions.select("label", F.col("vector").cast("array<double>").alias("vector")).limit(MOST_CAPTIONS + 1).collect()
+    if len(few) > MOST_CAPTIONS:
+        raise ValueError(f"more than {MOST_CAPTIONS} captions")
+    label = captions.schema["label"].dataType
+    spark = images.sparkSession
+    bag = spark.createDataFrame([(sorted((r["label"], r["vector"]) for r in few),)], StructType().add("bag", ArrayType(StructType().add("label", label).add("caption", ArrayType(DoubleType())))))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    own = F.transform(F.col("vector"), lambda x: x.cast("double"))
+    cos = lambda c: F.coalesce(F.try_divide(dot(own, c), F.sqrt(dot(own, own) * dot(c, c))), F.lit(0.0))
+    scored = images.join(F.broadcast(bag)).select("image_id", "bag", F.transform("bag", lambda c: cos(c["caption"]) * scale).alias("scores"))
+    p = softmax(F.col("scores"))
+    both = F.slice(F.reverse(F.array_sort(F.zip_with(p, F.col("bag"), lambda s, c: F.struct(s.alias("p"), c["label"].alias("label"))))), 1, 2)
+    out = scored.select("image_id", both.alias("b")).select("image_id", F.col("b")[0]["label"].alias("top_label"), F.col("b")[0]["p"].alias("top_score"), (F.col("b")[0]["p"] - F.coalesce(F.get("b", F.lit(1))["p"], F.lit(0.0))).alias("margin"))
     return out.withColumn("verdict", caption_verdict(F.col("top_label").cast("string"), F.col("top_score"), F.col("margin"), innocent or []))
 
 

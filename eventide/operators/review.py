@@ -76,20 +76,43 @@ def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6)}
 
 
-def detector_scores(detections: DataFrame, adjudications: DataFrame, annotations: DataFrame, tolerance: float = 0.5, bucket: float = 3600.0) -> DataFrame:
-    """Per clip: true and false positives by adjudication, unadjudicated ones, annotations that no detection overlaps, and the rates.
+def detector_scores(detections: DataFrame, adjudications: DataFrame, annotations: DataFrame, clips: DataFrame, tolerance: float = 0.5, bucket: float = 3600.0) -> DataFrame:
+    """Per clip: true and false positives by adjudication, ambiguous and unadjudicated ones, annotations that no detection overlaps, and the rates.
 
-    Detections and adjudications meet on (clip, type, time bucket); annotations and detections on
-    (clip, time bucket).
+    ``adjudications`` has (clip, adj_id, type, at_sec, verdict), the verdict being true positive, false positive or
+    ambiguous; ``clips`` has (clip, person_seconds), the unit of accuracy.  Detections and adjudications meet on (clip,
+    type, time bucket); annotations and detections on (clip, time bucket).
     """
     adj = adjudications.withColumn("b", F.explode(F.array(*[F.floor(F.col("at_sec") / bucket) + i for i in (-1, 0, 1)]))).withColumnRenamed("adj_id", "adj")
     d = detections.withColumn("b", F.floor(F.col("start") / bucket))
     near = d.join(adj, ["clip", "type", "b"], "left").withColumn("hit", F.abs(F.col("at_sec") - F.col("start")) < tolerance)
-    judged = near.groupBy("clip", "det_id").agg(F.min_by("genuine", F.when(F.col("hit"), F.col("adj"))).alias("genuine"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("judged"))
-    counts = judged.groupBy("clip").agg(F.count_if(F.col("judged") & F.col("genuine")).alias("tp"), F.count_if(F.col("judged") & ~F.col("genuine")).alias("fp"), F.count_if(~F.col("judged")).alias("unadjudicated"))
+    judged = near.groupBy("clip", "det_id").agg(F.min_by("verdict", F.when(F.col("hit"), F.col("adj"))).alias("verdict"))
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    counts = judged.groupBy("clip").agg(of("true positive").alias("tp"), of("false positive").alias("fp"), of("ambiguous").alias("ambiguous"), F.count_if(F.col("verdict").isNull()).alias("unadjudicated"))
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
     real = annotations.where("genuine")
     met = real.withColumn("b", span("from_sec", "to_sec")).join(detections.withColumn("b", span("start", "end")).select("clip", "b", "start", "end"), ["clip", "b"]).where("from_sec <= end and start <= to_sec").select("clip", "ann_id").distinct()
     missed = real.join(met, ["clip", "ann_id"], "left_anti").groupBy("clip").agg(F.count(F.lit(1)).alias("fn"))
-    out = counts.join(missed, "clip", "full").fillna({"tp": 0, "fp": 0, "unadjudicated": 0, "fn": 0})
-    return out.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    out = clips.join(counts, "clip", "left").join(missed, "clip", "left").fillna(dict.fromkeys(("tp", "fp", "ambiguous", "unadjudicated", "fn"), 0))
+    return out.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn"))).withColumns(accuracies(F.col("tp"), F.col("fp"), F.col("fn"), F.col("person_seconds")))
+
+
+def accuracies(tp: Column, fp: Column, fn: Column, units: Column) -> dict[str, Column]:
+    """Accuracy over units, what flagging nothing would score, and the mean of recall and specificity; 0 without units."""
+    tn = units - tp - fn - fp
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    balanced = (share(tp, tp + fn) + share(tn, tn + fp)) / 2
+    return {"accuracy": F.round(share(tp + tn, units), 6), "do_nothing": F.round(share(units - tp - fn, units), 6), "balanced_accuracy": F.round(balanced, 6)}
+
+
+def report_sets(findings: DataFrame) -> DataFrame:
+    """Findings with the sets of the report that they are in: the first three may overlap, unreviewed excludes all."""
+    v, off = F.col("verdict"), F.coalesce("suppressed", F.lit(False))
+    sets = {"confirmed": v == "confirmed", "dismissed": v == "dismissed", "auto_filtered": off, "unreviewed": v.isNull() & ~off}
+    return findings.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in sets.items()})
+
+
+def suppressed(findings: DataFrame, verdict: Column, reason: Column) -> DataFrame:
+    """Findings that their still contradicts are marked with why, never deleted."""
+    hit = F.coalesce(verdict == "contradicted", F.lit(False))
+    return findings.withColumns({"suppressed": hit, "suppressed_reason": F.when(hit, reason)})

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, centre_distance, iou, touches, width
 from .rois import prohibited
+from .streams import folded
+
+EDGES = ("x1", "y1", "x2", "y2")
 
 
 def rollup(sightings: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,7 +23,7 @@ def rollup(sightings: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_sighting(sightings: DataFrame, keys: list[str]) -> DataFrame:
     """The frame and box of the most confident sighting; the first frame and box of equals."""
-    order = F.struct(F.col("conf"), -F.col("frame_idx"), -F.col("roi_id"), -F.col("source_id"))
+    order = F.struct(F.col("conf"), -F.col("frame_idx"), -F.col("roi_id"), -F.col("source_id"), -F.col("x1"), -F.col("y1"), -F.col("x2"), -F.col("y2"))
     best = F.max_by(F.struct("frame_idx", "roi_id", "conf", "x1", "y1", "x2", "y2"), order).alias("best")
     return sightings.groupBy(*keys).agg(best, F.min("t").alias("start"), F.max("t").alias("end")).select(*keys, "best.*", "start", "end")
 
@@ -117,20 +122,33 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tracked(detections: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, box_id, track): the tracker over each video's frames in order."""
+    """(video_id, frame_idx, box_id, track): the tracker over each video's frames in order.
+
+    Boxes stream by in order, and only the open tracks and one frame's boxes are held.
+    """
+
+    def fold() -> Callable[[dict], list[tuple]]:
+        tracker, held, steps = Tracker(), [], count()
+
+        def step(row: dict) -> list[tuple]:
+            done = []
+            if held and (row["box_id"] is None or row["frame_idx"] != held[0]["frame_idx"]):
+                found = tracker.update(np.array([[r[e] for e in EDGES] for r in held], float), next(steps))
+                done = [(held[i]["frame_idx"], held[i]["box_id"], f"Track-{number:02d}") for i, number in found]
+                held.clear()
+            if row["box_id"] is not None:
+                held.append(row)
+            return done
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows = Tracker(), []
-        for step, (t, group) in enumerate(frame.sort_values(["frame_idx", "box_id"]).groupby("frame_idx", sort=True)):
-            ids = group["box_id"].tolist()
-            for i, number in tracker.update(group[["x1", "y1", "x2", "y2"]].to_numpy(float), step):
-                rows.append((group["video_id"].iloc[0], t, ids[i], f"Track-{number:02d}"))
-        return pd.DataFrame(rows, columns=["video_id", "frame_idx", "box_id", "track"])
+        return step
 
-    kind = {f.name: f.dataType.simpleString() for f in detections.schema}
-    return detections.select("video_id", "frame_idx", "box_id", "x1", "y1", "x2", "y2").groupBy("video_id").applyInPandas(run, f"video_id {kind['video_id']}, frame_idx {kind['frame_idx']}, box_id {kind['box_id']}, track string")
+    rows = detections.select("video_id", F.lit(0).alias("end"), "frame_idx", "box_id", *EDGES)
+    # a last row without a box closes each video
+    ends = rows.select("video_id").distinct().select("video_id", F.lit(1).alias("end"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("frame_idx", "box_id", *EDGES)])
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return folded(rows.unionByName(ends), ["video_id"], ["end", "frame_idx", "box_id", *EDGES], fold, f"frame_idx {kind['frame_idx']}, box_id {kind['box_id']}, track string")
 
 
 def latest_boxes(tracks: DataFrame) -> Window:
     """Window of a track's boxes in order of time."""
-    return Window.partitionBy("video_id", "track_id").orderBy("t", "frame_idx", "box_id")
+    return Window.partitionBy("video_id", "track_id").orderBy("t", "frame_idx", "box_id", *EDGES)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..sources.storage import stored
+
 
 def ordered(keys: list[str], *order: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -40,17 +42,34 @@ def merge_gaps(df: DataFrame, keys: list[str], gap: float, start: str = "start",
     return out.drop("_island")
 
 
-def bucketed_interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, width: float) -> DataFrame:
-    """Rows of ``left`` whose ``point`` lies in an interval of ``right``, ends included.
+def bucketed_interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
+    """Rows of ``left`` whose ``point`` lies in an interval of ``right``, ends included; ``how`` is inner or left_semi.
 
     Both sides meet on the keys and a time bucket, so it is a hash join whose work follows the matches,
-    not a nested loop over all pairs.
+    not a nested loop over all pairs.  A point lies in one bucket; an interval costs a row for each bucket that it
+    touches, so ``width`` should be about the length of long intervals.
     """
     span = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
-    dealt = right.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(span))
+    r = right.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(span))
     placed = left.withColumn("_bucket", F.floor(F.col(point) / width))
-    joined = placed.join(dealt, [*keys, "_bucket"])
-    return joined.where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))).drop("_bucket")
+    r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), *[c for c in r.columns if c not in (*keys, "_bucket")])
+    on = [placed[k] == r[f"_k{i}"] for i, k in enumerate(keys)] + [placed["_bucket"] == r["_b"], placed[point] >= r[start], placed[point] <= r[end]]
+    return placed.join(r, on, how).drop("_bucket", "_b", *[f"_k{i}" for i in range(len(keys))])
+
+
+def numbered_globally(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place from 1 in the order of the whole table, without gathering it in one task.
+
+    Rows are dealt by ranges of the order and written once, numbered within each range; how many rows the ranges
+    before hold is a sum over one row per range.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
+    kept = stored(dealt, "numbered")
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # as many rows as there are shuffle partitions
+    starts = F.broadcast(sizes.select("_range", "_first", before.alias("_before")))
+    return kept.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_first", "_before")
 
 
 def latest(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:

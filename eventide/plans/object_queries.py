@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, centre, edge_distance, iou, region_id
-from ..operators import detectors, regions, rois, tracks
+from ..operators import detectors, findings, regions, rois, tracks
+from ..operators.poses import ORDER as POSE_ORDER
+from ..operators.poses import hand_raises, head_turns, measured, posture, value_at
+from ..operators.windows import ordered
 from ..sources import adapters
 from ..sources.adapters import ctes
 
@@ -14,19 +17,24 @@ FRAME_W, FRAME_H = 660, 400
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes with an id that is unique in the table."""
-    return adapters.boxes(spark, sf_dir).withColumn("box_id", F.col("frame_idx") * 1_000_000_000 + F.col("roi_id") * 100_000_000 + F.col("source_id"))
+    """Boxes with an id that is unique in the table: the frame, and the box's place in it."""
+    return with_id(adapters.boxes(spark, sf_dir))
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with time and group; times of a day are made distinct by the frame."""
-    return adapters.tracks(spark, sf_dir).withColumn("box_id", F.col("frame_idx") * 1_000_000_000 + F.col("roi_id") * 100_000_000 + F.col("source_id"))
+    return with_id(adapters.tracks(spark, sf_dir))
+
+
+def with_id(boxes: DataFrame) -> DataFrame:
+    # rows that are equal in all of these are equal altogether, so which of them comes first shows nowhere
+    place = F.row_number().over(ordered(["frame_idx"], "roi_id", "source_id", "x1", "y1", "x2", "y2", "cls", "conf", "track_id", "filled"))
+    return boxes.withColumn("box_id", F.col("frame_idx") * 1000 + place)
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals as poses: yaw and wrist lift from the raw scores."""
-    s = adapters.signal(spark, sf_dir)
-    return s.select("video_id", "frame_idx", "t", F.when(F.col("raw_bg").cast("int") % 11 != 0, F.col("raw_bg") / 50 - 1).alias("yaw"), F.round(F.col("raw_diff") / 400 - 0.1, 6).alias("lift"))
+    """Poses of persons with keypoints, measured."""
+    return measured(adapters.keypoints(grouped(spark, sf_dir)))
 
 
 def q_region_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,32 +124,71 @@ def q_person_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.proximity(grouped(spark, sf_dir), ["video_id"])
 
 
+def crowd_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped(spark, sf_dir).withColumns({"video_id": F.col("track_id") % 10, "day": F.floor(F.col("t") / 86400)})
+
+
 def q_crowd_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = adapters.tracks(spark, sf_dir).withColumns({"video_id": F.col("track_id") % 10, "day": F.floor(F.col("t") / 86400), "box_id": F.col("roi_id") * 100_000_000 + F.col("source_id")})
-    return detectors.crowd_runs(b, gap=1, persons=5)
+    return detectors.crowd_runs(crowd_boxes(spark, sf_dir), gap=1, persons=5)
+
+
+def loiterers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped(spark, sf_dir).withColumn("track_id", F.col("track_id") % 5)
 
 
 def q_loitering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = grouped(spark, sf_dir).withColumn("track_id", F.col("track_id") % 5)
-    return detectors.stationary(b, 45 * 86400.0, reach=6.0).select("video_id", "track_id", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "frame_idx")
+    found = detectors.stationary(loiterers(spark, sf_dir), 45 * 86400.0, reach=6.0)
+    return found.select("video_id", "track_id", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "frame_idx", "x1", "y1", "x2", "y2", "duration", "confidence")
 
 
-def q_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+def handled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Objects, and the hands of persons: their box's corner stands for a wrist."""
     b = grouped(spark, sf_dir)
-    x, y = centre(box())
-    objects = b.where("cls <> 'person'").select("video_id", "frame_idx", "cls", F.col("box_id").alias("object_id"), x.alias("ox"), y.alias("oy"))
+    objects = b.where("cls <> 'person'").select("video_id", "frame_idx", "t", "cls", "conf", F.col("box_id").alias("object_id"), "x1", "y1", "x2", "y2")
     hands = b.where("cls = 'person'").select("video_id", "frame_idx", "track_id", F.col("x2").cast("double").alias("hx"), F.col("y1").cast("double").alias("hy"), F.lit(250.0).alias("shoulder"))
-    return detectors.exchanges(objects, hands, ["video_id"])
+    return objects, hands
+
+
+def q_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.exchanges(*handled(spark, sf_dir), ["video_id"])
+
+
+def q_pose_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median yaw and shoulders, mean torso and highest wrist of each subject, and how far it travelled."""
+    p = poses(spark, sf_dir)
+    keys = ["video_id", "track_id"]
+    more = p.groupBy(*keys).agg(F.round(F.avg("torso"), 6).alias("torso"), F.round(F.max("lift"), 6).alias("lift"), F.count("lift").alias("wrists"))
+    return posture(p, keys).join(more, keys).withColumns({c: F.round(c, 6) for c in ("base", "shoulder", "travelled")})
+
+
+def q_value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first yaw that is known in each frame of a subject, -1 where none is."""
+    keys = ["video_id", "track_id"]
+    p = poses(spark, sf_dir)
+    first = value_at(p, "yaw", keys, POSE_ORDER)
+    return p.select(*keys, "frame_idx").distinct().join(first, [*keys, "frame_idx"], "left").withColumn("yaw", F.round(F.coalesce("yaw", F.lit(-1.0)), 9))
 
 
 def q_run_detector_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.head_turns(poses(spark, sf_dir), ["video_id"], least=3)
-    return found.select("video_id", F.round("base", 6).alias("base"), "frames", F.round("start", 3).alias("start_sec"), F.round("end", 3).alias("end_sec"), F.round("peak", 6).alias("peak"), "peak_frame", "confidence")
+    found = head_turns(poses(spark, sf_dir), ["video_id", "track_id"])
+    return found.select("video_id", "track_id", F.round("base", 6).alias("base"), "frames", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.round("peak", 6).alias("peak"), "peak_frame", "direction", "confidence")
 
 
 def q_run_detector_raise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.hand_raises(poses(spark, sf_dir), ["video_id"], lift=0.05)
-    return found.select("video_id", "frames", F.round("start", 3).alias("start_sec"), F.round("end", 3).alias("end_sec"), F.round("peak", 6).alias("peak"), "peak_frame")
+    found = hand_raises(poses(spark, sf_dir), ["video_id", "track_id"])
+    return found.select("video_id", "track_id", "frames", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.round("peak", 6).alias("peak"), "peak_frame", "confidence")
+
+
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all detectors find, in one schema, with their subjects' boxes."""
+    b, p = grouped(spark, sf_dir), poses(spark, sf_dir)
+    crowd = crowd_boxes(spark, sf_dir).withColumns({"video_id": F.col("video_id").cast("bigint"), "day": F.col("day").cast("double")})
+    found = findings.together(findings.prohibited_objects(b), findings.exchanges(*handled(spark, sf_dir)), findings.loitering(loiterers(spark, sf_dir), 45 * 86400.0, 6.0), findings.crowds(crowd, gap=1, persons=5), findings.turns(p), findings.raises(p))
+    return findings.with_subject_box(found, p)
+
+
+def q_findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_findings(spark, sf_dir)
 
 
 def q_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +209,7 @@ def q_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
-_ID = "frame_idx * 1000000000 + roi_id * 100000000 + source_id as box_id"
+_ID = "frame_idx * 1000 + row_number() over (partition by frame_idx order by roi_id, source_id, x1, y1, x2, y2, cls, conf, track_id, filled) as box_id"
 _B = ctes("boxes") + f", nb as (select *, {_ID} from boxes)"
 _T = ctes("boxes", "tracks") + f", nt as (select *, {_ID} from tracks)"
 _A = ctes("activity") + """, n as (select *, row_number() over (partition by camera, region order by frame_idx) as rn from activity),
@@ -173,9 +220,51 @@ _GAP = "sqrt(pow(greatest(0, greatest(a.x1,b.x1)-least(a.x2,b.x2)), 2) + pow(gre
 _PAIRS = _B + f", p as (select a.frame_idx, a.box_id as a, b.box_id as b, {_IOU} as iou, {_GAP} as distance from nb a join nb b on a.frame_idx = b.frame_idx and a.box_id < b.box_id)"
 _AREA = "(x2 - x1) * (y2 - y1)"
 _CELL = "'r' || least(2, greatest(0, trunc((y1 + y2) / 2.0 * 3 / 400)::int)) || 'c' || least(3, greatest(0, trunc((x1 + x2) / 2.0 * 4 / 660)::int))"
-_POSES = ctes("signal") + ", poses as (select video_id, frame_idx, t, case when k % 11 <> 0 then raw_bg / 50 - 1 end as yaw, round(raw_diff / 400 - 0.1, 6) as lift from signal)"
-_RUNS = """, fl as (select *, row_number() over (partition by video_id order by t, frame_idx) - row_number() over (partition by video_id, flag order by t, frame_idx) as run from f),
-    runs as (select video_id, {extra} count(*) as frames, min(t) as s, max(t) as e, max(value) as peak, arg_max(frame_idx, (value, -frame_idx)) as peak_frame from fl where flag group by video_id, {extra} run having count(*) >= 3)"""
+#: Poses by box, and what is measured on them; then the subjects' postures.
+_POSES = _T + """, kp as (select video_id % 100 as video_id, track_id % 3 as track_id, frame_idx, t, box_id, x1, y1, x2, y2, (20 + 60 * ((video_id % 100 * 3 + track_id % 3) % 10))::double as w, (x1 + x2) / 2.0::double as mid, source_id as p, roi_id from nt where cls = 'person'),
+    jt as (select *, mid - w / 2 as lsx, case when (4 + roi_id % 7) / 10.0::double >= 0.5 then mid + w / 2 end as rsx, y1 + 10.0::double as lsy, case when (4 + roi_id % 7) / 10.0::double >= 0.5 then y1 + 12.0::double end as rsy, case when (4 + p * 5 % 7) / 10.0::double >= 0.5 then mid - w / 2 + w * (p * 7 % 100) / 100.0::double end as nx,
+        (4 + p % 7) / 10.0::double as lwc, (4 + p * 3 % 7) / 10.0::double as rwc, y1 + 11.0::double - w * (p * 11 % 100 - 40) / 100.0::double as lwy, y1 + 11.0::double - w * (p * 13 % 100 - 40) / 100.0::double as rwy, case when (4 + p * 2 % 7) / 10.0::double >= 0.5 then y2 - 5.0::double end as lhy, y2 - 3.0::double as rhy from kp),
+    li as (select *, abs(lsx - rsx) as shoulder, (lsy + rsy) / 2 as line, case when abs(nx - lsx) + abs(nx - rsx) >= 1e-6 then (abs(nx - lsx) - abs(nx - rsx)) / (abs(nx - lsx) + abs(nx - rsx)) end as yaw from jt),
+    ll as (select *, case when lwc >= 0.5 and shoulder >= 1 then (line - lwy) / shoulder end as l, case when rwc >= 0.5 and shoulder >= 1 then (line - rwy) / shoulder end as r, abs(case when lhy is null then rhy else (lhy + rhy) / 2 end - line) as torso from li),
+    po as (select *, case when l is null or r > l then r else l end as lift, case when l is null or r > l then rwc else lwc end as lc from ll),
+    ps as (select video_id, track_id, count(yaw) as samples, median(yaw) as base, median(shoulder) as shoulder, case when count(*) >= 2 and median(shoulder) >= 1 then sqrt(pow(max(mid) - min(mid), 2) + pow(max((y1 + y2) / 2.0::double) - min((y1 + y2) / 2.0::double), 2)) / median(shoulder) end as travelled from po group by 1, 2)"""
+_RUNS = """, {p}n as (select *, row_number() over (partition by video_id, track_id order by t, frame_idx, box_id) as rn, count(*) over (partition by video_id, track_id) as total from {p}f),
+    {p}l as (select *, rn - row_number() over (partition by video_id, track_id, flag order by rn) as run from {p}n),
+    {p}runs as (select video_id, track_id, any_value(base) as base, count(*) as frames, arg_min(t, rn) as s, arg_max(t, rn) as e, arg_min(frame_idx, rn) as start_frame, max(value) as peak, arg_max(frame_idx, (value, -rn)) as peak_frame, arg_max(lc, (value, -rn)) as lc, max(rn) = any_value(total) as open from {p}l where flag group by video_id, track_id, run having count(*) >= {least})"""
+_FIRST = ", fy as (select video_id, track_id, frame_idx, arg_min(yaw, (t, frame_idx, box_id)) as yaw from po where yaw is not null group by 1, 2, 3)"
+_TURN = ", tf as (select po.*, base, greatest(abs(yaw - base), abs(yaw)) as value, coalesce(abs(yaw - base) > 0.35 or abs(yaw) > 0.8, false) as flag from po join ps using (video_id, track_id) where samples >= 4 and coalesce(travelled <= 2, true))" + _RUNS.format(p="t", least=5) + _FIRST + """,
+    turns as (select r.*, case when coalesce(fy.yaw, -1) > case when open then 0 else base end then 'right' else 'left' end as direction, round(least(1, peak / 1.2), 4) as confidence from truns r left join fy on fy.video_id = r.video_id and fy.track_id = r.track_id and fy.frame_idx = start_frame)"""
+_RAISE = ", rf as (select po.*, base, lift as value, coalesce(lift > 0.15, false) as flag from po join ps using (video_id, track_id) where coalesce(travelled <= 2, true))" + _RUNS.format(p="r", least=3) + ", raises as (select *, least(1, lc) as confidence from (select *, row_number() over (partition by video_id, track_id order by s, start_frame) as k from rruns) where k = 1)"
+_LABEL = "case cls when 'cell phone' then 'mobile phone' when 'book' then 'paper/chit' else cls end"
+
+_OVERLAP = "greatest(0, least(k.x2,o.b.x2)-greatest(k.x1,o.b.x1))*greatest(0, least(k.y2,o.b.y2)-greatest(k.y1,o.b.y1)) / nullif((k.x2-k.x1)*(k.y2-k.y1)+(o.b.x2-o.b.x1)*(o.b.y2-o.b.y1)-greatest(0, least(k.x2,o.b.x2)-greatest(k.x1,o.b.x1))*greatest(0, least(k.y2,o.b.y2)-greatest(k.y1,o.b.y1)), 0)::double"
+_CROWDS = """, cb as (select *, track_id % 10 as vid, floor(t / 86400)::bigint as day, (x1 + x2) / 2.0::double as cx, (y1 + y2) / 2.0::double as cy from nt),
+    cm as (select *, sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)) / (x2 - x1 + 1) as drift from cb window w as (partition by vid, track_id order by t, frame_idx, box_id)),
+    busy as (select vid, day, count(distinct track_id) as movers from cm where drift >= 0.35 group by 1, 2 having count(distinct track_id) >= 5),
+    cg as (select *, sum(case when p is null or day - p > 1 then 1 else 0 end) over (partition by vid order by day rows unbounded preceding) as run from (select *, lag(day) over (partition by vid order by day) as p from busy)),
+    cr as (select vid, run, min(day) as s, max(day) as e, max(movers) as peak, arg_max(day, (movers, -day)) as top from cg group by 1, 2 having count(*) >= 3),
+    crowds as (select vid as video_id, count(*) as runs, min(s) as start, max(e) as "end", max(peak) as peak, arg_max(top, (peak, -top)) as peak_at, round(least(1, max(peak) / 7.0::double), 4) as confidence from cr group by 1)"""
+_CROWD = _T + _CROWDS
+_LOITERS = """, lo as (select video_id, track_id % 5 as track_id, t, frame_idx, x1, y1, x2, y2, (x1 + x2) // 2 as mx, (y1 + y2) // 2 as my, greatest(x2 - x1 + 1, y2 - y1 + 1) as size, row_number() over (partition by video_id, track_id % 5 order by t, frame_idx, box_id) as n from nt),
+    lw as (select video_id, track_id, n, t, frame_idx, x1, y1, x2, y2, t as at, mx as ax, my as ay, size as asize, null::double as s from lo where n = 1
+      union all select o.video_id, o.track_id, o.n, o.t, o.frame_idx, o.x1, o.y1, o.x2, o.y2, case when d > 6.0 or o.t - w.at >= 3888000 then o.t else w.at end, case when d > 6.0 or o.t - w.at >= 3888000 then o.mx else ax end, case when d > 6.0 or o.t - w.at >= 3888000 then o.my else ay end, case when d > 6.0 or o.t - w.at >= 3888000 then o.size else asize end, case when d <= 6.0 and o.t - w.at >= 3888000 then w.at end
+      from lw w join lo o on o.video_id = w.video_id and o.track_id = w.track_id and o.n = w.n + 1, lateral (select sqrt(pow(o.mx - w.ax, 2) + pow(o.my - w.ay, 2)) / w.asize as d)),
+    loiter as (select video_id, track_id, s as start_sec, t as end_sec, frame_idx, x1, y1, x2, y2, t - s as duration, confidence from lw join (select video_id, track_id % 5 as track_id, round(avg(conf), 8) as confidence from nt group by 1, 2) using (video_id, track_id) where s is not null)"""
+_LOITER = _T + _LOITERS
+_EXCHANGES = """, xn as (select a.video_id, a.frame_idx, a.cls, a.box_id as object_id, a.t, a.conf, a.x1, a.y1, a.x2, a.y2, count(distinct b.track_id) as people, min(b.track_id) as track_id, list_sort(list(distinct b.track_id))[2] as other_id from nt a join nt b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and b.cls = 'person'
+        where a.cls <> 'person' and sqrt(pow(b.x2 - (a.x1 + a.x2) / 2.0::double, 2) + pow(b.y1 - (a.y1 + a.y2) / 2.0::double, 2)) / 250 < 0.9 group by all having count(distinct b.track_id) >= 2),
+    exchange as (select * exclude rn from (select *, row_number() over (partition by video_id, cls order by frame_idx, object_id) as rn from xn) where rn = 1)"""
+_EXCHANGE = _T + _EXCHANGES
+_SCHEMA = "select video_id, '{kind}' as type, {label} as label, {track} as track_id, {s} as start_sec, {e} as end_sec, {frame} as frame_idx, {conf} as confidence, {box}, {n} as sightings, {d} as duration from {source}"
+_NONE, _OWN = "null::bigint as x1, null::bigint as y1, null::bigint as x2, null::bigint as y2", "x1, y1, x2, y2"
+_ALL = _POSES + _TURN + _RAISE + _CROWDS + _LOITERS + _EXCHANGES + f""",
+    pb as (select *, row_number() over (partition by video_id, cls order by conf desc, frame_idx, roi_id, source_id, x1, y1, x2, y2) as k, min(t) over (partition by video_id, cls) as s, max(t) over (partition by video_id, cls) as e, count(*) over (partition by video_id, cls) as seen from nt where cls <> 'person' and conf >= 0.35),
+    found as ({_SCHEMA.format(kind="prohibited_object", label=_LABEL + " || ' detected'", track="null::bigint", s="s", e="e", frame="frame_idx", conf="conf", box=_OWN, n="seen", d="null::double", source="pb where k = 1")}
+      union all {_SCHEMA.format(kind="object_exchange", label=_LABEL + " || ' at the hands of ' || track_id || ' and ' || other_id || ' (possible hand-off)'", track="track_id", s="t", e="t", frame="frame_idx", conf="conf", box=_OWN, n="people", d="null::double", source="exchange")}
+      union all {_SCHEMA.format(kind="loitering", label="'Person stationary for ' || duration::bigint || 's'", track="track_id", s="start_sec", e="end_sec", frame="frame_idx", conf="confidence", box=_OWN, n="null::bigint", d="duration", source="loiter")}
+      union all {_SCHEMA.format(kind="crowd_disturbance", label="peak || ' people moving simultaneously'", track="null::bigint", s="start::double", e='"end"::double', frame="peak_at", conf="confidence", box=_NONE, n="peak", d="null::double", source="crowds")}
+      union all {_SCHEMA.format(kind="head_turn", label="'Head turned ' || direction || ', away from their usual posture'", track="track_id", s="s", e="e", frame="peak_frame", conf="confidence", box=_NONE, n="null::bigint", d="e - s", source="turns")}
+      union all {_SCHEMA.format(kind="hand_gesture", label="'Hand raised above shoulder (possible signalling)'", track="track_id", s="s", e="e", frame="peak_frame", conf="confidence", box=_NONE, n="null::bigint", d="e - s", source="raises")})"""
 
 ORACLE_SQL = {
     "q_region_baseline": _A + " select * from base",
@@ -210,20 +299,18 @@ ORACLE_SQL = {
         near as (select distinct a.video_id, a.frame_idx, a.box_id from ps a join ps b on a.frame_idx = b.frame_idx and a.video_id = b.video_id and a.box_id <> b.box_id where sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) / (greatest(a.w, b.w) + 1) < 1.5),
         c as (select video_id, frame_idx, count(*) as close from near group by 1, 2), f as (select video_id, frame_idx, count(*) as persons from ps group by 1, 2 having count(*) >= 2)
         select video_id, round(max(coalesce(close, 0) / persons::double), 3) as proximity, count(*) as frames from f left join c using (video_id, frame_idx) group by 1""",
-    "q_crowd_runs": ctes("boxes", "tracks") + """, b as (select *, track_id % 10 as vid, floor(t / 86400)::bigint as day, roi_id * 100000000 + source_id as box_id, (x1 + x2) / 2.0::double as cx, (y1 + y2) / 2.0::double as cy from tracks),
-        m as (select *, sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)) / (x2 - x1 + 1) as drift from b window w as (partition by vid, track_id order by t, frame_idx, box_id)),
-        busy as (select vid, day, count(distinct track_id) as movers from m where drift >= 0.35 group by 1, 2 having count(distinct track_id) >= 5),
-        g as (select *, sum(case when p is null or day - p > 1 then 1 else 0 end) over (partition by vid order by day rows unbounded preceding) as run from (select *, lag(day) over (partition by vid order by day) as p from busy)),
-        r as (select vid, run, min(day) as s, max(day) as e, max(movers) as peak from g group by 1, 2 having count(*) >= 3)
-        select vid as video_id, count(*) as runs, min(s) as start, max(e) as "end", max(peak) as peak, round(least(1, max(peak) / 7.0::double), 4) as confidence from r group by 1""",
-    "q_loitering": _T + """, o as (select video_id, track_id % 5 as track_id, t, frame_idx, box_id, (x1 + x2) // 2 as mx, (y1 + y2) // 2 as my, greatest(x2 - x1 + 1, y2 - y1 + 1) as size, row_number() over (partition by video_id, track_id % 5 order by t, frame_idx, box_id) as n from nt),
-        walk as (select video_id, track_id, n, t, frame_idx, t as at, mx as ax, my as ay, size as asize, null::double as s from o where n = 1
-          union all select o.video_id, o.track_id, o.n, o.t, o.frame_idx, case when d > 6.0 or o.t - w.at >= 3888000 then o.t else w.at end, case when d > 6.0 or o.t - w.at >= 3888000 then o.mx else ax end, case when d > 6.0 or o.t - w.at >= 3888000 then o.my else ay end, case when d > 6.0 or o.t - w.at >= 3888000 then o.size else asize end, case when d <= 6.0 and o.t - w.at >= 3888000 then w.at end
-          from walk w join o on o.video_id = w.video_id and o.track_id = w.track_id and o.n = w.n + 1, lateral (select sqrt(pow(o.mx - w.ax, 2) + pow(o.my - w.ay, 2)) / w.asize as d))
-        select video_id, track_id, s as start_sec, t as end_sec, frame_idx from walk where s is not null""",
-    "q_exchange": _T + """, n as (select a.video_id, a.frame_idx, a.cls, a.box_id as object_id, count(distinct b.track_id) as people, min(b.track_id) as track_id from nt a join nt b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and b.cls = 'person'
-        where a.cls <> 'person' and sqrt(pow(b.x2 - (a.x1 + a.x2) / 2.0::double, 2) + pow(b.y1 - (a.y1 + a.y2) / 2.0::double, 2)) / 250 < 0.9 group by 1, 2, 3, 4 having count(distinct b.track_id) >= 2)
-        select video_id, frame_idx, cls, object_id, people, track_id from (select *, row_number() over (partition by video_id, cls order by frame_idx, object_id) as rn from n) where rn = 1""",
-    "q_run_detector_turn": _POSES + """, b as (select video_id, median(yaw) as base from poses group by 1 having count(yaw) >= 4), f as (select p.*, base, abs(yaw - base) as value, coalesce(abs(yaw - base) > 0.35 or abs(yaw) > 0.8, false) as flag from poses p join b using (video_id))""" + _RUNS.format(extra="base,") + " select video_id, round(base, 6) as base, frames, round(s, 3) as start_sec, round(e, 3) as end_sec, round(peak, 6) as peak, peak_frame, round(least(1, peak / 1.2), 4) as confidence from runs",
-    "q_run_detector_raise": _POSES + ", f as (select *, lift as value, lift > 0.05 as flag from poses)" + _RUNS.format(extra="") + " select video_id, frames, round(s, 3) as start_sec, round(e, 3) as end_sec, round(peak, 6) as peak, peak_frame from (select *, row_number() over (partition by video_id order by s) as rn from runs) where rn = 1",
+    "q_crowd_runs": _CROWD + " select * from crowds",
+    "q_loitering": _LOITER + " select video_id, track_id, start_sec, end_sec, frame_idx, x1, y1, x2, y2, duration, confidence from loiter",
+    "q_exchange": _EXCHANGE + " select * from exchange",
+    "q_pose_metrics": _POSES + " select ps.video_id, ps.track_id, samples, round(base, 6) as base, round(ps.shoulder, 6) as shoulder, round(travelled, 6) as travelled, round(avg(torso), 6) as torso, round(max(lift), 6) as lift, count(lift) as wrists from ps join po using (video_id, track_id) group by all",
+    "q_value_at": _POSES + _FIRST + " select video_id, track_id, frame_idx, round(coalesce(yaw, -1), 9) as yaw from (select distinct video_id, track_id, frame_idx from po) left join fy using (video_id, track_id, frame_idx)",
+    "q_run_detector_turn": _POSES + _TURN + " select video_id, track_id, round(base, 6) as base, frames, s as start_sec, e as end_sec, round(peak, 6) as peak, peak_frame, direction, confidence from turns",
+    "q_run_detector_raise": _POSES + _RAISE + " select video_id, track_id, frames, s as start_sec, e as end_sec, round(peak, 6) as peak, peak_frame, confidence from raises",
+    "q_nms": _B + f""", o as (select frame_idx, cls, box_id, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} as b, row_number() over (partition by frame_idx, cls order by conf desc, box_id) as n from nb),
+        walk as (select frame_idx, cls, n, box_id, [b] as kept, true as stays from o where n = 1
+          union all select o.frame_idx, o.cls, o.n, o.box_id, case when ok then list_append(kept, o.b) else kept end, ok from walk w join o on o.frame_idx = w.frame_idx and o.cls = w.cls and o.n = w.n + 1,
+            lateral (select len(list_filter(w.kept, lambda k: {_OVERLAP} > 0.4)) = 0 as ok))
+        select frame_idx, box_id, cls from walk where stays""",
+    "q_findings_union": _ALL + """, own as (select video_id, track_id, frame_idx, arg_min({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, (box_id, x1, y1, x2, y2)) as b from po group by 1, 2, 3)
+        select f.video_id, type, label, f.track_id, start_sec, end_sec, f.frame_idx, confidence, coalesce(f.x1, b.x1) as x1, coalesce(f.y1, b.y1) as y1, coalesce(f.x2, b.x2) as x2, coalesce(f.y2, b.y2) as y2, sightings, duration from found f left join own using (video_id, track_id, frame_idx)""",
 }

@@ -57,9 +57,11 @@ def q_eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.seconds(F.col("ts"))
     clip = (F.col("user_id") % 20).alias("clip")
     det = e.where("event_type <> 'error'").select(clip, F.col("event_id").alias("det_id"), F.col("event_type").alias("type"), t.alias("start"), (t + F.col("value")).alias("end"))
-    adj = e.where("event_id % 3 <> 0").select(clip, F.col("event_id").alias("adj_id"), F.col("event_type").alias("type"), (t + (F.col("event_id") % 5) * 0.2).alias("at_sec"), (F.col("value") > 10).alias("genuine"))
+    verdict = F.when(F.col("value") > 10, "true positive").when(F.col("value") > 4, "false positive").otherwise("ambiguous").alias("verdict")
+    adj = e.select(clip, F.col("event_id").alias("adj_id"), F.col("event_type").alias("type"), (t + (F.col("event_id") % 5) * 0.2).alias("at_sec"), verdict)
     ann = e.where("event_type = 'error'").select(clip, F.col("event_id").alias("ann_id"), t.alias("from_sec"), (t + F.col("value") * 60).alias("to_sec"), (F.col("value") > 3).alias("genuine"))
-    return review.detector_scores(det, adj, ann)
+    clips = e.groupBy(clip).agg((F.count(F.lit(1)) * 10).alias("person_seconds"))
+    return review.detector_scores(det, adj, ann, clips)
 
 
 def baselines(spark: SparkSession, sf_dir: str, session: int) -> DataFrame:
@@ -72,7 +74,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fold_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.folded(baselines(spark, sf_dir, 1), baselines(spark, sf_dir, 2))
+    return drift.fold_guarded(baselines(spark, sf_dir, 1), baselines(spark, sf_dir, 2), reports(spark, sf_dir))
 
 
 def q_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +124,18 @@ def q_merkle_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of documents whose numbers, keys and nesting are written in other ways than the canonical one."""
     e = adapters.table(spark, sf_dir, "events")
-    text = F.concat(F.lit('{"value": '), (F.col("event_id") % 1000).cast("string"), F.lit(', "props": '), "props", F.lit(', "kind": "'), "event_type", F.lit('"}'))
-    return e.select("event_id", F.sha2(ledger.canonical_json(text), 256).alias("digest"))
+    n = (F.col("event_id") % 900 + 1).cast("string")
+    parts = ['{"value": ', n, '.0, "props": ', F.col("props"), ', "kind": "', F.col("event_type"), '", "z": [-0.0, ', n, 'e-9, {"b": ', n, '.50, "a": ', n, 'E2}], "\\ud83d\\ude00": 1, "\uff5e": "a\\u0041\\/\\u0007"}']
+    return e.select("event_id", F.sha2(ledger.canonical_json(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])), 256).alias("digest"))
+
+
+def q_canonical_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts have no canonical form: unsafe integers, non-finite numbers, no JSON."""
+    e = adapters.table(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"n": '), F.element_at(F.array(*map(F.lit, ("9007199254740991", "9007199254740992", "1e20", "1e400", "NaN", "1.5e300", "[", "-9007199254740993"))), (F.col("event_id") % 8 + 1).cast("int")), F.lit("}"))
+    return e.select("event_id", ledger.canonical_json(text).alias("form"))
 
 
 def q_priority_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +167,7 @@ def q_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = adapters.boxes(spark, sf_dir).groupBy(F.col("frame_idx").alias("event_id")).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     seen = adapters.boxes(spark, sf_dir).select(F.col("frame_idx").alias("event_id"), "track_id").join(o, "event_id").select("video_id", "event_id", "track_id").distinct()
     ev = o.join(b, "event_id")
-    return graph.evidence_groups(graph.evidence_edges(ev, seen, seconds=30 * 86400.0), ev)
+    return graph.evidence_groups(graph.evidence_edges(ev, seen, seconds=30 * 86400.0), ev, seen)
 
 
 def q_owner_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +197,7 @@ def q_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.table(spark, sf_dir, "pages")
     c = adapters.seconds(F.to_timestamp(F.lit("2024-01-01"))) * 0 + F.col("page_id") * 7.3
-    return p.select("page_id", scalars.slug(F.col("url")).alias("slug"), scalars.clock(c).alias("clock"), scalars.html_escaped(F.substring("html", 1, 60)).alias("escaped"), scalars.fraction(F.concat(F.col("page_id").cast("string"), F.lit("/"), (F.col("page_id") % 4).cast("string"))).alias("fraction"), scalars.finding_key(F.lit("job"), F.when(F.col("page_id") % 2 == 0, F.col("page_id")), F.lit("phone"), F.col("page_id")).alias("key"))
+    return p.select("page_id", scalars.slug(F.col("url")).alias("slug"), scalars.clock(c).alias("clock"), F.sha2(scalars.html_escaped(F.col("html")), 256).alias("escaped"), scalars.fraction(F.concat(F.col("page_id").cast("string"), F.lit("/"), (F.col("page_id") % 4).cast("string"))).alias("fraction"), scalars.finding_key(F.lit("job"), F.when(F.col("page_id") % 2 == 0, F.col("page_id")), F.lit("phone"), F.col("page_id")).alias("key"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -223,14 +234,15 @@ ORACLE_SQL = {
     "q_report_summary": _REV + """ select *, round(confirmed / nullif(confirmed + dismissed, 0)::double, 3) as precision from (select lang as type, count(*) as findings, count(*) filter (verdict = 'confirmed') as confirmed, count(*) filter (verdict = 'dismissed') as dismissed, count(*) filter (n_chars < 50) as auto_filtered, count(*) filter (verdict is null and n_chars >= 50) as awaiting
         from documents d left join review r using (doc_id) group by 1)""",
     "q_eval_scores": """with e as (select *, epoch_us(ts) / 1000000.0::double as t, user_id % 20 as clip from events), det as (select clip, event_id as det_id, event_type as type, t as s, t + value as e from e where event_type <> 'error'),
-        adj as (select clip, event_id as adj_id, event_type as type, t + (event_id % 5) * 0.2::double as at_sec, value > 10 as genuine from e where event_id % 3 <> 0), ann as (select clip, event_id as ann_id, t as a, t + value * 60 as b from e where event_type = 'error' and value > 3),
-        j as (select det.clip, det_id, arg_min(genuine, adj_id) as genuine, count(adj_id) > 0 as judged from det left join adj on adj.clip = det.clip and adj.type = det.type and abs(at_sec - s) < 0.5 group by 1, 2),
-        c as (select clip, count(*) filter (judged and genuine) as tp, count(*) filter (judged and not genuine) as fp, count(*) filter (not judged) as unadjudicated from j group by 1),
+        adj as (select clip, event_id as adj_id, event_type as type, t + (event_id % 5) * 0.2::double as at_sec, case when value > 10 then 'true positive' when value > 4 then 'false positive' else 'ambiguous' end as verdict from e), ann as (select clip, event_id as ann_id, t as a, t + value * 60 as b from e where event_type = 'error' and value > 3),
+        j as (select det.clip, det_id, arg_min(verdict, adj_id) as verdict from det left join adj on adj.clip = det.clip and adj.type = det.type and abs(at_sec - s) < 0.5 group by 1, 2),
+        c as (select clip, count(*) filter (verdict = 'true positive') as tp, count(*) filter (verdict = 'false positive') as fp, count(*) filter (verdict = 'ambiguous') as ambiguous, count(*) filter (verdict is null) as unadjudicated from j group by 1),
         f as (select clip, count(*) as fn from ann where not exists (select 1 from det where det.clip = ann.clip and a <= e and s <= b) group by 1),
-        r as (select coalesce(c.clip, f.clip) as clip, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(unadjudicated, 0) as unadjudicated, coalesce(fn, 0) as fn from c full join f on c.clip = f.clip),
-        pr as (select *, coalesce(tp / nullif(tp + fp, 0)::double, 0) as p, coalesce(tp / nullif(tp + fn, 0)::double, 0) as r from r)
-        select clip, tp, fp, unadjudicated, fn, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from pr""",
-    "q_fold_session": _BASE + """, j as (select coalesce(p.camera, s.camera) as camera, coalesce(p.region, s.region) as region, p.mu as m0, p.sigma as s0, p.samples as n0, s.mu as m1, s.sigma as s1, s.samples as n1 from p full join s on p.camera = s.camera and p.region = s.region),
+        r as (select k.clip, person_seconds, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(ambiguous, 0) as ambiguous, coalesce(unadjudicated, 0) as unadjudicated, coalesce(fn, 0) as fn from (select clip, count(*) * 10 as person_seconds from e group by 1) k left join c using (clip) left join f using (clip)),
+        pr as (select *, person_seconds - tp - fn - fp as tn, coalesce(tp / nullif(tp + fp, 0)::double, 0) as p, coalesce(tp / nullif(tp + fn, 0)::double, 0) as r from r)
+        select clip, person_seconds, tp, fp, ambiguous, unadjudicated, fn, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1, round((tp + tn) / person_seconds::double, 6) as accuracy, round((person_seconds - tp - fn) / person_seconds::double, 6) as do_nothing,
+            round((r + coalesce(tn / nullif(tn + fp, 0)::double, 0)) / 2, 6) as balanced_accuracy from pr""",
+    "q_fold_session": _BASE + """, j as (select coalesce(p.camera, s.camera) as camera, coalesce(p.region, s.region) as region, p.mu as m0, p.sigma as s0, p.samples as n0, s.mu as m1, s.sigma as s1, s.samples as n1 from p full join (select * from s where camera in (select camera from rep where verdict not in ('camera_moved', 'unusable'))) s on p.camera = s.camera and p.region = s.region),
         m as (select *, (m0 * n0 + m1 * n1) / (n0 + n1) as mm from j)
         select camera, region, floor((case when n0 is null then m1 when n1 is null then m0 else mm end) * 1e6 + 0.5) / 1e6 as mu, floor((case when n0 is null then s1 when n1 is null then s0 else sqrt(greatest(1e-6, (n0 * (s0 * s0 + (m0 - mm) * (m0 - mm)) + n1 * (s1 * s1 + (m1 - mm) * (m1 - mm))) / (n0 + n1))) end) * 1e6 + 0.5) / 1e6 as sigma, (coalesce(n0, 0) + coalesce(n1, 0))::bigint as samples from m""",
     "q_drift": _BASE + " select camera, verdict, regions_shifted, regions_compared, peak_shift from report",
@@ -245,7 +257,13 @@ ORACLE_SQL = {
         union all select job_id, seq, 'entry_hash_mismatch' from w where entry_hash <> sha256(length(seq::varchar) || ':' || seq || '|64:' || prev_hash || '|64:' || statement_hash)""",
     "q_merkle_root": _MERKLE + " select job_id, h as root from lv where n = 1",
     "q_merkle_proof": _MERKLE + " select a.job_id, a.i, b.level, case when (a.i >> b.level) % 2 = 0 then 'right' else 'left' end as side, b.h as sibling from lv a join lv b on a.job_id = b.job_id and a.level = 0 and b.i = xor(a.i >> b.level, 1)",
-    "q_canonical_json": """select event_id, sha256('{"kind":"' || event_type || '","props":{"k":' || json_extract_string(props, '$.k') || '},"value":' || (event_id % 1000) || '}') as digest from events""",
+    # the same documents, written canonically
+    "q_canonical_json": """with e as (select *, event_id % 900 + 1 as n, json_extract_string(props, '$.k') as k from events),
+        x as (select *, length(rtrim(n::varchar, '0')) as sig, rtrim(n::varchar, '0') as fig, length(n::varchar) as len from e)
+        select event_id, sha256('{"kind":"' || event_type || '","props":{"k":' || k || '},"value":' || n || ',"z":[0,' ||
+            fig[1] || case when sig > 1 then '.' || fig[2:] else '' end || 'e-' || (10 - len) ||
+            ',{"a":' || (n * 100) || ',"b":' || n || '.5}],"' || chr(128512) || '":1,"' || chr(65374) || '":"aA/\\u0007"}') as digest from x""",
+    "q_canonical_refused": "select event_id, case event_id % 8 when 0 then '{\"n\":9007199254740991}' end as form from events",
     "q_priority_type": _EV + " select event_id, case when phones > 0 or motion > 0.7 then 'high' when persons > 0 or motion > 0.4 then 'medium' else 'low' end as priority, case when phones > 1 then 'phone_activity' when papers > 1 then 'paper_activity' when persons > 1 then 'proximity' when camera_share > 0.5 then 'camera_motion' else 'unusual_motion' end as kind from event_set",
     "q_uncertainty": _EV + """, b as (select event_id, case when camera_share > 0.6 then 'high' when camera_share >= 0.3 then 'medium' else 'low' end as camera_shake, case when motion > 0.6 then 'high' when motion >= 0.3 then 'medium' else 'low' end as lighting_change from event_set)
         select *, case when lighting_change = 'high' and camera_shake <> 'high' or lighting_change = 'medium' and camera_shake = 'low' then 'lighting_change: ' || lighting_change else 'camera_shake: ' || camera_shake end as dominant from b""",
@@ -257,10 +275,12 @@ ORACLE_SQL = {
     "q_evidence_graph": ctes("boxes") + """, o as (select o_orderkey as event_id, o_custkey as video_id, epoch_us(o_orderdate) / 1000000.0::double as start from orders), b as (select frame_idx as event_id, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from boxes group by 1),
         ev as (select * from o join b using (event_id)), seen as (select distinct video_id, event_id, track_id from boxes join o on event_id = frame_idx),
         e as (select distinct a.event_id as a, b.event_id as b, 'same_subject' as reason from seen a join seen b on a.video_id = b.video_id and a.track_id = b.track_id and a.event_id < b.event_id
-          union select a.event_id, b.event_id, 'same_place' from ev a join ev b on a.video_id = b.video_id and a.event_id < b.event_id and abs(a.start - b.start) < 2592000 and (greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)))::double / ((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-(greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)))) > 0.3),
+          union select a.event_id, b.event_id, 'same_place' from ev a join ev b on a.video_id = b.video_id and a.event_id < b.event_id and abs(a.start - b.start) < 2592000 and (greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)))::double / ((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-(greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)))) > 0.3 and not exists (select 1 from seen x join seen y on x.track_id = y.track_id where x.event_id = a.event_id and y.event_id = b.event_id)),
         l as (select a as u, b as v from e union select b, a from e), r as (select u as node, u as root from l union select l.v, r.root from r join l on l.u = r.node), m as (select node, min(root) as root from r group by 1),
-        why as (select root, string_agg(distinct reason, ',' order by reason) as reasons from e join m on node = a group by 1)
-        select video_id, root, count(*) as events, round(max(start) - min(start), 2) as span, any_value(reasons) as reasons from ev join m on node = event_id join why using (root) group by 1, 2""",
+        why as (select root, string_agg(distinct reason, ',' order by reason) as reasons from e join m on node = a group by 1),
+        sh as (select root, count(*) as shared from (select root, track_id from (select distinct event_id, track_id from seen) join m on node = event_id group by 1, 2 having count(*) > 1) group by 1),
+        g as (select video_id, root, count(*) as events, round(max(start) - min(start), 2) as span, any_value(reasons) as reasons, coalesce(any_value(shared), 0) as shared from ev join m on node = event_id join why using (root) left join sh using (root) group by 1, 2)
+        select *, row_number() over (partition by video_id order by events desc, root) as place from g""",
     "q_owner_visible": _EV + " select event_id, video_id, motion from event_set e where exists (select 1 from customer where c_custkey = video_id and c_nationkey = 7)",
     "q_findings_search": "select doc_id, source from documents where lang = 'en' and (contains(lower(coalesce(source, '')), 'idiot') or contains(lower(coalesce(text, '')), 'idiot'))",
     "q_findings_facets": "select lang, source, count(*) as findings, sum(n_chars)::bigint as chars from documents group by 1, 2",
@@ -270,5 +290,5 @@ ORACLE_SQL = {
         p as (select *, exp(score) / sum(exp(score)) over (partition by vec_id) as p from s), r as (select *, row_number() over (partition by vec_id order by p desc, label desc) as rn, lead(p, 1, 0) over (partition by vec_id order by p desc, label desc) as nxt from p)
         select vec_id as image_id, label as top_label, round(p, 5) as top_score, round(p - nxt, 5) as margin, case when p < 0.45 or p - nxt < 0.15 then 'unjudgeable' when label::varchar like '0%' or label::varchar like '1%' then 'contradicted' else 'supported' end as verdict from r where rn = 1""",
     "q_text_helpers": r"""select page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) as slug, printf('%d:%04.1f', floor(page_id * 7.3::double / 60)::int, page_id * 7.3::double - floor(page_id * 7.3::double / 60) * 60) as clock,
-        replace(replace(replace(replace(left(html, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped, case when page_id % 4 = 0 then 0 else page_id / (page_id % 4)::double end as fraction, 'job::' || case when page_id % 2 = 0 then page_id::varchar else 'none' end || '|phone|' || page_id as key from pages""",
+        sha256(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as escaped, case when page_id % 4 = 0 then 0 else page_id / (page_id % 4)::double end as fraction, 'job::' || case when page_id % 2 = 0 then page_id::varchar else 'none' end || '|phone|' || page_id as key from pages""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, centre
 from ..operators import jerk, signal
-from ..operators.windows import bucketed_interval_join
+from ..operators.windows import bucketed_interval_join, numbered_globally
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import ctes
 
@@ -30,7 +30,7 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.table(spark, sf_dir, "events")
     f = e.select((F.col("user_id") % 7).alias("job_id"), F.col("event_type").alias("type"), (F.col("event_id") % 500).alias("frame_idx"), "event_id")
-    v = e.where("event_id % 4 = 0").select((F.col("user_id") % 7).alias("job_id"), F.col("event_type").alias("type"), (F.col("event_id") % 500).alias("frame_idx"), "ts", F.when(F.col("value") > 10, "confirmed").otherwise("dismissed").alias("verdict"))
+    v = e.select((F.col("user_id") % 7).alias("job_id"), F.col("event_type").alias("type"), (F.col("event_id") % 500 + 250).alias("frame_idx"), "ts", F.when(F.col("value") > 10, "confirmed").otherwise("dismissed").alias("verdict"))
     return sinks.reattached(f, v)
 
 
@@ -47,17 +47,16 @@ def q_sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_window_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames inside a coarse scan's windows; buckets of time are met before times are compared."""
-
-
-    o = adapters.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 150).alias("video_id"), (adapters.seconds(F.col("o_orderdate")) % 2592000 + 1704067200).alias("start")).withColumn("end", F.col("start") + 7200)
+    o = adapters.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("video_id"), (adapters.seconds(F.col("o_orderdate")) % 2592000 + 1704067200).alias("start")).withColumn("end", F.col("start") + 7200)
     s = adapters.signal(spark, sf_dir)
-    hit = bucketed_interval_join(s, o, ["video_id"], "t", "start", "end", 86400.0)
-    return s.join(hit.select("video_id", "frame_idx").distinct(), ["video_id", "frame_idx"], "left_semi").select("video_id", "frame_idx")
+    return bucketed_interval_join(s, o, ["video_id"], "t", "start", "end", 7200.0, "left_semi").select("video_id", "frame_idx")
 
 
 def q_job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs newest first, with their stored size and findings."""
     d = adapters.table(spark, sf_dir, "documents")
-    return d.groupBy(F.col("source").alias("job_id")).agg(F.sum("n_chars").alias("size"), F.count_if(F.col("n_chars") >= 100).alias("findings"), F.max("doc_id").alias("newest"))
+    stats = d.groupBy(F.col("source").alias("job_id")).agg(F.sum("n_chars").alias("size"), F.count_if(F.col("n_chars") >= 100).alias("findings"), F.max("doc_id").alias("newest"))
+    return numbered_globally(stats, "place", F.desc("job_id"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -66,12 +65,12 @@ ORACLE_SQL = {
     "q_heat_grid": ctes("boxes") + """, c as (select frame_idx % 16 as video_id, unnest(range(x1 // 20, (x2 - 1) // 20 + 1)) as cx, y1, y2 from boxes), d as (select video_id, cx, unnest(range(y1 // 20, (y2 - 1) // 20 + 1)) as cy from c), h as (select video_id, cx, cy, count(*) as hits from d group by 1, 2, 3)
         select *, round(hits / (max(hits) over (partition by video_id))::double, 6) as heat from h""",
     "q_upsert": "with n as (select s_suppkey * 20 as c_custkey, s_name as c_name, s_acctbal as c_acctbal from supplier) select c_custkey, c_name, c_acctbal from customer where c_custkey not in (select c_custkey from n) union all select * from n",
-    "q_reattach": """with f as (select user_id % 7 as job_id, event_type as type, event_id % 500 as frame_idx, event_id, ts, value from events), v as (select job_id, type, frame_idx, arg_max(case when value > 10 then 'confirmed' else 'dismissed' end, ts) as verdict from f where event_id % 4 = 0 group by 1, 2, 3)
+    "q_reattach": """with f as (select user_id % 7 as job_id, event_type as type, event_id % 500 as frame_idx, event_id, ts, value from events), v as (select job_id, type, frame_idx + 250 as frame_idx, arg_max(case when value > 10 then 'confirmed' else 'dismissed' end, ts) as verdict from f group by 1, 2, 3)
         select job_id, type, frame_idx, event_id, verdict from f left join v using (job_id, type, frame_idx)""",
     "q_nested_rois": ctes("boxes") + """ select frame_idx, count(*)::int as rois, '[' || string_agg('{"roi_id":' || roi_id || ',"x1":' || x1 || ',"source_id":' || source_id || ',"y1":' || y1 || '}', ',' order by roi_id, x1, source_id, y1) || ']' as boxes from boxes group by 1""",
     "q_sampled_frames": """with v as (select p_partkey as video_id, 5.0::double + p_size as fps, p_size * 3 as n from part), s as (select *, greatest(1, round_even(fps / least(5.0::double, fps), 0)::int) as stride from v where n > 0)
         select video_id, (n - 1) // stride + 1 as frames, ((n - 1) // stride) * stride as last_frame from s""",
-    "q_window_pruned": ctes("signal") + """, w as (select o_custkey % 150 as video_id, (epoch_us(o_orderdate) / 1000000.0::double) % 2592000 + 1704067200 as s from orders where o_orderstatus = 'P')
+    "q_window_pruned": ctes("signal") + """, w as (select o_custkey % 150 as video_id, (epoch_us(o_orderdate) / 1000000.0::double) % 2592000 + 1704067200 as s from orders)
         select video_id, frame_idx from signal f where exists (select 1 from w where w.video_id = f.video_id and t between s and s + 7200)""",
-    "q_job_listing": "select source as job_id, sum(n_chars)::bigint as size, count(*) filter (n_chars >= 100) as findings, max(doc_id) as newest from documents group by 1",
+    "q_job_listing": "select source as job_id, sum(n_chars)::bigint as size, count(*) filter (n_chars >= 100) as findings, max(doc_id) as newest, row_number() over (order by source desc nulls last) as place from documents group by 1",
 }

@@ -48,6 +48,21 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).join(o, "frame_idx")
 
 
+def keypoints(boxes: DataFrame) -> DataFrame:
+    """Persons' boxes (with video_id, t and box_id) as poses: (video_id, track_id, frame_idx, t, box_id, box, joints as x, y and c)."""
+    video, track, p = F.col("video_id") % 100, F.col("track_id") % 3, F.col("source_id")
+    wide = (20 + 60 * ((video * 3 + track) % 10)).cast("double")
+    mid, top = (F.col("x1") + F.col("x2")) / 2.0, F.col("y1") + F.lit(10.0)
+    sure = lambda x: (4 + x % 7) / 10.0
+    joints = {
+        "nose": (mid - wide / 2 + wide * (p * 7 % 100) / 100.0, top, sure(p * 5)), "ls": (mid - wide / 2, top, F.lit(0.9)), "rs": (mid + wide / 2, top + 2, sure(F.col("roi_id"))),
+        "lw": (mid - wide / 2, top + 1 - wide * (p * 11 % 100 - 40) / 100.0, sure(p)), "rw": (mid + wide / 2, top + 1 - wide * (p * 13 % 100 - 40) / 100.0, sure(p * 3)),
+        "lh": (mid, F.col("y2") - F.lit(5.0), sure(p * 2)), "rh": (mid, F.col("y2") - F.lit(3.0), F.lit(0.6)),
+    }
+    parts = [c.alias(f"{j}_{a}") for j, xyc in joints.items() for a, c in zip("xyc", xyc, strict=True)]
+    return boxes.where("cls = 'person'").select(video.alias("video_id"), track.alias("track_id"), "frame_idx", "t", "box_id", "x1", "y1", "x2", "y2", *parts)
+
+
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, type, confidence, verdict): findings with what a reviewer made of them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("type"), F.round(F.col("n_chars") / 20000.0, 4).alias("confidence"), "source")

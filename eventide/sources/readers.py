@@ -15,10 +15,15 @@ CONTAINERS = ("mp4", "avi", "mov", "mkv", "webm")
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table with a header; columns are matched by name and missing ones are null."""
+    """A CSV table with a header; columns are matched by name and missing ones are null.
+
+    ``_unreadable`` names the columns whose text is there but is no value of their type, null if there are none.
+    """
     found = spark.read.option("header", True).csv(path)
     wanted = [x.strip().split(" ") for x in schema.split(",")]
-    return found.select(*[(F.col(n).try_cast(t) if n in found.columns else F.lit(None).cast(t)).alias(n) for n, t in wanted])
+    values = {n: F.col(n).try_cast(t) if n in found.columns else F.lit(None).cast(t) for n, t in wanted}
+    bad = F.array_compact(F.array(*[F.when(F.col(n).isNotNull() & values[n].isNull(), F.lit(n)) for n, _ in wanted if n in found.columns], F.lit(None).cast("string")))
+    return found.select(*[v.alias(n) for n, v in values.items()], F.when(F.size(bad) > 0, bad).alias("_unreadable"))
 
 
 def motion(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +35,47 @@ def quality(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A log of one JSON document a line; blank and damaged lines are left out."""
-    return spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").json(path).where(F.col("seq").isNotNull())
+    """A log of one JSON document a line; blank lines are left out.
+
+    A damaged line is kept with its text in ``_damaged``, as a log that hides it would hide tampering.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", LEDGER + ", _damaged string", {"columnNameOfCorruptRecord": "_damaged"}).alias("e")).select("value", "e.*")
+    return parsed.withColumn("_damaged", F.coalesce("_damaged", F.when(F.col("seq").isNull(), F.col("value")))).drop("value")
+
+
+def chain(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
+    """A log from a Parquet table in order of its numbers, of one job if asked for."""
+    log = spark.read.parquet(path)
+    return (log if job_id is None else log.where(F.col("job_id") == job_id)).orderBy("seq")
+
+
+def keyed(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """(key, fields): the entries of a JSON document that maps keys to structs; none if there is no document."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"key string, {fields}")
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", f"map<string,struct<{fields.replace(' ', ':').replace(',:', ',')}>>")).alias("key", "v")).select("key", "v.*")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def active_job(spark: SparkSession, path: str, default: str) -> str:
+    """The job that a pointer file names; the default if there is none or it is blank."""
+    if not exists(spark, path):
+        return default
+    row = spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", "$.jobId").alias("job")).first()
+    return (row and row["job"] or "").strip() or default
+
+
+def checked_job(name: str) -> str:
+    """A job's name that may become part of a path; raises ValueError for one that leaves its folder."""
+    if not name.strip() or ".." in name or "/" in name or "\\" in name:
+        raise ValueError(f"invalid job {name!r}")
+    return name
 
 
 def event_documents(spark: SparkSession, pattern: str) -> DataFrame:
@@ -72,7 +116,10 @@ def probed(documents: DataFrame, column: str = "probe") -> DataFrame:
     fps = F.nullif(fraction(video["r_frame_rate"]), F.lit(0.0))
     seconds = F.coalesce(F.nullif(video["duration"].try_cast("double"), F.lit(0.0)), F.nullif(F.col("_p.format.duration").try_cast("double"), F.lit(0.0)))
     frames = F.coalesce(F.nullif(video["nb_frames"].try_cast("bigint"), F.lit(0)), F.round(fps * seconds).cast("bigint"))
-    return d.withColumns({"codec": video["codec_name"], "width": video["width"], "height": video["height"], "fps": fps, "duration_sec": seconds, "frame_count": frames}).drop("_p")
+    # the stream's own count and duration win; what they contradict by more than a frame is told
+    guess = F.round(fps * F.nullif(F.col("_p.format.duration").try_cast("double"), F.lit(0.0))).cast("bigint")
+    warning = F.when(F.abs(frames - guess) > 1, F.format_string("stream has %d frames, the container's duration gives %d", frames, guess))
+    return d.withColumns({"warning": warning, "codec": video["codec_name"], "width": video["width"], "height": video["height"], "fps": fps, "duration_sec": seconds, "frame_count": frames}).drop("_p")
 
 
 def sampled_frames(videos: DataFrame, target_fps: float = 5.0) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import latest
+from .storage import stored
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -47,6 +50,40 @@ def without(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def touched(old: DataFrame, new: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """``upserted`` with ``updated_at``: rows that changed get ``at``, others keep their own."""
+    values = [c for c in new.columns if c not in keys]
+    before = old.select(*keys, F.struct(*values).alias("_was"), F.col("updated_at").alias("_at"))
+    same = F.col("_was").eqNullSafe(F.struct(*values))
+    fresh = new.join(before, keys, "left").withColumn("updated_at", F.when(F.col("_at").isNotNull() & same, F.col("_at")).otherwise(at)).drop("_was", "_at")
+    return upserted(old, fresh.select(*old.columns), keys)
+
+
+def pruned(rows: DataFrame, path: str, gone: DataFrame, keys: list[str], record: Callable[[DataFrame], None]) -> None:
+    """Writes ``rows`` without the keys in ``gone`` to ``path``, after ``record`` has taken them down.
+
+    If they cannot be recorded, its error ends the call and nothing is removed.
+    """
+    record(gone.select(*keys).distinct())
+    without(rows, gone, keys).write.mode("overwrite").parquet(path)
+
+
+def append_entries(log: DataFrame, path: str, statements: DataFrame) -> DataFrame:
+    """Appends the links of new statements to the log at ``path``; raises if another writer was first.
+
+    One writer at a time is the caller's duty; what can be checked is that no number is there twice afterwards.
+    """
+    from ..operators.ledger import appended
+
+    new = stored(appended(log, statements), "ledger-new")
+    new.write.mode("append").parquet(path)
+    spark = log.sparkSession
+    twice = spark.read.parquet(path).groupBy("job_id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if twice:
+        raise RuntimeError("two writers have appended to one log")
+    return new
+
+
 def reattached(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts of an earlier run carried to the findings of a new one by job, type and frame."""
     newest = latest(verdicts, ["job_id", "type", "frame_idx"], F.desc("ts"))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (as in local tests)
-    a temporary folder is made and set for the session.
+    It is ``spark.checkpoint.dir``; only where that is unset and the master is local (as in tests)
+    a temporary folder is made and set for the session: on a cluster each machine would see its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,5 +1,7 @@
 """Operators against hand-made cases and plain Python."""
 
+import cmath
+import math
 import random
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.functions import geometry, scalars
-from eventide.operators import detectors, drift, graph, jerk, ledger, review, segment, tracks, windows
+from eventide.operators import drift, findings, graph, jerk, ledger, poses, review, segment, tracks, windows
 from eventide.sources import readers, sinks
 
 
@@ -103,13 +105,49 @@ def test_dominant_takes_the_first_of_equals(spark):
     assert pick(shake="unavailable") == "unavailable"
 
 
-def poses(spark, lifts):
-    return spark.createDataFrame([(1, i, float(i), x) for i, x in enumerate(lifts)], "video_id int, frame_idx int, t double, lift double")
+POSE = "video_id int, frame_idx int, t double, box_id int, x1 double, y1 double, x2 double, y2 double, " + ", ".join(f"{j}_{a} double" for j in ("nose", "ls", "rs", "lw", "rw", "lh", "rh") for a in "xyc")
 
 
-@pytest.mark.parametrize(("lifts", "found"), [([0.2] * 4, 1), ([0.0, 0.2, 0.0], 0), ([0.2] * 2, 0), ([0.2] * 3, 1), ([0.2, 0.2, None, 0.2, 0.2], 0), ([0.0] * 5, 0)])
-def test_hand_raises(spark, lifts, found):
-    assert detectors.hand_raises(poses(spark, lifts), ["video_id"]).count() == found
+def pose(i, lift=0.0, nose=0.5, step=0.0, shoulders=0.9, right_lift=None):
+    """A person with shoulders 40 apart at height 200, whose wrists are ``lift`` shoulder widths over them."""
+    x = 100.0 + i * step
+    joints = {"nose": (x + 40 * nose, 180.0, 0.9), "ls": (x, 200.0, shoulders), "rs": (x + 40, 200.0, 0.9), "lw": (x, 200 - 40 * lift, 0.7), "rw": (x + 40, 200 - 40 * (lift if right_lift is None else right_lift), 0.8), "lh": (x, 260.0, 0.2), "rh": (x + 40, 264.0, 0.9)}
+    return (1, i, i / 5, i, x - 10, 150.0, x + 50, 300.0, *(v for j in joints.values() for v in j))
+
+
+def measured(spark, rows):
+    return poses.measured(spark.createDataFrame(rows, POSE))
+
+
+@pytest.mark.parametrize(("raised", "step", "found"), [(4, 0, 1), (1, 0, 0), (2, 0, 0), (3, 0, 1), (6, 30, 0), (6, 2, 1), (0, 0, 0)])
+def test_hand_raises(spark, raised, step, found):
+    got = poses.hand_raises(measured(spark, [pose(i, 0.5 if i < raised else -1.0, step=step) for i in range(8)]), ["video_id"]).collect()
+    assert len(got) == found
+    if found:
+        assert got[0]["end"] > got[0]["start"] and got[0]["confidence"] == 0.7
+
+
+def test_a_gap_ends_a_raise(spark):
+    lifts = [0.5, 0.5, None, 0.5, 0.5]
+    rows_ = [pose(i, x or 0.0, shoulders=0.1 if x is None else 0.9) for i, x in enumerate(lifts)]
+    assert poses.hand_raises(measured(spark, rows_), ["video_id"]).count() == 0
+
+
+def test_pose_measures(spark):
+    high, low, none = measured(spark, [pose(0, 0.25, right_lift=0.75), pose(1, 0.5), pose(2, 0.5, shoulders=0.1)]).orderBy("frame_idx").collect()
+    assert (high["lift"], high["lift_conf"], high["torso"], high["yaw"]) == (0.75, 0.8, 64.0, 0.0)
+    assert (low["lift"], low["lift_conf"]) == (0.5, 0.7)  # the left one of equals
+    assert none["lift"] is None and none["yaw"] is None and none["torso"] is None
+
+
+def test_head_turns(spark):
+    turned = [0.5] * 6 + [0.9] * 5 + [0.5] * 3
+    for step, found in ((0, 1), (30, 0)):
+        got = poses.head_turns(measured(spark, [pose(i, nose=n, step=step) for i, n in enumerate(turned)]), ["video_id"]).collect()
+        assert len(got) == found
+    # a run that is closed is held against the base, one that is open against 0
+    assert [r["direction"] for r in poses.head_turns(measured(spark, [pose(i, nose=0.2 if i < 6 else 0.45 if i < 11 else 0.2) for i in range(14)]), ["video_id"]).collect()] == ["right"]
+    assert [r["direction"] for r in poses.head_turns(measured(spark, [pose(i, nose=0.2 if i < 9 else 0.45) for i in range(14)]), ["video_id"]).collect()] == ["left"]
 
 
 def test_components(spark):
@@ -166,7 +204,10 @@ def test_chain_finds_each_kind_of_change(spark):
 
 def test_canonical_json():
     assert ledger.canonical({"b": 1, "a": [True, None, "é"]}) == '{"a":[true,null,"é"],"b":1}'
-    for bad in (float("nan"), 2**53, {1: 2}, {"x": object()}):
+    assert ledger.canonical({"v": [1.0, -0.0, 1e-7, 1.5e-9, 0.000001, 123.25, -2.5]}) == '{"v":[1,0,1e-7,1.5e-9,0.000001,123.25,-2.5]}'
+    # keys go by UTF-16 units: a pair of surrogates comes before U+FF5E
+    assert ledger.canonical({"\uff5e": 1, "\U0001f600": {"z": "\x07\x7f\ud800/"}}) == '{"\U0001f600":{"z":"\\u0007\x7f\\ud800/"},"\uff5e":1}'
+    for bad in (float("nan"), 2**53, 1e20, float("inf"), 10**400, {1: 2}, {"x": object()}):
         with pytest.raises(ValueError):
             ledger.canonical(bad)
 
@@ -177,6 +218,37 @@ def test_tracker_confirms_after_three_hits():
     assert t.update(np.array([[100.0, 0, 110, 10]]), 4) == []
 
 
+def test_tracked_is_the_plain_loop(spark):
+    rng = random.Random(3)
+    boxes = [(v, f, v * 1000 + f * 10 + k, x := rng.randrange(60), y := rng.randrange(60), x + rng.randrange(5, 40), y + rng.randrange(5, 40)) for v in (1, 2) for f in sorted(rng.sample(range(90), 60)) for k in range(rng.randrange(1, 4))]
+    want = []
+    for v in (1, 2):
+        open_, made = [], 0
+        frames = sorted({b[1] for b in boxes if b[0] == v})
+        for step, f in enumerate(frames):
+            free = [b for b in boxes if b[:2] == (v, f)]
+            for t in open_:
+                over = [(overlap(t["box"], b[3:]), -i) for i, b in enumerate(free)]
+                best, i = max(over, default=(0, 0))
+                if best > 0.3:
+                    b = free.pop(-i)
+                    t.update(box=b[3:], hits=t["hits"] + 1, last=step)
+                    if t["hits"] >= 3:
+                        want.append((v, f, b[2], f"Track-{t['id']:02d}"))
+            for b in free:
+                made += 1
+                open_.append({"id": made, "box": b[3:], "hits": 1, "last": step})
+            open_ = [t for t in open_ if step - t["last"] <= 30]
+    df = spark.createDataFrame(boxes, "video_id int, frame_idx int, box_id int, x1 int, y1 int, x2 int, y2 int")
+    assert rows(tracks.tracked(df), "video_id", "frame_idx", "box_id", "track") == sorted(want) and want
+
+
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    shared = max(0, w) * max(0, h)
+    return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
+
+
 def test_suppression(spark):
     d = spark.createDataFrame([(1, 1, "a", 0.9, 0, 0, 10, 10), (1, 2, "a", 0.8, 1, 1, 11, 11), (1, 3, "b", 0.7, 1, 1, 11, 11), (1, 4, "a", 0.6, 50, 50, 60, 60)], "f int, box_id int, cls string, conf double, x1 int, y1 int, x2 int, y2 int")
     assert rows(tracks.suppressed(d, ["f"]), "box_id") == [(1,), (3,), (4,)]
@@ -190,6 +262,73 @@ def test_jerk_finds_the_jump():
     assert found.min() == 0 and found.max() == 1
 
 
+def test_jerk_by_definition():
+    x = [math.sin(i / 3) + (i == 20) for i in range(40)]
+    n = len(x)
+    f = [sum(v * cmath.exp(-2j * math.pi * k * t / n) for t, v in enumerate(x)) for k in range(n)]
+    log = [math.log(abs(c) + 1e-8) for c in f]
+    rest = [log[k] - sum(log[k + d] for d in (-1, 0, 1) if 0 <= k + d < n) / 3 for k in range(n)]
+    power = [abs(sum(math.exp(rest[k]) * cmath.exp(1j * (cmath.phase(f[k]) + 2 * math.pi * k * t / n)) for k in range(n)) / n) ** 2 for t in range(n)]
+    weight = {d: math.exp(-(d**2) / (2 * 1.5**2)) for d in range(-3, 4)}
+    smooth = [sum(w * power[t + d] for d, w in weight.items() if 0 <= t + d < n) / sum(weight.values()) for t in range(n)]
+    want = [(v - min(smooth)) / (max(smooth) - min(smooth)) for v in smooth]
+    assert jerk.spectral_residual(np.array(x)) == pytest.approx(want, abs=1e-6)
+
+
+def test_findings_without_a_subject_get_no_box(spark):
+    cols = "video_id bigint, type string, label string, track_id bigint, start_sec double, end_sec double, frame_idx bigint, confidence double, x1 bigint, y1 bigint, x2 bigint, y2 bigint, sightings bigint, duration double"
+    one = lambda track, frame, x: (1, "t", "l", track, 0.0, 0.0, frame, 0.5, x, x, x, x, None, None)
+    found = spark.createDataFrame([one(7, 3, None), one(7, 3, 9), one(None, 3, None), one(8, 3, None)], cols)
+    boxes = spark.createDataFrame([(1, 7, 3, 1, 2, 3, 4), (1, 7, 3, 5, 6, 7, 8)], "video_id bigint, track_id bigint, frame_idx bigint, x1 int, y1 int, x2 int, y2 int")
+    got = findings.with_subject_box(found, boxes).collect()
+    assert sorted((str(r["track_id"]), str(r["x1"])) for r in got) == [("7", "1"), ("7", "9"), ("8", "None"), ("None", "None")]
+
+
+def test_append_refuses_a_second_writer(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = ledger.chained(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "job_id int, seq int, statement_hash string"))
+    first.write.parquet(path)
+    log = spark.createDataFrame(spark.read.parquet(path).collect(), first.schema)
+    more = spark.createDataFrame([(1, 1, "c"), (2, 1, "d")], "job_id int, seq int, statement_hash string")
+    assert rows(sinks.append_entries(log, path, more), "job_id", "seq") == [(1, 3), (2, 1)]
+    assert ledger.problems(spark.read.parquet(path)).count() == 0
+    with pytest.raises(RuntimeError):
+        sinks.append_entries(log, path, more)  # from a state that is out of date
+
+
+def test_nothing_is_removed_that_was_not_recorded(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+
+    def refuse(rows_):
+        raise OSError("no ledger")
+
+    with pytest.raises(OSError):
+        sinks.pruned(df, str(tmp_path / "x"), df.where("k = 1"), ["k"], refuse)
+    assert not (tmp_path / "x").exists()
+
+
+def test_numbered_globally(spark):
+    df = spark.range(500).withColumn("v", F.col("id") * 7919 % 83)
+    got = windows.numbered_globally(df, "place", F.desc("v"), F.col("id")).collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: (-r["v"], r["id"]))] == list(range(1, 501))
+    assert windows.numbered_globally(df.where("false"), "place", F.col("id")).count() == 0
+
+
+def test_pointers_and_maps(spark, tmp_path):
+    assert readers.active_job(spark, str(tmp_path / "none.json"), "d") == "d"
+    (tmp_path / "p.json").write_text('{"jobId": "j7"}')
+    assert readers.active_job(spark, str(tmp_path / "p.json"), "d") == "j7"
+    assert readers.keyed(spark, str(tmp_path / "none.json"), "a bigint, b string").columns == ["key", "a", "b"]
+    assert readers.checked_job("job_1") == "job_1"
+    for bad in ("", "..", "a/b", "a\\b"):
+        with pytest.raises(ValueError):
+            readers.checked_job(bad)
+    (tmp_path / "s").mkdir()
+    for name in ("v__f0000012__t1.jpg", "other.jpg"):
+        (tmp_path / "s" / name).write_bytes(b"x")
+    assert [r["frame_idx"] for r in readers.images(spark, str(tmp_path / "s")).collect()] == [12]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "m.csv").write_text("video_id,frame_idx,t,score\na,1,0.5,0.25\na,x,1.0,\n")
     got = readers.motion(spark, str(tmp_path / "m.csv")).select("frame_idx", "score", "jerk_score").collect()
@@ -197,7 +336,8 @@ def test_readers(spark, tmp_path):
     names = spark.createDataFrame([("a/v__f0000123__t1.0.jpg", "m_f00042.png"), ("x.jpg", "m_fx.png")], "p string, q string")
     assert [tuple(r) for r in names.select(readers.frame_of(F.col("p")), readers.mask_frame_of(F.col("q"))).collect()] == [(123, 42), (None, None)]
     (tmp_path / "l.jsonl").write_text('{"seq": 1, "entry_hash": "a"}\n\n{broken\n{"seq": 2, "entry_hash": "b"}\n')
-    assert readers.ledger(spark, str(tmp_path / "l.jsonl")).count() == 2
+    log = readers.ledger(spark, str(tmp_path / "l.jsonl")).collect()
+    assert sorted((str(r["seq"]), r["_damaged"]) for r in log) == [("1", None), ("2", None), ("None", "{broken")]
     probe = '{"streams":[{"codec_type":"audio"},{"codec_type":"video","r_frame_rate":"25/1","nb_frames":"0","duration":"4.0"}]}'
     p = readers.probed(spark.createDataFrame([("v", probe), ("w", "{}")], "video_id string, probe string"))
     assert rows(p.where("video_id = 'v'"), "fps", "duration_sec", "frame_count") == [(25.0, 4.0, 100)]
