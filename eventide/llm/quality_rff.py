@@ -17,7 +17,7 @@ scored on each row; with no label of either kind every score is the share of lab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fold, stored, text_or_empty, whole
+from .common import fold, stored, text_or_empty, whole
 
 STATISTICS = ("log_bytes", "letters", "capitals", "digits", "stops", "symbols", "bars", "bangs", "spaces", "lines", "word_length", "short_words", "distinct_words", "repeated_lines", "symbol_words", "capital_words", "commonest_word")
 BINS, FAN_IN, LEVELS = 4096, 32, 3
@@ -64,17 +64,21 @@ def statistics(data: bytes) -> np.ndarray:
     return np.array([np.log1p(n), *shares, sum(map(len, words)) / k, short / k, np.log1p(len(counts)) / np.log1p(k), repeated / n, symbols / k, capitals / k, max(counts.values(), default=0) / k])
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, stats) of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def text_statistics(text: Column) -> Column:
+    """The statistics of each text; only texts go to Python, the rest of a row stays in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = pa.array([statistics(x.as_buffer().to_pybytes()) for x in batch.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["id", "stats"])
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = pa.array([statistics(x.as_buffer().to_pybytes()) for x in texts], pa.list_(pa.float64()))
+        pa.default_memory_pool().release_unused()  # a worker goes on to other work
+        return found
+
+    return run(text_or_empty(text).cast("binary"))
 
-    raw = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return raw.mapInArrow(run, f"id {kind}, stats array<double>").withColumnRenamed("id", id_col)
+
+def document_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, rows whole, as (_all, stats)."""
+    return docs.select(whole(docs).alias("_all"), text_statistics(F.col(text_col)).alias("stats"))
 
 
 @dataclass
@@ -177,16 +181,14 @@ def tree_sums(parts: DataFrame) -> DataFrame:
     return parts
 
 
-def scored(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, score) for rows of (id_col, stats)."""
-    kind = stats.schema[id_col].dataType.simpleString()
+def score_of(model: Model) -> Callable[[Column], Column]:
+    """The score of a column of statistics."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))))], names=["id", "score"])
+    @F.arrow_udf("double")
+    def run(stats: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(stats)) if len(stats) else [], pa.float64())
 
-    return stats.select(F.col(id_col).alias("id"), "stats").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return run
 
 
 def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -195,20 +197,27 @@ def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qual
     return known.groupBy(id_col).agg(F.max("y").alias("y"))
 
 
+def fitted(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
+    """Fits on the labelled rows of (_all, stats), by their ids; only ids and statistics are read."""
+    known = rows.select(F.col("_all")[id_col].alias(id_col), "stats")
+    return fit(known.join(label_rows(labels, id_col, label_col), id_col), fold(F.col(id_col), 4) == 3)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted): learned from the labels of rows that are not held out."""
-    stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
-    part = fold(F.col(id_col), 4)
-    model = fit(stats.join(label_rows(labels, id_col, label_col), id_col), part == 3)
-    out = scored(stats, model, id_col)
-    return out.select(id_col, (part == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    ids = docs.select(id_col, F.col(text_col).alias("_text"))
+    stats = text_statistics(F.col("_text")).alias("stats")
+    rows = stored(ids.select(F.struct(id_col).alias("_all"), stats), "quality-statistics")
+    score = score_of(fitted(rows, labels, id_col, label_col))
+    out = rows.select(F.col("_all")[id_col].alias(id_col), score(F.col("stats")).alias("score"))
+    return out.select(id_col, (fold(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted good, each by its own text."""
-    stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
-    model = fit(stats.join(label_rows(labels, id_col), id_col), fold(F.col(id_col), 4) == 3)
-    drop_stored(stats)
-    # rows pass whole through the scoring, so that no join by id is needed
-    rows = docs.select(whole(docs).alias("_all"), F.col(text_col).alias("_text"))
-    return scored(document_statistics(rows, "_all", "_text"), model, "_all").where(F.col("score") >= THRESHOLD).select("_all.*")
+    """The rows of ``docs``, all columns, that are predicted good, each by its own text.
+
+    Rows are written once beside their statistics, so texts are read once and no join by id is needed.
+    """
+    rows = stored(document_statistics(docs, text_col), "quality-rows")
+    score = score_of(fitted(rows, labels, id_col, "quality"))
+    return rows.where(score(F.col("stats")) >= THRESHOLD).select("_all.*")

@@ -5,10 +5,10 @@ thresholds: P(grade > g) = logistic(w.x - t_g) with t_0 <= t_1 <= ..., and the e
 severity is the sum of these.  Features are the words of a text, letters lower-cased,
 and the beginnings of ``STEMS`` characters of longer words, each present or not.
 
-Labels say only whether a text is toxic.  Toxic training rows are graded by how much of
-them is: grade 1 below and grade 2 from the median share of words that carry a feature
-seen (nearly) only in toxic training rows; such features are counted on all training rows
-first.  With labels that have grades already, pass them as they are.
+Grades come from the labels alone: 0 for a clean text, 1 for a toxic one, 2 for a toxic one that is also labelled as of
+bad quality; labels without the latter have two grades.  With labels that have grades already, pass them as they are.
+Candidates are features that toxic texts have more often; their weights may have either sign.  (Features of
+clean texts as candidates too made held-out recall worse, see the README.)
 
 Training reads a bounded sample: ``SAMPLE`` labelled rows at most, the ones with the
 smallest hash of their id, and ``FEATURES`` features at most, those most telling.  All
@@ -20,15 +20,15 @@ labels every row has severity 0; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, whole
+from .common import text_or_empty
 
 SAMPLE, FEATURES, CACHE_WORDS = 30_000, 20_000, 150_000
 STEMS = (4, 5, 6)
@@ -90,15 +90,21 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, data, y) for at most ``SAMPLE`` labelled ids; the ids are broadcast, being so few."""
-    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("y").alias("y"))
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, worse_col: str | None = "quality") -> DataFrame:
+    """(id, data, y) for at most ``SAMPLE`` labelled ids, y being the grade; the ids are broadcast, being so few.
+
+    A toxic text whose ``worse_col`` is 0 is graded 2.
+    """
+    y = F.col(label_col).cast("int")
+    if worse_col in labels.columns:
+        y = F.when((y == 1) & (F.col(worse_col) == 0), 2).otherwise(y)
+    marked = labels.select(F.col(id_col), y.alias("y")).where(F.col("y").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64(F.lit(4), id_col), id_col).limit(SAMPLE)
     return docs.select(id_col, text_or_empty(text_col).cast("binary").alias("data")).join(F.broadcast(chosen), id_col)
 
 
-def fit(sample: DataFrame, graded: bool = False) -> Model:
-    """Fits on (data, y): y is 0 or 1, or the grade itself if ``graded``.
+def fit(sample: DataFrame) -> Model:
+    """Fits on (data, y), y being the grade.
 
     Features are counted in Spark; the driver gets the most telling ones and, of each
     sampled row, only which of them it has.
@@ -123,51 +129,46 @@ def fit(sample: DataFrame, graded: bool = False) -> Model:
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     telling = counts.withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "feature").limit(FEATURES).collect()
     index = {r["feature"]: i for i, r in enumerate(telling)}
-    strong = {r["feature"] for r in telling if r["odds"] > 3}
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols, shares = [], []
-            for data in batch.column(0):
-                raw = data.as_buffer().to_pybytes()
-                cols.append(sorted(index[f] for f in features(raw) if f in index))
-                words = raw.split()
-                hits = sum(1 for w in words if any(f in strong for f in word_features(w.decode(errors="replace"))))
-                shares.append(hits / max(1, len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cols, pa.list_(pa.int32())), pa.array(shares)], names=["y", "cols", "share"])
-
-    rows = sample.select("data", "y").mapInArrow(encoded, "y int, cols array<int>, share double").toPandas()
-    y = rows["y"].to_numpy()
-    if not graded:
-        middle = np.median(rows["share"][y > 0])
-        y = np.where(y > 0, np.where(rows["share"] >= middle, 2, 1), 0)
-    w, thresholds = fit_ordinal([list(c) for c in rows["cols"]], y, max(1, len(index)))
+            cols = [sorted(index[f] for f in features(data.as_buffer().to_pybytes()) if f in index) for data in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cols, pa.list_(pa.int32()))], names=["y", "cols"])
+
+    rows = sample.select("data", "y").mapInArrow(encoded, "y int, cols array<int>").collect()
+    w, thresholds = fit_ordinal([list(r["cols"]) for r in rows], np.array([r["y"] for r in rows]), max(1, len(index)))
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, thresholds)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, p_toxic, severity) of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def severity_of(model: Model) -> Callable[[Column], Column]:
+    """(p_toxic, severity) of a column of texts in UTF-8; only texts go to Python, the rest of a row stays in the JVM."""
     weights = model.weights
+    known: dict[bytes, tuple] = {}
+
+    @F.arrow_udf("struct<p_toxic:double,severity:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        p, severity = [], []
+        for data in texts:
+            words = set(data.as_buffer().to_pybytes().split())
+            new = [w for w in words if w not in known]
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = list(words)
+            known.update((w, tuple(f for f in word_features(w.decode(errors="replace")) if f in weights)) for w in new)
+            present = {f for w in words for f in known[w]}
+            a, b = model.expected(sum(weights[f] for f in sorted(present)))
+            p.append(a)
+            severity.append(b)
+        pa.default_memory_pool().release_unused()  # a worker goes on to other work
+        return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(severity, pa.float64())], names=["p_toxic", "severity"])
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}
-        for batch in batches:
-            p, severity = [], []
-            for data in batch.column(1):
-                words = set(data.as_buffer().to_pybytes().split())
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > CACHE_WORDS:
-                    known, new = {}, list(words)
-                known |= {w: tuple(f for f in word_features(w.decode(errors="replace")) if f in weights) for w in new}
-                present = {f for w in words for f in known[w]}
-                a, b = model.expected(sum(weights[f] for f in sorted(present)))
-                p.append(a)
-                severity.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(severity, pa.float64())], names=["id", "p_toxic", "severity"])
-
-    raw = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return raw.mapInArrow(run, f"id {kind}, p_toxic double, severity double").withColumnRenamed("id", id_col)
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, p_toxic, severity) of each row."""
+    found = docs.select(F.col(id_col).alias("_id"), severity_of(model)(text_or_empty(text_col).cast("binary")).alias("_s"))
+    return found.select(F.col("_id").alias(id_col), "_s.p_toxic", "_s.severity")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -179,6 +180,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic, each by its own text."""
     model = fit(training_sample(docs, labels, id_col, text_col, "toxic"))
-    # rows pass whole through the scoring, so that no join by id is needed
-    rows = docs.select(whole(docs).alias("_all"), F.col(text_col).alias("_text"))
-    return scored(rows, model, "_all", "_text").where(F.col("p_toxic") < THRESHOLD).select("_all.*")
+    score = severity_of(model)
+    return docs.where(score(text_or_empty(text_col).cast("binary"))["p_toxic"] < THRESHOLD)

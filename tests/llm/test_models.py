@@ -74,6 +74,60 @@ def test_ordinal_thresholds_are_ordered_and_weights_shared():
     assert ((total[:, None] > t).sum(axis=1) == grades).mean() > 0.95
 
 
+def test_grades_come_from_labels(spark):
+    docs, _ = corpus(spark, 6)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1), (3, 0, 1), (4, None, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic")
+    assert {r["doc_id"]: r["y"] for r in sample.collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 1}
+
+
+def test_ordinal_gradient_against_differences():
+    """At the fit the penalised likelihood has no slope, taken by differences of its definition."""
+    rng = np.random.default_rng(5)
+    grades = rng.integers(0, 3, 120)
+    rows = [sorted(set(rng.integers(0, 6, 3).tolist() + ([6] if g else []))) for g in grades]
+    w, t = toxicity.fit_ordinal(rows, grades, 7, l2=0.5, steps=4000)
+
+    def loss(w, t):
+        total = 0.25 * (w**2).sum()
+        for r, g in zip(rows, grades, strict=True):
+            over = [1.0, *(1 / (1 + np.exp(c - w[r].sum())) for c in t), 0.0]
+            total -= np.log(over[g] - over[g + 1])
+        return total
+
+    for k in range(len(w) + len(t)):
+        step = np.zeros(len(w) + len(t))
+        step[k] = 1e-4
+        slope = (loss(w + step[: len(w)], t + step[len(w) :]) - loss(w - step[: len(w)], t - step[len(w) :])) / 2e-4
+        assert abs(slope) < 0.05, k
+
+
+def test_random_features_approximate_the_kernel():
+    rng = np.random.default_rng(0)
+    d = len(quality_rff.STATISTICS)
+    x = rng.normal(size=(6, d))
+    model = quality_rff.Model(np.zeros(d), np.ones(d), rng.normal(0, 1 / 3.0, (d, 20_000)), rng.uniform(0, 2 * np.pi, 20_000), np.zeros(1), np.zeros(1), np.zeros(1))
+    waves = model.features(x)[:, 1 + d :]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * 3.0**2))
+    assert np.abs(waves @ waves.T - kernel).max() < 0.05
+
+
+def test_isotonic_is_the_least_squares_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        w, y = rng.integers(1, 4, 5).astype(float), rng.integers(0, 5, 5) / 4
+        fit = quality_rff.isotonic(w, y)
+        # the max-min formula of the fit
+        want = [max(min((w[a : b + 1] * y[a : b + 1]).sum() / w[a : b + 1].sum() for b in range(i, 5)) for a in range(i + 1)) for i in range(5)]
+        assert fit.tolist() == pytest.approx(want)
+
+
+def test_normal_equations_are_summed_whole(spark):
+    parts = spark.range(3000).select(F.col("id").alias("at"), F.lit(np.array([1.0, 2.0]).tobytes()).alias("part"))
+    got = quality_rff.tree_sums(parts).collect()
+    assert len(got) == 1 and np.frombuffer(got[0]["part"]).tolist() == [3000.0, 6000.0]
+
+
 def test_toxicity_edges(spark, odd, none):
     _, labels = corpus(spark, 60)
     messy = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))

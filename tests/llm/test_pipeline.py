@@ -1,11 +1,9 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventide.llm import exact_dedup, quality_rff, queries, simhash, toxicity
-from eventide.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,10 +46,8 @@ def test_rows_are_judged_one_by_one(spark):
 
 
 def quality_by_text(docs, labels):
-    stats = quality_rff.document_statistics(docs, "doc_id", "text")
-    part = fold(F.col("doc_id"), 4)
-    model = quality_rff.fit(stats.join(quality_rff.label_rows(labels), "doc_id"), part == 3)
-    return [(r["text"], float(model.score(quality_rff.statistics(r["text"].encode())[None])[0])) for r in docs.collect()]
+    model = quality_rff.fitted(quality_rff.document_statistics(docs).cache(), labels, "doc_id", "quality")
+    return [(r["text"], float(model.score(quality_rff.statistics((r["text"]).encode())[None])[0])) for r in docs.collect()]
 
 
 def test_every_operator_has_a_query():
