@@ -11,10 +11,12 @@ its license from others: each phrase's words are matched and nothing foreign sta
 them, so another license or version in the same sentence is not taken for this one.  Version
 numbers are read alike with and without "v" and ".0" at their ends.
 
-Only stretches of ``SPREAD`` times the template's length are aligned, so words scattered
-over a long text do not add up to a notice.  A stretch is aligned wherever its words could reach
-``threshold``: an upper bound from word counts, so no notice is lost.  Each text is read
-whole, in one pass; memory is bounded by the text.
+A notice is a stretch of at most ``SPREAD`` times the template's length, so words scattered
+over a long text do not add up to one.  A stretch is aligned only where its words could reach
+``threshold``, an upper bound from word counts.  With templates of up to ``SHORT`` words every such stretch is
+aligned.  With longer ones it is every stretch that cannot grow, and where that falls short, the
+ones that begin later and end with it: a word that occurs again before a notice would keep it from being an anchor.
+Each text is read whole, in one pass; memory is bounded by the text.
 
 Defined cases: a null or empty text has no notice; a notice that repeats, or several
 notices, are all reported: of each template the best stretch (the first of equals), then the
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-THRESHOLD, SPREAD = 0.8, 1.5
+THRESHOLD, SPREAD, SHORT = 0.8, 1.5, 16
 VERSION = re.compile(rb"v?(\d{1,3}(?:\.\d{1,3})*?)(?:\.0)*")
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -197,15 +199,12 @@ class Template:
                 total -= have[gone] <= self.counts[gone]
                 have[gone] -= 1
                 lo += 1
-            # only a stretch that cannot grow at its end is aligned: the next word falls out of reach or drops one
+            if total < need:
+                continue
             follows = places[hi + 1][0] if hi + 1 < len(places) else None
-            if total >= need and (follows is None or follows > places[lo][0] + self.reach - 1):
-                start = places[lo][0]
-                stretch = text[start : i + 1]
-                matches = patience(stretch, self.words)
-                coverage = len(matches) / len(self.words)
-                if coverage >= threshold and self.named(stretch, matches):
-                    hits.add((-coverage, start + matches[0][0], start + matches[-1][0] + 1))
+            last = follows is None or follows > places[lo][0] + self.reach - 1
+            if len(self.words) <= SHORT or last:
+                hits |= self._ending(text, places, lo, hi, have.copy(), total, need)
         starts: list[int] = []
         ends: list[int] = []
         kept = []
@@ -218,6 +217,24 @@ class Template:
         return kept
 
 
+    def _ending(self, text: list[bytes], places: list[tuple[int, bytes]], lo: int, hi: int, have: Counter, total: int, need: float) -> set[tuple[float, int, int]]:
+        """Hits among the stretches that end at place ``hi`` and begin at ``lo`` or later; of long templates the first only."""
+        hits: set[tuple[float, int, int]] = set()
+        while total >= need:
+            start, word = places[lo]
+            stretch = text[start : places[hi][0] + 1]
+            matches = patience(stretch, self.words)
+            coverage = len(matches) / len(self.words)
+            if len(matches) >= need and self.named(stretch, matches):
+                hits.add((-coverage, start + matches[0][0], start + matches[-1][0] + 1))
+                if len(self.words) > SHORT:
+                    break
+            total -= have[word] <= self.counts[word]
+            have[word] -= 1
+            lo += 1
+        return hits
+
+
 def scan(data: bytes, templates: list[Template], vocabulary: set[bytes], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """(name, coverage, first word, word after the last) of each notice found, best first."""
     text = [alike(w) for w in words(data)]

@@ -200,3 +200,32 @@ def test_weights_are_the_likelihood_maximum():
     m = deleted_interpolation.learned_weights(hist)[3]
     loss = lambda x: -sum(n * math.log(x * (0 if s is None else math.exp(s * deleted_interpolation.STEP)) + 1 - x) for _, s, n in hist)
     assert loss(m) <= min(loss(x) for x in np.linspace(0.001, 0.999, 999)) + 1e-3
+
+
+def test_every_stretch_in_reach_is_aligned():
+    template = license_scan.Template("MIT", license_scan.TEMPLATES["MIT"], license_scan.IDENTITY["MIT"])
+    rng = random.Random(9)
+    vocabulary = [*template.words, b"x"]
+    need = 0.8 * len(template.words)
+    seen = 0
+    for _ in range(3000):
+        text = rng.choices(vocabulary, k=rng.randrange(4, 18))
+        want = False
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + template.reach) + 1):
+                matches = license_scan.patience(text[i:j], template.words)
+                want = want or (len(matches) >= need and template.named(text[i:j], matches))
+        at = {}
+        for i, w in enumerate(text):
+            at.setdefault(w, []).append(i)
+        assert bool(template.found(text, at, 0.8)) == want, text
+        seen += want
+    assert seen > 100
+
+
+def test_long_lines_without_spaces(spark):
+    text = "x" * 60_000 + " Released under the MIT License. " + "y" * 60_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.license_scan(docs).first()["license"] == "MIT"
+    got = piece_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(got) == 2 and all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] for r in got) and got[0]["ids"] != got[1]["ids"]
