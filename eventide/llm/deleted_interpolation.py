@@ -20,8 +20,11 @@ The work is dealt in blocks of documents:
    higher order predicts; the weights come from these.
 5. All blocks join their answers and score their documents.
 
-An n-gram is known by a 64-bit hash of its words, of which 48 bits and the range are kept:
-two of a billion n-grams hardly ever meet.
+Words are known by their bytes, so their counts, ``n_known`` and ``base_score`` are exact.  A word pair is known by a
+64-bit hash; two of n pairs share one with a probability of about n * n / 2**65 (one in 40 for a billion).
+
+A block asks a range only if it has an n-gram of it, so requests never outnumber a block's n-grams; while ranges
+are larger than that, there are as many as blocks times ranges.
 
 Defined cases: a null text counts as empty, which is the end token alone; rows that repeat
 an id are counted and scored each; a null id is hashed as the text ''; without training
@@ -53,10 +56,11 @@ END, START = xxhash.xxh64_intdigest(b"\x00end", 6), xxhash.xxh64_intdigest(b"\x0
 
 
 class Words(dict):
-    """Word -> its number in a block; a new word is hashed once."""
+    """Word -> its number in a block; a new word is hashed once.  Number 0 is the end token, as the empty word."""
 
     def __init__(self) -> None:
         super().__init__()
+        self[b""] = 0
         self.hashes = [END]
 
     def __missing__(self, word: bytes) -> int:
@@ -73,30 +77,38 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Ascending 64-bit keys: their gaps by planes of bytes, of which the upper ones are nearly all zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return packed(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+    planes = np.frombuffer(unpacked(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    data = counts.astype("<i8").tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return packed(counts.astype("<i8").tobytes())
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), "<i8")
+    return np.frombuffer(unpacked(data), "<i8")
 
 
 @dataclass
 class Grams:
-    """The words and word pairs of a block: sorted distinct hashes, their counts, and which of them each token is."""
+    """The words and word pairs of a block in order of their hashes, their counts, and which of them each token is."""
 
+    names: list[bytes]
     words: np.ndarray
     word_counts: np.ndarray
     word: np.ndarray
@@ -123,13 +135,17 @@ def grams(texts: list[bytes]) -> Grams:
     inner = np.ones(len(flat), bool)
     inner[ends - 1] = False
     flat[inner] = np.concatenate(rows)
-    table, by = np.unique(np.array(number.hashes, np.uint64), return_inverse=True)
+    hashes = np.array(number.hashes, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    table, known = hashes[order], list(number)
+    by = np.empty(len(order), np.int64)
+    by[order] = np.arange(len(order))
     word = by[flat]
     first = ends - sizes
     before = np.roll(table[word], 1)
     before[first] = np.uint64(START)
     pairs, pair, pair_counts = np.unique(pair_hash(before, table[word]), return_inverse=True, return_counts=True)
-    return Grams(table, np.bincount(word, minlength=len(table)), word, pairs, pair_counts, pair, first, np.repeat(np.arange(len(texts)), sizes))
+    return Grams([known[i] for i in order.tolist()], table, np.bincount(word, minlength=len(table)), word, pairs, pair_counts, pair, first, np.repeat(np.arange(len(texts)), sizes))
 
 
 def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -197,20 +213,28 @@ def answers(table: DataFrame, word_ranges: int, pair_ranges: int) -> DataFrame:
             for block, part, n_bytes, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 g = grams(block_texts(n_bytes, sizes, data))
                 rows = []
-                for base, ranges, keys, counts in ((0, word_ranges, g.words, g.word_counts), (word_ranges, pair_ranges, g.pairs, g.pair_counts)):
-                    cuts = range_cuts(keys, ranges)
-                    rows += [(base + r, block, part, packed_keys(keys[a:b]), packed_counts(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                spelled = lambda a, b, g=g: packed(b" ".join(g.names[a:b]))
+                hashed = lambda a, b, g=g: packed_keys(g.pairs[a:b])
+                for base, ranges, keys, counts, form in ((0, word_ranges, g.words, g.word_counts, spelled), (word_ranges, pair_ranges, g.pairs, g.pair_counts, hashed)):
+                    cuts = range_cuts(keys, ranges).tolist()
+                    rows += [(base + r, block, part, form(a, b), packed_counts(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
                 yield pa.RecordBatch.from_pylist([dict(zip(REQUEST.names, r, strict=True)) for r in rows], schema=REQUEST)
 
     def answer(asked: pa.Table) -> pa.Table:
         r = asked["range"][0].as_py()
         asked = asked.sort_by("block")
         block, part = asked["block"].to_pylist(), asked["part"].to_pylist()
-        keys = [unpacked_keys(k.as_buffer().to_pybytes()) for k in asked["keys"]]
+        sent = (k.as_buffer().to_pybytes() for k in asked["keys"])
         counts = [unpacked_counts(c.as_buffer().to_pybytes()) for c in asked["counts"]]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        at = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        fit, mix = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        if r < word_ranges:
+            number = Numbers()
+            at = [np.fromiter(map(number.__getitem__, unpacked(k).split(b" ")), np.int64) for k in sent]
+            n = len(number)
+        else:
+            keys = [unpacked_keys(k) for k in sent]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            at, n = np.split(at, np.cumsum([len(k) for k in keys])[:-1]), len(distinct)
+        fit, mix = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for p, c, i in zip(part, counts, at, strict=True):
             if p != HELD:
                 (fit if p == FIT else mix)[i] += c  # a block asks for a key once
@@ -224,6 +248,14 @@ def answers(table: DataFrame, word_ranges: int, pair_ranges: int) -> DataFrame:
     return stored(asked.groupBy("range").applyInArrow(answer, "block long, range int, counts binary, fitted binary"), "lm-answers")
 
 
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 REQUEST = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("counts", pa.binary()), ("fitted", pa.binary())])
 
