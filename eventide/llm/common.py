@@ -2,43 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One run of the ASCII white space that the text contracts name.
-SPACES = "[\\x20\\x09-\\x0D]+"
+from ..sources.storage import drop_stored, shared_folder, stored, work_path
 
+__all__ = ["drop_stored", "first_of", "fold", "joined", "numbered", "shared_folder", "shuffle_width", "stored", "text_or_empty", "whole", "work_path"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset (as in local tests)
-    a temporary folder is made and set for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="eventide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: One run of the ASCII white space that the text contracts name.
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/eventide/{name}-{uuid.uuid4().hex}"
+#: Keys that are broadcast at most (about 100 bytes each), and the tasks that a key's rows are dealt to beyond.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again.
+def joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` joined with ``keys``, a stored table with one row for each ``on``.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
+    Up to ``BROADCAST_ROWS`` keys are broadcast; more are joined by a shuffle in which every key
+    stands ``SALTS`` times, so a hot key's rows are dealt to as many tasks.
     """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -59,15 +47,6 @@ def first_of(id_col: Column, row: Column) -> Column:
     return F.min(F.struct(id_col.isNull().alias("none"), id_col.alias("id"), row.alias("row")))["row"]
 
 
-def drop_stored(*tables: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for tables that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(col: str | Column) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -19,10 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_or_empty, whole
-
-#: Keys that are broadcast at most (about 100 bytes each), and the tasks that a key's rows are dealt to beyond.
-BROADCAST_ROWS, SALTS = 200_000, 16
+from .common import SPACES, joined, stored, text_or_empty, whole
 
 
 def normalised(text: str | Column) -> Column:
@@ -46,18 +43,6 @@ def levels(facts: DataFrame) -> DataFrame:
     return shared_keys(facts.join(lengths, "_len", "left_semi"), "_prefix")
 
 
-def joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """``rows`` joined with ``keys``, a stored table with one row for each ``on``.
-
-    Up to ``BROADCAST_ROWS`` keys are broadcast; more are joined by a shuffle in which every key
-    stands ``SALTS`` times, so a hot key's rows are dealt to as many tasks.
-    """
-    if keys.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys), on, how)
-    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
-
-
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False) -> DataFrame:
     """One row per document: ``id_col``, keep_id, group_size, kept and text_sha256.
 

@@ -8,11 +8,11 @@ local header's size to locate a stored member, and then reads the index and sing
 records by range; nothing is extracted and no whole package is held in memory.
 
 Packages live where ``spark.checkpoint.dir`` points, so all executors can reach them.
-A task writes under a name of its own and renames when the package is complete, so a
-task that is tried again, or runs twice, leaves one complete package.
+Every attempt of a task writes under names of its own, and the manifest that Spark commits names the packages of
+the attempts that count: what another attempt left, wholly or in part, is never read.
 
-Defined cases: a null payload is empty; a null URL leaves out the target header; records
-with equal payloads of at least ``revisit_bytes`` bytes revisit the one with the smallest
+Defined cases: a null payload is empty; a null URL leaves out the target header; a null id and an empty one are told
+apart; records with equal payloads of at least ``revisit_bytes`` bytes revisit the one with the smallest
 id, also if one payload has a third of the rows; rows that repeat an id are written as
 records of their own; an empty table gives an empty result; columns other than those
 named are ignored.
@@ -26,13 +26,13 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, work_path
+from .common import joined, stored, text_or_empty, work_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 1 << 30
@@ -117,16 +117,25 @@ def stored_range(read: ReadRange, member: tuple[int, int, int]) -> tuple[int, in
 # --- records -------------------------------------------------------------------------
 
 
-def warc_record(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record_name(record_id: str | None) -> str:
+    """The name of a record in its header; a null id has one that no other id can have."""
+    return "<urn:x-record-null>" if record_id is None else f"<urn:x-record:{quote(record_id)}>"
+
+
+def record_id(name: str) -> str | None:
+    return None if name == "<urn:x-record-null>" else unquote(name.removeprefix("<urn:x-record:").removesuffix(">"))
+
+
+def warc_record(record_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit with headers only."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head + (b"" if refers_to is not None else payload)
-    fields = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-record:{quote(record_id)}>", f"WARC-Date: {DATE}"]
+    fields = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_name(record_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         # only what would break the header line is escaped
         fields.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
     if refers_to is not None:
-        fields += [f"WARC-Refers-To: <urn:x-record:{quote(refers_to)}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        fields += [f"WARC-Refers-To: {record_name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     fields += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -143,9 +152,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def file_system(uri: str):  # noqa: ANN201
-    """The Arrow file system of a URI, and the path in it."""
+    """The Arrow file system of a URI, and the path in it; names that Hadoop has for object stores are known too."""
     from pyarrow import fs
 
+    scheme, colon, rest = uri.partition("://")
+    uri = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + colon + rest
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -161,7 +172,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "first_id")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    # while repeated digests are few, payloads go from the scan to their package without a shuffle
+    return joined(rows, stored(firsts, "warc-firsts"), "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -175,16 +187,16 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         done, package, part = [], None, 0
         for batch in batches:
             for id_, url, payload, digest, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if package is None:
-                    package = _Package(system, f"{base}/part-{task:05d}-{part:04d}.wacz")
-                record = gzip.compress(warc_record("" if id_ is None else id_, url, payload, digest, refers), 1, mtime=0)
-                package.add(record, "" if id_ is None else id_, url, digest)
+                    package = _Package(system, f"{base}/part-{task:05d}-{attempt}-{part:04d}.wacz")
+                record = gzip.compress(warc_record(id_, url, payload, digest, refers), 1, mtime=0)
+                package.add(record, id_, url, digest)
                 if package.size >= package_bytes:
                     done.append(package.close())
                     package, part = None, part + 1
@@ -199,17 +211,17 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
 
 
 class _Package:
-    """A ZIP package in the making, under a name of its own until it is closed."""
+    """A ZIP package in the making."""
 
     def __init__(self, system, path: str):  # noqa: ANN001
-        self.system, self.path, self.own = system, path, f"{path}.{uuid.uuid4().hex}.tmp"
-        self.stream = system.open_output_stream(self.own)
+        self.path = path
+        self.stream = system.open_output_stream(path)
         self.zip = zipfile.ZipFile(_Unseekable(self.stream), "w", zipfile.ZIP_STORED)
         info = zipfile.ZipInfo(ARCHIVE, (2024, 1, 1, 0, 0, 0))
         self.member = self.zip.open(info, "w", force_zip64=True)
         self.size, self.index = 0, []
 
-    def add(self, record: bytes, id_: str, url: str | None, digest: str) -> None:
+    def add(self, record: bytes, id_: str | None, url: str | None, digest: str) -> None:
         self.member.write(record)
         self.index.append(json.dumps({"id": id_, "url": url, "digest": digest, "offset": self.size, "length": len(record)}))
         self.size += len(record)
@@ -219,7 +231,6 @@ class _Package:
         self.zip.writestr(zipfile.ZipInfo(INDEX, (2024, 1, 1, 0, 0, 0)), "\n".join(self.index) + "\n")
         self.zip.close()
         self.stream.close()
-        self.system.move(self.own, self.path)
         return self.path, len(self.index), self.size
 
 
@@ -281,8 +292,6 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote
-
         system, _ = file_system(folder)
         path, file = None, None
         for batch in batches:
@@ -293,7 +302,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         file.close()
                     path, file = p, system.open_input_file(p)
                 fields, payload = parse_record(gzip.decompress(file.read_at(n, at)))
-                name = lambda k, fields=fields: unquote(fields[k].removeprefix("<urn:x-record:").removesuffix(">")) if k in fields else None
+                name = lambda k, fields=fields: record_id(fields[k]) if k in fields else None
                 rows.append((name("warc-record-id"), fields["warc-type"], fields.get("warc-target-uri"), name("warc-refers-to"), fields["warc-payload-digest"].removeprefix("sha256:"), payload))
                 held += len(payload)
                 if held > 4 << 20:
@@ -317,10 +326,16 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     kind = pages.schema[id_col].dataType.simpleString()
     packages = write_packages(with_revisits(pages, id_col, url_col, payload_col), folder)
     read = read_records(package_index(packages.repartition("package"), folder), folder)
-    facts = read.select(F.expr(f"cast(nullif(record_id, '') as {kind})").alias(id_col), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url", F.col("digest").alias("named"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    facts = read.select(F.col("record_id").cast(kind).alias(id_col), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url", F.col("digest").alias("named"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     facts = stored(facts, "warc-records")
-    own = facts.where("record_type = 'response'")
-    seen = own.where(F.col("payload_digest") == F.col("named")).groupBy(F.col(id_col).alias("_to")).agg(F.min("payload_bytes").alias("_bytes"), F.min("payload_digest").alias("_digest"))
-    again = facts.where("record_type = 'revisit'").join(seen, F.col("refers_to") == F.col("_to"), "left")
-    again = again.select(id_col, F.when(F.col("_digest") == F.col("named"), F.col("_bytes")).alias("payload_bytes"), F.when(F.col("_digest") == F.col("named"), F.col("_digest")).alias("payload_digest"), "record_type", "refers_to", "url")
-    return own.select(*again.columns).unionByName(again)
+    own = facts.where("record_type = 'response'").select(id_col, "payload_bytes", same(F.col("payload_digest"), F.col("named")).alias("payload_digest"), "record_type", "refers_to", "url")
+    # a row that repeats an id may be a response with another payload, so a revisit looks for id and digest
+    seen = own.groupBy(F.col(id_col).alias("_to"), F.col("payload_digest").alias("_digest")).agg(F.min("payload_bytes").alias("_bytes"))
+    again = facts.where("record_type = 'revisit'").drop("payload_bytes").join(seen, (F.col("refers_to") == F.col("_to")) & (F.col("named") == F.col("_digest")), "left")
+    again = again.select(id_col, F.col("_bytes").alias("payload_bytes"), same(F.col("_digest"), F.col("named")).alias("payload_digest"), "record_type", "refers_to", "url")
+    return own.unionByName(again)
+
+
+def same(digest: Column, named: Column) -> Column:
+    """The digest; an error if it is not the one that the record names."""
+    return F.when(digest == named, digest).otherwise(F.raise_error(F.concat(F.lit("a payload does not have the digest "), F.coalesce(named, F.lit("?")))))
