@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of, numbered, stored, text_or_empty
-from .components import components
+from ..operators.graph import components
+from .common import drop_stored, first_of, numbered, shuffle_width, stored, text_or_empty
 
 #: Members of an index key that one tile compares; a tile never holds more than twice as many.
 TILE = 1024
 SLICE = 1 << 15
+#: Fingerprints that a task turns into index entries at most.
+ROWS = 100_000
 
 
 def simhash(data: bytes, width: int = 3) -> int:
@@ -112,9 +114,10 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
 def verified_links(fps: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them to connect all that are linked.
 
-    ``fps`` has one row per distinct ``fp``.
+    ``fps`` has one row per distinct ``fp``, in a stored table; its rows are dealt out evenly before each becomes
+    as many entries as it has bits.
     """
-    entries = variant_keys(fps, radius, bits)
+    entries = variant_keys(fps.repartition(max(shuffle_width(fps.sparkSession), -(-fps.count() // ROWS))), radius, bits)
     size = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 0).alias("zeros"), F.count_if(F.col("side") == -1).alias("exact"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     busy = stored(size.where("(exact > 1) or (exact = 0 and zeros > 0 and zeros < n)"), "simhash-keys")
     pairs = busy.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -175,7 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, fp, component_id): component_id is the smallest id reachable over links of ``radius`` bits."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(verified_links(distinct.select("fp"), radius))
+    links = stored(verified_links(distinct.select("fp"), radius), "simhash-links")
+    roots = components(links)
+    drop_stored(links)
     least = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = least.select("fp", "root").join(names, "root").select("fp", "component_id")

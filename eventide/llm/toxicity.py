@@ -85,7 +85,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float
         gradient = np.concatenate([np.bincount(col, by_total[at], width) + l2 * w, by_t])
         velocity = 0.9 * velocity + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
-        move = 0.1 * (velocity / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        move = 0.1 * (1 - (step - 1) / steps) * (velocity / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         w, t = w - move[:width], t - move[width:]
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
