@@ -154,6 +154,49 @@ def test_near_copies_with_edited_words(spark):
         assert i == min(members, default=None)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Chains in which only neighbours are alike, with one hub for each bucket of three rows or more, and small tiles."""
+    for name, value in (("SMALL", 2), ("FLIPS", (0,)), ("TILE", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(8)
+    texts = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for step in range(40):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(200), 3):
+                words[at] = f"g{g}s{step}x{at}"
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if slow_similarity(texts[i], texts[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(r["doc_id"] for r in near_dedup.representatives(df).collect())
+    assert got == sorted({min(i for i, r in enumerate(root) if r == g) for g in root})
+
+
+def test_tile_links_by_definition():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, 20).astype(np.uint64)) for _ in range(40)]
+    tile = near_dedup.Tile(0.5)
+    for k, s in enumerate(sets[:20]):
+        tile.add(k, k, s)
+    got = [pair for k, s in enumerate(sets[20:], 20) for pair in tile.links(k, k, s)]
+    want = [(a, b) for a in range(20, 40) for b in range(20) if near_dedup.similarity(sets[a], sets[b]) >= 0.5]
+    assert set(got) <= set(want) and want
+    groups = lambda pairs: {frozenset(g) for g in near_groups(range(40), pairs)}
+    assert groups(got) == groups(want)
+
+
+def near_groups(nodes, pairs):
+    root = {n: n for n in nodes}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {n: x if r == y else r for n, r in root.items()}
+    return [[n for n in nodes if root[n] == r] for r in set(root.values())]
+
+
 def test_near_defined_cases(odd, none):
     kept = near_dedup.representatives(odd)
     assert kept.columns == odd.columns and near_dedup.representatives(none).count() == 0
