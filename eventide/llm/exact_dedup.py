@@ -39,8 +39,8 @@ def shared_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 def levels(facts: DataFrame) -> DataFrame:
     """(_prefix): the prefix hashes that rows of ``facts`` (_len, _prefix) share, among those whose length is shared."""
-    lengths = shared_keys(facts, "_len")
-    return shared_keys(facts.join(lengths, "_len", "left_semi"), "_prefix")
+    lengths = stored(shared_keys(facts, "_len"), "dedup-lengths")  # as many as there are lengths, whatever the rows
+    return shared_keys(joined(facts, lengths, "_len", "left_semi"), "_prefix")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False) -> DataFrame:
