@@ -156,6 +156,6 @@ ORACLE_SQL = {
     "q_scan_windows": _SCAN + ' select video_id, window_id, round(s, 4) as start, round(e, 4) as "end", samples, round(threshold, 4) as threshold from win',
     "q_scan_coverage": _SCAN + " select v.video_id, coalesce(windows, 0) as windows, round(coalesce(covered, 0), 4) as covered, round(case when length = 0 then 0 else coalesce(covered, 0) / length end, 4) as coverage from (select video_id, max(t) - min(t) as length from signal group by 1) v left join (select video_id, count(*) as windows, sum(e - s) as covered from win group by 1) c using (video_id)",
     "q_activity_buckets": _EVENTS + """, v as (select video_id, min(t) as origin, max(t) - min(t) as length from signal group by 1)
-        select f.video_id, bucket, count(*) as events from found f join v using (video_id) join (select unnest(range(48))::int as bucket) b on s < origin + (bucket + 1) * (length / 48) and e > origin + bucket * (length / 48) where e > s group by 1, 2""",
+        select video_id, bucket, count(*) as events from (select f.video_id, unnest(list_filter(range(48), lambda b: s < origin + (b + 1) * (length / 48) and e > origin + b * (length / 48)))::int as bucket from found f join v using (video_id) where e > s) group by 1, 2""",
     "q_hold_duration": ctes("signal") + f" select video_id, frame_idx, round(greatest(0.04, coalesce(lead(t) over w, t) - t), 5) as hold from signal {_W}",
 }

@@ -17,8 +17,8 @@ def plain(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float) or type(value).__name__ == "Decimal":
-        return f"{float(value):.6g}"
-    return str(value)
+        return repr(round(float(value), 9) + 0.0)
+    return repr(float(value)) if isinstance(value, int) and abs(value) < 2**53 else str(value)
 
 
 @pytest.fixture(scope="module")
