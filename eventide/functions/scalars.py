@@ -165,5 +165,15 @@ def softmax(scores: Column) -> Column:
     return F.transform(F.array(powers), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
+def stamped_name(ts: Column, name: Column) -> Column:
+    """A name with the milliseconds since 1970 in front, which sorts by time."""
+    return F.concat(F.unix_millis(ts).cast("string"), F.lit("_"), name)
+
+
+def day_text(ts: Column) -> Column:
+    """Day, month and year as a reader sees them, in English."""
+    return F.date_format(ts, "d MMM yyyy, HH:mm")
+
+
 def utc_seconds_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

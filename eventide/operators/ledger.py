@@ -241,6 +241,26 @@ def orphaned(main: DataFrame, local: DataFrame) -> DataFrame:
     return local.join(main.select("job_id", "entry_hash"), ["job_id", "entry_hash"], "left_anti")
 
 
+def anchored(log: DataFrame, batch: DataFrame, reference: Column) -> DataFrame:
+    """Entries with the root of the batch that takes them in, and where that was published (``reference``, of a batch's columns).
+
+    Publishing itself is the caller's: it hands in what the service returned, or null where there is none.
+    """
+    taken = batch.select("job_id", F.col("root").alias("anchor_root"), "from_seq", "to_seq", reference.alias("anchor_ref"))
+    j = log.drop("anchor_root", "anchor_ref").join(taken, "job_id", "left")
+    inside = F.col("seq").between(F.col("from_seq"), F.col("to_seq"))
+    return j.withColumns({c: F.when(inside, F.col(c)) for c in ("anchor_root", "anchor_ref")}).drop("from_seq", "to_seq")
+
+
+#: The names of an entry's fields outside the database, by column.
+ENTRY = {"seq": "seq", "kind": "kind", "subject": "subject", "jobId": "job_id", "actorId": "actor_id", "timestamp": "timestamp", "payloadHash": "payload_hash"}
+
+
+def entry_documents(log: DataFrame) -> DataFrame:
+    """(job_id, seq, entry): rows as JSON documents; the timestamp stays as it was signed."""
+    return log.select("job_id", "seq", F.to_json(F.struct(*[F.col(c).alias(k) for k, c in ENTRY.items()]), {"ignoreNullFields": "false"}).alias("entry"))
+
+
 def unanchored(log: DataFrame) -> DataFrame:
     """Entries that no batch has taken in yet."""
     return log.where(F.col("anchor_root").isNull())

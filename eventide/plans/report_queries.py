@@ -298,6 +298,28 @@ def q_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", n.alias("n"), F.round(n / 0x7FFFFFFF, 9).alias("share"))
 
 
+def q_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with the batch of their log's first two statements, and those that wait for one."""
+    s = adapters.ledger_turns(spark, sf_dir).withColumnRenamed("statement_hash", "entry_hash")
+    log = ledger.anchored(s, ledger.batches(s.where("seq <= 2")), F.concat(F.lit("ref/"), F.col("job_id").cast("string")))
+    return log.select("job_id", "seq", "anchor_root", "anchor_ref")
+
+
+def q_entry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.entry_documents(entries(spark, sf_dir))
+
+
+def q_small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active samples, known profiles, stamped names, and boxes of which some are malformed."""
+    e = adapters.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = F.element_at(F.array(*map(F.lit, [*scalars.PROFILES, "toString"])), k % 6 + 1)
+    edges = F.slice(F.array(k, k + 1, k + 20, k + 30), 1, F.when(k % 5 == 0, 3).otherwise(4))
+    b = geometry.box_of(edges)
+    ts = F.col("ts").cast("timestamp")
+    return e.select("event_id", (F.col("value") >= 5).alias("active"), scalars.one_of(name, scalars.PROFILES).alias("known"), scalars.stamped_name(ts, F.col("event_type")).alias("stamped"), scalars.day_text(ts).alias("day"), geometry.area(b).alias("area"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _T = object_queries._T  # boxes with times and ids
@@ -377,5 +399,8 @@ ORACLE_SQL = {
         select frame_idx, count(*) filter (greatest(0, c - a) * greatest(0, d - b) >= 6400) as judgeable, sum(greatest(0, c - a) * greatest(0, d - b))::bigint as pixels, coalesce(any_value(duplicates), 0) as duplicates, round(sum(mx * s) / sum(s), 6) as cx, round(sum(my * s) / sum(s), 6) as cy from cr left join du using (frame_idx) group by 1""",
     "q_relevant_detections": object_queries._B + """, o as (select *, (y2 <= 40 or y1 >= 368 or (x2 - x1) * (y2 - y1) < 250 or (cls = 'cell phone' and (x2-x1)::double/(y2-y1) > 0.80 and (x2-x1)::double/(y2-y1) < 1.25)) as overlay from nb) select box_id, cls from o where cls = 'person' or (conf >= 0.35 and not overlay)""",
     "q_map_rows": "select user_id as video_id, event_type as type, count(*) as n from events group by 1, 2",
+    "q_anchored": review_queries._MERKLE.replace("from ledger\n", "from ledger where seq <= 2\n") + ", r as (select job_id, h as root, max(to_seq) over (partition by job_id) as to_seq from lv join (select job_id, max(seq) as to_seq from ledger where seq <= 2 group by 1) using (job_id) where n = 1) select l.job_id, seq, case when seq <= to_seq then root end as anchor_root, case when seq <= to_seq then 'ref/' || l.job_id end as anchor_ref from ledger l left join r using (job_id)",
+    "q_entry_documents": _ENTRIES + """ select job_id, seq, '{"seq":' || seq || ',"kind":"' || kind || '","subject":"' || subject || '","jobId":' || job_id || ',"actorId":' || coalesce('"' || actor_id || '"', 'null') || ',"timestamp":"2024-01-01T00:00:00Z","payloadHash":"' || payload_hash || '"}' as entry from e""",
+    "q_small_rules": """with e as (select *, cast(json_extract_string(props, '$.k') as int) as k from events) select event_id, value >= 5 as active, k % 6 < 5 as known, (epoch_us(ts) // 1000) || '_' || event_type as stamped, strftime(ts, '%-d %b %Y, %H:%M') as day, case when k % 5 <> 0 then 20 * 29 else 0 end as area from e""",
     "q_lcg": "select event_id, (event_id * 1103515245 + 12345) & 2147483647 as n, round(((event_id * 1103515245 + 12345) & 2147483647) / 2147483647::double, 9) as share from events",
 }
