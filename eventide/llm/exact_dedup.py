@@ -79,6 +79,6 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_groups = stored(levels(docs.select(F.length(norm).alias("_len"), prefix_hash(norm, prefix_chars))), "dedup-prefixes").withColumn("_open", F.lit(True))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("_order")
     rows = joined(docs.select(prefix_hash(norm, prefix_chars), order, norm.alias("_norm"), whole(docs).alias("_all")), open_groups, "_prefix", "left")
-    seen = stored(rows.select(F.when(F.col("_open"), F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"), "_order", "_all"), "dedup-rows")
-    firsts = seen.where("_sha is not null").groupBy("_sha").agg(F.min_by("_all", "_order").alias("_all"))
-    return seen.where("_sha is null").select("_all.*").unionByName(firsts.select("_all.*"))
+    # rows are read once for each side: to write them down in between would cost a copy of the table
+    firsts = rows.where("_open").groupBy(F.sha2(F.col("_norm").cast("binary"), 256)).agg(F.min_by("_all", "_order").alias("_all"))
+    return rows.where("_open is null").select("_all.*").unionByName(firsts.select("_all.*"))

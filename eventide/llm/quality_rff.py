@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored, text_or_empty, whole
+from .common import drop_stored, fold, stored, text_or_empty
 
 STATISTICS = ("log_bytes", "letters", "capitals", "digits", "stops", "symbols", "bars", "bangs", "spaces", "lines", "word_length", "short_words", "distinct_words", "repeated_lines", "symbol_words", "capital_words", "commonest_word")
 BINS, FAN_IN, LEVELS = 4096, 32, 3
@@ -76,9 +76,10 @@ def text_statistics(text: Column) -> Column:
     return run(text_or_empty(text).cast("binary"))
 
 
-def document_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs``, rows whole, as (_all, stats)."""
-    return docs.select(whole(docs).alias("_all"), text_statistics(F.col(text_col)).alias("stats"))
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, stats) of each row."""
+    rows = docs.select(F.col(id_col).alias("_id"), text_statistics(F.col(text_col)).alias("stats"))
+    return rows.withColumnRenamed("_id", id_col)
 
 
 @dataclass
@@ -197,27 +198,25 @@ def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qual
     return known.groupBy(id_col).agg(F.max("y").alias("y"))
 
 
-def fitted(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
-    """Fits on the labelled rows of (_all, stats), by their ids; only ids and statistics are read."""
-    known = rows.select(F.col("_all")[id_col].alias(id_col), "stats")
-    return fit(known.join(label_rows(labels, id_col, label_col), id_col), fold(F.col(id_col), 4) == 3)
+def fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
+    """Fits on the labelled rows of (id_col, stats)."""
+    return fit(stats.join(label_rows(labels, id_col, label_col), id_col), fold(F.col(id_col), 4) == 3)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted): learned from the labels of rows that are not held out."""
-    ids = docs.select(id_col, F.col(text_col).alias("_text"))
-    stats = text_statistics(F.col("_text")).alias("stats")
-    rows = stored(ids.select(F.struct(id_col).alias("_all"), stats), "quality-statistics")
-    score = score_of(fitted(rows, labels, id_col, label_col))
-    out = rows.select(F.col("_all")[id_col].alias(id_col), score(F.col("stats")).alias("score"))
+    stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
+    score = score_of(fitted(stats, labels, id_col, label_col))
+    out = stats.select(id_col, score(F.col("stats")).alias("score"))
     return out.select(id_col, (fold(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are predicted good, each by its own text.
 
-    Rows are written once beside their statistics, so texts are read once and no join by id is needed.
+    Statistics are made again for the decision: so rows need no join by id, and no copy of the table is written.
     """
-    rows = stored(document_statistics(docs, text_col), "quality-rows")
-    score = score_of(fitted(rows, labels, id_col, "quality"))
-    return rows.where(score(F.col("stats")) >= THRESHOLD).select("_all.*")
+    stats = stored(document_statistics(docs, id_col, text_col), "quality-statistics")
+    score = score_of(fitted(stats, labels, id_col, "quality"))
+    drop_stored(stats)
+    return docs.where(score(text_statistics(F.col(text_col))) >= THRESHOLD)
