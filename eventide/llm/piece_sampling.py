@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-MARK, SHIFT, BATCH_BYTES = "▁", 2.7, 8 << 20
+MARK, SHIFT, BATCH_BYTES = "▁", 2.7, 3 << 20
 STRETCH = re.compile(f"{MARK}[^{MARK}\n]*|\n|[^{MARK}\n]+")
 #: The largest Gumbel noise that a double below 1 can give.
 MOST_NOISE = 36.8
@@ -387,14 +387,14 @@ def sampled(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> Itera
         yield row
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, packed: bool = False) -> DataFrame:
     """(id_col, sample, n_pieces, ids_crc32, log_prob, perturbed, log_inclusion, round_trip, ids): k distinct samples of each row.
 
     ``sample`` counts from 0 by falling perturbed value; ``round_trip`` tells whether the
-    pieces decode to the text; ``ids`` is left out if not asked for.
+    pieces decode to the text; ``ids`` is left out if not asked for, and little-endian 32-bit numbers in a binary if ``packed``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]
+    fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()), *([("ids", pa.binary() if packed else pa.list_(pa.int32()))] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(model)
@@ -414,11 +414,12 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 3,
             for j, sample in enumerate(row.samples):
                 ids = row.ids(sample, pieces)
                 at.append(i)
-                values = (j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), sample.log_p, sample.value, row.log_inclusion(sample), pieces.decode(ids.tolist()) == plain, *([ids.astype(np.int32)] if with_ids else []))
+                raw = ids.astype("<u4").tobytes()
+                values = (j, len(ids), zlib.crc32(raw), sample.log_p, sample.value, row.log_inclusion(sample), pieces.decode(ids.tolist()) == plain, *([raw if packed else ids.astype(np.int32)] if with_ids else []))
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=["id", *(n for n, _ in fields)])
 
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), text_or_empty(text_col).alias("data"))
-    schema = f"id {kind}, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    schema = f"id {kind}, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean" + (f", ids {'binary' if packed else 'array<int>'}" if with_ids else "")
     return raw.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

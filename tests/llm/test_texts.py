@@ -229,3 +229,5 @@ def test_long_lines_without_spaces(spark):
     assert license_scan.license_scan(docs).first()["license"] == "MIT"
     got = piece_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(got) == 2 and all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] for r in got) and got[0]["ids"] != got[1]["ids"]
+    packed = piece_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), packed=True).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in packed] == [r["ids"] for r in got]
