@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 Fold = Callable[[dict], Iterable[tuple]]
 
@@ -23,9 +23,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], new: Callable[[],
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     full = ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema])
-    fields = _parse_datatype_string(full)
-    assert isinstance(fields, StructType)
-    arrow = to_arrow_schema(fields)
+    arrow = to_arrow_schema(StructType.fromDDL(full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, fold, out = None, None, []
