@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, deleted_interpolation, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, deleted_interpolation, dominance_packing, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_warc_zip": op2_warc_zip,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bottom_k": op8_bottom_k,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_dominance_packing": op11_dominance_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
