@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, deleted_interpolation, dominance_packing, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, collocations, deleted_interpolation, dominance_packing, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_warc_zip": op2_warc_zip,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_dominance_packing": op11_dominance_packing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +91,26 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from n""",
+    "op13_collocations": r"""
+        with p as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents),
+        w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+        d as (select lang, w, len(w) as size, count(*) as m from w where len(w) > 0 group by all),
+        places as (select lang, w, size, m, unnest(range(1, size + 1)) as i from d),
+        g as (select lang, m, unnest(range(1, least(5, size - i + 1) + 1)) as words, w, i from places),
+        f as (select lang, w[i : i + words - 1] as g, words, sum(m)::bigint as a from g group by all),
+        n as (select lang, sum(a)::bigint as n from f where words = 1 group by lang),
+        c as (select * from f where a >= 100 and words > 1),
+        longer as (select lang, g[: words - 1] as g, a from c where words > 2 union all select lang, g[2 :], a from c where words > 2),
+        inside as (select lang, g, max(a) as a from longer group by all),
+        kept as (select c.* from c left join inside i on i.lang = c.lang and i.g = c.g where i.a is null or i.a < c.a),
+        cuts as (select *, unnest(range(1, words)) as k from kept),
+        scored as (
+            select cuts.lang, array_to_string(cuts.g, ' ') as phrase, cuts.a, l.a as l, r.a as r, n.n, k,
+                   ((1000 * cuts.a::hugeint * n.n::hugeint) // (l.a::hugeint * r.a::hugeint))::bigint as score
+            from cuts join f l on l.lang = cuts.lang and l.g = cuts.g[: k] join f r on r.lang = cuts.lang and r.g = cuts.g[k + 1 :] join n on n.lang = cuts.lang),
+        worst as (select *, row_number() over (partition by lang, phrase order by score, k) as place from scored),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from worst where place = 1)
+        select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000""",
 }
