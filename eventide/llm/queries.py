@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, collocations, deleted_interpolation, dominance_packing, exact_dedup, license_scan, packing, piece_sampling, quality_rff, simhash, toxicity, warc_zip
+from . import bottom_k, collocations, deleted_interpolation, dominance_packing, exact_dedup, license_scan, packing, piece_sampling, prefix_trie, quality_rff, simhash, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_dominance_packing": op11_dominance_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
 
@@ -91,6 +96,27 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from n""",
+    "op12_prefix_trie": """
+        with t as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i
+            from conversations where conv_id is not null),
+        ids as (select distinct conv_id, list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))) as steps from t),
+        k as (select conv_id, xor(list_reduce(steps, lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 9 as h from ids),
+        r as (
+            select k.conv_id, t.i, t.role, t.text from k join t on t.conv_id = k.conv_id - k.conv_id % 5 and t.i < k.h
+            union all select t.conv_id, t.i, t.role, t.text from t join k on k.conv_id = t.conv_id and t.i >= k.h),
+        w as (select k.conv_id, coalesce(list({'r': role, 't': text} order by i) filter (i is not null), []) as turns from k left join r on r.conv_id = k.conv_id group by k.conv_id),
+        p as (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from w),
+        m as (select conv_id, depth, list_slice(turns, 1, depth) as prefix, len(turns) = depth as ends from p),
+        n as (
+            select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+            from m group by prefix, depth),
+        c as (select list_slice(prefix, 1, depth - 1) as prefix, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by 1, 2),
+        g as (select n.*, coalesce(c.n_children, 0) as n_children, (n_convs - 1) * coalesce(strlen(n.prefix[n.depth].t), 0) as gain from n left join c on c.prefix = n.prefix and c.depth = n.depth),
+        u as (select prefix, depth, n_children, gain, unnest(range(0, depth + 1)) as above from g),
+        s as (select list_slice(prefix, 1, above) as prefix, above as depth, sum(gain) as saved_tokens, count(*) filter (n_children = 0) as n_leaves from u group by 1, 2)
+        select g.conv_id, g.depth, q.conv_id as parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, g.ends_sha256
+        from g join s on s.prefix = g.prefix and s.depth = g.depth left join n q on q.depth = g.depth - 1 and q.prefix = list_slice(g.prefix, 1, g.depth - 1)""",
     "op13_collocations": r"""
         with p as (
             select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
