@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import primary_label
-from .windows import bucketed_interval_join, islands, latch, ordered
+from . import scans
+from .windows import bucketed_interval_join
 
 
 @dataclass(frozen=True)
@@ -28,23 +29,22 @@ def segment(frames: DataFrame, th: Thresholds = Thresholds(), column: str = "s_f
     Hysteresis, merge of gaps, split by duration, padding of the long ones and merge of what
     then overlaps.  An event ends at the first frame under the lower bound.
     """
-    w = ordered(["video_id"], "t", "frame_idx")
-    state = frames.select("video_id", "frame_idx", "t", latch(F.col(column), th.start, th.end, w).alias("on"))
-    state = state.withColumns({"before": F.lag("on", 1, 0).over(w), "next_t": F.lead("t").over(w), "video_end": F.max("t").over(Window.partitionBy("video_id"))})
-    runs = state.withColumn("run", islands((F.col("on") == 1) & (F.col("before") == 0), w)).where("on = 1")
+    timed = scans.series(frames.select("video_id", "frame_idx", "t", column), ["video_id"], ["t", "frame_idx"])
+    state = scans.latched(timed, F.col(column), th.start, th.end)
+    state = scans.scanned(state, before=scans.ago(F.col("on"), 1), next_t=scans.following(F.col("t")), video_end=scans.overall(F.col("t")))
+    began = (F.col("on") == 1) & (F.coalesce("before", F.lit(0)) == 0)
+    runs = scans.scanned(state, run=scans.total(began.cast("long"))).rows.where("on = 1")
     raw = runs.groupBy("video_id", "run").agg(F.min("t").alias("start"), F.max(F.coalesce("next_t", "video_end")).alias("end"), F.first("video_end").alias("video_end"))
 
-    by_start = ordered(["video_id"], "start")
-    gap = F.lag("end").over(by_start)
-    merged = raw.withColumn("g", islands(gap.isNull() | (F.col("start") - gap > th.merge_gap), by_start)).groupBy("video_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("video_end").alias("video_end"))
+    merged = scans.merged_intervals(raw, ["video_id"], th.merge_gap, aggs=[F.first("video_end").alias("video_end")])
     long = F.col("end") - F.col("start") >= th.min_duration
+    bounds = [F.col("start").alias("unpadded_start"), F.col("end").alias("unpadded_end")]
+    short = merged.where(~long).select("video_id", F.lit("short_motion").alias("kind"), "start", "end", *bounds, F.lit(0).cast("long").alias("merges"))
 
-    short = merged.where(~long).select("video_id", F.lit("short_motion").alias("kind"), "start", "end", F.col("start").alias("unpadded_start"), F.col("end").alias("unpadded_end"), F.lit(0).cast("long").alias("merges"))
-    padded = merged.where(long).select("video_id", F.greatest(F.lit(0.0), F.col("start") - th.padding).alias("start"), F.least("video_end", F.col("end") + th.padding).alias("end"), F.col("start").alias("unpadded_start"), F.col("end").alias("unpadded_end"))
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    full = padded.withColumn("g", islands(reach.isNull() | (F.col("start") > reach), by_start)).groupBy("video_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("unpadded_start").alias("unpadded_start"), F.max("unpadded_end").alias("unpadded_end"), (F.count(F.lit(1)) - 1).alias("merges"))
-    both = full.select("video_id", F.lit("full_event").alias("kind"), "start", "end", "unpadded_start", "unpadded_end", "merges").unionByName(short)
-    return both.withColumn("event_id", F.row_number().over(ordered(["video_id"], "start", "unpadded_start", "kind")))
+    padded = merged.where(long).select("video_id", F.greatest(F.lit(0.0), F.col("start") - th.padding).alias("start"), F.least("video_end", F.col("end") + th.padding).alias("end"), *bounds)
+    full = scans.merged_intervals(padded, ["video_id"], 0.0, aggs=[F.min("unpadded_start").alias("unpadded_start"), F.max("unpadded_end").alias("unpadded_end")])
+    both = full.select("video_id", F.lit("full_event").alias("kind"), "start", "end", "unpadded_start", "unpadded_end", (F.col("merged") - 1).alias("merges")).unionByName(short)
+    return scans.scanned(scans.series(both, ["video_id"], ["start", "unpadded_start", "kind"]), event_id=scans.number()).frame()
 
 
 def event_statistics(events: DataFrame, frames: DataFrame, bucket: float, digits: int = 4) -> DataFrame:
@@ -68,10 +68,8 @@ def scan_windows(samples: DataFrame, value: str = "activity", share: float = 0.7
     limits = samples.groupBy("video_id").agg(F.percentile(value, share).alias("p"), F.max("t").alias("video_end")).withColumn("threshold", F.greatest(F.col("p"), F.lit(floor)))
     active = samples.join(limits, "video_id").where(F.col(value) >= F.col("threshold"))
     padded = active.select("video_id", "threshold", "video_end", F.greatest(F.lit(0.0), F.col("t") - pad).alias("start"), F.least("video_end", F.col("t") + pad).alias("end"))
-    w = ordered(["video_id"], "start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    merged = padded.withColumn("g", islands(reach.isNull() | (F.col("start") - reach > gap), w)).groupBy("video_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("samples"), F.first("threshold").alias("threshold"), F.first("video_end").alias("video_end"))
-    return merged.withColumn("window_id", F.format_string("W%02d", F.col("g"))).where(F.col("end") - F.col("start") >= least).drop("g")
+    merged = scans.merged_intervals(padded, ["video_id"], gap, aggs=[F.count(F.lit(1)).alias("samples"), F.first("threshold").alias("threshold"), F.first("video_end").alias("video_end")])
+    return merged.withColumn("window_id", F.format_string("W%02d", F.col("_nth"))).where(F.col("end") - F.col("start") >= least).drop("_nth")
 
 
 def coverage(windows: DataFrame, videos: DataFrame) -> DataFrame:

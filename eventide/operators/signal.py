@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, min_max, observability
-from .windows import ordered, so_far
+from . import scans
 
 WEIGHTS = {"raw_diff": 0.35, "raw_bg": 0.35, "raw_flow": 0.30}
 
@@ -35,43 +35,45 @@ def ensemble(frames: DataFrame, weights: dict[str, float] | None = None) -> Data
     return frames.withColumn("score", F.round(total, 6))
 
 
+def by_time(frames: DataFrame) -> scans.Series:
+    """Frames in the order of their videos, in stretches that all tasks share."""
+    return scans.series(frames, ["video_id"], ["t", "frame_idx"])
+
+
 def warm_up(frames: DataFrame, column: str = "raw_bg", rows: int = 10) -> DataFrame:
     """The column set to 0 in a video's first frames, while a background model settles."""
-    n = F.row_number().over(ordered(["video_id"], "t", "frame_idx"))
-    return frames.withColumn("row", n).withColumn(column, F.when(F.col("row") <= rows, F.lit(0.0)).otherwise(F.col(column)))
+    counted = scans.scanned(by_time(frames), row=scans.number()).frame()
+    return counted.withColumn(column, F.when(F.col("row") <= rows, F.lit(0.0)).otherwise(F.col(column)))
 
 
 def running_min_max(frames: DataFrame, column: str) -> DataFrame:
-    w = so_far(ordered(["video_id"], "t", "frame_idx"))
-    return frames.withColumn("running", min_max(F.col(column), F.min(column).over(w), F.max(column).over(w)))
+    """Adds ``running``: the value between the least and the largest so far."""
+    s = scans.scanned(by_time(frames), _least=scans.least(F.col(column)), _largest=scans.largest(F.col(column)))
+    return s.frame().withColumn("running", min_max(F.col(column), F.col("_least"), F.col("_largest"))).drop("_least", "_largest")
 
 
-def brightness_jump(frames: DataFrame, column: str, window: int = 10) -> Column:
-    """Largest minus least value of the last frames; 0 for a single one."""
-    w = ordered(["video_id"], "t", "frame_idx").rowsBetween(1 - window, Window.currentRow)
-    return F.when(F.count(column).over(w) < 2, F.lit(0.0)).otherwise(F.max(column).over(w) - F.min(column).over(w))
+def brightness_jump(frames: DataFrame, column: str, window: int = 10) -> DataFrame:
+    """Adds ``jump``: largest minus least value of the last frames; 0 for a single one."""
+    s = scans.scanned(by_time(frames), _lo=scans.least(F.col(column), rows=window), _hi=scans.largest(F.col(column), rows=window))
+    return s.frame().withColumn("jump", F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0.0))).drop("_lo", "_hi")
 
 
 def lag_difference(frames: DataFrame, column: str, k: int = 2) -> DataFrame:
-    """|x_t - x_(t-k)|; 0 for the first k frames."""
-    before = F.lag(column, k).over(ordered(["video_id"], "t", "frame_idx"))
-    return frames.withColumn("difference", F.coalesce(F.abs(F.col(column) - before), F.lit(0.0)))
+    """Adds ``difference``: |x_t - x_(t-k)|; 0 for the first k frames."""
+    s = scans.scanned(by_time(frames), _ago=scans.ago(F.col(column), k))
+    return s.frame().withColumn("difference", F.coalesce(F.abs(F.col(column) - F.col("_ago")), F.lit(0.0))).drop("_ago")
 
 
 def held(frames: DataFrame, columns: list[str], stride: int = 3) -> DataFrame:
     """Columns taken on every ``stride``-th frame and held until the next."""
-    w = ordered(["video_id"], "t", "frame_idx")
-    n = F.row_number().over(w) - 1
-    frames = frames.withColumn("_n", n)
-    for c in columns:
-        frames = frames.withColumn(c, F.last(F.when(F.col("_n") % stride == 0, F.col(c)), ignorenulls=True).over(so_far(w)))
-    return frames.drop("_n")
+    s = scans.scanned(by_time(frames), _n=scans.number())
+    taken = (F.col("_n") - 1) % stride == 0
+    return scans.scanned(s, **{c: scans.last(F.when(taken, F.col(c))) for c in columns}).frame().drop("_n")
 
 
 def evidence_product(motion: DataFrame, quality: DataFrame) -> DataFrame:
     """Adds q, camera flag and ``s_final`` = evidence x observability; frames without quality count as clear."""
-    jumped = quality.join(motion.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
-    jumped = jumped.withColumn("jump", brightness_jump(jumped, "brightness"))
+    jumped = brightness_jump(quality.join(motion.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"]), "brightness")
     q = jumped.select("video_id", "frame_idx", observability(F.col("shake"), F.col("blur"), F.col("jump")).alias("q"), "flag")
     joined = motion.join(q, ["video_id", "frame_idx"], "left")
     return joined.withColumns({"matched": F.col("q").isNotNull(), "q": F.coalesce("q", F.lit(1.0)), "flag": F.coalesce("flag", F.lit(0))}).withColumn("s_final", clamp01(F.col("score") * F.col("q")))

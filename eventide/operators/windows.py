@@ -1,4 +1,4 @@
-"""Order-based building blocks: latches, islands, interval merges and interval joins."""
+"""Order-based building blocks: islands, interval joins and places in a whole table."""
 
 from __future__ import annotations
 
@@ -17,31 +17,11 @@ def so_far(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def latch(value: Column, hi: float, lo: float, window: WindowSpec) -> Column:
-    """1 from the first value of at least ``hi`` to the first below ``lo``, else 0.
-
-    Exact as a window because hi >= lo: the last value outside the band decides.
-    """
-    if hi < lo:
-        raise ValueError("hi must not be below lo")
-    edge = F.when(value >= hi, 1).when(value < lo, 0)
-    return F.coalesce(F.last(edge, ignorenulls=True).over(so_far(window)), F.lit(0))
-
-
 def islands(starts: Column, window: WindowSpec) -> Column:
     """A number for each run of rows, which rises where ``starts`` is true."""
     return F.sum(F.when(starts, 1).otherwise(0)).over(so_far(window))
 
 
-def merge_gaps(df: DataFrame, keys: list[str], gap: float, start: str = "start", end: str = "end", aggs: list[Column] | None = None) -> DataFrame:
-    """Intervals joined where one starts within ``gap`` of the furthest end before it."""
-    w = ordered(keys, start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = df.withColumn("_island", islands(before.isNull() | (F.col(start) - before > gap), w))
-    out = grouped.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged"), *(aggs or []))
-    return out.drop("_island")
-
-
 def bucketed_interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
     """Rows of ``left`` whose ``point`` lies in an interval of ``right``, ends included; ``how`` is inner or left_semi.
 

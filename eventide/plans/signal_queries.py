@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import segment as seg
 from ..operators import signal as sig
-from ..operators.windows import latch, ordered
 from ..sources.adapters import activity, ctes, quality, signal
 
 #: Scaled to the series of the test data, whose frames are hours apart.
@@ -47,8 +47,7 @@ def q_warmup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_brightness_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signal(spark, sf_dir)
-    return s.select("video_id", "frame_idx", F.round(sig.brightness_jump(s, "raw_diff"), 6).alias("jump"))
+    return rounded(sig.brightness_jump(signal(spark, sf_dir), "raw_diff"), "jump").select("video_id", "frame_idx", "jump")
 
 
 def q_lag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +68,7 @@ def q_q_observability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    return s.select("video_id", "frame_idx", latch(F.col("score"), LIMITS.start, LIMITS.end, ordered(["video_id"], "t", "frame_idx")).alias("on_event"))
+    return scans.latched(sig.by_time(scored(spark, sf_dir)), F.col("score"), LIMITS.start, LIMITS.end, "on_event").frame().select("video_id", "frame_idx", "on_event")
 
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +100,16 @@ def q_activity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_hold_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long each still is shown in a clip: until the next one, at least 0.04 s."""
-    s = signal(spark, sf_dir)
-    nxt = F.lead("t").over(ordered(["video_id"], "t", "frame_idx"))
-    return s.select("video_id", "frame_idx", F.round(F.greatest(F.lit(0.04), F.coalesce(nxt, F.col("t")) - F.col("t")), 5).alias("hold"))
+    s = scans.scanned(sig.by_time(signal(spark, sf_dir)), nxt=scans.following(F.col("t"))).frame()
+    return s.select("video_id", "frame_idx", F.round(F.greatest(F.lit(0.04), F.coalesce("nxt", "t") - F.col("t")), 5).alias("hold"))
+
+
+def q_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames of all videos as a single one: what the scans make of a key that holds every row."""
+    one = signal(spark, sf_dir).select(F.lit(0).alias("video_id"), "frame_idx", "t", "raw_diff", "raw_bg")
+    s = scans.latched(sig.by_time(one), F.col("raw_diff"), 90.0, 20.0)
+    s = scans.scanned(s, row=scans.number(), least=scans.least(F.col("raw_diff")), largest=scans.largest(F.col("raw_diff"), before=True), ago=scans.ago(F.col("raw_bg"), 2), span=scans.largest(F.col("raw_bg"), rows=10), next_t=scans.following(F.col("t")))
+    return rounded(s.frame(), "least", "largest", "next_t").select("frame_idx", "row", "on", "least", "largest", "ago", "span", "next_t")
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -158,4 +163,7 @@ ORACLE_SQL = {
     "q_activity_buckets": _EVENTS + """, v as (select video_id, min(t) as origin, max(t) - min(t) as length from signal group by 1)
         select video_id, bucket, count(*) as events from (select f.video_id, unnest(list_filter(range(48), lambda b: s < origin + (b + 1) * (length / 48) and e > origin + b * (length / 48)))::int as bucket from found f join v using (video_id) where e > s) group by 1, 2""",
     "q_hold_duration": ctes("signal") + f" select video_id, frame_idx, round(greatest(0.04, coalesce(lead(t) over w, t) - t), 5) as hold from signal {_W}",
+    "q_one_series": ctes("signal") + """ select frame_idx, row_number() over w as "row", coalesce(last_value(case when raw_diff >= 90 then 1 when raw_diff < 20 then 0 end ignore nulls) over (w rows unbounded preceding), 0) as "on",
+        round(min(raw_diff) over (w rows unbounded preceding), 6) as least, round(max(raw_diff) over (w rows between unbounded preceding and 1 preceding), 6) as largest, lag(raw_bg, 2) over w as ago,
+        max(raw_bg) over (w rows between 9 preceding and current row) as span, round(lead(t) over w, 6) as next_t from signal window w as (order by t, frame_idx)""",
 }

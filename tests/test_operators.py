@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.functions import geometry, scalars
-from eventide.operators import drift, findings, graph, jerk, ledger, poses, review, segment, tracks, windows
+from eventide.operators import drift, findings, graph, jerk, ledger, poses, review, scans, segment, tracks, windows
 from eventide.sources import readers, sinks
 
 
@@ -71,7 +71,7 @@ def test_segment_of_nothing(spark):
 
 def test_latch_needs_ordered_bounds():
     with pytest.raises(ValueError):
-        windows.latch(F.col("x"), 0.1, 0.2, windows.ordered(["v"], "t"))
+        scans.latched(None, F.col("x"), 0.1, 0.2)
 
 
 def test_interval_join_keeps_both_ends(spark):
