@@ -304,7 +304,7 @@ def phrase_counts(cut: DataFrame, words: int, least: int, longest: int) -> DataF
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language by their lowest-scoring cut."""
     cut = stored(pieces(docs, lang_col, text_col), "collocation-pieces")
-    by_lang = cut.groupBy("lang").agg(F.sum(F.col("words") * F.col("m")).alias("n"))
+    by_lang = stored(cut.groupBy("lang").agg(F.sum(F.col("words") * F.col("m")).alias("n")), "collocation-words")
     words = cut.agg(F.sum("words")).head()[0] or 0
     counts = stored(phrase_counts(cut, words, least, longest), "collocation-counts")
 
@@ -321,8 +321,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     known = stored(counts.select(F.struct("lang", "phrase").alias("part"), "a"), "collocation-parts")
     asked = joined(cuts, known.toDF("first", "l"), "first", "inner")
     asked = joined(asked, known.toDF("rest", "r"), "rest", "inner")
-    # one row a language, which a few codes name; AQE picks the join
-    scored = asked.join(by_lang, "lang").withColumn("score", F.expr(SCORE))
+    scored = joined(asked, by_lang, "lang", "inner").withColumn("score", F.expr(SCORE))
     worst = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score")
 
     best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
