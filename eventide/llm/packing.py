@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 #: Words whose ids a worker keeps at most in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class WordIds:
@@ -47,6 +47,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.markers = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max(ends, default=0) + 1, bool)  # by id, whether it ends a word
+        self.ends[ends] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -67,6 +70,25 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; words of Latin letters alone are encoded as one text, as each has one id that ends a word."""
+        texts = [w.decode(errors="replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
+        found: list[bytes] = [b""] * len(words)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(at) == len(plain):
+            data, bounds = ids.tobytes(), [0, *(4 * at).tolist()]
+            for i, a, b in zip(plain, bounds, bounds[1:], strict=False):
+                found[i] = data[a:b]
+        else:
+            plain = []
+        told = set(plain)
+        rest = [i for i in range(len(words)) if i not in told]
+        for i, x in zip(rest, self.ids([words[i] for i in rest]), strict=True):
+            found[i] = x
+        return found
+
     def learn(self, words: list[bytes]) -> None:
         """Adds words to the young generation.
 
@@ -79,7 +101,7 @@ class WordIds:
         young |= {w: old[w] for w in new if w in old}
         missing = [w for w in new if w not in young]
         if missing:
-            young |= zip(missing, self.ids(missing), strict=True)
+            young |= zip(missing, self.of_words(missing), strict=True)
         young |= {w: young[stem] + young[w[-1:]] for w, stem in stems.items()}
 
 
