@@ -238,7 +238,7 @@ def marked_cells(cut: DataFrame, words: int, least: int) -> tuple[np.ndarray, in
         yield from in_duckdb(plain(), schema, f"select cell::bigint as cell from source group by cell having sum(w) >= {least}", folder)
 
     frequent = stored(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "cell long"), "collocation-cells")
-    bits = 1 << min(MAP_BITS, max(16, (16 * frequent.count()).bit_length()))
+    bits = 1 << min(MAP_BITS, max(16, (64 * frequent.count()).bit_length()))
     place = F.pmod("cell", F.lit(bits)) + 1
     # rows of 4 kB, 64 MB at most
     rows = frequent.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()
