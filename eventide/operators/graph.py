@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
 from ..sources.storage import drop_stored, stored
+from .spatial import box_join
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -52,7 +53,7 @@ def evidence_edges(events: DataFrame, sightings: DataFrame, seconds: float = 300
     """(video_id, a, b, reason): links between a video's events that show the same subject, or the same place soon after.
 
     Every event of a subject is linked to the subject's least event, which gives the same groups and reasons as all
-    pairs would, in as many links as sightings.  Pairs by place meet on (video, time bucket); those that share a
+    pairs would, in as many links as sightings.  Pairs by place meet in a cell of (video, time bucket); those that share a
     subject are no links by place.
     """
     seen = sightings.select("video_id", "track_id", "event_id").distinct()
@@ -65,7 +66,7 @@ def evidence_edges(events: DataFrame, sightings: DataFrame, seconds: float = 300
     side = lambda k, s: known.select("video_id", F.col("event_id").alias(k), F.col("start").alias(s), F.col("tracks").alias(f"{k}_tracks"), *[F.col(e).alias(f"{k}_{e}") for e in ("x1", "y1", "x2", "y2")])
     one = side("a", "s1").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("s1") / seconds) + i for i in (-1, 0, 1)])))
     two = side("b", "s2").withColumn("bucket", F.floor(F.col("s2") / seconds))
-    near = one.join(two, ["video_id", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s1") - F.col("s2")) < seconds) & (iou(box("a_"), box("b_")) > least_iou) & ~F.arrays_overlap("a_tracks", "b_tracks"))
+    near = box_join(one, two, ["video_id", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s1") - F.col("s2")) < seconds) & (iou(box("a_"), box("b_")) > least_iou) & ~F.arrays_overlap("a_tracks", "b_tracks"))
     by_place = near.select("video_id", "a", "b", F.lit("same_place").alias("reason"))
     return by_track.unionByName(by_place).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import latest
+from .windows import interval_join, latest
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -76,22 +76,25 @@ def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6)}
 
 
-def detector_scores(detections: DataFrame, adjudications: DataFrame, annotations: DataFrame, clips: DataFrame, tolerance: float = 0.5, bucket: float = 3600.0) -> DataFrame:
+def detector_scores(detections: DataFrame, adjudications: DataFrame, annotations: DataFrame, clips: DataFrame, tolerance: float = 0.5, tick: float = 1.0) -> DataFrame:
     """Per clip: true and false positives by adjudication, ambiguous and unadjudicated ones, annotations that no detection overlaps, and the rates.
 
     ``adjudications`` has (clip, adj_id, type, at_sec, verdict), the verdict being true positive, false positive or
-    ambiguous; ``clips`` has (clip, person_seconds), the unit of accuracy.  Detections and adjudications meet on (clip,
-    type, time bucket); annotations and detections on (clip, time bucket).
+    ambiguous; ``clips`` has (clip, person_seconds), the unit of accuracy.  Both joins meet in stretches of time that fit
+    the intervals, see ``interval_join``.
     """
-    adj = adjudications.withColumn("b", F.explode(F.array(*[F.floor(F.col("at_sec") / bucket) + i for i in (-1, 0, 1)]))).withColumnRenamed("adj_id", "adj")
-    d = detections.withColumn("b", F.floor(F.col("start") / bucket))
-    near = d.join(adj, ["clip", "type", "b"], "left").withColumn("hit", F.abs(F.col("at_sec") - F.col("start")) < tolerance)
-    judged = near.groupBy("clip", "det_id").agg(F.min_by("verdict", F.when(F.col("hit"), F.col("adj"))).alias("verdict"))
+    wide = tolerance * (1 + 1e-9)
+    adj = adjudications.select("clip", "type", "adj_id", "verdict", "at_sec", (F.col("at_sec") - wide).alias("_from"), (F.col("at_sec") + wide).alias("_to"))
+    hits = interval_join(detections.select("clip", "type", "det_id", "start"), adj, ["clip", "type"], "start", "_from", "_to", tolerance).where(F.abs(F.col("at_sec") - F.col("start")) < tolerance)
+    hits = hits.groupBy("clip", "det_id").agg(F.min_by("verdict", "adj_id").alias("verdict"))
+    judged = detections.select("clip", "det_id").distinct().join(hits, ["clip", "det_id"], "left")
     of = lambda v: F.count_if(F.col("verdict") == v)
     counts = judged.groupBy("clip").agg(of("true positive").alias("tp"), of("false positive").alias("fp"), of("ambiguous").alias("ambiguous"), F.count_if(F.col("verdict").isNull()).alias("unadjudicated"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
     real = annotations.where("genuine")
-    met = real.withColumn("b", span("from_sec", "to_sec")).join(detections.withColumn("b", span("start", "end")).select("clip", "b", "start", "end"), ["clip", "b"]).where("from_sec <= end and start <= to_sec").select("clip", "ann_id").distinct()
+    # of two intervals that meet, one begins within the other
+    begins = interval_join(detections.select("clip", "start"), real.select("clip", "ann_id", "from_sec", "to_sec"), ["clip"], "start", "from_sec", "to_sec", tick).select("clip", "ann_id")
+    within = interval_join(real.select("clip", "ann_id", "from_sec"), detections.select("clip", "start", "end"), ["clip"], "from_sec", "start", "end", tick, "left_semi").select("clip", "ann_id")
+    met = begins.unionByName(within).distinct()
     missed = real.join(met, ["clip", "ann_id"], "left_anti").groupBy("clip").agg(F.count(F.lit(1)).alias("fn"))
     out = clips.join(counts, "clip", "left").join(missed, "clip", "left").fillna(dict.fromkeys(("tp", "fp", "ambiguous", "unadjudicated", "fn"), 0))
     return out.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn"))).withColumns(accuracies(F.col("tp"), F.col("fp"), F.col("fn"), F.col("person_seconds")))

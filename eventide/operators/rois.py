@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, area, box, edge_distance, height, iou, width
+from .spatial import box_pairs
 
 
 def plausible(b, filled: Column, frame_area: int, least: float = 0.001, most: float = 0.5, aspect: float = 8.0, fill: float = 0.15) -> Column:  # noqa: ANN001
@@ -41,7 +42,7 @@ def pairs(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def close_pairs(boxes: DataFrame, keys: list[str], least_iou: float = 0.05, distance: float = 30.0) -> DataFrame:
     """Pairs in a frame that overlap enough or lie near each other."""
-    p = pairs(boxes, keys).withColumns({"iou": iou(box("a_"), box("b_")), "distance": edge_distance(box("a_"), box("b_"))})
+    p = box_pairs(boxes, keys, distance / 2 * (1 + 1e-9)).withColumns({"iou": iou(box("a_"), box("b_")), "distance": edge_distance(box("a_"), box("b_"))})
     return p.where((F.col("iou") > least_iou) | (F.col("distance") <= distance))
 
 

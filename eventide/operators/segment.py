@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import primary_label
 from . import scans
-from .windows import bucketed_interval_join
+from .windows import interval_join
 
 
 @dataclass(frozen=True)
@@ -47,10 +47,10 @@ def segment(frames: DataFrame, th: Thresholds = Thresholds(), column: str = "s_f
     return scans.scanned(scans.series(both, ["video_id"], ["start", "unpadded_start", "kind"]), event_id=scans.number()).frame()
 
 
-def event_statistics(events: DataFrame, frames: DataFrame, bucket: float, digits: int = 4) -> DataFrame:
+def event_statistics(events: DataFrame, frames: DataFrame, tick: float, digits: int = 4) -> DataFrame:
     """Statistics of the frames between an event's unpadded bounds, both included; events without frames go."""
     e = events.select("video_id", "event_id", "kind", "unpadded_start", "unpadded_end")
-    joined = bucketed_interval_join(frames, e, ["video_id"], "t", "unpadded_start", "unpadded_end", bucket)
+    joined = interval_join(frames, e, ["video_id"], "t", "unpadded_start", "unpadded_end", tick)
     stats = joined.groupBy("video_id", "event_id", "kind").agg(
         F.count(F.lit(1)).alias("frames"), F.round(F.max("s_final"), digits).alias("peak"), F.round(F.avg("s_final"), digits).alias("mean"), F.round(F.min("s_final"), digits).alias("least"), F.round(F.max("score"), digits).alias("peak_evidence"), F.round(F.avg("q"), digits).alias("mean_q"), F.sum("flag").alias("camera_frames"),
         F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"),

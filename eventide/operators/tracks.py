@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, centre_distance, iou, touches, width
 from .rois import prohibited
+from .spatial import box_join, box_pairs
 from .streams import folded
 
 EDGES = ("x1", "y1", "x2", "y2")
@@ -40,7 +41,7 @@ def carriers(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Each object with the first track whose box it touches in its frame; null if none does."""
     objects = boxes.where("cls <> 'person'").select(*keys, "box_id", *[F.col(e).alias(f"a_{e}") for e in ("x1", "y1", "x2", "y2")])
     persons = boxes.where("cls = 'person'").select(*keys, "track_id", *[F.col(e).alias(f"b_{e}") for e in ("x1", "y1", "x2", "y2")])
-    held = objects.join(persons, keys).where(touches(box("a_"), box("b_"))).groupBy(*keys, "box_id").agg(F.min("track_id").alias("carrier"))
+    held = box_join(objects, persons, keys).where(touches(box("a_"), box("b_"))).groupBy(*keys, "box_id").agg(F.min("track_id").alias("carrier"))
     return objects.select(*keys, "box_id").distinct().join(held, [*keys, "box_id"], "left")
 
 
@@ -48,7 +49,7 @@ def assigned(poses: DataFrame, tracks: DataFrame, keys: list[str], least: float
     """Each pose with the track box of its frame that it overlaps most, over ``least``; the first of equals."""
     p = poses.select(*keys, F.col("box_id").alias("pose_id"), *[F.col(e).alias(f"a_{e}") for e in ("x1", "y1", "x2", "y2")])
     t = tracks.select(*keys, "track_id", *[F.col(e).alias(f"b_{e}") for e in ("x1", "y1", "x2", "y2")])
-    scored = p.join(t, keys).withColumn("overlap", iou(box("a_"), box("b_"))).where(F.col("overlap") > least)
+    scored = box_join(p, t, keys).withColumn("overlap", iou(box("a_"), box("b_"))).where(F.col("overlap") > least)
     return scored.groupBy(*keys, "pose_id").agg(F.max_by("track_id", F.struct("overlap", -F.col("track_id"))).alias("track_id"), F.round(F.max("overlap"), 6).alias("overlap"))
 
 
@@ -56,10 +57,10 @@ def proximity(boxes: DataFrame, group: list[str], frame: str = "frame_idx", reac
     """The largest share of a frame's persons who are near another one, over frames with two or more."""
     persons = boxes.where("cls = 'person'")
     keys = [*group, frame]
-    a = persons.select(*keys, "box_id", *[F.col(e).alias(f"a_{e}") for e in ("x1", "y1", "x2", "y2")])
-    b = persons.select(*keys, F.col("box_id").alias("other"), *[F.col(e).alias(f"b_{e}") for e in ("x1", "y1", "x2", "y2")])
-    near = a.join(b, keys).where((F.col("box_id") != F.col("other")) & (centre_distance(box("a_"), box("b_")) / (F.greatest(width(box("a_")), width(box("b_"))) + 1) < reach))
-    close = near.groupBy(*keys).agg(F.count_distinct("box_id").alias("close"))
+    # a person who is near by the wider one's measure lies within that one's reach
+    pairs = box_pairs(persons, keys, (width(box()) + 1) * reach)
+    near = pairs.where(centre_distance(box("a_"), box("b_")) / (F.greatest(width(box("a_")), width(box("b_"))) + 1) < reach)
+    close = near.select(*keys, F.explode(F.array("a_box_id", "b_box_id")).alias("box_id")).groupBy(*keys).agg(F.count_distinct("box_id").alias("close"))
     frames = persons.groupBy(*keys).agg(F.count(F.lit(1)).alias("persons")).where("persons >= 2").join(close, keys, "left").fillna({"close": 0})
     return frames.groupBy(*group).agg(F.round(F.max(F.col("close") / F.col("persons")), 3).alias("proximity"), F.count(F.lit(1)).alias("frames"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..sources.storage import stored
+from .scans import merged_intervals
 
 
 def ordered(keys: list[str], *order: str | Column) -> WindowSpec:
@@ -22,19 +23,39 @@ def islands(starts: Column, window: WindowSpec) -> Column:
     return F.sum(F.when(starts, 1).otherwise(0)).over(so_far(window))
 
 
-def bucketed_interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
+def cover(first: Column, last: Column) -> Column:
+    """The whole numbers from ``first`` to ``last`` as the fewest stretches of power-of-two length and place: (level, at) is at * 2^level and so many after it.
+
+    Two stretches a level at most, and as many levels as the length has bits.
+    """
+
+    def parts(k: Column) -> Column:
+        lo, hi = F.ceil(first / F.pow(F.lit(2.0), k)).cast("long"), F.floor((last + 1) / F.pow(F.lit(2.0), k)).cast("long")
+        one = lambda use, at: F.when(use & (lo < hi), F.array(F.struct(k.cast("int").alias("level"), at.alias("at")))).otherwise(F.array().cast("array<struct<level:int,at:bigint>>"))
+        return F.concat(one(F.pmod(lo, F.lit(2)) == 1, lo), one(F.pmod(hi, F.lit(2)) == 1, hi - 1))
+
+    bits = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), bits), parts))
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, tick: float, how: str = "inner") -> DataFrame:
     """Rows of ``left`` whose ``point`` lies in an interval of ``right``, ends included; ``how`` is inner or left_semi.
 
-    Both sides meet on the keys and a time bucket, so it is a hash join whose work follows the matches,
-    not a nested loop over all pairs.  A point lies in one bucket; an interval costs a row for each bucket that it
-    touches, so ``width`` should be about the length of long intervals.
+    Time is cut into ticks.  An interval costs at most two rows for each doubling of its length (``cover``), a point one for each
+    length of stretch that occurs, and each pair meets once, in a hash join on the keys and a stretch; ``tick`` should be no longer than usual intervals.
     """
-    span = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
-    r = right.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(span))
-    placed = left.withColumn("_bucket", F.floor(F.col(point) / width))
-    r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), *[c for c in r.columns if c not in (*keys, "_bucket")])
-    on = [placed[k] == r[f"_k{i}"] for i, k in enumerate(keys)] + [placed["_bucket"] == r["_b"], placed[point] >= r[start], placed[point] <= r[end]]
-    return placed.join(r, on, how).drop("_bucket", "_b", *[f"_k{i}" for i in range(len(keys))])
+    if how == "left_semi":  # a point lies in one of the joined intervals at most
+        whole = merged_intervals(right.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")), keys, 0.0, "_start", "_end")
+        return interval_join(left, whole.select(*keys, "_start", "_end"), keys, point, "_start", "_end", tick).select(*left.columns)
+    tick_of = lambda c: F.floor(F.col(c) / tick).cast("long")
+    r = right.where(F.col(start) <= F.col(end)).withColumn("_part", F.explode(cover(tick_of(start), tick_of(end))))
+    r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part.level").alias("_l"), F.col("_part.at").alias("_p"), *[c for c in r.columns if c not in (*keys, "_part")])
+    # a single row of at most 64 levels
+    levels = F.broadcast(r.agg(F.collect_set("_l").alias("_levels")))
+    placed = left.crossJoin(levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+    placed = placed.withColumn("_at", F.floor(tick_of(point) / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    on = [placed[k] == r[f"_k{i}"] for i, k in enumerate(keys)] + [placed["_level"] == r["_l"], placed["_at"] == r["_p"], placed[point] >= r[start], placed[point] <= r[end]]
+    return placed.join(r, on).drop("_level", "_at", "_l", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def numbered_globally(df: DataFrame, name: str, *order: Column) -> DataFrame:

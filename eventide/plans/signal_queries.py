@@ -81,7 +81,7 @@ def q_segment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg.event_statistics(*found(spark, sf_dir), bucket=6 * 3600.0, digits=10)
+    return seg.event_statistics(*found(spark, sf_dir), tick=3600.0, digits=10)
 
 
 def q_scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

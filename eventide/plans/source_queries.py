@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, centre
 from ..operators import jerk, signal
-from ..operators.windows import bucketed_interval_join, numbered_globally
+from ..operators.windows import interval_join, numbered_globally
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import ctes
 
@@ -46,10 +46,10 @@ def q_sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_window_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames inside a coarse scan's windows; buckets of time are met before times are compared."""
+    """Frames inside a coarse scan's windows: stretches of time are met before times are compared."""
     o = adapters.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("video_id"), (adapters.seconds(F.col("o_orderdate")) % 2592000 + 1704067200).alias("start")).withColumn("end", F.col("start") + 7200)
     s = adapters.signal(spark, sf_dir)
-    return bucketed_interval_join(s, o, ["video_id"], "t", "start", "end", 7200.0, "left_semi").select("video_id", "frame_idx")
+    return interval_join(s, o, ["video_id"], "t", "start", "end", 7200.0, "left_semi").select("video_id", "frame_idx")
 
 
 def q_job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_latch_needs_ordered_bounds():
 def test_interval_join_keeps_both_ends(spark):
     points = spark.createDataFrame([(1, float(t)) for t in range(10)], "v int, t double")
     spans = spark.createDataFrame([(1, "a", 2.0, 4.0), (1, "b", 4.0, 4.0), (1, "c", 9.0, 3.0), (2, "d", 0.0, 9.0)], "v int, name string, start double, end double")
-    out = windows.bucketed_interval_join(points, spans, ["v"], "t", "start", "end", 1.5)
+    out = windows.interval_join(points, spans, ["v"], "t", "start", "end", 1.5)
     assert rows(out, "name", "t") == [("a", 2.0), ("a", 3.0), ("a", 4.0), ("b", 4.0)]
 
 
