@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import length_prefixed
+from ..sources.storage import stored
+from . import scans
 from .streams import folded
 
 GENESIS = "0" * 64
@@ -88,44 +90,83 @@ def node(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.lit("01"), left, right), 256)
 
 
-def merkle_levels(leaves: DataFrame, order: str = "seq", data: str = "entry_hash") -> list[DataFrame]:
-    """Levels of (job_id, i, hash) from the leaves to the roots; an odd last node is promoted.
+#: A subtree has so many levels above its leaves, and is folded within a row.
+SUBTREE = 10
+STEPS = "array<struct<level:int,side:string,sibling:string>>"
 
-    A level is one aggregation by (job, i / 2); their number is the logarithm of the longest log.
+
+def numbered_leaves(leaves: DataFrame, order: str = "seq", data: str = "entry_hash") -> DataFrame:
+    """(job_id, i, hash): the leaves of each log in order, from 0; a long log is numbered in stretches."""
+    s = scans.scanned(scans.series(leaves.select("job_id", F.col(order).alias("_order"), F.col(data).alias("_data")), ["job_id"], ["_order", "_data"]), i=scans.number())
+    return s.frame().select("job_id", (F.col("i") - 1).alias("i"), leaf(F.col("_data")).alias("hash"))
+
+
+def subtrees(nodes: DataFrame) -> DataFrame:
+    """(job_id, block, levels): nodes folded 2^``SUBTREE`` at a time; ``levels`` goes from them to their one root, an odd last node being promoted."""
+    at = F.struct("i", "hash")
+    rows = nodes.groupBy("job_id", F.floor(F.col("i") / (1 << SUBTREE)).alias("block")).agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["hash"]).alias("_nodes"))
+
+    def up(level: Column) -> Column:
+        pair = lambda j: F.when(2 * j + 1 < F.size(level), node(F.get(level, 2 * j), F.get(level, 2 * j + 1))).otherwise(F.get(level, 2 * j))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), pair)
+
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(SUBTREE)), F.array("_nodes"), lambda known, _: F.concat(known, F.array(up(F.element_at(known, -1)))))
+    return rows.select("job_id", "block", levels.alias("levels"))
+
+
+def top(levels: Column) -> Column:
+    return F.get(F.element_at(levels, -1), F.lit(0))
+
+
+def merkle_towers(leaves: DataFrame, order: str = "seq", data: str = "entry_hash") -> list[DataFrame]:
+    """Storeys of subtrees, from the leaves up, each stored: the nodes of a storey are the roots of the one below.
+
+    A storey is one aggregation, and a thousandth as large as the one below; the last has one subtree a log.
     """
-    w = Window.partitionBy("job_id").orderBy(order)
-    level = leaves.select("job_id", (F.row_number().over(w) - 1).cast("long").alias("i"), leaf(F.col(data)).alias("hash"))
-    longest = leaves.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    levels = [level]
-    while longest > 1:
-        pairs = levels[-1].groupBy("job_id", F.floor(F.col("i") / 2).alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
-        levels.append(pairs.select("job_id", "i", F.when(F.col("r").isNull(), F.col("l")).otherwise(node(F.col("l"), F.col("r"))).alias("hash")))
-        longest = (longest + 1) // 2
-    return levels
+    nodes = numbered_leaves(leaves, order, data)
+    towers = []
+    while True:
+        towers.append(stored(subtrees(nodes), "merkle"))
+        if towers[-1].where("block > 0").isEmpty():
+            return towers
+        nodes = towers[-1].select("job_id", F.col("block").alias("i"), top(F.col("levels")).alias("hash"))
 
 
 def merkle_roots(leaves: DataFrame, order: str = "seq", data: str = "entry_hash") -> DataFrame:
     """(job_id, root) of each log."""
-    return merkle_levels(leaves, order, data)[-1].select("job_id", F.col("hash").alias("root"))
+    return merkle_towers(leaves, order, data)[-1].select("job_id", top(F.col("levels")).alias("root"))
+
+
+def siblings(levels: Column, pos: Column, storey: int) -> Column:
+    """The steps from a subtree's ``pos``-th node to its root; promoted levels have no sibling."""
+
+    def step(k: Column) -> Column:
+        at = F.floor(pos / F.pow(F.lit(2.0), k)).cast("int")
+        left = at % 2 == 0
+        return F.struct((k + storey * SUBTREE).cast("int").alias("level"), F.when(left, "right").otherwise("left").alias("side"), F.get(F.get(levels, k), F.when(left, at + 1).otherwise(at - 1)).alias("sibling"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(SUBTREE - 1)), step), lambda s: s["sibling"].isNotNull())
 
 
 def merkle_proofs(leaves: DataFrame, order: str = "seq", data: str = "entry_hash") -> DataFrame:
-    """(job_id, i, level, side, sibling): what proves each leaf; promoted levels have no sibling."""
-    levels = merkle_levels(leaves, order, data)
-    out = None
-    at = levels[0].select("job_id", "i")
-    for k, level in enumerate(levels[:-1]):
-        pos = F.floor(F.col("i") / (1 << k))
-        want = at.withColumns({"pos": pos, "sib": F.when(pos % 2 == 0, pos + 1).otherwise(pos - 1)})
-        step = want.join(level.select("job_id", F.col("i").alias("sib"), F.col("hash").alias("sibling")), ["job_id", "sib"])
-        step = step.select("job_id", "i", F.lit(k).alias("level"), F.when(F.col("pos") % 2 == 0, "right").otherwise("left").alias("side"), "sibling")
-        out = step if out is None else out.unionByName(step)
-    return out if out is not None else at.select("job_id", "i", F.lit(0).alias("level"), F.lit("").alias("side"), F.lit("").alias("sibling")).where("false")
+    """(job_id, i, level, side, sibling): what proves each leaf; promoted levels have no sibling.
+
+    A leaf's steps lie in its subtree; those above are its subtree's, and are joined once a subtree.
+    """
+    towers = merkle_towers(leaves, order, data)
+    blocks = towers[0].withColumn("_above", F.array().cast(STEPS))
+    for k, tower in enumerate(towers[1:]):
+        nodes = tower.select("job_id", "block", "levels", F.posexplode(F.get("levels", F.lit(0))).alias("_pos", "_hash"))
+        nodes = nodes.select("job_id", (F.col("block") * (1 << SUBTREE) + F.col("_pos")).alias("_node"), siblings(F.col("levels"), F.col("_pos"), k + 1).alias("_steps"))
+        blocks = blocks.withColumn("_node", F.floor(F.col("block") / (1 << SUBTREE * k))).join(nodes, ["job_id", "_node"]).withColumn("_above", F.concat("_above", F.col("_steps").cast(STEPS))).drop("_node", "_steps")
+    each = blocks.select("job_id", "block", "levels", "_above", F.posexplode(F.get("levels", F.lit(0))).alias("_pos", "_hash"))
+    steps = F.concat(siblings(F.col("levels"), F.col("_pos"), 0).cast(STEPS), F.col("_above"))
+    return each.select("job_id", (F.col("block") * (1 << SUBTREE) + F.col("_pos")).alias("i"), F.inline(steps))
 
 
 def proofs_hold(leaves: DataFrame, proofs: DataFrame, roots: DataFrame, order: str = "seq", data: str = "entry_hash") -> DataFrame:
     """(job_id, i, ok): each leaf folded up its proof against the root."""
-    first = merkle_levels(leaves, order, data)[0]
+    first = numbered_leaves(leaves, order, data)
     steps = proofs.groupBy("job_id", "i").agg(F.array_sort(F.collect_list(F.struct("level", "side", "sibling"))).alias("steps"))
     fold = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<level:int,side:string,sibling:string>>")), F.col("hash"), lambda h, s: F.when(s["side"] == "right", node(h, s["sibling"])).otherwise(node(s["sibling"], h)))
     return first.join(steps, ["job_id", "i"], "left").join(roots, "job_id").select("job_id", "i", (fold == F.col("root")).alias("ok"))

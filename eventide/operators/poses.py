@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, centre, confident, head_yaw, torso_length, wrist_lift
+from .quantiles import exact_percentiles
 from .windows import ordered
 
 LEAST_CONFIDENCE = 0.5
@@ -38,9 +39,10 @@ def posture(poses: DataFrame, keys: list[str]) -> DataFrame:
     shoulder widths, null with fewer than two boxes, no shoulders or shoulders under a pixel.
     """
     cx, cy = centre(box())
-    wide = F.percentile("shoulder", 0.5)
+    middle = exact_percentiles(poses, keys, {"base": ("yaw", 0.5), "shoulder": ("shoulder", 0.5)})
     span = F.hypot(F.max(cx) - F.min(cx), F.max(cy) - F.min(cy))
-    return poses.groupBy(*keys).agg(F.count("yaw").alias("samples"), F.percentile("yaw", 0.5).alias("base"), wide.alias("shoulder"), F.when((F.count(cx) >= 2) & (wide >= 1), span / wide).alias("travelled"))
+    seen = poses.groupBy(*keys).agg(F.count("yaw").alias("samples"), F.count(cx).alias("_boxes"), span.alias("_span")).join(middle, keys)
+    return seen.withColumn("travelled", F.when((F.col("_boxes") >= 2) & (F.col("shoulder") >= 1), F.col("_span") / F.col("shoulder"))).drop("_boxes", "_span")
 
 
 def anchored() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import fixed, math_round
 from ..functions.scalars import event_kind, priority
+from .quantiles import exact_percentiles
 from .windows import ordered
 
 #: How finding types are shown; others are shown as they are.
@@ -95,8 +96,9 @@ def quality_summary(quality: DataFrame, key: str = "video_id") -> DataFrame:
 
 def spread(df: DataFrame, key: str, columns: list[str], digits: int = 4) -> DataFrame:
     """Least, largest and median value of each column."""
-    aggs = [F.round(f(c), digits).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("median", lambda c: F.percentile(c, 0.5)))]
-    return df.groupBy(key).agg(*aggs)
+    ends = df.groupBy(key).agg(*[F.round(f(c), digits).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    middle = exact_percentiles(df, [key], {f"median_{c}": (c, 0.5) for c in columns})
+    return ends.join(middle.withColumns({f"median_{c}": F.round(f"median_{c}", digits) for c in columns}), key)
 
 
 def mask_cleanup(masks: DataFrame, key: str = "video_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import primary_label
 from . import scans
+from .quantiles import exact_percentiles
 from .windows import interval_join
 
 
@@ -65,7 +66,7 @@ def scan_windows(samples: DataFrame, value: str = "activity", share: float = 0.7
     The threshold is the video's own percentile, not under ``floor``.  Numbers are given
     before short windows go, so they may skip.
     """
-    limits = samples.groupBy("video_id").agg(F.percentile(value, share).alias("p"), F.max("t").alias("video_end")).withColumn("threshold", F.greatest(F.col("p"), F.lit(floor)))
+    limits = exact_percentiles(samples, ["video_id"], {"p": (value, share)}).join(samples.groupBy("video_id").agg(F.max("t").alias("video_end")), "video_id").withColumn("threshold", F.greatest(F.col("p"), F.lit(floor)))
     active = samples.join(limits, "video_id").where(F.col(value) >= F.col("threshold"))
     padded = active.select("video_id", "threshold", "video_end", F.greatest(F.lit(0.0), F.col("t") - pad).alias("start"), F.least("video_end", F.col("t") + pad).alias("end"))
     merged = scans.merged_intervals(padded, ["video_id"], gap, aggs=[F.count(F.lit(1)).alias("samples"), F.first("threshold").alias("threshold"), F.first("video_end").alias("video_end")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, min_max, observability
 from . import scans
+from .quantiles import exact_percentiles
 
 WEIGHTS = {"raw_diff": 0.35, "raw_bg": 0.35, "raw_flow": 0.30}
 
@@ -14,15 +15,15 @@ WEIGHTS = {"raw_diff": 0.35, "raw_bg": 0.35, "raw_flow": 0.30}
 def percentile_normalised(frames: DataFrame, columns: list[str], keys: list[str] | None = None, lo: float = 0.05, hi: float = 0.95, least_rows: int = 4) -> DataFrame:
     """Each column scaled by its own percentiles within a video, as ``norm_<name>``; 0 for short or flat videos.
 
-    One pass for all columns; the bounds are one row per video and are joined back.
+    The bounds are one row per video and are joined back.
     """
     keys = keys or ["video_id"]
-    bounds = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_{c}") for c in columns])
-    joined = frames.join(bounds, keys)
+    bounds = exact_percentiles(frames, keys, {f"_{end}_{c}": (c, p) for c in columns for end, p in (("lo", lo), ("hi", hi))})
+    joined = frames.join(bounds.join(frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys), keys)
     for c in columns:
-        value = min_max(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1])
+        value = min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
         joined = joined.withColumn("norm_" + c.removeprefix("raw_"), F.when(F.col("_rows") >= least_rows, value).otherwise(F.lit(0.0)))
-    return joined.drop("_rows", *[f"_{c}" for c in columns])
+    return joined.drop("_rows", *[f"_{end}_{c}" for c in columns for end in ("lo", "hi")])
 
 
 def ensemble(frames: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

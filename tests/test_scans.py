@@ -78,3 +78,28 @@ def test_latch_and_merge_against_loops(spark, rows):
 def test_empty(rows):
     s = scans.scanned(scans.series(rows.where("false"), ["k"], ["t", "i"]), n=scans.number(), then=scans.following(F.col("v")), hi3=scans.largest(F.col("v"), rows=3))
     assert s.frame().collect() == []
+
+
+@pytest.mark.parametrize("levels", [1, 2, 10])
+def test_merkle_storeys_against_a_plain_tree(spark, monkeypatch, levels):
+    import hashlib
+
+    from eventide.operators import ledger
+
+    monkeypatch.setattr(ledger, "SUBTREE", levels)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    logs = {1: 1, 2: 2, 3: 7, 4: 64, 5: 77}
+    df = spark.createDataFrame([(j, i * 3, f"h{j}-{i}") for j, n in logs.items() for i in range(n)], "job_id int, seq int, entry_hash string").repartition(4)
+    roots, proofs = {}, []
+    for j, n in logs.items():
+        tree = [[sha(f"00h{j}-{i}") for i in range(n)]]
+        while len(tree[-1]) > 1:
+            a = tree[-1]
+            tree.append([sha("01" + a[k] + a[k + 1]) if k + 1 < len(a) else a[k] for k in range(0, len(a), 2)])
+        roots[j] = tree[-1][0]
+        proofs += [(j, i, k, "left" if (i >> k) % 2 else "right", a[(i >> k) ^ 1]) for k, a in enumerate(tree) for i in range(n) if (i >> k) ^ 1 < len(a)]
+    assert {r["job_id"]: r["root"] for r in ledger.merkle_roots(df).collect()} == roots
+    found = ledger.merkle_proofs(df)
+    assert sorted(tuple(r) for r in found.select("job_id", "i", "level", "side", "sibling").collect()) == sorted(proofs)
+    assert ledger.proofs_hold(df, found, ledger.merkle_roots(df)).where("ok").count() == sum(logs.values())
+    assert ledger.merkle_roots(df.where("false")).collect() == [] and ledger.merkle_proofs(df.where("false")).collect() == []
