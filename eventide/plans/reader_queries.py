@@ -9,6 +9,8 @@ from ..operators import ledger
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import ctes
 from ..sources.storage import work_path
+from ..sources.versions import VersionedTable
+from ..streaming import live
 from . import report_queries, review_queries
 
 
@@ -98,10 +100,20 @@ def q_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that is begun with the first two statements of each job, and appended with the rest."""
     s = adapters.ledger_turns(spark, sf_dir)
-    path = work_path(spark, "ledger")
-    ledger.chained(s.where("seq <= 2")).write.parquet(path)
-    sinks.append_entries(spark.read.parquet(path), path, s.where("seq > 2"))
-    return spark.read.parquet(path).select("job_id", "seq", "entry_hash")
+    log = VersionedTable(spark, work_path(spark, "ledger"))
+    log.append(ledger.chained(s.where("seq <= 2")))
+    return sinks.append_entries(log, s.where("seq > 2")).select("job_id", "seq", "entry_hash")
+
+
+def q_served_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type of each video, served from a table that a stream keeps up to date, each batch once."""
+    e = adapters.table(spark, sf_dir, "events")
+    place = work_path(spark, "served")
+    e.select("user_id", "event_type").repartition(4).write.parquet(f"{place}/in")
+    counts = VersionedTable(spark, f"{place}/counts")
+    for _ in range(2):  # the second run finds nothing new
+        live.serve(spark.readStream.schema("user_id bigint, event_type string").option("maxFilesPerTrigger", 2).parquet(f"{place}/in"), sinks.counted_once(counts, "events", ["user_id", "event_type"]), f"{place}/state")
+    return counts.read().select(F.col("user_id").alias("video_id"), "event_type", "n")
 
 
 def q_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,4 +166,5 @@ ORACLE_SQL = {
     "q_touched": "select s_suppkey, case when s_suppkey % 3 = 0 then s_acctbal + 1 else s_acctbal end as s_acctbal, case when s_suppkey % 3 = 0 then 'new' else 'old' end as updated_at from supplier",
     "q_profile_mirror": _BASE + " select camera, region, mu, samples from s union all select camera, region, mu, samples from p where not exists (select 1 from s where s.camera = p.camera and s.region = p.region)",
     "q_stage_progress": "with p as (select l_orderkey as job_id, l_linenumber as stage, sum(l_quantity)::double as weight from lineitem group by 1, 2) select job_id, stage, round(100 * sum(weight) over (partition by job_id order by stage) / sum(weight) over (partition by job_id), 1) as percent from p",
+    "q_served_counts": "select user_id as video_id, event_type, count(*) as n from events group by 1, 2",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import latest
-from .storage import stored
+from .storage import drop_stored, stored
+from .versions import VersionedTable
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -62,26 +63,39 @@ def touched(old: DataFrame, new: DataFrame, keys: list[str], at: Column) -> Data
 def pruned(rows: DataFrame, path: str, gone: DataFrame, keys: list[str], record: Callable[[DataFrame], None]) -> None:
     """Writes ``rows`` without the keys in ``gone`` to ``path``, after ``record`` has taken them down.
 
-    If they cannot be recorded, its error ends the call and nothing is removed.
+    If they cannot be recorded, its error ends the call and nothing is removed.  ``rows`` may come from ``path`` itself:
+    what stays is written aside before anything is recorded.
     """
+    kept = stored(without(rows, gone, keys), "pruned")
     record(gone.select(*keys).distinct())
-    without(rows, gone, keys).write.mode("overwrite").parquet(path)
+    kept.write.mode("overwrite").parquet(path)
+    drop_stored(kept)
 
 
-def append_entries(log: DataFrame, path: str, statements: DataFrame) -> DataFrame:
-    """Appends the links of new statements to the log at ``path``; raises if another writer was first.
+def append_entries(log: VersionedTable, statements: DataFrame) -> DataFrame:
+    """Appends the links of new statements after the head of each log; of two writers the later links after the earlier.
 
-    One writer at a time is the caller's duty; what can be checked is that no number is there twice afterwards.
+    Returns the log with its new entries.  No number is given twice and none is left out, since a writer that comes late builds its links again.
     """
     from ..operators.ledger import appended
 
-    new = stored(appended(log, statements), "ledger-new")
-    new.write.mode("append").parquet(path)
-    spark = log.sparkSession
-    twice = spark.read.parquet(path).groupBy("job_id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if twice:
-        raise RuntimeError("two writers have appended to one log")
-    return new
+    empty = "job_id int, seq int, statement_hash string, prev_hash string, entry_hash string"
+    version = log.update(lambda old: appended(old if old is not None else log.spark.createDataFrame([], empty), statements), "append")
+    return log.read(version)
+
+
+def counted_once(table: VersionedTable, name: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: adds a batch's row counts by key to a served table, each batch once.
+
+    A batch that is replayed after a crash has its number in the last manifest, and changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        fold = lambda old: new if old is None else old.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
+        table.update(fold, "replace", taken={name: number})
+
+    return take
 
 
 def reattached(findings: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ micro-batches.  Frames of a video must arrive in order of time, but for rows wit
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,24 +19,34 @@ from ..operators.tracks import Tracker
 
 
 def live_events(frames: DataFrame, hi: float, lo: float, column: str = "s_final") -> DataFrame:
-    """(video_id, start, end): hysteresis events as they close; the end is the first frame below ``lo``."""
+    """(video_id, start, end, late): hysteresis events as they close; the end is the first frame below ``lo``.
+
+    Frames are told apart by time and, if there is one, ``frame_idx``.  A frame that is before the last one of an earlier batch can't change
+    what was decided; a row without start and end says how many of these a batch had.
+    """
+    numbered = "frame_idx" in frames.columns
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, seen = state.get if state.exists else (None, float("-inf"))
-        rows = []
-        frame = pd.concat(list(batches)).sort_values("t")
-        for t, s in frame[frame["t"] > seen][["t", column]].itertuples(index=False, name=None):
+        start, *seen = state.get if state.exists else (None, float("-inf"), -1)
+        rows, late = [], 0
+        frame = pd.concat(list(batches))
+        frame["_n"] = frame["frame_idx"] if numbered else 0
+        for t, n, s in frame.sort_values(["t", "_n"])[["t", "_n", column]].itertuples(index=False, name=None):
+            if (t, n) < tuple(seen):
+                late += 1
+                continue
             if start is None and s >= hi:
                 start = t
             elif start is not None and s < lo:
-                rows.append((key[0], start, t))
+                rows.append((key[0], start, t, 0))
                 start = None
-            seen = t
-        state.update((start, seen))
-        yield pd.DataFrame(rows, columns=["video_id", "start", "end"])
+            seen = t, n
+        state.update((start, float(seen[0]), int(seen[1])))
+        rows += [(key[0], None, None, late)] * (late > 0)
+        yield pd.DataFrame(rows, columns=["video_id", "start", "end", "late"])
 
     kind = frames.schema["video_id"].dataType.simpleString()
-    return frames.groupBy("video_id").applyInPandasWithState(run, f"video_id {kind}, start double, end double", "start double, seen double", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("video_id").applyInPandasWithState(run, f"video_id {kind}, start double, end double, late bigint", "start double, seen double, number bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_tracks(detections: DataFrame) -> DataFrame:
@@ -69,6 +79,11 @@ def live_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hou
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("from_ts"), "event_type", "events", "total")
 
 
+def serve(stream: DataFrame, take: Callable[[DataFrame, int], None], state: str) -> None:
+    """Hands ``take`` the batches of what is new since the last run; ``state`` is the folder that remembers how far it came."""
+    stream.writeStream.option("checkpointLocation", state).foreachBatch(take).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it has written."""
     spark = stream.sparkSession

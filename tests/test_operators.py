@@ -284,18 +284,6 @@ def test_findings_without_a_subject_get_no_box(spark):
     assert sorted((str(r["track_id"]), str(r["x1"])) for r in got) == [("7", "1"), ("7", "9"), ("8", "None"), ("None", "None")]
 
 
-def test_append_refuses_a_second_writer(spark, tmp_path):
-    path = str(tmp_path / "log")
-    first = ledger.chained(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "job_id int, seq int, statement_hash string"))
-    first.write.parquet(path)
-    log = spark.createDataFrame(spark.read.parquet(path).collect(), first.schema)
-    more = spark.createDataFrame([(1, 1, "c"), (2, 1, "d")], "job_id int, seq int, statement_hash string")
-    assert rows(sinks.append_entries(log, path, more), "job_id", "seq") == [(1, 3), (2, 1)]
-    assert ledger.problems(spark.read.parquet(path)).count() == 0
-    with pytest.raises(RuntimeError):
-        sinks.append_entries(log, path, more)  # from a state that is out of date
-
-
 def test_nothing_is_removed_that_was_not_recorded(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "k int")
 
