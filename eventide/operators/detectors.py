@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, width
+from .spatial import box_join
 from .streams import folded
 from .tracks import latest_boxes
 from .windows import islands, latest, ordered
@@ -57,7 +58,7 @@ def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, g
     """
     w = latest_boxes(tracks)
     b = box()
-    cx, cy = (b.x1 + b.x2) / 2.0, (b.y1 + b.y2) / 2.0
+    cx, cy = (((a + z) / 2).cast("long") for a, z in ((b.x1, b.x2), (b.y1, b.y2)))  # whole pixels, as for those who stay
     moved = F.hypot(cx - F.lag(cx).over(w), cy - F.lag(cy).over(w)) / (width(b) + 1)
     movers = tracks.withColumn("drift", moved).where(F.col("drift") >= least_drift)
     busy = movers.groupBy("video_id", time).agg(F.count_distinct("track_id").alias("movers")).where(F.col("movers") >= persons)
@@ -73,13 +74,17 @@ def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, g
 def exchanges(objects: DataFrame, hands: DataFrame, keys: list[str], reach: float = 0.9) -> DataFrame:
     """Objects that two or more tracks have a hand near, in the first such frame of each class.
 
-    ``hands`` has (keys, frame_idx, track_id, hx, hy, shoulder); ``objects`` has (keys, frame_idx, t, cls, conf, object_id,
-    box).  The result has the object's columns, ``people``, and the first two tracks as ``track_id`` and ``other_id``.
+    ``hands`` has (keys, frame_idx, track_id, hx, hy, shoulder), as ``poses.hands`` gives them; ``objects`` has (keys, frame_idx, t, cls, conf, object_id,
+    box).  The result has the object's columns, ``people``, and the first two tracks in order of their text as ``track_id`` and ``other_id``.
     """
     about = ["frame_idx", "cls", "object_id", "t", "conf", *EDGES]
     b = box()
     cx, cy = (b.x1 + b.x2) / 2.0, (b.y1 + b.y2) / 2.0
-    near = objects.join(hands, [*keys, "frame_idx"]).where(F.hypot(F.col("hx") - cx, F.col("hy") - cy) / F.col("shoulder") < reach)
-    first = F.min("track_id")
-    shared = near.groupBy(*keys, *about).agg(F.count_distinct("track_id").alias("people"), first.alias("track_id"), F.array_sort(F.collect_set("track_id")).alias("_all")).where("people >= 2")
-    return latest(shared.withColumn("other_id", F.get("_all", F.lit(1))).drop("_all"), [*keys, "cls"], "frame_idx", "object_id")
+    far = F.col("shoulder") * reach
+    centres = objects.withColumns({"a_x1": cx, "a_x2": cx, "a_y1": cy, "a_y2": cy})
+    around = hands.withColumns({"b_x1": F.col("hx") - far, "b_x2": F.col("hx") + far, "b_y1": F.col("hy") - far, "b_y2": F.col("hy") + far})
+    near = box_join(centres, around, [*keys, "frame_idx"]).where(F.hypot(F.col("hx") - F.col("a_x1"), F.col("hy") - F.col("a_y1")) / F.col("shoulder") < reach)
+    names = F.array_sort(F.collect_set(F.struct(F.col("track_id").cast("string").alias("name"), "track_id")))
+    shared = near.groupBy(*keys, *about).agg(F.count_distinct("track_id").alias("people"), names.alias("_all")).where("people >= 2")
+    shared = shared.withColumns({"track_id": F.get("_all", F.lit(0))["track_id"], "other_id": F.get("_all", F.lit(1))["track_id"]})
+    return latest(shared.drop("_all"), [*keys, "cls"], "frame_idx", "object_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, centre, confident, head_yaw, torso_length, wrist_lift
 from .quantiles import exact_percentiles
-from .windows import ordered
+from .windows import latest, ordered
 
 LEAST_CONFIDENCE = 0.5
 #: Shoulder widths that a subject may travel before its turns and raises count as walking.
@@ -32,6 +32,17 @@ def measured(poses: DataFrame) -> DataFrame:
     return poses.withColumns({"yaw": head_yaw(joint("nose", "x"), left, right), "shoulder": shoulder, "_raised": raised, "torso": torso_length(line, joint("lh", "y"), joint("rh", "y"))}).withColumns({"lift": F.col("_raised.lift"), "lift_conf": F.col("_raised.conf")}).drop("_raised")
 
 
+def hands(poses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame_idx, track_id, hx, hy, shoulder): the wrists that are seen, of a track's first pose in a frame.
+
+    Without both shoulders, a pixel apart at least, there is no measure of how near a hand is, and none counts.
+    """
+    left, right = joint("ls", "x"), joint("rs", "x")
+    first = latest(poses, [*keys, "track_id", "frame_idx"], "box_id").withColumn("shoulder", F.abs(left - right)).where("shoulder >= 1")
+    wrists = F.array(*[F.struct(joint(w, "x").alias("hx"), joint(w, "y").alias("hy")) for w in ("lw", "rw")])
+    return first.select(*keys, "frame_idx", "track_id", "shoulder", F.inline(wrists)).where("hx is not null and hy is not null")
+
+
 def posture(poses: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, samples, base, shoulder, travelled) of each subject, from measured poses.
 

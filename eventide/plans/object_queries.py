@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import area, box, centre, edge_distance, iou, region_id
 from ..operators import detectors, findings, regions, rois, tracks
 from ..operators.poses import ORDER as POSE_ORDER
-from ..operators.poses import hand_raises, head_turns, measured, posture, value_at
+from ..operators.poses import hand_raises, hands, head_turns, measured, posture, value_at
 from ..operators.windows import ordered
 from ..sources import adapters
 from ..sources.adapters import ctes
@@ -142,11 +142,10 @@ def q_loitering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Objects, and the hands of persons: their box's corner stands for a wrist."""
+    """Objects, and the wrists of the subjects whose poses are known."""
     b = grouped(spark, sf_dir)
-    objects = b.where("cls <> 'person'").select("video_id", "frame_idx", "t", "cls", "conf", F.col("box_id").alias("object_id"), "x1", "y1", "x2", "y2")
-    hands = b.where("cls = 'person'").select("video_id", "frame_idx", "track_id", F.col("x2").cast("double").alias("hx"), F.col("y1").cast("double").alias("hy"), F.lit(250.0).alias("shoulder"))
-    return objects, hands
+    objects = b.where("cls <> 'person'").select((F.col("video_id") % 100).alias("video_id"), "frame_idx", "t", "cls", "conf", F.col("box_id").alias("object_id"), "x1", "y1", "x2", "y2")
+    return objects, hands(adapters.keypoints(b), ["video_id"])
 
 
 def q_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +237,7 @@ _RAISE = ", rf as (select po.*, base, lift as value, coalesce(lift > 0.15, false
 _LABEL = "case cls when 'cell phone' then 'mobile phone' when 'book' then 'paper/chit' else cls end"
 
 _OVERLAP = "greatest(0, least(k.x2,o.b.x2)-greatest(k.x1,o.b.x1))*greatest(0, least(k.y2,o.b.y2)-greatest(k.y1,o.b.y1)) / nullif((k.x2-k.x1)*(k.y2-k.y1)+(o.b.x2-o.b.x1)*(o.b.y2-o.b.y1)-greatest(0, least(k.x2,o.b.x2)-greatest(k.x1,o.b.x1))*greatest(0, least(k.y2,o.b.y2)-greatest(k.y1,o.b.y1)), 0)::double"
-_CROWDS = """, cb as (select *, track_id % 10 as vid, floor(t / 86400)::bigint as day, (x1 + x2) / 2.0::double as cx, (y1 + y2) / 2.0::double as cy from nt),
+_CROWDS = """, cb as (select *, track_id % 10 as vid, floor(t / 86400)::bigint as day, (x1 + x2) // 2 as cx, (y1 + y2) // 2 as cy from nt),
     cm as (select *, sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)) / (x2 - x1 + 1) as drift from cb window w as (partition by vid, track_id order by t, frame_idx, box_id)),
     busy as (select vid, day, count(distinct track_id) as movers from cm where drift >= 0.35 group by 1, 2 having count(distinct track_id) >= 5),
     cg as (select *, sum(case when p is null or day - p > 1 then 1 else 0 end) over (partition by vid order by day rows unbounded preceding) as run from (select *, lag(day) over (partition by vid order by day) as p from busy)),
@@ -251,10 +250,14 @@ _LOITERS = """, lo as (select video_id, track_id % 5 as track_id, t, frame_idx,
       from lw w join lo o on o.video_id = w.video_id and o.track_id = w.track_id and o.n = w.n + 1, lateral (select sqrt(pow(o.mx - w.ax, 2) + pow(o.my - w.ay, 2)) / w.asize as d)),
     loiter as (select video_id, track_id, s as start_sec, t as end_sec, frame_idx, x1, y1, x2, y2, t - s as duration, confidence from lw join (select video_id, track_id % 5 as track_id, round(avg(conf), 8) as confidence from nt group by 1, 2) using (video_id, track_id) where s is not null)"""
 _LOITER = _T + _LOITERS
-_EXCHANGES = """, xn as (select a.video_id, a.frame_idx, a.cls, a.box_id as object_id, a.t, a.conf, a.x1, a.y1, a.x2, a.y2, count(distinct b.track_id) as people, min(b.track_id) as track_id, list_sort(list(distinct b.track_id))[2] as other_id from nt a join nt b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and b.cls = 'person'
-        where a.cls <> 'person' and sqrt(pow(b.x2 - (a.x1 + a.x2) / 2.0::double, 2) + pow(b.y1 - (a.y1 + a.y2) / 2.0::double, 2)) / 250 < 0.9 group by all having count(distinct b.track_id) >= 2),
-    exchange as (select * exclude rn from (select *, row_number() over (partition by video_id, cls order by frame_idx, object_id) as rn from xn) where rn = 1)"""
-_EXCHANGE = _T + _EXCHANGES
+_EXCHANGES = """, hj as (select * from (select *, row_number() over (partition by video_id, track_id, frame_idx order by box_id) as nth from jt) where nth = 1 and rsx is not null and abs(lsx - rsx) >= 1),
+    hw as (select video_id, track_id, frame_idx, abs(lsx - rsx) as wide, mid - w / 2 as hx, lwy as hy from hj where lwc >= 0.5
+        union all select video_id, track_id, frame_idx, abs(lsx - rsx), mid + w / 2, rwy from hj where rwc >= 0.5),
+    xn as (select a.video_id % 100 as video_id, a.frame_idx, a.cls, a.box_id as object_id, a.t, a.conf, a.x1, a.y1, a.x2, a.y2, count(distinct b.track_id) as people, list_sort(list(distinct b.track_id::varchar)) as names
+        from nt a join hw b on a.video_id % 100 = b.video_id and a.frame_idx = b.frame_idx
+        where a.cls <> 'person' and sqrt(pow(b.hx - (a.x1 + a.x2) / 2.0::double, 2) + pow(b.hy - (a.y1 + a.y2) / 2.0::double, 2)) / wide < 0.9 group by all having count(distinct b.track_id) >= 2),
+    exchange as (select * exclude (rn, names), names[1]::bigint as track_id, names[2]::bigint as other_id from (select *, row_number() over (partition by video_id, cls order by frame_idx, object_id) as rn from xn) where rn = 1)"""
+_EXCHANGE = _POSES + _EXCHANGES
 _SCHEMA = "select video_id, '{kind}' as type, {label} as label, {track} as track_id, {s} as start_sec, {e} as end_sec, {frame} as frame_idx, {conf} as confidence, {box}, {n} as sightings, {d} as duration from {source}"
 _NONE, _OWN = "null::bigint as x1, null::bigint as y1, null::bigint as x2, null::bigint as y2", "x1, y1, x2, y2"
 _ALL = _POSES + _TURN + _RAISE + _CROWDS + _LOITERS + _EXCHANGES + f""",
