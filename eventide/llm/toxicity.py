@@ -5,13 +5,14 @@ thresholds: P(grade > g) = logistic(w.x - t_g) with t_0 <= t_1 <= ..., and the e
 severity is the sum of these.  Features are the words of a text, letters lower-cased,
 and the beginnings of ``STEMS`` characters of longer words, each present or not.
 
-Grades come from the labels alone: 0 for a clean text, 1 for a toxic one, 2 for a toxic one that is also labelled as of
-bad quality; labels without the latter have two grades.  With labels that have grades already, pass them as they are.
+Grades come from the labels alone: 0 for a clean text, 1 for a toxic one that is also labelled as of bad quality, 2 for any other toxic one.
+This order is the one that held-out texts bear out (figures in the README): of a toxic text that has become junk, little that offends can still be
+read.  Labels without a quality have two grades, clean and toxic.  With labels that have grades already, pass them as they are.
 Candidates are features that toxic texts have more often; their weights may have either sign.  (Features of
 clean texts as candidates too made held-out recall worse, see the README.)
 
 Training reads a bounded sample: ``SAMPLE`` labelled rows at most, the ones with the
-smallest hash of their id, and ``FEATURES`` features at most, those most telling.  All
+smallest hash of their id and one for each id (that with the least text), and ``FEATURES`` features at most, those most telling.  All
 rows are scored on whole texts.  Defined cases: a null text counts as empty; a null label is no label;
 rows that repeat an id are scored each; an empty text has no features; without toxic or without clean
 labels every row has severity 0; an empty table gives an empty result.
@@ -63,7 +64,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float
 
     Thresholds are t_0 and the logarithms of the gaps to the next ones, so they stay ordered.
     """
-    levels = int(grades.max())
+    levels = int(grades.max())  # grades without rows get no threshold of their own: see ``fit``
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((c for r in rows for c in r), np.int64, len(at))
     w, t = np.zeros(width), np.concatenate([[1.0], np.zeros(levels - 1)])
@@ -90,17 +91,19 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, width: int, l2: float
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, worse_col: str | None = "quality") -> DataFrame:
-    """(id, data, y) for at most ``SAMPLE`` labelled ids, y being the grade; the ids are broadcast, being so few.
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, quality_col: str = "quality") -> DataFrame:
+    """(id, data, y): at most ``SAMPLE`` rows, one for each id, y being the grade; the ids are broadcast, being so few.
 
-    A toxic text whose ``worse_col`` is 0 is graded 2.
+    A toxic text whose ``quality_col`` is 0 is graded 1, any other toxic one 2.
     """
     y = F.col(label_col).cast("int")
-    if worse_col in labels.columns:
-        y = F.when((y == 1) & (F.col(worse_col) == 0), 2).otherwise(y)
+    if quality_col in labels.columns:
+        y = F.when((y == 1) & ~F.coalesce(F.col(quality_col) == 0, F.lit(False)), 2).otherwise(y)
     marked = labels.select(F.col(id_col), y.alias("y")).where(F.col("y").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64(F.lit(4), id_col), id_col).limit(SAMPLE)
-    return docs.select(id_col, text_or_empty(text_col).cast("binary").alias("data")).join(F.broadcast(chosen), id_col)
+    rows = docs.select(id_col, text_or_empty(text_col).cast("binary").alias("data")).join(F.broadcast(chosen), id_col)
+    # an id may stand in any number of rows
+    return rows.groupBy(id_col).agg(F.min("data").alias("data"), F.min("y").alias("y"))
 
 
 def fit(sample: DataFrame) -> Model:
@@ -136,7 +139,9 @@ def fit(sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cols, pa.list_(pa.int32()))], names=["y", "cols"])
 
     rows = sample.select("data", "y").mapInArrow(encoded, "y int, cols array<int>").collect()
-    w, thresholds = fit_ordinal([list(r["cols"]) for r in rows], np.array([r["y"] for r in rows]), max(1, len(index)))
+    # grades that occur, in order, are counted through: without toxic texts of bad quality there are two
+    grades = np.unique([r["y"] for r in rows], return_inverse=True)[1]
+    w, thresholds = fit_ordinal([list(r["cols"]) for r in rows], grades, max(1, len(index)))
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, thresholds)
 
 

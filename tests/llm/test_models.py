@@ -78,7 +78,7 @@ def test_grades_come_from_labels(spark):
     docs, _ = corpus(spark, 6)
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1), (3, 0, 1), (4, None, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
     sample = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic")
-    assert {r["doc_id"]: r["y"] for r in sample.collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 1}
+    assert {r["doc_id"]: r["y"] for r in sample.collect()} == {0: 0, 1: 0, 2: 2, 3: 1, 4: 2}
 
 
 def test_ordinal_gradient_against_differences():
@@ -135,3 +135,29 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.toxicity(none, messy).count() == 0
     assert toxicity.toxicity(odd, labels.where("toxic = 0")).where("toxic = 1").count() == 0
     assert toxicity.accepted(odd, messy).columns == odd.columns
+
+
+def test_one_row_for_each_sampled_id(spark):
+    """A third of all rows repeat one labelled id: the driver gets one of them."""
+    docs, labels = corpus(spark, 200)
+    same = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("alpha snorfwort "), F.col("id").cast("string")).alias("text"))
+    sample = toxicity.training_sample(docs.unionByName(same), labels, "doc_id", "text", "toxic")
+    assert sample.count() == 200 and sample.select("doc_id").distinct().count() == 200
+
+
+def test_severity_rises_with_the_grade(spark):
+    """Toxic texts of bad quality, where fewer words offend, lie between clean and toxic ones on held-out ids."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(30)]
+        grade = i % 3
+        for _ in range((0, 1, 5)[grade]):
+            words[rng.randrange(30)] = rng.choice(["grumpkin", "snorfwort", "snorfling"])
+        rows.append((i, " ".join(w + "!!" if grade == 1 else w for w in words)))
+        labels.append((i, int(grade != 1), int(grade > 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.training_sample(docs, labels.where("doc_id % 5 <> 0"), "doc_id", "text", "toxic"))
+    found = toxicity.scored(docs.where("doc_id % 5 = 0"), model).groupBy(F.col("doc_id") % 3).agg(F.avg("severity").alias("s"), F.avg((F.col("p_toxic") >= 0.5).cast("int")).alias("flagged")).collect()
+    by = {r[0]: r for r in found}
+    assert by[0]["s"] < by[1]["s"] < by[2]["s"] and by[2]["flagged"] >= by[1]["flagged"] > 0.9 > 0.1 > by[0]["flagged"]
