@@ -11,16 +11,16 @@ its license from others: each phrase's words are matched and nothing foreign sta
 them, so another license or version in the same sentence is not taken for this one.  Version
 numbers are read alike with and without "v" and ".0" at their ends.
 
-A notice is a stretch of at most ``SPREAD`` times the template's length, so words scattered
-over a long text do not add up to one.  A stretch is aligned only where its words could reach
-``threshold``, an upper bound from word counts.  With templates of up to ``SHORT`` words every such stretch is
-aligned.  With longer ones it is every stretch that cannot grow, and where that falls short, the
-ones that begin later and end with it: a word that occurs again before a notice would keep it from being an anchor.
+A notice is a stretch of at most ``spread`` times the template's length, so words scattered
+over a long text do not add up to one; widen it for texts with comment marks that are words.  A stretch begins and ends with words of the template.
+All such stretches are considered, by what they could cover at most: the longest common subsequence with the template, which no alignment
+passes.  It is found for all stretches at once, from each first word on, in bit vectors.  Those that have the identifying
+words are aligned, in order of this bound, shorter and then earlier ones first, until no other could cover more than the best.
 Each text is read whole, in one pass; memory is bounded by the text.
 
 Defined cases: a null or empty text has no notice; a notice that repeats, or several
-notices, are all reported: of each template the best stretch (the first of equals), then the
-best that shares no word with it, and so on; a template that is ``WITHIN`` others is left
+notices, are all reported: of each template the best stretch (of equals that of the largest bound, the shortest, the first), then in
+the same way the best before it and the best after it; a template that is ``WITHIN`` others is left
 out where one of these is found; a sentence that names only a family, as "the BSD License",
 is no notice;
 rows that repeat an id are scanned each; an empty table gives an empty result.
@@ -32,14 +32,18 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-THRESHOLD, SPREAD, SHORT = 0.8, 1.5, 16
+THRESHOLD, SPREAD = 0.8, 1.5
+#: Stretches whose bounds are computed at once.
+AT_ONCE = 1 << 15
 VERSION = re.compile(rb"v?(\d{1,3}(?:\.\d{1,3})*?)(?:\.0)*")
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -158,10 +162,15 @@ def _once(seq: list, lo: int, hi: int) -> dict:
 
 
 class Template:
-    def __init__(self, name: str, text: str, identity: tuple[str, ...] = ()):
+    def __init__(self, name: str, text: str, identity: tuple[str, ...] = (), spread: float = SPREAD):
         self.name, self.words = name, [alike(w) for w in words(text.encode())]
         self.counts = Counter(self.words)
-        self.reach = max(len(self.words) + 2, int(SPREAD * len(self.words)))
+        self.reach = max(len(self.words) + 2, int(spread * len(self.words)))
+        self.ids = {w: k for k, w in enumerate(self.counts, 1)}
+        #: by the word's number, where it stands in the template, a bit a place; number 0 is a foreign word
+        self.bits = np.zeros((len(self.ids) + 1, -(-len(self.words) // 64) or 1), np.uint64)
+        for i, w in enumerate(self.words):
+            self.bits[self.ids[w], i // 64] |= np.uint64(1) << np.uint64(i % 64)
         self.phrases = [self._phrase(p) for p in identity]
 
     def _phrase(self, phrase: str) -> tuple[int, int, set[int], set[bytes]]:
@@ -189,50 +198,112 @@ class Template:
         need = threshold * len(self.words)
         if sum(min(n, len(at.get(w, ()))) for w, n in self.counts.items()) < need:
             return []
-        places = sorted((i, w) for w in self.counts for i in at.get(w, ()))
-        hits, have, total, lo = set(), Counter(), 0, 0
-        for hi, (i, w) in enumerate(places):
-            have[w] += 1
-            total += have[w] <= self.counts[w]
-            while places[lo][0] <= i - self.reach:
-                gone = places[lo][1]
-                total -= have[gone] <= self.counts[gone]
-                have[gone] -= 1
-                lo += 1
-            if total < need:
-                continue
-            follows = places[hi + 1][0] if hi + 1 < len(places) else None
-            last = follows is None or follows > places[lo][0] + self.reach - 1
-            if len(self.words) <= SHORT or last:
-                hits |= self._ending(text, places, lo, hi, have.copy(), total, need)
-        starts: list[int] = []
+        bound, start, end = self.stretches(len(text), at, need)
+        for phrase in self.phrases:
+            if len(bound):
+                near = self.carrying(phrase, text, start, end)
+                bound, start, end = bound[near], start[near], end[near]
+        order = np.lexsort((start, end - start, -bound))
+        firsts: list[int] = []
         ends: list[int] = []
-        kept = []
-        for less, start, end in sorted(hits):
-            k = bisect_left(starts, start)
-            if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
-                starts.insert(k, start)
-                ends.insert(k, end)
-                kept.append((-less, start, end))
-        return kept
-
-
-    def _ending(self, text: list[bytes], places: list[tuple[int, bytes]], lo: int, hi: int, have: Counter, total: int, need: float) -> set[tuple[float, int, int]]:
-        """Hits among the stretches that end at place ``hi`` and begin at ``lo`` or later; of long templates the first only."""
-        hits: set[tuple[float, int, int]] = set()
-        while total >= need:
-            start, word = places[lo]
-            stretch = text[start : places[hi][0] + 1]
-            matches = patience(stretch, self.words)
-            coverage = len(matches) / len(self.words)
-            if len(matches) >= need and self.named(stretch, matches):
-                hits.add((-coverage, start + matches[0][0], start + matches[-1][0] + 1))
-                if len(self.words) > SHORT:
-                    break
+        kept: list[tuple[float, int, int]] = []
+        open_: list[tuple[int, int, int, int, int, int]] = []
+
+        def free(lo: int, hi: int) -> bool:
+            k = bisect_left(firsts, lo)
+            return (k == 0 or ends[k - 1] <= lo) and (k == len(firsts) or firsts[k] >= hi)
+
+        # what is aligned waits until no other stretch has a larger bound; -1 stands for the end
+        for place, (most, lo, hi) in enumerate([*zip(bound[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True), (-1, 0, 0)]):
+            while open_ and -open_[0][0] >= most:
+                less, _, s, e, first, last = heappop(open_)
+                if free(s, e):
+                    k = bisect_left(firsts, first)
+                    firsts.insert(k, first)
+                    ends.insert(k, last)
+                    kept.append((-less / len(self.words), first, last))
+            if most > 0 and free(lo, hi):
+                matched, first, last = self.align(text, lo, hi, need)
+                if matched:
+                    heappush(open_, (-matched, place, lo, hi, first, last))
+        return sorted(kept, key=lambda x: (-x[0], x[1]))
+
+    def align(self, text: list[bytes], start: int, end: int, need: float) -> tuple[int, int, int]:
+        """(words matched, first place, place after the last); zeros if it isn't a notice."""
+        stretch = text[start:end]
+        matches = patience(stretch, self.words)
+        if len(matches) < need or not self.named(stretch, matches):
+            return 0, 0, 0
+        return len(matches), start + matches[0][0], start + matches[-1][0] + 1
+
+    def starts(self, places: list[tuple[int, bytes]], need: float) -> list[int]:
+        """Places from which on enough words of the template stand in reach, in whatever order."""
+        have, total, hi, found = Counter(), 0, 0, []
+        for start, word in places:
+            while hi < len(places) and places[hi][0] < start + self.reach:
+                w = places[hi][1]
+                have[w] += 1
+                total += have[w] <= self.counts[w]
+                hi += 1
+            if total >= need:
+                found.append(start)
             total -= have[word] <= self.counts[word]
             have[word] -= 1
-            lo += 1
-        return hits
+        return found
+
+    def stretches(self, size: int, at: dict[bytes, list[int]], need: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bound, start, end) of all stretches in reach whose longest common subsequence with the template is long enough."""
+        places = sorted((i, w) for w in self.counts for i in at.get(w, ()))
+        begin = np.array(self.starts(places, need), np.int64)
+        ids = np.zeros(size + self.reach, np.int32)
+        ids[[i for i, _ in places]] = [self.ids[w] for _, w in places]
+        limbs, top = self.bits.shape[1], np.uint64((1 << len(self.words) % 64) - 1 if len(self.words) % 64 else 2**64 - 1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for part in np.array_split(begin, -(-len(begin) // AT_ONCE)) if len(begin) else []:
+            rows = [np.full(len(part), 2**64 - 1, np.uint64) for _ in range(limbs)]  # a place that is matched is a 0
+            for step in range(self.reach):
+                word = ids[part + step]
+                hit = word > 0
+                if not hit.any():
+                    continue
+                carry = np.zeros(len(part), np.uint64)
+                length = np.full(len(part), len(self.words), np.int64)
+                for k in range(limbs):
+                    v = rows[k]
+                    u = v & self.bits[word, k]
+                    low = v + u
+                    both = low + carry
+                    carry = ((low < v) | (both < low)).astype(np.uint64)
+                    rows[k] = both | (v & ~u)
+                    length -= np.bitwise_count(rows[k] & top if k == limbs - 1 else rows[k]).astype(np.int64)
+                good = np.flatnonzero(hit & (length >= need))
+                if len(good):
+                    found.append((length[good], part[good], part[good] + step + 1))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
+
+    def carrying(self, phrase: tuple[int, int, set[int], set[bytes]], text: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which stretches have the phrase's words that must be there, in order and with none but its words between them."""
+        first, after, needed, extra = phrase
+        wanted = [self.words[j] for j in sorted(needed)]
+        allowed = {*self.words[first:after], *extra}
+        latest = [-1] * len(wanted)  # where the words up to this one begin, as late as can be
+        begins, ends = [], []
+        for i in range(int(start.min()), int(end.max())):
+            w = text[i]
+            if w not in allowed:
+                latest = [-1] * len(wanted)
+                continue
+            for k in range(len(wanted) - 1, -1, -1):
+                if w == wanted[k]:
+                    latest[k] = i if k == 0 else latest[k - 1]
+            if w == wanted[-1] and latest[-1] >= 0:
+                begins.append(latest[-1])
+                ends.append(i)
+        if not begins:
+            return np.zeros(len(start), bool)
+        # begins and ends both rise, so the next window that begins in the stretch is the one that ends first
+        at = np.searchsorted(begins, start)
+        return np.append(np.array(ends), np.iinfo(np.int64).max)[at] < end
 
 
 def scan(data: bytes, templates: list[Template], vocabulary: set[bytes], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
@@ -247,14 +318,14 @@ def scan(data: bytes, templates: list[Template], vocabulary: set[bytes], thresho
     return sorted((x for x in found if not any(a < x[3] and x[2] < b for a, b in wider.get(x[0], ()))), key=lambda x: (-x[1], x[0], x[2]))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, spread: float = SPREAD) -> DataFrame:
     """(id_col, n_words, license, coverage, first_word, end_word, notices): one row per document.
 
     ``license`` is the template with the best coverage, null if none reaches the
     threshold; ``notices`` holds all that do, best first.  Templates of the caller's have no identity to carry.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known = [Template(k, v) for k, v in templates.items()] if templates else [Template(k, v, IDENTITY.get(k, ())) for k, v in TEMPLATES.items()]
+    known = [Template(k, v, spread=spread) for k, v in templates.items()] if templates else [Template(k, v, IDENTITY.get(k, ()), spread) for k, v in TEMPLATES.items()]
     vocabulary = {w for t in known for w in t.counts}
     notice = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -223,6 +224,46 @@ def test_every_stretch_in_reach_is_aligned():
     assert seen > 100
 
 
+def altered(rng, template):
+    """The template's words with some left out, put in or replaced, among words of its own."""
+    words = list(template.words)
+    for _ in range(rng.randint(0, int(0.3 * len(words)))):
+        k, op = rng.randrange(len(words)), rng.random()
+        words[k : k + (op < 0.7)] = [] if op < 0.4 else [rng.choice([b"foreign", rng.choice(template.words)])]
+    around = lambda: [rng.choice([rng.choice(template.words), b"x"]) for _ in range(rng.randint(0, 12))]
+    return around() + words + around()
+
+
+def test_the_best_stretch_of_long_templates_is_found():
+    """No stretch of a text in reach, of all there are, covers more than the one that is reported."""
+    rng, seen = random.Random(5), 0
+    known = [license_scan.Template(k, v, license_scan.IDENTITY.get(k, ())) for k, v in license_scan.TEMPLATES.items()]
+    for trial in range(60):
+        t = rng.choice([t for t in known if 16 < len(t.words) < 140])
+        text, at, need = altered(rng, t), {}, 0.8 * len(t.words)
+        for i, w in enumerate(text):
+            at.setdefault(w, []).append(i)
+        got = t.found(text, at, 0.8)
+        places = [i for i, w in enumerate(text) if w in t.counts]
+        best = max((t.align(text, i, j + 1, need)[0] for i in places for j in places if need <= j + 1 - i <= t.reach), default=0)
+        assert round(got[0][0] * len(t.words)) == best if got else best == 0, (trial, t.name)
+        seen += best > 0
+    assert seen > 15
+
+
+def test_notices_with_marks_between_and_very_many_license_words():
+    known = [license_scan.Template(k, v, license_scan.IDENTITY.get(k, ()), 2.2) for k, v in license_scan.TEMPLATES.items()]
+    vocabulary = {w for t in known for w in t.counts}
+    marked = " ".join(f"{w} rem" for w in license_scan._MIT.split()).encode()
+    assert license_scan.scan(marked, [license_scan.Template("MIT-permission", license_scan._MIT, (), 2.2)], vocabulary)[0][1] == 1.0
+    narrow = [license_scan.Template(k, v, license_scan.IDENTITY.get(k, ())) for k, v in license_scan.TEMPLATES.items()]
+    line = "this work is licensed under the gnu general public license version "
+    began = time.process_time()
+    assert license_scan.scan((line * 2000).encode(), narrow, vocabulary) == []
+    assert len(license_scan.scan((line + "3 ").encode() * 2000, narrow, vocabulary)) == 2000
+    assert time.process_time() - began < 30
+
+
 def test_long_lines_without_spaces(spark):
     text = "x" * 60_000 + " Released under the MIT License. " + "y" * 60_000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
