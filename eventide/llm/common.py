@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import BROADCAST_ROWS, looked_up, spread_join
 from ..sources.storage import drop_stored, shared_folder, stored, work_path
 
-__all__ = ["drop_stored", "first_of", "fold", "joined", "looked_up", "numbered", "shared_folder", "shuffle_width", "stored", "text_or_empty", "whole", "work_path"]
+__all__ = ["drop_stored", "first_of", "fold", "joined", "looked_up", "numbered", "shared_folder", "shuffle_width", "spread_join", "stored", "text_or_empty", "whole", "work_path"]
 
 #: One run of the ASCII white space that the text contracts name.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-#: Keys that are broadcast at most (about 100 bytes each), and the tasks that a key's rows are dealt to beyond.
-BROADCAST_ROWS, SALTS = 200_000, 16
+#: The tasks that a key's rows are dealt to where keys aren't broadcast.
+SALTS = 16
 
 
 def joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -29,24 +30,6 @@ def joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
 
 
-#: A key is hot if it has over this part of all rows, so there are no more hot keys than this.
-HOT_KEYS = 10_000
-
-
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, keys: int) -> DataFrame:
-    """``rows`` joined with ``table``, which is stored and has one of its ``keys`` rows for each key of ``rows``; ``weight`` says how many rows have the key, of ``total``.
-
-    Small tables are broadcast.  Of larger ones only the hot keys are, ``HOT_KEYS`` at most; the others are joined by a
-    shuffle in which no key has over a ten-thousandth of the rows.  ``rows`` is read twice then, so it should be stored.
-    """
-    if keys <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table.drop(weight)), on)
-    hot = F.col(weight) * HOT_KEYS > total
-    mark = rows.join(F.broadcast(table.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
-    first = rows.join(F.broadcast(table.where(hot).drop(weight)), on)
-    return first.unionByName(mark.where("_hot is null").drop("_hot").join(table.where(~hot).drop(weight), on))
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """(_row, _all): each row of ``docs`` as a struct with a number of its own, written once so that it stays.
 

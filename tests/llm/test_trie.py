@@ -7,8 +7,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from eventide.llm import common
 from eventide.llm import prefix_trie as pt
+from eventide.operators import skew
 
 
 def digest(role, text):
@@ -69,8 +69,8 @@ def test_a_long_conversation_and_its_copies(spark):
 
 
 def test_one_conversation_a_third_of_all_and_joins_beyond_broadcasting(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
-    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_KEYS", 20)
     monkeypatch.setattr(pt, "STRETCH", 4)
     rows = [(c, k, "user", f"same {k}") for c in range(100) for k in range(5)] + made(3, 150, 6, ["same 0", "same 1", "x"])
     assert trie(spark, rows) == plainly(rows)
