@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, stored, text_or_empty, work_path
+from .common import joined, looked_up, stored, text_or_empty, work_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 1 << 30
@@ -331,7 +331,11 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     own = facts.where("record_type = 'response'").select(id_col, "payload_bytes", same(F.col("payload_digest"), F.col("named")).alias("payload_digest"), "record_type", "refers_to", "url")
     # a row that repeats an id may be a response with another payload, so a revisit looks for id and digest
     seen = own.groupBy(F.col(id_col).alias("_to"), F.col("payload_digest").alias("_digest")).agg(F.min("payload_bytes").alias("_bytes"))
-    again = facts.where("record_type = 'revisit'").drop("payload_bytes").join(seen, (F.col("refers_to") == F.col("_to")) & (F.col("named") == F.col("_digest")), "left")
+    revisits = facts.where("record_type = 'revisit'").drop("payload_bytes")
+    asked = revisits.groupBy("refers_to", "named").agg(F.count(F.lit(1)).alias("_n"))
+    known = stored(asked.join(seen, (F.col("refers_to") == F.col("_to")) & (F.col("named") == F.col("_digest")), "left").drop("_to"), "warc-revisited")
+    total, keys = known.agg(F.sum("_n"), F.count(F.lit(1))).head()
+    again = looked_up(revisits, known, ["refers_to", "named"], "_n", total or 0, keys)
     again = again.select(id_col, F.col("_bytes").alias("payload_bytes"), same(F.col("_digest"), F.col("named")).alias("payload_digest"), "record_type", "refers_to", "url")
     return own.unionByName(again)
 
