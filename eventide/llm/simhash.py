@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import drop_stored, first_of, numbered, shuffle_width, stored, text_or_empty
+from .common import drop_stored, first_of, looked_up, numbered, shuffle_width, stored, text_or_empty
 
 #: Members of an index key that one tile compares; a tile never holds more than twice as many.
 TILE = 1024
@@ -123,7 +123,9 @@ def verified_links(fps: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame
     pairs = busy.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
     large = busy.where("n > 2").select("key", "n", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    members = entries.join(large, "key")
+    large = stored(large, "simhash-large")
+    total, keys = large.agg(F.sum("n"), F.count(F.lit(1))).head()
+    members = looked_up(entries, large.withColumn("_n", F.col("n")), ["key"], "_n", total or 0, keys)
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
     dealt = members.select("key", "side", "fp", block.alias("block"), F.inline(F.array_distinct(tiles)))
@@ -177,14 +179,15 @@ def _tile_links(tile: pd.DataFrame, i: int, j: int, radius: int) -> list[tuple[i
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id reachable over links of ``radius`` bits."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     links = stored(verified_links(distinct.select("fp"), radius), "simhash-links")
     roots = components(links)
     drop_stored(links)
     least = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = least.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    by_print = stored(least.select("fp", "root", "n").join(names, "root").select("fp", "component_id", "n"), "simhash-components")
+    total, keys = by_print.agg(F.sum("n"), F.count(F.lit(1))).head()
+    return looked_up(prints, by_print, ["fp"], "n", total or 0, keys).select(id_col, "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
