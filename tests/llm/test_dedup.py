@@ -201,3 +201,18 @@ def test_near_defined_cases(odd, none):
     kept = near_dedup.representatives(odd)
     assert kept.columns == odd.columns and near_dedup.representatives(none).count() == 0
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [0, 3, 4, 7, 8, 9, 10, 11, 12]))
+
+
+def test_hot_keys_are_dealt_apart(spark, monkeypatch):
+    """A third of the rows under one key, with joins that broadcast hardly anything: the same results."""
+    from eventide.operators import skew
+
+    docs = spark.createDataFrame([(i, "the same text for many rows of it" if i % 3 == 0 else f"text {i} of {i * 7} words that {i % 5} are its own {i * i}") for i in range(600)], "doc_id long, text string").repartition(6)
+    plain = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    kept = {r["doc_id"] for r in near_dedup.representatives(docs).collect()}
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(skew, "HOT_KEYS", 20)
+    monkeypatch.setattr(skew, "SALTS", 4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == plain
+    assert {r["doc_id"] for r in near_dedup.representatives(docs).collect()} == kept
+    assert {d for d in kept if d % 3 == 0} == {0}
