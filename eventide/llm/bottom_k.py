@@ -8,7 +8,8 @@ Words are runs without ASCII white space, as written; a shingle is ``width`` wor
 the whole sequence of a text with fewer.  Defined cases: a null or word-free text has
 an empty sketch; two empty sketches resemble each other fully, an empty and another
 one not at all; equal texts have equal sketches; a set with fewer than ``k`` shingles
-is held whole, and then all estimates are exact.
+is held whole, and then all estimates are exact.  Ids are whole numbers, or of any type that has an order and go by their
+places in it; a null id comes after all others, and an id of many rows has them in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, text_or_empty
+from ..operators.windows import numbered_globally
+from .common import looked_up, shuffle_width, stored, text_or_empty
 
 K, WIDTH = 256, 5
 #: Bytes as signed numbers, so that half the hashes are negative: the range is 2**64.
@@ -103,6 +105,15 @@ def with_next(rows: DataFrame, id_col: str, cols: list[str], order: list[str], p
     return dealt.withColumns(nexts).where("_guest = 0").drop("_at", "_v", "_cut", "_guest")
 
 
+def with_places(docs: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``_place``: the place of the id among all ids, for ids that aren't whole numbers; null for none."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    places = stored(numbered_globally(ids, "_place", F.asc(id_col)), "sketch-places")
+    total, keys = places.agg(F.sum("_n"), F.count(F.lit(1))).head()
+    known = looked_up(docs, places, [id_col], "_n", total or 0, keys)
+    return known.unionByName(docs.where(F.col(id_col).isNull()).withColumn("_place", F.lit(None).cast("long")))
+
+
 def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
     """Sketch of each text and of its edited text, and how alike they are estimated to be.
 
@@ -110,8 +121,11 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     next document by descending id; an only document is followed by itself.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), sketch(text, k, width).alias("_fp"))
-    rows = with_next(rows, "_id", ["_text", "_fp"], ["_text"])
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    place = F.col(id_col).cast("long").alias("_place") if whole else F.col("_place")
+    docs = docs.select(id_col, text_col) if whole else with_places(docs.select(id_col, text_col), id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), place, text.alias("_text"), sketch(text, k, width).alias("_fp"))
+    rows = with_next(rows, "_place", ["_text", "_fp"], ["_text"])
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - half), F.substring("next__text", F.lit(1), half))

@@ -113,3 +113,15 @@ def test_pack_keeps_large_and_null_ids_and_deals_copies_apart(spark):
     got = packing.pack(same, BPE, group_pieces=50).toPandas()
     sizes = got.groupby(got["sequence_id"] // (1 << 40)).size()
     assert len(got) == 600 and len(sizes) > 8 and sizes.max() < 120
+
+
+def test_ids_of_text_are_ordered_as_text(spark):
+    rows = [("b", "one two three four five six seven"), ("a", "six seven eight nine ten eleven"), (None, "twelve words or fewer are here now"), ("c", None), ("b", "a second row of the same id here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = bottom_k.edited_report(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["None", "a", "b", "b", "c"]
+    by = {r["doc_id"]: r for r in got}
+    # after c comes one of b's rows, after a the row without id, after that c again
+    half = len(rows[1][1]) // 2
+    assert by["a"]["edited_sha256"] == hashlib.sha256((rows[1][1][: len(rows[1][1]) - half] + rows[2][1][:half]).encode()).hexdigest()
+    assert by["c"]["n_chars"] == 0
