@@ -18,6 +18,19 @@ EDGES = ["x1", "y1", "x2", "y2"]
 BOX_ORDER = ["t", "frame_idx", "box_id", *EDGES]
 
 
+def loiter_step(anchor: dict | None, cur: dict, least_seconds: float, reach: float) -> tuple[dict, list[tuple]]:
+    """(anchor after a box, the stretch that it completes if any)."""
+    if anchor is None:
+        return cur, []
+    dx, dy = ((cur[p] + cur[q]) // 2 - (anchor[p] + anchor[q]) // 2 for p, q in (("x1", "x2"), ("y1", "y2")))
+    still = cur["t"] - anchor["t"]
+    if hypot(dx, dy) / max(anchor["x2"] - anchor["x1"] + 1, anchor["y2"] - anchor["y1"] + 1) > reach:
+        return cur, []
+    if still >= least_seconds:
+        return cur, [(anchor["t"], cur["t"], cur["frame_idx"], *(cur[e] for e in EDGES), float(still))]
+    return anchor, []
+
+
 def stationary(tracks: DataFrame, least_seconds: float, reach: float = 0.75) -> DataFrame:
     """Loitering: stretches in which a track stays near an anchor for ``least_seconds``.
 
@@ -31,18 +44,8 @@ def stationary(tracks: DataFrame, least_seconds: float, reach: float = 0.75) ->
 
         def step(cur: dict) -> list[tuple]:
             nonlocal anchor
-            if anchor is None:
-                anchor = cur
-                return []
-            a = anchor
-            dx, dy = ((cur[p] + cur[q]) // 2 - (a[p] + a[q]) // 2 for p, q in (("x1", "x2"), ("y1", "y2")))
-            still = cur["t"] - a["t"]
-            if hypot(dx, dy) / max(a["x2"] - a["x1"] + 1, a["y2"] - a["y1"] + 1) > reach:
-                anchor = cur
-            elif still >= least_seconds:
-                anchor = cur
-                return [(a["t"], cur["t"], cur["frame_idx"], *(cur[e] for e in EDGES), float(still))]
-            return []
+            anchor, found = loiter_step(anchor, cur, least_seconds, reach)
+            return found
 
         return step
 

@@ -82,6 +82,14 @@ def problems(log: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     return rows.select("job_id", "seq", F.explode(found).alias("problem"))
 
 
+def chain_problems(entry: dict, want_seq: int, want_prev: str) -> list[str]:
+    """What is wrong with one entry after the one before it; the plain twin of ``problems``, for streams."""
+    parts = (str(entry["seq"]), entry["prev_hash"], entry["statement_hash"])
+    true = hashlib.sha256("|".join(f"{len(p)}:{p}" for p in parts if p is not None).encode()).hexdigest()
+    checks = {"sequence_gap": entry["seq"] != want_seq, "broken_link": entry["prev_hash"] != want_prev, "entry_hash_mismatch": entry["entry_hash"] != true}
+    return [k for k, wrong in checks.items() if wrong]
+
+
 def leaf(data: Column) -> Column:
     return F.sha2(F.concat(F.lit("00"), data), 256)
 
