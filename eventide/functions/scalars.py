@@ -175,5 +175,14 @@ def day_text(ts: Column) -> Column:
     return F.date_format(ts, "d MMM yyyy, HH:mm")
 
 
+def collated(text: Column, locale: str = "UNICODE") -> Column:
+    """The text with the order and equality of a collation: small letters by capital ones, accents by their letter.
+
+    ``UNICODE`` is the root order of all languages, ``de``, ``fr`` and the like are those of one; with ``_CI`` at its end, case doesn't
+    count, with ``_AI`` accents don't.  Sorting, grouping, joins and ranges of the column all go by it.
+    """
+    return F.collate(text, locale)
+
+
 def utc_seconds_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -154,9 +154,20 @@ def q_fleet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sites_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras by site and camera, both as text."""
+    """Cameras by site and camera, both in the order of names."""
     c = adapters.activity(spark, sf_dir).select(F.concat(F.lit("C"), (F.col("camera") % 9).cast("string")).alias("site"), F.concat(F.lit("cam"), F.col("camera").cast("string")).alias("camera")).distinct()
-    return numbered_globally(c, "place", F.col("site"), F.col("camera"))
+    return numbered_globally(c, "place", scalars.collated(F.col("site")), scalars.collated(F.col("camera")))
+
+
+def q_names_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of all texts in the order of names, and how often each occurs in whatever case."""
+    word = F.regexp_extract("text", "(\\p{L}+)", 1)
+    words = adapters.table(spark, sf_dir, "documents").select(word.alias("name")).where("name <> ''")
+    # equal but for case: one group, whatever it is called
+    alike = words.groupBy(scalars.collated(F.col("name"), "UNICODE_CI").alias("any_case")).agg(F.count(F.lit(1)).alias("alike"))
+    names = words.distinct()
+    counted = names.join(alike, scalars.collated(names["name"], "UNICODE_CI") == alike["any_case"]).select("name", "alike")
+    return numbered_globally(counted, "place", scalars.collated(F.col("name")), F.col("name"))
 
 
 def q_events_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +380,8 @@ ORACLE_SQL = {
     "q_invalid_frames": ctes("signal") + " select video_id, case when k % 7 = 0 then 'missing' when k % 13 <= 0 then 'empty' when k % 11 = 0 then 'channels' when floor(raw_diff / 5) = 0 then 'blank' else 'valid' end as why, count(*) as frames from signal group by all",
     "q_fleet_search": _BASE + """, si as (select 'C' || (camera % 60) as site, arg_min(verdict, severity) as worst, min(severity) as sev, count(*) filter (verdict not in ('stable', 'no_baseline')) as problems from report group by 1)
         select site, worst, problems from si where contains(site, '1') and problems > 0 order by sev, site limit 30""",
-    "q_sites_ordered": ctes("activity") + ", c as (select distinct 'C' || (camera % 9) as site, 'cam' || camera as camera from activity) select *, row_number() over (order by site, camera) as place from c",
+    "q_sites_ordered": ctes("activity") + ", c as (select distinct 'C' || (camera % 9) as site, 'cam' || camera as camera from activity) select *, row_number() over (order by site collate en, camera collate en) as place from c",
+    "q_names_collated": "with w as (select regexp_extract(text, '(\\p{L}+)', 1) as name from documents), n as (select name, lower(name) as l from w where name <> ''), a as (select l, count(*) as alike from n group by l), d as (select distinct name, l from n) select name, alike, row_number() over (order by name collate en, name) as place from d join a using (l)",
     "q_events_ordered": _RICH + " select event_id, start, row_number() over (order by start, event_id) as place from rich",
     "q_drift_summary": _BASE + ", r as (select *, row_number() over (partition by camera order by shift desc, region) as n from sh) select camera, count(*) as compared, count(*) filter (shift > 0.6) as shifted, round(count(*) filter (shift > 0.6) / count(*)::double, 6) as share, max(shift) as peak, string_agg(case when n <= 3 then region end, ',' order by n) as worst from r group by 1",
     "q_camera_status": _BASE + " select p.camera, count(*) as regions, sum(samples)::bigint as samples, coalesce(any_value(r.verdict), 'none') as verdict from p left join (select * from report where regions_compared > 4) r using (camera) group by 1",
