@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import fixed
-from ..functions.scalars import prohibited_label
+from ..functions.scalars import grounding, prohibited_label
 from . import detectors, poses, tracks
 from .rois import prohibited
 
@@ -73,6 +73,44 @@ def with_subject_box(found: DataFrame, boxes: DataFrame) -> DataFrame:
     return j.select(*[F.coalesce(F.col(c), F.col(f"_box.{c}").cast("bigint")).alias(c) if c in EDGES else F.col(c) for c in COLUMNS])
 
 
+def with_stills(found: DataFrame, stills: DataFrame) -> DataFrame:
+    """Adds ``still``: the snapshot of the finding's event and frame, else the annotated still of the frame, else the first sampled one of the
+    video, else null.
+
+    ``found`` has (event_id, video, frame_idx, start_frame); a finding without a frame, or with frame 0, takes that where its event begins, for
+    which there are no snapshots.  ``stills`` is a listing (``readers.stills``): a row for each file, joined by number.
+    """
+    of = lambda kind, *keys: stills.where(F.col("kind") == kind).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("path").alias(f"_{kind}"))
+    rows = found.withColumn("_at", F.when(F.coalesce("frame_idx", F.lit(0)) == 0, F.col("start_frame")).otherwise(F.col("frame_idx")))
+    shots, marked, sampled = of("snapshot", "event_id", "frame_idx"), of("annotated", "frame_idx"), of("sampled", "video", "frame_idx")
+    rows = rows.join(shots, (rows["event_id"] == shots["_event_id"]) & (rows["frame_idx"] == shots["_frame_idx"]), "left").drop("_event_id", "_frame_idx")
+    rows = rows.join(marked, rows["_at"] == marked["_frame_idx"], "left").drop("_frame_idx")
+    rows = rows.join(sampled, (rows["video"] == sampled["_video"]) & (rows["_at"] == sampled["_frame_idx"]), "left")
+    return rows.withColumn("still", F.coalesce("_snapshot", "_annotated", "_sampled")).select(*found.columns, "still")
+
+
+def references(frame: Column, still: Column, base: str = "/api/frame?idx=") -> Column:
+    """What supports a claim: the address of its frame, and of its still if there is one."""
+    return F.array_compact(F.array(F.concat(F.lit(base), frame.cast("string")), F.concat(F.lit("/api/snapshot?path="), still)))
+
+
+def grounded(found: DataFrame, events: DataFrame, caveat: str = "caveat") -> DataFrame:
+    """(event_id, claim, at, track_id, roi, box, urls, caveat): ``explained`` with the places that bear each claim out.
+
+    ``found`` has also (frame_idx, still, x1, y1, x2, y2), ``events`` (start_frame, roi_x1, roi_y1, roi_x2, roi_y2).  The claim on an event's
+    motion stands on the frame where it begins.  A claim with neither box, region nor still, or without words, is dropped.
+    """
+    roi = F.when(F.col("roi_x1").isNotNull(), F.array("roi_x1", "roi_y1", "roi_x2", "roi_y2"))
+    own = F.when(F.col("x1").isNotNull(), F.array(*EDGES))
+    e = events.select("event_id", roi.alias("roi"), F.col("start_frame"))
+    claims = found.select("event_id", with_region_claim(found).alias("claim"), F.col("start_sec").alias("at"), "track_id", own.alias("box"), references(F.col("frame_idx"), F.col("still")).alias("urls"), caveat)
+    claims = claims.join(e.select("event_id", "roi"), "event_id")
+    motion = explained(found.where("false"), events, caveat).join(e, "event_id").select("event_id", "claim", "at", "track_id", F.lit(None).cast(claims.schema["box"].dataType).alias("box"), references(F.col("start_frame"), F.lit(None).cast("string")).alias("urls"), caveat, "roi")
+    both = claims.unionByName(motion)
+    held = grounding(F.col("box").isNotNull(), F.col("roi").isNotNull(), F.size("urls"), F.col("claim"))
+    return both.where(held.isNotNull()).select("event_id", "claim", "at", "track_id", "roi", "box", "urls", caveat)
+
+
 def with_region_claim(found: DataFrame, region: str = "region", z: str = "region_z") -> Column:
     """The label with how the region behaved: over its own baseline, or within its normal range."""
     over = F.format_string("%s (region %s was %s sigma above its own baseline)", F.col("label"), F.col(region), fixed(F.col(z), 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEAST = 8
 
@@ -29,11 +30,16 @@ def spectral_residual(scores: np.ndarray, radius: int = 3) -> np.ndarray:
 
 
 def with_jerk(frames: DataFrame, column: str = "score") -> DataFrame:
-    """Adds ``jerk_score`` per video; a series is one transform, so a video is one group."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema) + ", jerk_score double"
+    """Adds ``jerk_score`` per video; ``frame_idx`` is unique in a video.
+
+    A series is one transform, so a video's numbers meet in one task: frame, time and score, and nothing else of the rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "frame_idx"])
-        return frame.assign(jerk_score=np.round(spectral_residual(frame[column].to_numpy(float)), 6))
+        return frame[["video_id", "frame_idx"]].assign(jerk_score=np.round(spectral_residual(frame["value"].to_numpy(float)), 6))
 
-    return frames.groupBy("video_id").applyInPandas(run, schema)
+    numbers = frames.select("video_id", "frame_idx", "t", F.col(column).cast("double").alias("value"))
+    found = numbers.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, jerk_score double")
+    return frames.join(found, ["video_id", "frame_idx"])

@@ -9,7 +9,7 @@ from ..functions import geometry, rounding, scalars
 from ..functions.geometry import box
 from ..operators import drift, findings, ledger, ranking, reporting, review, rois, signal, spatial
 from ..operators.windows import numbered_globally, ordered
-from ..sources import adapters
+from ..sources import adapters, readers
 from ..sources.adapters import ctes
 from . import object_queries, review_queries
 
@@ -50,6 +50,42 @@ def q_explanation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.explained(f, e)
 
 
+def stills_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of stills: some orders' frames have a sampled still, some an annotated one, some events a snapshot."""
+    o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    at = F.format_string("%07d", "k")
+    named = {
+        3: F.concat(F.lit("/job/frames/cam"), F.col("v").cast("string"), F.lit("__f"), at, F.lit("__t1.5.jpg")),
+        5: F.concat(F.lit("/job/out/annotated/annotated_frame_"), at, F.lit(".jpg")),
+        7: F.concat(F.lit("/job/out/snapshots/event"), F.col("k").cast("string"), F.lit("_f"), at, F.lit(".jpg")),
+        11: F.concat(F.lit("/job/frames/notes_"), at, F.lit(".txt")),
+    }
+    return readers.stills(o.select(F.explode(F.array_compact(F.array(*[F.when(F.col("k") % n == 0, p) for n, p in named.items()]))).alias("path")))
+
+
+def findings_with_stills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = event_findings(spark, sf_dir)
+    frame = F.when(F.col("finding_id") % 4 == 0, F.lit(0)).otherwise(F.col("event_id")).cast("bigint")
+    f = f.withColumns({"video": F.concat(F.lit("cam"), F.col("video_id").cast("string")), "frame_idx": frame, "start_frame": F.col("event_id").cast("bigint")})
+    return findings.with_stills(f, stills_of_orders(spark, sf_dir))
+
+
+def q_stills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best still of each finding."""
+    return findings_with_stills(spark, sf_dir).select("finding_id", "still")
+
+
+def q_grounded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on findings and events with the frames, stills, regions and boxes that bear them out."""
+    band = scalars.uncertainty_band(F.col("camera_share"))
+    e = rich_events(spark, sf_dir).withColumns({"caveat": F.concat(F.lit("camera_shake: "), band), "start_frame": F.col("event_id").cast("bigint")})
+    e = e.withColumns({c: F.when(F.col("event_id") % 2 == 0, F.col("event_id") % n).cast("bigint") for c, n in (("roi_x1", 7), ("roi_y1", 5), ("roi_x2", 97), ("roi_y2", 89))})
+    f = findings_with_stills(spark, sf_dir).join(e.select("event_id", "caveat"), "event_id")
+    f = f.withColumns({"region": F.lit(None).cast("string"), "region_z": F.lit(0.0), **{c: F.when(F.col("finding_id") % 3 == 0, F.col("finding_id") % n).cast("bigint") for c, n in (("x1", 7), ("y1", 5), ("x2", 97), ("y2", 89))}})
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return findings.grounded(f, e).select("event_id", "claim", "at", "track_id", text("roi"), text("box"), F.array_join("urls", " ").alias("urls"), "caveat")
+
+
 def q_finding_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many claims of its event lie near each finding's start."""
     f = event_findings(spark, sf_dir)
@@ -344,6 +380,12 @@ _SHAKE = ctes("signal") + """, sh as (select *, k % 4 = 0 as flow_flag, k % 6 <
 _ENTRIES = """with e as (select conv_id as job_id, (turn + 1)::int as seq, turn, case when turn % 2 = 0 then 'artifact_derived' else 'verdict_recorded' end as kind, 'file/' || (turn % 4) as subject, case when turn % 3 > 0 then role end as actor_id, sha256(coalesce(text, '')) as payload_hash from conversations)"""
 _CHAIN, _BASE = review_queries._CHAIN, review_queries._BASE
 
+#: Each finding's frame, and the best still that the listing has for it.
+_STILLS = """, ff as (select *, case when finding_id % 4 = 0 then 0 else event_id end as at_frame from found),
+    fs as (select *, case when event_id % 7 = 0 and at_frame = event_id then '/job/out/snapshots/event' || event_id || '_f' || printf('%07d', event_id) || '.jpg'
+        when event_id % 5 = 0 then '/job/out/annotated/annotated_frame_' || printf('%07d', event_id) || '.jpg'
+        when event_id % 3 = 0 then '/job/frames/cam' || video_id || '__f' || printf('%07d', event_id) || '__t1.5.jpg' end as still from ff)"""
+
 ORACLE_SQL = {
     "q_api_events": _RICH + """ select 'event-' || event_id as id, video_id, start, "end", "end" - start as duration, peak as motion_score, camera_share as camera_shake, case when phone or peak > 0.7 then 'high' when persons > 0 or peak > 0.4 then 'medium' else 'low' end as priority,
         case when phone then 'phone_activity' when paper then 'paper_activity' when persons > 1 then 'proximity' when camera_share > 0.5 then 'camera_motion' else 'unusual_motion' end as type,
@@ -356,6 +398,13 @@ ORACLE_SQL = {
     "q_explanation_rows": _BOTH + """, cv as (select event_id, 'camera_shake: ' || case when camera_share > 0.6 then 'high' when camera_share >= 0.3 then 'medium' else 'low' end as caveat from rich)
         select event_id, case when track_id % 3 = 0 then label when track_id % 5 = 0 then label || ' (region r0c' || (track_id % 4) || ' was within its normal range)' else label || ' (region r0c' || (track_id % 4) || ' was ' || (track_id % 5) || '.0 sigma above its own baseline)' end as claim, start_sec as at, track_id, caveat from found join cv using (event_id)
         union all select event_id, 'Motion peaked at ' || printf('%.2f', peak) || ' over ' || frames || ' analysed frames (' || character || ' onset)', start, null, caveat from rich join cv using (event_id)""",
+    "q_stills": _FINDINGS + _STILLS + " select finding_id, still from fs",
+    "q_grounded_claims": _BOTH + _STILLS + """, cv as (select event_id, 'camera_shake: ' || case when camera_share > 0.6 then 'high' when camera_share >= 0.3 then 'medium' else 'low' end as caveat from rich),
+        roi as (select event_id, case when event_id % 2 = 0 then concat_ws(',', event_id % 7, event_id % 5, event_id % 97, event_id % 89) end as roi from rich)
+        select event_id, label as claim, start_sec as at, track_id, roi, case when finding_id % 3 = 0 then concat_ws(',', finding_id % 7, finding_id % 5, finding_id % 97, finding_id % 89) end as box,
+            '/api/frame?idx=' || at_frame || coalesce(' /api/snapshot?path=' || still, '') as urls, caveat
+        from fs join cv using (event_id) join roi using (event_id)
+        union all select event_id, 'Motion peaked at ' || printf('%.2f', peak) || ' over ' || frames || ' analysed frames (' || character || ' onset)', start, null, roi, null, '/api/frame?idx=' || event_id, caveat from rich join cv using (event_id) join roi using (event_id)""",
     "q_finding_explanations": _FINDINGS + " select a.finding_id, count(b.label) as claims, min(b.start_sec) as first_at from found a left join found b on a.event_id = b.event_id and abs(b.start_sec - a.start_sec) < 4 group by 1",
     "q_findings_sorted": _FINDINGS + " select finding_id, video_id, row_number() over (partition by video_id order by start_sec, finding_id) as by_time, row_number() over (partition by video_id order by confidence desc, finding_id) as by_confidence, row_number() over (partition by video_id order by type, start_sec, finding_id) as by_type from found",
     "q_capped": _FINDINGS + " select finding_id, row_number() over (partition by video_id order by event_id, finding_id) <= 4 as taken, greatest(0, count(*) over (partition by video_id) - 4) as omitted from found",

@@ -10,6 +10,7 @@ from ..operators import jerk, signal
 from ..operators.windows import interval_join, numbered_globally
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import ctes
+from .signal_queries import _SCORED
 
 
 def q_jerk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,14 @@ ORACLE_SQL = {
     "q_window_pruned": ctes("signal") + """, w as (select o_custkey % 150 as video_id, (epoch_us(o_orderdate) / 1000000.0::double) % 2592000 + 1704067200 as s from orders)
         select video_id, frame_idx from signal f where exists (select 1 from w where w.video_id = f.video_id and t between s and s + 7200)""",
     "q_job_listing": "select source as job_id, sum(n_chars)::bigint as size, count(*) filter (n_chars >= 100) as findings, max(doc_id) as newest, row_number() over (order by source desc nulls last) as place from documents group by 1",
+    "q_jerk": _SCORED + """,
+    s as (select video_id, frame_idx, score, row_number() over (partition by video_id order by t, frame_idx) - 1 as j, count(*) over (partition by video_id) as n from scored),
+    x as (select a.video_id, a.j as k, a.n, sum(b.score * cos(2 * pi() * ((a.j * b.j) % a.n) / a.n)) as re, -sum(b.score * sin(2 * pi() * ((a.j * b.j) % a.n) / a.n)) as im from s a join s b using (video_id) where a.n >= 8 group by 1, 2, 3),
+    l as (select *, ln(sqrt(re * re + im * im) + 1e-8) as la from x),
+    r as (select *, la - (la + coalesce(lag(la) over w, 0) + coalesce(lead(la) over w, 0)) / 3 as res, atan2(im, re) as phase from l window w as (partition by video_id order by k)),
+    y as (select a.video_id, a.k as j, sum(exp(b.res) * cos(b.phase + 2 * pi() * ((a.k * b.k) % a.n) / a.n)) / any_value(a.n) as re, sum(exp(b.res) * sin(b.phase + 2 * pi() * ((a.k * b.k) % a.n) / a.n)) / any_value(a.n) as im from r a join r b using (video_id) group by 1, 2),
+    g as (select d, exp(-(d * d) / 4.5::double) as g from range(-3, 4) t(d)),
+    sm as (select a.video_id, a.j, sum((b.re * b.re + b.im * b.im) * g.g) / (select sum(g) from g) as v from y a join y b on a.video_id = b.video_id and b.j between a.j - 3 and a.j + 3 join g on g.d = b.j - a.j group by 1, 2),
+    ends as (select video_id, min(v) as lo, max(v) as hi from sm group by 1)
+    select s.video_id, s.frame_idx, round(case when hi is null or hi - lo <= 1e-9 then 0 else (v - lo) / (hi - lo) end, 6) as jerk_score from s left join sm using (video_id, j) left join ends using (video_id)""",
 }

@@ -54,7 +54,7 @@ def keyed(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """(key, fields): the entries of a JSON document that maps keys to structs; none if there is no document."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"key string, {fields}")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,struct<{fields.replace(' ', ':').replace(',:', ',')}>>")).alias("key", "v")).select("key", "v.*")
 
 
@@ -67,7 +67,7 @@ def active_job(spark: SparkSession, path: str, default: str) -> str:
     """The job that a pointer file names; the default if there is none or it is blank."""
     if not exists(spark, path):
         return default
-    row = spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", "$.jobId").alias("job")).first()
+    row = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.jobId").alias("job")).first()
     return (row and row["job"] or "").strip() or default
 
 
@@ -100,6 +100,39 @@ def mask_frame_of(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, r"\.[^./]*$", ""), "_f"), -1).try_cast("int")
 
 
+def region_anomalies(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_idx, region, z) of a job's baselines file, a row for each anomaly, to be joined by frame.
+
+    The stage that writes it can be skipped, so a file that is missing or isn't JSON, or a grid without two sides of at least one
+    cell, gives no rows.
+    """
+    schema = "grid array<int>, anomalies array<struct<frame_idx:bigint,region:string,z:double>>"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "frame_idx bigint, region string, z double")
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("f")).select("f.*")
+    usable = (F.size("grid") == 2) & (F.get("grid", F.lit(0)) >= 1) & (F.get("grid", F.lit(1)) >= 1)
+    return whole.where(usable).select(F.inline("anomalies")).where("frame_idx is not null")
+
+
+def stills(paths: DataFrame) -> DataFrame:
+    """(path, kind, video, event_id, frame_idx) of a listing of stills, by their names.
+
+    ``event3_f0000012.jpg`` is a snapshot of an event, ``annotated_frame_0000012.jpg`` an annotated frame and ``cam__f0000012__t1.5.jpg`` a
+    sampled frame of a video; other names are left out.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    patterns = {"snapshot": r"^event(\d+)_f(\d{7})\.jpg$", "annotated": r"^annotated_frame_()(\d{7})\.jpg$", "sampled": r"^(.+)__f(\d{7})__t[^/]*\.jpg$"}
+    kind = F.coalesce(*[F.when(name.rlike(p), F.lit(k)) for k, p in patterns.items()])
+    part = lambda i: F.coalesce(*[F.when(name.rlike(p), F.regexp_extract(name, p, i)) for p in patterns.values()])
+    found = paths.select("path", kind.alias("kind"), part(1).alias("_whose"), part(2).cast("bigint").alias("frame_idx")).where("kind is not null")
+    return found.select("path", "kind", F.when(F.col("kind") == "sampled", F.col("_whose")).alias("video"), F.when(F.col("kind") == "snapshot", F.col("_whose").cast("bigint")).alias("event_id"), "frame_idx")
+
+
+def listed_stills(spark: SparkSession, folder: str) -> DataFrame:
+    """``stills`` of a folder and those below it; only their names are read."""
+    return stills(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path"))
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, frame_idx) of the stills in a folder, without reading them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", frame_of(F.col("path")).alias("frame_idx")).where(F.col("frame_idx").isNotNull())
