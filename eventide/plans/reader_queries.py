@@ -34,12 +34,11 @@ def q_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that are not suppressed, from one JSON document of events per job."""
+    """Findings that are not suppressed, from one JSON document of events per job; a job has twenty videos."""
     f = report_queries.event_findings(spark, sf_dir)
     one = F.struct("type", F.col("track_id").cast("string").alias("track_id"), F.col("event_id").alias("frame_idx"), "start_sec", "confidence", F.array(F.lit(1), F.lit(2)).alias("bbox"), F.when(F.col("suppressed"), F.lit(True)).alias("suppressed"))
     events = f.groupBy("video_id", "event_id").agg(F.array_sort(F.collect_list(one)).alias("offences"))
-    # a job's document is as large as a file of its kind is
-    docs = events.groupBy((F.col("video_id") % 16).alias("job")).agg(F.to_json(F.collect_list(F.struct(F.col("video_id").cast("string").alias("video_id"), "event_id", "offences"))).alias("value"))
+    docs = events.groupBy(F.floor(F.col("video_id") / 20).alias("job")).agg(F.to_json(F.collect_list(F.struct(F.col("video_id").cast("string").alias("video_id"), "event_id", "offences"))).alias("value"))
     path = work_path(spark, "jobs")
     docs.write.partitionBy("job").text(path)
     found = readers.findings(readers.event_documents(spark, f"{path}/*/*.txt"))
@@ -47,11 +46,11 @@ def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keyed_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Camera profiles from one JSON document that maps their keys."""
+    """Camera profiles from JSON documents that map their keys, of fifty cameras each."""
     b = review_queries.baselines(spark, sf_dir, 1).groupBy("camera").agg(F.count(F.lit(1)).alias("regions"), F.max("mu").alias("mu"))
     entry = F.struct(F.concat(F.lit("C1::"), F.col("camera").cast("string")), F.struct("regions", "mu"))
     path = work_path(spark, "profiles")
-    b.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)
+    b.groupBy(F.floor(F.col("camera") / 50).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.partitionBy("part").text(path)
     return readers.keyed(spark, path, "regions bigint, mu double")
 
 
@@ -151,7 +150,7 @@ _BASE = review_queries._BASE
 ORACLE_SQL = {
     "q_csv_scan": ctes("signal") + " select video_id::varchar as video_id, frame_idx, t, raw_diff, case when k % 10 <> 0 then raw_bg end as raw_bg, null::double as score, case when k % 10 = 0 then 'raw_bg' else '' end as unreadable from signal",
     "q_jsonl_scan": report_queries._ENTRIES + " select case when seq <> 3 then job_id::varchar end as job_id, seq = 3 as damaged, count(*) as entries, max(case when seq <> 3 then payload_hash end) as last from e group by 1, 2",
-    "q_event_documents": report_queries._FINDINGS + " select video_id % 16 as job, event_id, type, track_id::varchar as track_id, start_sec, confidence, 2 as edges from found where not suppressed",
+    "q_event_documents": report_queries._FINDINGS + " select video_id // 20 as job, event_id, type, track_id::varchar as track_id, start_sec, confidence, 2 as edges from found where not suppressed",
     "q_keyed_map": _BASE + " select 'C1::' || camera as key, count(*) as regions, max(mu) as mu from p group by 1",
     "q_probed": """with k as (select p_partkey, p_partkey % 50 as num, p_partkey % 3 as den, nullif(p_partkey % 900, 0) as nb, p_partkey % 60 + 0.5::double as d, p_partkey % 11 <> 0 as video, p_partkey % 4 > 0 as has from part),
         f as (select *, case when video and den > 0 then nullif(num / den::double, 0) end as fps from k), c as (select *, coalesce(case when video and has then nb end, floor(fps * d + 0.5)::bigint) as n from f)
