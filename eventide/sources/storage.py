@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that this driver has given out and not yet deleted, in order.
+_paths: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/eventide/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/eventide/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is stored within the block when it ends, so results must have been written or collected by then.
+
+    For one thread at a time: what another thread stores meanwhile goes too.
+    """
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths[before:]:
+            _delete(spark, path)
+        del _paths[before:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,5 +72,4 @@ def drop_stored(*tables: DataFrame) -> None:
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)

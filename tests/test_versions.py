@@ -102,3 +102,15 @@ def test_late_rows_are_counted(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = live.run_available(live.live_events(stream, 0.5, 0.2), "events", f"file://{tmp_path}")
     assert sorted((tuple(r) for r in got.collect()), key=str) == [(1, 0.0, 5.0, 0), (1, 6.0, 9.0, 0), (1, None, None, 2)]
+
+
+def test_scratch_deletes_what_is_stored(spark):
+    from eventide.sources.storage import scratch, stored
+
+    kept = stored(spark.range(3), "kept")
+    with scratch(spark):
+        table = stored(spark.range(5), "table")
+        total = table.count()
+    assert total == 5 and kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|does not exist"):
+        table.count()
