@@ -17,6 +17,17 @@ EDGES = ("x1", "y1", "x2", "y2")
 COLUMNS = ["video_id", "type", "label", "track_id", "start_sec", "end_sec", "frame_idx", "confidence", *EDGES, "sightings", "duration"]
 
 
+#: What reviewers read.
+HANDOFF = "%s at the hands of %s and %s (possible hand-off)"
+STATIONARY = "Person stationary for %ss"
+CROWD = "%d people moving simultaneously"
+TURNED, AWAY = "Head turned ", ", away from their usual posture"
+RAISED = "Hand raised above shoulder (possible signalling)"
+OVER_BASELINE = "%s (region %s was %s sigma above its own baseline)"
+USUAL = "%s (region %s was within its normal range)"
+MOTION = "Motion peaked at %s over %d analysed frames (%s onset)"
+
+
 def finding(rows: DataFrame, kind: str, label: Column, **columns: Column) -> DataFrame:
     """Rows in the common schema; what a detector does not know is null."""
     empty = {"track_id": "bigint", "start_sec": "double", "end_sec": "double", "frame_idx": "bigint", "confidence": "double", **dict.fromkeys(EDGES, "bigint"), "sightings": "bigint", "duration": "double"}
@@ -33,30 +44,30 @@ def prohibited_objects(sightings: DataFrame) -> DataFrame:
 
 def exchanges(objects: DataFrame, hands: DataFrame) -> DataFrame:
     found = detectors.exchanges(objects, hands, KEY)
-    label = F.format_string("%s at the hands of %s and %s (possible hand-off)", prohibited_label(F.col("cls")), F.col("track_id").cast("string"), F.col("other_id").cast("string"))
+    label = F.format_string(HANDOFF, prohibited_label(F.col("cls")), F.col("track_id").cast("string"), F.col("other_id").cast("string"))
     return finding(found, "object_exchange", label, track_id=F.col("track_id"), start_sec=F.col("t"), end_sec=F.col("t"), frame_idx=F.col("frame_idx"), confidence=F.col("conf"), sightings=F.col("people"), **{e: F.col(e) for e in EDGES})
 
 
 def loitering(boxes: DataFrame, least_seconds: float, reach: float = 0.75) -> DataFrame:
     found = detectors.stationary(boxes, least_seconds, reach)
-    label = F.format_string("Person stationary for %ss", fixed(F.col("duration"), 0))
+    label = F.format_string(STATIONARY, fixed(F.col("duration"), 0))
     return finding(found, "loitering", label, track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("frame_idx"), confidence=F.col("confidence"), duration=F.col("duration"), **{e: F.col(e) for e in EDGES})
 
 
 def crowds(boxes: DataFrame, **rules: float) -> DataFrame:
     found = detectors.crowd_runs(boxes, **rules)
-    return finding(found, "crowd_disturbance", F.format_string("%d people moving simultaneously", F.col("peak")), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_at"), confidence=F.col("confidence"), sightings=F.col("peak"))
+    return finding(found, "crowd_disturbance", F.format_string(CROWD, F.col("peak")), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_at"), confidence=F.col("confidence"), sightings=F.col("peak"))
 
 
 def turns(measured: DataFrame) -> DataFrame:
     found = poses.head_turns(measured, [*KEY, "track_id"])
-    label = F.concat(F.lit("Head turned "), F.col("direction"), F.lit(", away from their usual posture"))
+    label = F.concat(F.lit(TURNED), F.col("direction"), F.lit(AWAY))
     return finding(found, "head_turn", label, track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_frame"), confidence=F.col("confidence"), duration=F.col("end") - F.col("start"))
 
 
 def raises(measured: DataFrame) -> DataFrame:
     found = poses.hand_raises(measured, [*KEY, "track_id"])
-    return finding(found, "hand_gesture", F.lit("Hand raised above shoulder (possible signalling)"), track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_frame"), confidence=F.col("confidence"), duration=F.col("end") - F.col("start"))
+    return finding(found, "hand_gesture", F.lit(RAISED), track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_frame"), confidence=F.col("confidence"), duration=F.col("end") - F.col("start"))
 
 
 def together(*found: DataFrame) -> DataFrame:
@@ -113,15 +124,15 @@ def grounded(found: DataFrame, events: DataFrame, caveat: str = "caveat") -> Dat
 
 def with_region_claim(found: DataFrame, region: str = "region", z: str = "region_z") -> Column:
     """The label with how the region behaved: over its own baseline, or within its normal range."""
-    over = F.format_string("%s (region %s was %s sigma above its own baseline)", F.col("label"), F.col(region), fixed(F.col(z), 1))
-    usual = F.format_string("%s (region %s was within its normal range)", F.col("label"), F.col(region))
+    over = F.format_string(OVER_BASELINE, F.col("label"), F.col(region), fixed(F.col(z), 1))
+    usual = F.format_string(USUAL, F.col("label"), F.col(region))
     return F.when(F.coalesce(F.col(region), F.lit("")) == "", F.col("label")).when(F.col(z) != 0, over).otherwise(usual)
 
 
 def explained(found: DataFrame, events: DataFrame, caveat: str = "caveat") -> DataFrame:
     """(event_id, claim, at, track_id, caveat): a claim for each finding, and one on the motion of each event."""
     claims = found.select("event_id", with_region_claim(found).alias("claim"), F.col("start_sec").alias("at"), "track_id", caveat)
-    motion = F.format_string("Motion peaked at %s over %d analysed frames (%s onset)", fixed(F.col("peak"), 2), F.col("frames"), F.coalesce(F.nullif("character", F.lit("")), F.lit("unclassified")))
+    motion = F.format_string(MOTION, fixed(F.col("peak"), 2), F.col("frames"), F.coalesce(F.nullif("character", F.lit("")), F.lit("unclassified")))
     return claims.unionByName(events.select("event_id", motion.alias("claim"), F.col("start").alias("at"), F.lit(None).cast(found.schema["track_id"].dataType).alias("track_id"), caveat))
 
 

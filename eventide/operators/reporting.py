@@ -27,6 +27,9 @@ def display_name(kind: Column) -> Column:
     return F.coalesce(names[kind], kind)
 
 
+# The sentences of the next two functions are what reviewers read.
+
+
 def description(phone: Column, persons: Column, peak: Column, seen: Column) -> Column:
     """One sentence on what an event shows: phone, several persons, one person, or motion alone."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
