@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 EDGES = ("x1", "y1", "x2", "y2")
 #: The finest level: boxes without extent lie there.
 FINEST = -20
@@ -57,7 +59,7 @@ def levels_of(*tables: DataFrame) -> DataFrame:
 def box_pairs(boxes: DataFrame, keys: list[str], reach: float | Column = 0.0, box_id: str = "box_id") -> DataFrame:
     """Pairs of a table's boxes with equal keys that touch once each is grown by ``reach`` on every side: a_* and b_*, a_box_id the smaller."""
     parts = [box_id, *EDGES]
-    rows = grown(boxes.select(*keys, *parts), "", reach)
+    rows = stored(grown(boxes.select(*keys, *parts), "", reach), "boxes")  # read as owners, as askers and for their levels
     one = rows.withColumnsRenamed({c: f"_p_{c}" for c in parts})
     two = rows.withColumnsRenamed({c: f"_q_{c}" for c in parts})
     first = F.col(f"_p_{box_id}") < F.col(f"_q_{box_id}")
@@ -68,7 +70,7 @@ def box_pairs(boxes: DataFrame, keys: list[str], reach: float | Column = 0.0, bo
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_prefix: str = "a_", right_prefix: str = "b_", reach: float | Column = 0.0) -> DataFrame:
     """Rows of two tables with equal keys whose boxes touch once each is grown by ``reach``; other columns go along and must not clash."""
-    a, b = grown(left, left_prefix, reach), grown(right, right_prefix, reach)
+    a, b = stored(grown(left, left_prefix, reach), "boxes"), stored(grown(right, right_prefix, reach), "boxes")
     levels = levels_of(a, b)
     larger_left = met(a, b, keys, levels)
     larger_right = met(b, a, keys, levels).where("_o_level < _level")
