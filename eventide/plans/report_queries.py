@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, rounding, scalars
 from ..functions.geometry import box
-from ..operators import drift, findings, ledger, ranking, reporting, review, rois, signal, spatial
+from ..operators import drift, findings, ledger, reporting, review, rois, signal, spatial
 from ..operators.windows import numbered_globally, ordered
 from ..sources import adapters, readers
 from ..sources.adapters import ctes
