@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rounding import go_round
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,7 +80,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, video_id, start, motion, camera_share, status, persons, phones, papers, objects): orders as events."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("video_id"), seconds(F.col("o_orderdate")).alias("start"), F.round(F.col("o_totalprice") / 500000, 4).alias("motion"), ((F.col("o_orderkey") * 7919 % 1000) / 1000.0).alias("camera_share"), F.col("o_orderstatus").alias("status"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("video_id"), seconds(F.col("o_orderdate")).alias("start"), go_round(F.col("o_totalprice") / 500000, 4).alias("motion"), ((F.col("o_orderkey") * 7919 % 1000) / 1000.0).alias("camera_share"), F.col("o_orderstatus").alias("status"))
     b = boxes(spark, sf_dir).groupBy(F.col("frame_idx").alias("event_id")).agg(F.count_if(F.col("cls") == "person").alias("persons"), F.count_if((F.col("cls") == "cell phone") & (F.col("conf") >= 0.35)).alias("phones"), F.count_if((F.col("cls") == "book") & (F.col("conf") >= 0.35)).alias("papers"), F.round(F.max(F.when(F.col("cls") != "person", F.col("conf"))), 3).alias("object_score"))
     return o.join(b, "event_id", "left").fillna({"persons": 0, "phones": 0, "papers": 0, "object_score": 0.0})
 
