@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from ..functions.rounding import go_round
 from ..functions.scalars import PROFILES, caption_verdict, clamp01, softmax
 
 
@@ -17,7 +18,7 @@ def signals(motion: Column, objects: Column, proximity: Column, observability: C
 
 def profile_scores(events: DataFrame, named: dict[str, Column], profiles: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """One row per event and profile, with the weighted sum of the profile's signals."""
-    scores = [F.struct(F.lit(p).alias("profile"), F.round(sum((named[s] * w for s, w in weights.items()), F.lit(0.0)), 4).alias("score")) for p, weights in (profiles or PROFILES).items()]
+    scores = [F.struct(F.lit(p).alias("profile"), go_round(sum((named[s] * w for s, w in weights.items()), F.lit(0.0)), 4).alias("score")) for p, weights in (profiles or PROFILES).items()]
     return events.select("*", F.inline(F.array(*scores)))
 
 
