@@ -1,6 +1,7 @@
-"""Joins of boxes by a grid whose cells follow the boxes' own sizes.
+"""Joins of boxes: plain where a key has few boxes, by a grid whose cells follow the boxes' own sizes where it has many.
 
-Each box lies on the level whose cells are four to eight times its longer side (a power of two), so it touches four cells there at most.  On the
+A key with at most ``FEW`` boxes is joined on the key alone, which needs no rows but the boxes' own and leaves them where they lie.
+In the grid each box lies on the level whose cells are four to eight times its longer side (a power of two), so it touches four cells there at most.  On the
 levels of larger boxes it touches four at most too, and asks there; as many levels are asked as sizes occur, one for each doubling.
 Two boxes are met in every cell that both touch; only the cell of their common corner counts, so each pair is met
 once without a ``distinct``.  Work follows the pairs that lie near each other, not the square of a frame.
@@ -18,6 +19,9 @@ from ..sources.storage import stored
 EDGES = ("x1", "y1", "x2", "y2")
 #: The finest level: boxes without extent lie there.
 FINEST = -20
+#: Boxes that a key may have to be joined without the grid: each box meets so many at most.
+FEW = 64
+GROWN = ("_x1", "_y1", "_x2", "_y2", "_level")
 
 
 def grown(df: DataFrame, prefix: str, reach: float | Column) -> DataFrame:
@@ -56,22 +60,50 @@ def levels_of(*tables: DataFrame) -> DataFrame:
     return found.agg(F.collect_set("_level").alias("_levels"))
 
 
+def crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that have over ``FEW`` rows."""
+    known = rows.where(" and ".join(f"{k} is not null" for k in keys))
+    return stored(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys), "crowded")
+
+
+def met_plainly(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Grown boxes of two tables with equal keys that touch."""
+    other = b.withColumnsRenamed({c: f"_o{c}" for c in GROWN})
+    touch = (F.greatest("_x1", "_o_x1") <= F.least("_x2", "_o_x2")) & (F.greatest("_y1", "_o_y1") <= F.least("_y2", "_o_y2"))
+    return a.join(other, keys).where(touch).drop(*GROWN, *(f"_o{c}" for c in GROWN))
+
+
 def box_pairs(boxes: DataFrame, keys: list[str], reach: float | Column = 0.0, box_id: str = "box_id") -> DataFrame:
     """Pairs of a table's boxes with equal keys that touch once each is grown by ``reach`` on every side: a_* and b_*, a_box_id the smaller."""
     parts = [box_id, *EDGES]
-    rows = stored(grown(boxes.select(*keys, *parts), "", reach), "boxes")  # read as owners, as askers and for their levels
-    one = rows.withColumnsRenamed({c: f"_p_{c}" for c in parts})
-    two = rows.withColumnsRenamed({c: f"_q_{c}" for c in parts})
+    side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in parts})
+    plainly = lambda df: met_plainly(side(df, "a"), side(df, "b"), keys).where(F.col(f"a_{box_id}") < F.col(f"b_{box_id}"))
+    many = crowded(boxes, keys)
+    rows = grown(boxes.select(*keys, *parts), "", reach)
+    if many.isEmpty():
+        return plainly(rows)
+    rows = stored(rows, "boxes")  # read as owners, as askers, for their levels and for the keys with few
+    few, rows = rows.join(many, keys, "left_anti"), rows.join(many, keys, "left_semi")
+    one, two = side(rows, "_p"), side(rows, "_q")
     first = F.col(f"_p_{box_id}") < F.col(f"_q_{box_id}")
     found = met(one, two, keys, levels_of(rows)).where((F.col(f"_p_{box_id}") != F.col(f"_q_{box_id}")) & ((F.col("_o_level") < F.col("_level")) | first))
     sides = [F.when(first, F.col(f"_{x}_{c}")).otherwise(F.col(f"_{y}_{c}")).alias(f"{side}_{c}") for side, x, y in (("a", "p", "q"), ("b", "q", "p")) for c in parts]
-    return found.select(*keys, *sides)
+    return found.select(*keys, *sides).unionByName(plainly(few))
 
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_prefix: str = "a_", right_prefix: str = "b_", reach: float | Column = 0.0) -> DataFrame:
-    """Rows of two tables with equal keys whose boxes touch once each is grown by ``reach``; other columns go along and must not clash."""
-    a, b = stored(grown(left, left_prefix, reach), "boxes"), stored(grown(right, right_prefix, reach), "boxes")
+    """Rows of two tables with equal keys whose boxes touch once each is grown by ``reach``; other columns go along and must not clash.
+
+    The keys with few boxes in ``left`` are joined plainly, so a box of ``right`` meets ``FEW`` there at most.
+    """
+    a, b = grown(left, left_prefix, reach), grown(right, right_prefix, reach)
+    many = crowded(left, keys)
+    if many.isEmpty():
+        return met_plainly(a, b, keys)
+    a, b = stored(a, "boxes"), stored(b, "boxes")
+    few = met_plainly(a.join(many, keys, "left_anti"), b, keys)
+    a, b = a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi")
     levels = levels_of(a, b)
     larger_left = met(a, b, keys, levels)
     larger_right = met(b, a, keys, levels).where("_o_level < _level")
-    return larger_left.drop("_level", "_o_level").unionByName(larger_right.drop("_level", "_o_level"))
+    return larger_left.drop("_level", "_o_level").unionByName(larger_right.drop("_level", "_o_level")).unionByName(few)

@@ -41,8 +41,10 @@ def carriers(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Each object with the first track whose box it touches in its frame; null if none does."""
     objects = boxes.where("cls <> 'person'").select(*keys, "box_id", *[F.col(e).alias(f"a_{e}") for e in ("x1", "y1", "x2", "y2")])
     persons = boxes.where("cls = 'person'").select(*keys, "track_id", *[F.col(e).alias(f"b_{e}") for e in ("x1", "y1", "x2", "y2")])
-    held = box_join(objects, persons, keys).where(touches(box("a_"), box("b_"))).groupBy(*keys, "box_id").agg(F.min("track_id").alias("carrier"))
-    return objects.select(*keys, "box_id").distinct().join(held, [*keys, "box_id"], "left")
+    held = box_join(objects, persons, keys).where(touches(box("a_"), box("b_"))).select(*keys, "box_id", "track_id")
+    # a row without a track for each object, so that those that nobody touches stay
+    alone = objects.select(*keys, "box_id", F.lit(None).cast(held.schema["track_id"].dataType).alias("track_id"))
+    return held.unionByName(alone).groupBy(*keys, "box_id").agg(F.min("track_id").alias("carrier"))
 
 
 def assigned(poses: DataFrame, tracks: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
