@@ -322,7 +322,7 @@ def q_box_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = b.groupBy("frame_idx").agg(F.count_if(geometry.area(crop) >= 6400).alias("judgeable"), F.sum(geometry.area(crop)).cast("bigint").alias("pixels"))
     twice = spatial.box_pairs(b, ["frame_idx"]).where(geometry.same_subject(box("a_"), box("b_"))).groupBy("frame_idx").agg(F.count(F.lit(1)).alias("duplicates"))
     centre = geometry.weighted_centre()
-    whole = b.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2"))).alias("boxes")).select("frame_idx", F.round(centre[0], 6).alias("cx"), F.round(centre[1], 6).alias("cy"))
+    whole = b.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2"))).alias("boxes")).select("frame_idx", rounding.go_round(centre[0], 6).alias("cx"), rounding.go_round(centre[1], 6).alias("cy"))
     return sizes.join(twice, "frame_idx", "left").join(whole, "frame_idx").fillna({"duplicates": 0})
 
 
