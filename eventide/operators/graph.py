@@ -82,6 +82,7 @@ def evidence_groups(edges: DataFrame, events: DataFrame, sightings: DataFrame) -
 
     ``shared`` counts the subjects of more than one event; ``place`` is the group's in its video, largest first.
     """
+    edges = stored(edges, "evidence-links")  # read for the groups and for their reasons
     roots = stored(components(edges.select("a", "b")), "evidence-roots")
     members = events.join(roots, events["event_id"] == roots["node"])
     groups = members.groupBy("video_id", "root").agg(F.count(F.lit(1)).alias("events"), F.round(F.max("start") - F.min("start"), 2).alias("span"))

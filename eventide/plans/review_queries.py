@@ -10,6 +10,7 @@ from ..functions import scalars
 from ..operators import drift, graph, ledger, ranking, regions, review
 from ..sources import adapters
 from ..sources.adapters import ctes
+from ..sources.storage import stored
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +167,8 @@ def q_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("video_id"), adapters.seconds(F.col("o_orderdate")).alias("start"))
     b = adapters.boxes(spark, sf_dir).groupBy(F.col("frame_idx").alias("event_id")).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     seen = adapters.boxes(spark, sf_dir).select(F.col("frame_idx").alias("event_id"), "track_id").join(o, "event_id").select("video_id", "event_id", "track_id").distinct()
-    ev = o.join(b, "event_id")
+    # both are read for the links, for the groups and for what their events share
+    ev, seen = stored(o.join(b, "event_id"), "evidence-events"), stored(seen, "evidence-seen")
     return graph.evidence_groups(graph.evidence_edges(ev, seen, seconds=30 * 86400.0), ev, seen)
 
 
