@@ -37,10 +37,11 @@ def hands(poses: DataFrame, keys: list[str]) -> DataFrame:
 
     Without both shoulders, a pixel apart at least, there is no measure of how near a hand is, and none counts.
     """
-    left, right = joint("ls", "x"), joint("rs", "x")
-    first = latest(poses, [*keys, "track_id", "frame_idx"], "box_id").withColumn("shoulder", F.abs(left - right)).where("shoulder >= 1")
     wrists = F.array(*[F.struct(joint(w, "x").alias("hx"), joint(w, "y").alias("hy")) for w in ("lw", "rw")])
-    return first.select(*keys, "frame_idx", "track_id", "shoulder", F.inline(wrists)).where("hx is not null and hy is not null")
+    # only what is asked for goes through the shuffle
+    narrow = poses.select(*keys, "frame_idx", "track_id", "box_id", F.abs(joint("ls", "x") - joint("rs", "x")).alias("shoulder"), wrists.alias("_wrists"))
+    first = latest(narrow, [*keys, "track_id", "frame_idx"], "box_id").where("shoulder >= 1")
+    return first.select(*keys, "frame_idx", "track_id", "shoulder", F.inline("_wrists")).where("hx is not null and hy is not null")
 
 
 def posture(poses: DataFrame, keys: list[str]) -> DataFrame:

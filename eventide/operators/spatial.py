@@ -66,23 +66,34 @@ def crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
     return stored(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys), "crowded")
 
 
-def met_plainly(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Grown boxes of two tables with equal keys that touch."""
-    other = b.withColumnsRenamed({c: f"_o{c}" for c in GROWN})
-    touch = (F.greatest("_x1", "_o_x1") <= F.least("_x2", "_o_x2")) & (F.greatest("_y1", "_o_y1") <= F.least("_y2", "_o_y2"))
-    return a.join(other, keys).where(touch).drop(*GROWN, *(f"_o{c}" for c in GROWN))
+def met_plainly(a: DataFrame, b: DataFrame, keys: list[str], a_prefix: str, b_prefix: str, a_reach: float | Column, b_reach: float | Column) -> DataFrame:
+    """Boxes of two tables with equal keys that touch once each is grown; no column is made that would have to be moved."""
+
+    def bounds(prefix: str, reach: float | Column) -> tuple[Column, ...]:
+        out = reach if isinstance(reach, Column) else F.lit(reach)
+        x1, y1, x2, y2 = (F.col(prefix + e).cast("double") for e in EDGES)
+        return x1 - out, y1 - out, x2 + out, y2 + out
+
+    def sound(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        return (x1 + y1 + x2 + y2).isNotNull() & (x1 <= x2) & (y1 <= y2)
+
+    p, q = bounds(a_prefix, a_reach), bounds(b_prefix, b_reach)
+    touch = (F.greatest(p[0], q[0]) <= F.least(p[2], q[2])) & (F.greatest(p[1], q[1]) <= F.least(p[3], q[3]))
+    return a.where(sound(*p)).join(b.where(sound(*q)), keys).where(touch)
 
 
 def box_pairs(boxes: DataFrame, keys: list[str], reach: float | Column = 0.0, box_id: str = "box_id") -> DataFrame:
     """Pairs of a table's boxes with equal keys that touch once each is grown by ``reach`` on every side: a_* and b_*, a_box_id the smaller."""
     parts = [box_id, *EDGES]
-    side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in parts})
-    plainly = lambda df: met_plainly(side(df, "a"), side(df, "b"), keys).where(F.col(f"a_{box_id}") < F.col(f"b_{box_id}"))
+    side = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in (*parts, "_out") if c in df.columns})
+    own = isinstance(reach, Column)
+    reaches = (F.col("a__out"), F.col("b__out")) if own else (reach, reach)
+    plainly = lambda df: met_plainly(side(df, "a"), side(df, "b"), keys, "a_", "b_", *reaches).where(F.col(f"a_{box_id}") < F.col(f"b_{box_id}")).select(*keys, *[f"{s}_{c}" for s in "ab" for c in parts])
     many = crowded(boxes, keys)
-    rows = grown(boxes.select(*keys, *parts), "", reach)
+    plain = boxes.select(*keys, *parts, *([reach.alias("_out")] if own else []))
     if many.isEmpty():
-        return plainly(rows)
-    rows = stored(rows, "boxes")  # read as owners, as askers, for their levels and for the keys with few
+        return plainly(plain)
+    rows = stored(grown(plain, "", F.col("_out") if own else reach), "boxes")  # read as owners, as askers, for their levels and for the keys with few
     few, rows = rows.join(many, keys, "left_anti"), rows.join(many, keys, "left_semi")
     one, two = side(rows, "_p"), side(rows, "_q")
     first = F.col(f"_p_{box_id}") < F.col(f"_q_{box_id}")
@@ -96,12 +107,11 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_prefix: st
 
     The keys with few boxes in ``left`` are joined plainly, so a box of ``right`` meets ``FEW`` there at most.
     """
-    a, b = grown(left, left_prefix, reach), grown(right, right_prefix, reach)
     many = crowded(left, keys)
     if many.isEmpty():
-        return met_plainly(a, b, keys)
-    a, b = stored(a, "boxes"), stored(b, "boxes")
-    few = met_plainly(a.join(many, keys, "left_anti"), b, keys)
+        return met_plainly(left, right, keys, left_prefix, right_prefix, reach, reach)
+    a, b = stored(grown(left, left_prefix, reach), "boxes"), stored(grown(right, right_prefix, reach), "boxes")
+    few = met_plainly(a.join(many, keys, "left_anti").drop(*GROWN), b.drop(*GROWN), keys, left_prefix, right_prefix, reach, reach)
     a, b = a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi")
     levels = levels_of(a, b)
     larger_left = met(a, b, keys, levels)
