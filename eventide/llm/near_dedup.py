@@ -1,7 +1,8 @@
-"""Near duplicates by the similarity of word shingles: MinHash bands, every link verified.
+"""Near duplicates by the similarity of word shingles: SimHash links and MinHash bands, every link verified.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
-``SIMILARITY`` or more.  Candidates meet in ``BANDS`` buckets, each keyed by ``ROWS`` minima
+``SIMILARITY`` or more.  Candidates are what ``simhash`` links by fingerprints of three differing bits at most; less similar
+texts differ in more bits than its keys can cover, so candidates also meet in ``BANDS`` buckets, each keyed by ``ROWS`` minima
 of the hashed shingles: a pair of similarity 0.8 shares a bucket with probability 0.9996.
 A bucket of up to ``SMALL`` rows offers all its pairs; a larger one first offers each row with
 ``FLIPS``' number of hubs, rows that are the same wherever the same rows meet.  Every offered pair is checked on
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from . import simhash
 from .common import drop_stored, first_of, looked_up, numbered, spread_join, stored, text_or_empty
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -86,6 +88,17 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, large
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """For rows of (_row, data): pairs (a, b), a < b, that connect all rows which SimHash links."""
+    prints = stored(simhash.fingerprints(texts.select("_row", F.col("data").cast("string").alias("text")), "_row", "text"), "near-fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    total, keys = distinct.agg(F.sum("n"), F.count(F.lit(1))).head()
+    same = looked_up(prints, distinct, ["fp"], "n", total or 0, keys).select(F.col("_row").alias("x"), F.col("first").alias("y"))
+    first = lambda c: distinct.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    links = simhash.verified_links(distinct.select("fp")).join(first("a"), "a").join(first("b"), "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    return same.unionByName(links).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs whose whole shingle sets are alike."""
 
@@ -193,7 +206,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, all columns, with one row of each group: that of the smallest id, nulls last."""
     rows = numbered(docs, "near-rows")
     texts = rows.select("_row", text_or_empty(F.col("_all")[text_col]).cast("binary").alias("data"))
-    pairs, large = candidates(texts)
+    by_bands, large = candidates(texts)
+    pairs = stored(fingerprint_pairs(texts).unionByName(by_bands).distinct(), "near-offered")
+    drop_stored(by_bands)
     links = stored(verified(pairs, texts), "near-links")
     drop_stored(pairs)
     roots = stored(components(links), "near-roots")
