@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import count
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, centre_distance, iou, touches, width
 from .rois import prohibited
 from .spatial import box_join, box_pairs
-from .streams import folded
 
 EDGES = ("x1", "y1", "x2", "y2")
+#: Boxes that the tracker takes at a time, and shifts at which they are compared before the overlaps are reckoned.
+PIECE, SHIFTS = 4096, 64
 
 
 def rollup(sightings: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,39 +119,145 @@ class Tracker:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of all boxes of ``a`` with all of ``b``."""
-    size = np.maximum(0, np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]))
+    return paired(a[:, None], b[None, :])
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes that stand at the same place."""
+    size = np.maximum(0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]))
     shared = size[..., 0] * size[..., 1]
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    union = area(a)[:, None] + area(b)[None, :] - shared
+    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    union = area(a) + area(b) - shared
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
 
 
-def tracked(detections: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, box_id, track): the tracker over each video's frames in order.
+def overlapping(step: np.ndarray, boxes: np.ndarray, since: int, reach: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earlier, later, overlap): rows at most ``reach`` steps apart that overlap by over ``least``, by the later one's step; that one is row ``since`` or after.
 
-    Boxes stream by in order, and only the open tracks and one frame's boxes are held.
+    Rows stand in order of ``step``. All are compared with those k places before, for each k in reach.
+    """
+    n, found = len(step), []
+    x1, y1, x2, y2 = np.ascontiguousarray(boxes.T)
+    far = int((np.arange(since, n) - np.searchsorted(step, step[since:] - reach)).max(initial=0))
+    for some in range(1, far + 1, SHIFTS):
+        hits = []
+        for k in range(some, min(some + SHIFTS, far + 1)):
+            begin = max(since, k)
+            old, new = slice(begin - k, n - k), slice(begin, n)
+            hits.append(np.flatnonzero((x1[old] < x2[new]) & (x1[new] < x2[old]) & (y1[old] < y2[new]) & (y1[new] < y2[old])) + begin)
+        later = np.concatenate(hits)
+        earlier = later - np.repeat(np.arange(some, some + len(hits)), [len(h) for h in hits])
+        apart = step[later] - step[earlier]
+        near = (apart >= 1) & (apart <= reach)
+        earlier, later = earlier[near], later[near]
+        overlap = paired(boxes[earlier], boxes[later])
+        much = overlap > least
+        found.append((earlier[much], later[much], overlap[much]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    earlier, later, overlap = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(step[later], kind="stable")
+    return earlier[order], later[order], overlap[order]
+
+
+class Trackers:
+    """``Tracker`` over the frames of one video after another, many frames at a time.
+
+    A track's box is its last detection, so tracks are known by rows, and overlaps are reckoned for
+    many frames at once; only pairs that overlap are then gone through in order. Held from piece to piece are the
+    open tracks' rows: their step, box, number (counted over all videos) and hits.
     """
 
-    def fold() -> Callable[[dict], list[tuple]]:
-        tracker, held, steps = Tracker(), [], count()
+    def __init__(self, least: float = 0.3, max_age: int = 30, min_hits: int = 3):
+        self.least, self.reach, self.min_hits = least, max_age + 1, min_hits
+        self.step, self.boxes = np.zeros(0, np.int64), np.zeros((0, 4))
+        self.number, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last = self.made = self.before = 0  # the last step, all tracks, those of earlier videos
+
+    def update(self, boxes: np.ndarray, frame: np.ndarray, video: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number in its video) of the detections that continue a confirmed track; ``frame`` and ``video`` tell which rows begin one."""
+        old, n = len(self.step), len(boxes)
+        # no track reaches into the next video
+        step = np.concatenate([self.step, self.last + np.cumsum(np.where(video, self.reach + 1, frame))])
+        boxes = np.concatenate([self.boxes, boxes])
+        # until it is known which rows begin a track, each has a number of its own, in the same order
+        number, hits = [*self.number.tolist(), *range(self.made + 1, self.made + n + 1)], [*self.hits.tolist(), *[1] * n]
+        gone, matched = bytearray(old + n), bytearray(old + n)
+
+        def settle(pairs: list[tuple]) -> None:
+            for track, _, new, row in sorted(pairs) if len(pairs) > 1 else pairs:
+                if not (gone[row] or matched[new]):
+                    gone[row] = matched[new] = 1
+                    number[new], hits[new] = track, hits[row] + 1
+
+        earlier, later, overlap = overlapping(step, boxes, old, self.reach, self.least)
+        pairs, at = [], None
+        for row, new, size, when in zip(earlier.tolist(), later.tolist(), (-overlap).tolist(), step[later].tolist(), strict=True):
+            if when != at:
+                settle(pairs)
+                pairs, at = [], when
+            if not gone[row]:
+                pairs.append((number[row], size, new, row))
+        settle(pairs)
+
+        begun = np.cumsum(np.frombuffer(matched, np.uint8)[old:] == 0)
+        number, hits = np.array(number, np.int64), np.array(hits, np.int64)
+        own = number > self.made
+        number[own] = self.made + begun[number[own] - self.made - 1]
+        # the tracks of all videos before each row's own
+        starts = np.flatnonzero(video)
+        before = np.concatenate([[self.before], self.made + np.concatenate([[0], begun])[starts]])[np.cumsum(video)]
+        sure = np.flatnonzero(hits[old:] >= self.min_hits)
+        out = sure, number[old:][sure] - before[sure]
+        if n:
+            self.last, self.before, self.made = int(step[-1]), int(before[-1]), self.made + int(begun[-1])
+        keep = (np.frombuffer(gone, np.uint8) == 0) & (self.last - step < self.reach)
+        self.step, self.boxes, self.number, self.hits = step[keep], boxes[keep], number[keep], hits[keep]
+        return out
 
-        def step(row: dict) -> list[tuple]:
-            done = []
-            if held and (row["box_id"] is None or row["frame_idx"] != held[0]["frame_idx"]):
-                found = tracker.update(np.array([[r[e] for e in EDGES] for r in held], float), next(steps))
-                done = [(held[i]["frame_idx"], held[i]["box_id"], f"Track-{number:02d}") for i, number in found]
-                held.clear()
-            if row["box_id"] is not None:
-                held.append(row)
-            return done
 
-        return step
+def begins(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before; nulls are equal."""
+    codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.diff(codes, prepend=-2) != 0
 
-    rows = detections.select("video_id", F.lit(0).alias("end"), "frame_idx", "box_id", *EDGES)
-    # a last row without a box closes each video
-    ends = rows.select("video_id").distinct().select("video_id", F.lit(1).alias("end"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("frame_idx", "box_id", *EDGES)])
+
+def tracked(detections: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, box_id, track): the tracker over each video's frames in order.
+
+    Boxes stream by in order, and only the open tracks and whole frames of about ``PIECE`` boxes are held.
+    """
+    rows = detections.where("box_id is not null").select("video_id", "frame_idx", "box_id", *EDGES)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return folded(rows.unionByName(ends), ["video_id"], ["end", "frame_idx", "box_id", *EDGES], fold, f"frame_idx {kind['frame_idx']}, box_id {kind['box_id']}, track string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trackers, rest, opens = Trackers(), None, True
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+                video = begins(rows.column(0))
+                frame = video | begins(rows.column(1))
+                video[0] = opens
+                # the last frame may go on in the next batch
+                end = int(np.flatnonzero(frame)[-1])
+                yield from found(trackers, rows.slice(0, end), frame[:end], video[:end])
+                rest, opens = rows.slice(end), bool(video[end])
+        if rest is not None:
+            frame = np.arange(rest.num_rows) == 0
+            yield from found(trackers, rest, frame, frame & opens)
+
+    def found(trackers: Trackers, rows: pa.RecordBatch, frame: np.ndarray, video: np.ndarray) -> Iterator[pa.RecordBatch]:
+        boxes = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in rows.columns[3:]], axis=1)
+        starts = np.flatnonzero(frame)
+        cuts = [*starts[np.flatnonzero(np.diff(starts // PIECE, prepend=-1))].tolist(), rows.num_rows]
+        for a, b in pairwise(cuts):
+            at, numbers = trackers.update(boxes[a:b], frame[a:b], video[a:b])
+            if len(at):
+                names = pa.array([f"Track-{n:02d}" for n in numbers.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at + a)) for c in rows.columns[:3]), names], names=["video_id", "frame_idx", "box_id", "track"])
+
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "box_id", *EDGES)
+    return ordered.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in ("video_id", "frame_idx", "box_id")) + ", track string")
 
 
 def latest_boxes(tracks: DataFrame) -> Window:
