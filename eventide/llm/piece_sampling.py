@@ -16,7 +16,8 @@ small weight.  Pieces that the model never joins (runs of space marks) are left
 mark.  Probabilities are normalised over the segmentations of the text.
 
 No piece reaches over a space mark or a line end, so the lattice falls into those of the stretches
-between, which are built once for all their repetitions in a batch, in NumPy.  Noise is a hash of the
+between, which are built once for all their repetitions in a batch, in NumPy.  The rows of a batch are searched
+side by side, sample by sample: the sets that their newest samples leave behind are valued together.  Noise is a hash of the
 seed, the row's key, the sample and the place: a row gets the same samples wherever it is
 processed.  A set is passed over only if double precision has no noise large enough to let it win.
 
@@ -47,6 +48,8 @@ MARK, SHIFT, BATCH_BYTES = "▁", 2.7, 3 << 20
 STRETCH = re.compile(f"{MARK}[^{MARK}\n]*|\n|[^{MARK}\n]+")
 #: The largest Gumbel noise that a double below 1 can give.
 MOST_NOISE = 36.8
+#: The places of a new sample that are looked at before it is known how far its sets may still be wanted.
+BLOCK = 48
 BASE = np.uint64(0x100000001B3)
 ALL = (1 << 64) - 1
 
@@ -86,6 +89,7 @@ class Pieces:
         self.log_weight = np.full(n, -np.log(len(plain) + SHIFT) - np.log(256.0))
         self.log_weight[plain] = -np.log(np.arange(len(plain)) + SHIFT)
         self.raw = [bytes([i - self.bytes_at]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        self.texts = pa.array(self.raw, pa.binary())
         ids: dict[str, int] = {}
         for i in plain:
             piece = model.id_to_piece(i)
@@ -123,9 +127,12 @@ class Pieces:
         found[at[hit]] = self.ids[i[hit]]
         return found
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """The text of the pieces, in UTF-8, without the mark that encoding puts first."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:]
+        if not len(ids):
+            return b""
+        _, ends, data = self.texts.take(pa.array(ids)).buffers()
+        return data.to_pybytes()[1 : int(np.frombuffer(ends, np.int32, 1, 4 * len(ids))[0])]
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +170,7 @@ def lattice(stretches: list[str], pieces: Pieces) -> Lattice:
     inner[start + lengths] = False
     chars[inner] = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
     end = np.repeat(start + lengths, lengths + 1)
-    froms, tos, ids = [], [], []
+    found_at, found_ids = [], []
     at = np.flatnonzero(inner)
     h, size = np.zeros(len(at), np.uint64), 0
     alone = np.zeros(nodes, bool)
@@ -173,31 +180,39 @@ def lattice(stretches: list[str], pieces: Pieces) -> Lattice:
         found = pieces.find(h) if size > 1 else pieces.single[chars[at]]
         is_piece = found >= 0
         begins = at[is_piece]
-        froms.append(begins)
-        tos.append(begins + size)
-        ids.append(found[is_piece])
+        found_at.append((begins, size))
+        found_ids.append(found[is_piece])
         if size == 1:
             alone[begins] = True
         more = (found >= -1) & (at + size < end[at])
         at, h = at[more], h[more]
     # a character that is no piece goes by its bytes; one byte is one piece, more are told by the place
     bare = np.flatnonzero(inner & ~alone)
-    froms.append(bare)
-    tos.append(bare + 1)
-    ids.append(np.where(chars[bare] < 128, chars[bare].astype(np.int64) + pieces.bytes_at, -1))
-    source, to, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
-    order = np.argsort(source, kind="stable")
-    source, to, piece = source[order], to[order], piece[order]
+    found_at.append((bare, 1))
+    found_ids.append(np.where(chars[bare] < 128, chars[bare].astype(np.int64) + pieces.bytes_at, -1))
+    degree = np.zeros(nodes, np.int64)
+    for begins, _ in found_at:
+        degree[begins] += 1
+    first = np.cumsum(degree) - degree
+    edges = int(degree.sum())
+    # numbers are kept narrow, since paths read them all over
+    kind = np.int32 if max(nodes, edges) < 1 << 31 else np.int64
+    to, piece = np.empty(edges, kind), np.empty(edges, np.int32)
+    free = first.copy()
+    for (begins, size), found in zip(found_at, found_ids, strict=True):
+        e = free[begins]
+        to[e], piece[e] = begins + size, found
+        free[begins] += 1
+    source = np.repeat(np.arange(nodes, dtype=kind), degree)
     weight = pieces.log_weight[np.maximum(piece, 0)]
-    wide = piece < 0
+    wide = np.flatnonzero(piece < 0)
     code = chars[source[wide]]
     weight[wide] = (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000)) * pieces.log_weight[pieces.bytes_at]
-    degree = np.bincount(source, minlength=nodes)
-    first = np.cumsum(degree) - degree
     # log-sums of the weights from each node to its end, from the last characters to the first
     total = np.zeros(nodes)
     distance = end - np.arange(nodes)
-    by_distance = np.argsort(distance, kind="stable")
+    # NumPy sorts 16 bits by radix
+    by_distance = np.argsort(distance.astype(np.uint16) if lengths.max(initial=0) < 1 << 16 else distance, kind="stable")
     cuts = np.searchsorted(distance[by_distance], np.arange(1, int(lengths.max(initial=0)) + 2))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         level = by_distance[a:b]
@@ -208,10 +223,12 @@ def lattice(stretches: list[str], pieces: Pieces) -> Lattice:
         top = np.maximum.reduceat(value, begin)
         total[level] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), begin))
     log_q = weight + total[to] - total[source]
-    run = np.cumsum(np.exp(log_q))
-    cum = run - np.repeat((run - np.exp(log_q))[first[degree > 0]], degree[degree > 0])
+    q = np.exp(log_q)
+    run = np.cumsum(q)
+    some = degree > 0
+    cum = run - np.repeat((run - q)[first[some]], degree[some])
     last = first + degree - 1
-    return Lattice(start, first, degree, to, piece, log_q, cum, last, source, chars)
+    return Lattice(start, first.astype(kind), degree.astype(kind), to, piece, log_q, cum, last.astype(kind), source, chars)
 
 
 def descend(lat: Lattice, stretch: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,29 +252,34 @@ def descend(lat: Lattice, stretch: np.ndarray, noise: np.ndarray) -> tuple[np.nd
         active = active[lat.degree[lat.to[e]] > 0]
         step += 1
     at = np.cumsum(size) - size
-    edges = np.zeros(int(size.sum()), np.int64)
+    edges = np.zeros(int(size.sum()), lat.first.dtype)
     for k, (who, e) in enumerate(steps):
         edges[at[who] + k] = e
     return edges, size
 
 
-def bounded_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel values around each location, given that they are below the bound."""
+def bounded_gumbel(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel values around each location, given that they are below the bounds."""
     return location - np.log(np.exp(location - bound) - np.log(u))
 
 
 @dataclass
 class Sample:
-    """Edges of a path, where its stretches end in them, its log-probability and its perturbed value."""
+    """Edges of a path and their log-probabilities, where its stretches end in them, its log-probability and its perturbed value.
+
+    ``prefix``, what the edges before each place sum up to, is held until the sets that it leaves behind are valued.
+    """
 
     edges: np.ndarray
+    log_q: np.ndarray
     ends: np.ndarray
     log_p: float
     value: float
+    prefix: np.ndarray | None
 
 
 class Row:
-    """The best-first search of one text: ``first`` makes a sample, ``following`` the next ones."""
+    """The best-first search of one text: ``first`` makes a sample, ``following`` the next ones, ``explore`` values their sets."""
 
     def __init__(self, lat: Lattice, key: np.uint64, k: int):
         self.lat, self.key, self.k = lat, int(key), k
@@ -271,14 +293,15 @@ class Row:
         """A number in (0, 1) for one use at one place."""
         return ((mixed_one((self.base(sample, kind) + place) & ALL) >> 11) + 0.5) * 2.0**-53
 
-    def first(self, edges: np.ndarray, sizes: np.ndarray) -> None:
-        value = -math.log(-math.log(self.noise(0, 0)))
-        self.add(edges, np.cumsum(sizes), value, 0)
+    def first(self, edges: np.ndarray, log_q: np.ndarray, ends: np.ndarray) -> int:
+        """Keeps the first sample; the place from which it leaves sets behind."""
+        self.add(edges, log_q, ends, -math.log(-math.log(self.noise(0, 0))))
+        return 0
 
-    def following(self, fresh: np.ndarray, sizes: np.ndarray) -> bool:
-        """The next sample: the best set's alternative, then the fresh path of the later stretches."""
+    def following(self, edges: np.ndarray, log_q: np.ndarray, ends: np.ndarray) -> int | None:
+        """The next sample: the best set's alternative, then the fresh path of the later stretches; the place from which it leaves sets behind."""
         if not self.heap:
-            return False
+            return None
         value, parent, place, excluded, prefix = heapq.heappop(self.heap)
         old, number = self.samples[parent], len(self.samples)
         node = self.lat.source[old.edges[place]]
@@ -286,20 +309,29 @@ class Row:
         chosen = self.pick(rest, self.noise(number, 1))
         own, node = [chosen], self.lat.to[chosen]
         while self.lat.degree[node]:
-            edges = range(self.lat.first[node], self.lat.first[node] + self.lat.degree[node])
-            own.append(self.pick(list(edges), self.noise(number, 2, len(own))))
+            choices = range(self.lat.first[node], self.lat.first[node] + self.lat.degree[node])
+            own.append(self.pick(list(choices), self.noise(number, 2, len(own))))
             node = self.lat.to[own[-1]]
         within = int(np.searchsorted(old.ends, place, side="right"))
-        later = np.cumsum(sizes)
-        skipped = later[within]
-        ends = np.concatenate([old.ends[:within], [place + len(own)], later[within + 1 :] - skipped + place + len(own)])
-        self.add(np.concatenate([old.edges[:place], own, fresh[skipped:]]).astype(np.int64), ends, -value, place + 1)
+        skipped = ends[within]
+        after = place + len(own)
+        self.add(
+            np.concatenate([old.edges[:place], np.array(own, edges.dtype), edges[skipped:]]),
+            np.concatenate([old.log_q[:place], self.lat.log_q[own], log_q[skipped:]]),
+            np.concatenate([old.ends[:within], [after], ends[within + 1 :] - skipped + after]),
+            -value,
+        )
         excluded = excluded | {chosen}
         left = 1 - sum(math.exp(self.lat.log_q[e]) for e in excluded)
         if len(excluded) < self.lat.degree[self.lat.source[chosen]] and left > 1e-15:
             location = prefix + math.log(left)
             self.push(location - math.log(math.exp(location + value) - math.log(self.noise(number, 3))), number, place, excluded, prefix)
-        return True
+        return place + 1
+
+    def add(self, edges: np.ndarray, log_q: np.ndarray, ends: np.ndarray, value: float) -> None:
+        prefix = np.zeros(len(edges) + 1)
+        np.cumsum(log_q, out=prefix[1:])
+        self.samples.append(Sample(edges, log_q, ends, float(prefix[-1]), value, prefix))
 
     def pick(self, edges: list[int], u: float) -> int:
         if len(edges) == 1:
@@ -310,27 +342,11 @@ class Row:
     def push(self, value: float, number: int, place: int, excluded: frozenset, prefix: float) -> None:
         heapq.heappush(self.heap, (-float(value), number, place, excluded, prefix))
 
-    def add(self, edges: np.ndarray, ends: np.ndarray, value: float, since: int) -> None:
-        """Keeps a sample, and the sets that its path leaves behind from place ``since`` on."""
-        number = len(self.samples)
-        log_q = self.lat.log_q[edges]
-        prefix = np.concatenate([[0.0], np.cumsum(log_q)])
-        self.samples.append(Sample(edges, ends, float(prefix[-1]), value))
-        at, block = since, 48
-        while at < len(edges) and prefix[at] + MOST_NOISE >= self.floor():
-            to = min(len(edges), at + block)
-            places = np.flatnonzero(self.lat.degree[self.lat.source[edges[at:to]]] > 1) + at
-            if len(places):
-                left = np.log(np.maximum(-np.expm1(log_q[places]), 1e-300))
-                values = bounded_gumbel(prefix[places] + left, value, uniform(np.uint64(self.base(number, 4)) + places.astype(np.uint64)))
-                best = np.argpartition(-values, self.k + 1)[: self.k + 1] if len(values) > self.k + 1 else np.arange(len(values))
-                for i in best.tolist():
-                    self.push(values[i], number, int(places[i]), frozenset([int(edges[places[i]])]), float(prefix[places[i]]))
-            at, block = to, block * 2
-
     def floor(self) -> float:
         """The value that a set needs to be among those still wanted, the threshold's set included."""
         wanted = self.k + 1 - len(self.samples)
+        if wanted == 1 and self.heap:
+            return -self.heap[0][0]
         return -heapq.nsmallest(wanted, self.heap)[-1][0] if len(self.heap) >= wanted > 0 else -np.inf
 
     def log_inclusion(self, sample: Sample) -> float:
@@ -353,6 +369,44 @@ class Row:
         return np.concatenate([*parts, found[done:]])
 
 
+def explore(rows: list[Row], since: list[int]) -> None:
+    """Puts on each row's heap the sets that its newest sample leaves behind from place ``since`` on and that may still be wanted."""
+    near = [(row, a, min(len(row.samples[-1].edges), a + BLOCK)) for row, a in zip(rows, since, strict=True)]
+    left_behind(near)
+    far = []
+    for row, _, to in near:
+        prefix, floor = row.samples[-1].prefix[:-1], row.floor()
+        if to < len(prefix) and prefix[to] + MOST_NOISE >= floor:
+            far.append((row, to, to + int(np.searchsorted(-prefix[to:], MOST_NOISE - floor + 1e-9, side="right"))))
+    left_behind(far)
+    for row in rows:
+        row.samples[-1].prefix = None
+
+
+def left_behind(spans: list[tuple[Row, int, int]]) -> None:
+    """Values the sets of each row's newest sample between two places, and pushes the best of those that reach the row's floor."""
+    spans = [(row, row.samples[-1], a, b) for row, a, b in spans if a < b]
+    if not spans:
+        return
+    lat, k = spans[0][0].lat, spans[0][0].k
+    edges = np.concatenate([s.edges[a:b] for _, s, a, b in spans])
+    sizes, since = np.array([b - a for _, _, a, b in spans]), np.array([a for _, _, a, _ in spans])
+    at = np.flatnonzero(lat.degree[lat.source[edges]] > 1)
+    who = np.repeat(np.arange(len(spans)), sizes)[at]
+    places = at - (np.cumsum(sizes) - sizes - since)[who]
+    edges, log_q, prefix = edges[at], np.concatenate([s.log_q[a:b] for _, s, a, b in spans])[at], np.concatenate([s.prefix[a:b] for _, s, a, b in spans])[at]
+    bases = np.array([row.base(len(row.samples) - 1, 4) for row, *_ in spans], np.uint64)
+    left = np.log(np.maximum(-np.expm1(log_q), 1e-300))
+    values = bounded_gumbel(prefix + left, np.array([s.value for _, s, _, _ in spans])[who], uniform(bases[who] + places.astype(np.uint64)))
+    wanted = np.flatnonzero(values >= np.array([row.floor() for row, *_ in spans])[who])
+    order = wanted[np.lexsort((-values[wanted], who[wanted]))]
+    # of one sample no more than k + 1 sets can be wanted
+    best = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) <= k]
+    for i, place, value, edge, before in zip(who[best].tolist(), places[best].tolist(), values[best].tolist(), edges[best].tolist(), prefix[best].tolist(), strict=True):
+        row = spans[i][0]
+        row.push(value, len(row.samples) - 1, place, frozenset([edge]), before)
+
+
 class Numbers(dict):
     """Numbers stretches as they come."""
 
@@ -372,19 +426,22 @@ def sampled(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> Itera
     ends = np.cumsum(sizes)
     ordinal = (np.arange(len(stretch)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
     owner = np.repeat(keys, sizes)
-    paths = []
+    found = [Row(lat, key, k) for key in keys]
+    spans = list(zip(found, (ends - sizes).tolist(), ends.tolist(), strict=True))
     for r in range(k):
         edges, counts = descend(lat, stretch, mixed(owner ^ mixed(ordinal + np.uint64((r + 1) << 40))))
-        paths.append((edges, counts, np.concatenate([[0], np.cumsum(counts)])))
-    for i, (b, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-        row = Row(lat, keys[i], k)
-        for r, (edges, counts, at) in enumerate(paths):
-            part = edges[at[b - n] : at[b]], counts[b - n : b]
-            if r == 0:
-                row.first(*part)
-            elif not row.following(*part):
-                break
-        yield row
+        log_q, at = lat.log_q[edges], np.concatenate([[0], np.cumsum(counts)])
+        going, since = [], []
+        for row, a, b in spans:
+            begin, end = int(at[a]), int(at[b])
+            fresh = edges[begin:end], log_q[begin:end], at[a + 1 : b + 1] - begin
+            place = row.following(*fresh) if r else row.first(*fresh)
+            if place is not None:
+                going.append((row, a, b))
+                since.append(place)
+        spans = going
+        explore([row for row, _, _ in spans], since)
+    yield from found
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, packed: bool = False) -> DataFrame:
@@ -415,7 +472,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 3,
                 ids = row.ids(sample, pieces)
                 at.append(i)
                 raw = ids.astype("<u4").tobytes()
-                values = (j, len(ids), zlib.crc32(raw), sample.log_p, sample.value, row.log_inclusion(sample), pieces.decode(ids.tolist()) == plain, *([raw if packed else ids.astype(np.int32)] if with_ids else []))
+                values = (j, len(ids), zlib.crc32(raw), sample.log_p, sample.value, row.log_inclusion(sample), pieces.decode(ids) == plain, *([raw if packed else ids.astype(np.int32)] if with_ids else []))
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=["id", *(n for n, _ in fields)])
