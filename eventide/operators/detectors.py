@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import hypot
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, width
@@ -45,25 +45,27 @@ def stationary(tracks: DataFrame, least_seconds: float, reach: float = 0.75) ->
         def step(cur: dict) -> list[tuple]:
             nonlocal anchor
             anchor, found = loiter_step(anchor, cur, least_seconds, reach)
-            return found
+            return [(*stretch, cur["confidence"]) for stretch in found]
 
         return step
 
     keys = ["video_id", "track_id"]
-    found = folded(tracks.select(*keys, *BOX_ORDER), keys, BOX_ORDER, fold, "start double, end double, frame_idx bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, duration double")
-    return found.join(tracks.groupBy(*keys).agg(F.round(F.avg("conf"), 8).alias("confidence")), keys)
+    out = "start double, end double, frame_idx bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, duration double, confidence double"
+    found = folded(tracks.select(*keys, *BOX_ORDER, "conf"), keys, BOX_ORDER, fold, out, whole={"confidence": F.avg("conf")})
+    return found.withColumn("confidence", F.round("confidence", 8))
 
 
-def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, gap: float = 6, frames: int = 3, time: str = "day") -> DataFrame:
+def crowd_runs(tracks: DataFrame, least_drift: float = 0.35, persons: int = 3, gap: float = 6, frames: int = 3, time: str = "day", times: Column | None = None) -> DataFrame:
     """Crowd disturbance: one finding per video that spans all long enough runs of times with several movers.
 
-    ``peak_at`` is the first time with the most movers.
+    ``peak_at`` is the first time with the most movers.  ``times`` gives the time of a box if it is no column yet: it need not be moved then.
     """
     w = latest_boxes(tracks)
     b = box()
     cx, cy = (((a + z) / 2).cast("long") for a, z in ((b.x1, b.x2), (b.y1, b.y2)))  # whole pixels, as for those who stay
     moved = F.hypot(cx - F.lag(cx).over(w), cy - F.lag(cy).over(w)) / (width(b) + 1)
     movers = tracks.withColumn("drift", moved).where(F.col("drift") >= least_drift)
+    movers = movers if times is None else movers.withColumn(time, times)
     busy = movers.groupBy("video_id", time).agg(F.count_distinct("track_id").alias("movers")).where(F.col("movers") >= persons)
     order = ordered(["video_id"], time)
     before = F.lag(time).over(order)

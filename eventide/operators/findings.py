@@ -38,8 +38,8 @@ def finding(rows: DataFrame, kind: str, label: Column, **columns: Column) -> Dat
 def prohibited_objects(sightings: DataFrame) -> DataFrame:
     """One finding per class: its first and last sighting, and the frame and box of the surest."""
     seen = sightings.where(prohibited(F.col("cls"), F.col("conf")))
-    best = tracks.best_sighting(seen, [*KEY, "cls"]).join(seen.groupBy(*KEY, "cls").agg(F.count(F.lit(1)).alias("n")), [*KEY, "cls"])
-    return finding(best, "prohibited_object", F.concat(prohibited_label(F.col("cls")), F.lit(" detected")), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("frame_idx"), confidence=F.col("conf"), sightings=F.col("n"), **{e: F.col(e) for e in EDGES})
+    best = tracks.sighted(seen, [*KEY, "cls"])
+    return finding(best, "prohibited_object", F.concat(prohibited_label(F.col("cls")), F.lit(" detected")), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("frame_idx"), confidence=F.col("conf"), sightings=F.col("sightings"), **{e: F.col(e) for e in EDGES})
 
 
 def exchanges(objects: DataFrame, hands: DataFrame) -> DataFrame:
@@ -54,19 +54,19 @@ def loitering(boxes: DataFrame, least_seconds: float, reach: float = 0.75) -> Da
     return finding(found, "loitering", label, track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("frame_idx"), confidence=F.col("confidence"), duration=F.col("duration"), **{e: F.col(e) for e in EDGES})
 
 
-def crowds(boxes: DataFrame, **rules: float) -> DataFrame:
+def crowds(boxes: DataFrame, **rules: float | Column) -> DataFrame:
     found = detectors.crowd_runs(boxes, **rules)
     return finding(found, "crowd_disturbance", F.format_string(CROWD, F.col("peak")), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_at"), confidence=F.col("confidence"), sightings=F.col("peak"))
 
 
-def turns(measured: DataFrame) -> DataFrame:
-    found = poses.head_turns(measured, [*KEY, "track_id"])
+def turns(measured: DataFrame, postures: DataFrame | None = None) -> DataFrame:
+    found = poses.head_turns(measured, [*KEY, "track_id"], postures=postures)
     label = F.concat(F.lit(TURNED), F.col("direction"), F.lit(AWAY))
     return finding(found, "head_turn", label, track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_frame"), confidence=F.col("confidence"), duration=F.col("end") - F.col("start"))
 
 
-def raises(measured: DataFrame) -> DataFrame:
-    found = poses.hand_raises(measured, [*KEY, "track_id"])
+def raises(measured: DataFrame, postures: DataFrame | None = None) -> DataFrame:
+    found = poses.hand_raises(measured, [*KEY, "track_id"], postures=postures)
     return finding(found, "hand_gesture", F.lit(RAISED), track_id=F.col("track_id"), start_sec=F.col("start"), end_sec=F.col("end"), frame_idx=F.col("peak_frame"), confidence=F.col("confidence"), duration=F.col("end") - F.col("start"))
 
 

@@ -6,7 +6,7 @@ A pose has (x, y, c) of each joint as columns, as ``nose_x``; joints that are se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, centre, confident, head_yaw, torso_length, wrist_lift
@@ -62,10 +62,10 @@ def anchored() -> Column:
     return F.coalesce(F.col("travelled") <= MOST_LOCOMOTION, F.lit(True))
 
 
-def sustained(frames: DataFrame, flag: Column, value: Column, keys: list[str], least: int, order: list[str], at_peak: list[str]) -> DataFrame:
+def sustained(frames: DataFrame, flag: Column, value: Column, keys: list[str], least: int, order: list[str], at_peak: list[str], at_start: list[str] | None = None) -> DataFrame:
     """Runs of at least ``least`` rows in a row that the flag marks; a null flag ends a run.
 
-    (keys, frames, start, end, start_frame, peak, peak_frame, at_peak..., open): the first of equal peaks counts;
+    (keys, frames, start, end, start_frame, peak, peak_frame, at_peak..., at_start..., open): the first of equal peaks counts;
     ``open`` tells that the run goes on to the subject's last row.
     """
     w = ordered(keys, *order)
@@ -74,7 +74,7 @@ def sustained(frames: DataFrame, flag: Column, value: Column, keys: list[str], l
     best = F.struct("_value", -F.col("_n"))
     runs = f.groupBy(*keys, "_run").agg(
         F.count(F.lit(1)).alias("frames"), F.min_by("t", "_n").alias("start"), F.max_by("t", "_n").alias("end"), F.min_by("frame_idx", "_n").alias("start_frame"),
-        F.max("_value").alias("peak"), F.max_by("frame_idx", best).alias("peak_frame"), *[F.max_by(c, best).alias(c) for c in at_peak], F.bool_or("_last").alias("open"),
+        F.max("_value").alias("peak"), F.max_by("frame_idx", best).alias("peak_frame"), *[F.max_by(c, best).alias(c) for c in at_peak], *[F.min_by(c, "_n").alias(c) for c in at_start or []], F.bool_or("_last").alias("open"),
     )
     return runs.where(F.col("frames") >= least).drop("_run")
 
@@ -84,25 +84,24 @@ def value_at(poses: DataFrame, value: str, keys: list[str], order: list[str]) ->
     return poses.where(F.col(value).isNotNull()).groupBy(*keys, "frame_idx").agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
-def head_turns(poses: DataFrame, keys: list[str], deviation: float = 0.35, absolute: float = 0.80, least: int = 5, samples: int = 4) -> DataFrame:
+def head_turns(poses: DataFrame, keys: list[str], deviation: float = 0.35, absolute: float = 0.80, least: int = 5, samples: int = 4, postures: DataFrame | None = None) -> DataFrame:
     """Sustained looks away from a subject's own median yaw, of subjects that stayed at their place.
 
     The peak is the larger of deviation and yaw.  A turn is to the right if its first yaw is over the base;
-    one that is still open at the subject's last pose is compared with 0 instead.
+    one that is still open at the subject's last pose is compared with 0 instead.  ``postures`` are those of ``poses``, if they are known.
     """
-    still = posture(poses, keys).where((F.col("samples") >= samples) & anchored()).select(*keys, "base")
-    p = poses.join(still, keys)
+    still = (posture(poses, keys) if postures is None else postures).where((F.col("samples") >= samples) & anchored()).select(*keys, "base")
+    frame = ordered([*keys, "base", "frame_idx"], *ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = poses.join(still, keys).withColumn("_first", F.first("yaw", ignorenulls=True).over(frame))  # as value_at, where the rows lie
     off, turn = F.abs(F.col("yaw") - F.col("base")), F.abs(F.col("yaw"))
-    runs = sustained(p, (off > deviation) | (turn > absolute), F.greatest(off, turn), [*keys, "base"], least, ORDER, [])
-    first = value_at(poses, "yaw", keys, ORDER).withColumnsRenamed({"frame_idx": "start_frame", "yaw": "_first"})
-    runs = runs.join(first, [*keys, "start_frame"], "left")
+    runs = sustained(p, (off > deviation) | (turn > absolute), F.greatest(off, turn), [*keys, "base"], least, ORDER, [], ["_first"])
     right = F.coalesce(F.col("_first"), F.lit(-1.0)) > F.when(F.col("open"), F.lit(0.0)).otherwise(F.col("base"))
     return runs.withColumns({"direction": F.when(right, "right").otherwise("left"), "confidence": F.round(F.least(F.lit(1.0), F.col("peak") / 1.2), 4)}).drop("_first")
 
 
-def hand_raises(poses: DataFrame, keys: list[str], lift: float = 0.15, least: int = 3) -> DataFrame:
+def hand_raises(poses: DataFrame, keys: list[str], lift: float = 0.15, least: int = 3, postures: DataFrame | None = None) -> DataFrame:
     """The first sustained raise of a wrist of each subject that stayed at its place; confidence is that of the wrist at the peak."""
-    still = posture(poses, keys).where(anchored()).select(*keys)
+    still = (posture(poses, keys) if postures is None else postures).where(anchored()).select(*keys)
     runs = sustained(poses.join(still, keys), F.col("lift") > lift, F.col("lift"), keys, least, ORDER, ["lift_conf"])
     first = runs.withColumn("_n", F.row_number().over(ordered(keys, "start", "start_frame"))).where("_n = 1").drop("_n")
     return first.withColumn("confidence", F.least(F.lit(1.0), F.col("lift_conf"))).drop("lift_conf")

@@ -9,18 +9,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Fold = Callable[[dict], Iterable[tuple]]
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], new: Callable[[], Fold], schema: str, flush: int = 4096) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], new: Callable[[], Fold], schema: str, flush: int = 4096, whole: dict[str, Column] | None = None) -> DataFrame:
     """Rows that each key's fold emits, in order of ``order``; ``new`` makes the fold of a key.
 
+    ``whole`` are aggregates over all rows of a key, which its fold finds in each row.  They are made where the rows have met, so nothing
+    moves twice; Spark holds a key's rows for them, and spills what is too much.
+
     A fold takes a row as a dict and returns tuples of ``schema`` without the keys, which are put in front.
     """
+    every = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.repartition(*keys).withColumns({c: agg.over(every) for c, agg in (whole or {}).items()})
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     full = ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema])
     arrow = to_arrow_schema(StructType.fromDDL(full))
@@ -42,4 +47,4 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], new: Callable[[],
     def packed(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, full)

@@ -26,9 +26,17 @@ def rollup(sightings: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_sighting(sightings: DataFrame, keys: list[str]) -> DataFrame:
     """The frame and box of the most confident sighting; the first frame and box of equals."""
-    order = F.struct(F.col("conf"), -F.col("frame_idx"), -F.col("roi_id"), -F.col("source_id"), -F.col("x1"), -F.col("y1"), -F.col("x2"), -F.col("y2"))
-    best = F.max_by(F.struct("frame_idx", "roi_id", "conf", "x1", "y1", "x2", "y2"), order).alias("best")
-    return sightings.groupBy(*keys).agg(best, F.min("t").alias("start"), F.max("t").alias("end")).select(*keys, "best.*", "start", "end")
+    return sighted(sightings, keys).drop("sightings")
+
+
+def sighted(sightings: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with the number of ``sightings``."""
+    first = ("frame_idx", "roi_id", "source_id", *EDGES)
+    # the order holds all that is asked for, so nothing goes along with it
+    best = F.max(F.struct("conf", *[(-F.col(c)).alias(c) for c in first])).alias("best")
+    found = sightings.groupBy(*keys).agg(best, F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("sightings"))
+    of = lambda c: F.col(f"best.{c}") if c == "conf" else -F.col(f"best.{c}")
+    return found.select(*keys, *[of(c).alias(c) for c in ("frame_idx", "roi_id", "conf", *EDGES)], "start", "end", "sightings")
 
 
 def detection_summary(sightings: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,18 +36,24 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_idx, roi_id, x1, y1, x2, y2, cls, conf, track_id, filled): several boxes a frame."""
+    return as_boxes(table(spark, sf_dir, "lineitem"))
+
+
+def as_boxes(lines: DataFrame, *more: str) -> DataFrame:
+    """Line items as boxes, with columns of theirs that go along."""
     x1, y1 = (F.col("l_partkey") * 37) % 600, (F.col("l_suppkey") * 53) % 320
     w, h = (10 + F.col("l_quantity")).cast("long"), (12 + F.col("l_linenumber") * 9).cast("long")
     cls = F.when(F.col("l_returnflag") == "A", "cell phone").when(F.col("l_returnflag") == "N", "person").otherwise("book")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame_idx"), F.col("l_linenumber").alias("roi_id"), x1.alias("x1"), y1.alias("y1"), (x1 + w).alias("x2"), (y1 + h).alias("y2"), cls.alias("cls"), F.round(F.col("l_discount") * 9, 4).alias("conf"), F.col("l_suppkey").alias("track_id"), F.col("l_tax").alias("filled"), F.col("l_partkey").alias("source_id"),
+    return lines.select(
+        F.col("l_orderkey").alias("frame_idx"), F.col("l_linenumber").alias("roi_id"), x1.alias("x1"), y1.alias("y1"), (x1 + w).alias("x2"), (y1 + h).alias("y2"), cls.alias("cls"), F.round(F.col("l_discount") * 9, 4).alias("conf"), F.col("l_suppkey").alias("track_id"), F.col("l_tax").alias("filled"), F.col("l_partkey").alias("source_id"), *more,
     )
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes with the time of their frame, and the group (customer) that they belong to."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_idx"), F.col("o_custkey").alias("video_id"), seconds(F.col("o_orderdate")).alias("t"))
-    return boxes(spark, sf_dir).join(o, "frame_idx")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("video_id"), seconds(F.col("o_orderdate")).alias("t"))
+    # line items are joined as they are, as boxes have more columns that would have to be moved
+    return as_boxes(table(spark, sf_dir, "lineitem").join(o, "l_orderkey"), "video_id", "t")
 
 
 def keypoints(boxes: DataFrame) -> DataFrame:

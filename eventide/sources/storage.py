@@ -56,14 +56,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
